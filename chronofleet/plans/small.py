@@ -1,0 +1,13 @@
+"""Driver-side values of a small dimension, with a checked size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_ROWS = 5_000
+
+
+def small_values(df: DataFrame, column: str, cap: int = SMALL_ROWS) -> list | None:
+    """The distinct values of ``column``, or None when there are more than ``cap``."""
+    rows = df.select(column).distinct().limit(cap + 1).collect()
+    return None if len(rows) > cap else [r[0] for r in rows]
