@@ -219,10 +219,11 @@ def coalesce_intervals(
     clamped = intervals.select(*by, s.alias(start), e.alias(end), kind).filter(F.col(end) > F.col(start))
     tie = [end, kind]
     tie_cell = F.col(end)
-    reach = OrderedScan(clamped, by, start, tie, target_rows, tie_cell).max_before("_reach", F.col(end)).run()
+    first = OrderedScan(clamped, by, start, tie, target_rows, tie_cell).max_before("_reach", F.col(end))
+    reach = first.run(keep=True)
     opens = F.col("_reach").isNull() | (F.col(start) >= F.col("_reach"))
     marked = reach.withColumn("_opens", opens.cast("int"))
-    islands = OrderedScan(marked, by, start, tie, target_rows, tie_cell).running_sum("_island", F.col("_opens")).run()
+    islands = OrderedScan(marked, by, start, tie, like=first).running_sum("_island", F.col("_opens")).run()
     first_kind = F.min_by(kind, F.struct(start, end, kind))
     return (
         islands.groupBy(*by, "_island")

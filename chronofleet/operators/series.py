@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofleet.functions.geometry import yaw
 from chronofleet.functions.numeric import finite_or_null, is_finite, nan
 from chronofleet.operators.ranges import KEY
 from chronofleet.plans.scan import OrderedScan
@@ -55,21 +56,41 @@ def derivative(samples: DataFrame, by: Sequence[str] = KEY, target_rows: int | N
     return rows.withColumn("value", _slope("ts_ns", "value")).select(*samples.columns)
 
 
+def _time_steps():
+    """Seconds since the previous and to the next row of a ``_p``/``_n`` scan."""
+    return (F.col("ts_ns") - F.col("_p.v.ts_ns")) / F.lit(1e9), (F.col("_n.v.ts_ns") - F.col("ts_ns")) / F.lit(1e9)
+
+
+def _gradient_of(rise_before: Column, rise_after: Column) -> Column:
+    """Slope from the rises to both neighbours: second order inside, one-sided at the ends."""
+    hs, hd = _time_steps()
+    first, last = F.col("_p").isNull(), F.col("_n").isNull()
+    inner = F.try_divide(hs * hs * rise_after + hd * hd * rise_before, hs * hd * (hd + hs))
+    slope = (
+        F.when(first & last, F.lit(None).cast("double"))
+        .when(first, F.try_divide(rise_after, hd))
+        .when(last, F.try_divide(rise_before, hs))
+        .otherwise(inner)
+    )
+    return F.coalesce(slope, nan())
+
+
 def gradient(samples: DataFrame, by: Sequence[str] = KEY, target_rows: int | None = None) -> DataFrame:
     """Second-order central difference on uneven time, one-sided at both ends."""
     here = F.struct("ts_ns", "value")
     rows = OrderedScan(samples, by, target_rows=target_rows).lag("_p", here).lead("_n", here).run()
-    v, pv, nv = F.col("value"), F.col("_p.v.value"), F.col("_n.v.value")
-    hs = (F.col("ts_ns") - F.col("_p.v.ts_ns")) / F.lit(1e9)
-    hd = (F.col("_n.v.ts_ns") - F.col("ts_ns")) / F.lit(1e9)
+    v = F.col("value")
+    slope = _gradient_of(v - F.col("_p.v.value"), F.col("_n.v.value") - v)
+    return rows.withColumn("value", slope).select(*samples.columns)
 
-    def over(num, den):
-        return F.try_divide(num, den)
 
-    inner = over(hs * hs * nv + (hd * hd - hs * hs) * v - hd * hd * pv, hs * hd * (hd + hs))
-    first, last = F.col("_p").isNull(), F.col("_n").isNull()
-    slope = F.when(first & last, F.lit(None)).when(first, over(nv - v, hd)).when(last, over(v - pv, hs)).otherwise(inner)
-    return rows.withColumn("value", F.coalesce(slope, nan())).select(*samples.columns)
+def _turns(step: Column) -> Column:
+    """Whole turns to add so that an angle step falls within half a turn."""
+    turn = 2 * math.pi
+    wrapped = F.pmod(step + math.pi, F.lit(turn)) - math.pi
+    wrapped = F.when((wrapped == -math.pi) & (step > 0), F.lit(math.pi)).otherwise(wrapped)
+    turns = F.when(F.abs(step) < math.pi, 0).otherwise(F.round((wrapped - step) / turn)).try_cast("bigint")
+    return F.coalesce(turns, F.lit(0).cast("bigint"))
 
 
 def unwrap(samples: DataFrame, by: Sequence[str] = KEY, target_rows: int | None = None) -> DataFrame:
@@ -78,37 +99,38 @@ def unwrap(samples: DataFrame, by: Sequence[str] = KEY, target_rows: int | None
     Each step contributes a whole number of turns; the running total is an integer sum,
     so it does not depend on how the series is split.
     """
-    rows = OrderedScan(samples, by, target_rows=target_rows).lag("_p", F.col("value")).run()
-    step = F.col("value") - F.col("_p.v")
-    turn = 2 * math.pi
-    wrapped = F.pmod(step + math.pi, F.lit(turn)) - math.pi
-    wrapped = F.when((wrapped == -math.pi) & (step > 0), F.lit(math.pi)).otherwise(wrapped)
-    turns = F.when(F.abs(step) < math.pi, 0).otherwise(F.round((wrapped - step) / turn)).try_cast("bigint")
-    rows = rows.withColumn("_turns", F.coalesce(turns, F.lit(0).cast("bigint")))
-    total = OrderedScan(rows, by, target_rows=target_rows).running_sum("_total", F.col("_turns")).run()
-    return total.withColumn("value", F.col("value") + F.col("_total") * turn).select(*samples.columns)
+    first = OrderedScan(samples, by, target_rows=target_rows).lag("_p", F.col("value"))
+    rows = first.run(keep=True).withColumn("_turns", _turns(F.col("value") - F.col("_p.v")))
+    total = OrderedScan(rows, by, like=first).running_sum("_total", F.col("_turns")).run()
+    return total.withColumn("value", F.col("value") + F.col("_total") * (2 * math.pi)).select(*samples.columns)
 
 
 def ego_signals(poses: DataFrame, by: Sequence[str] = ("source_id",), target_rows: int | None = None) -> DataFrame:
-    """Speed, yaw rate (deg/s) and acceleration from poses ``(ts_ns, seq, x, y, qw..qz)``."""
-    w, x, y, z = (F.col(c) for c in ("qw", "qx", "qy", "qz"))
-    yaw = F.atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))
+    """Speed, yaw rate (deg/s) and acceleration from poses ``(ts_ns, seq, x, y, qw..qz)``.
+
+    The yaw rate is the gradient of the unwrapped heading. A gradient only needs the
+    rises to both neighbours, so each is unwrapped by itself and no running total is kept.
+    """
     by = list(by)
-    base = poses.select(*by, "ts_ns", "seq", "x", "y", yaw.alias("yaw"))
+    heading = yaw(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
+    base = poses.select(*by, "ts_ns", "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), heading.alias("yaw"))
+    here = F.struct("ts_ns", "x", "y", "yaw")
+    first = OrderedScan(base, by, target_rows=target_rows).lag("_p", here).lead("_n", here)
+    rows = first.run(keep=True)
 
-    def along(value: str, df: DataFrame) -> DataFrame:
-        return gradient(df.select(*by, "ts_ns", "seq", F.col(value).cast("double").alias("value")), by, target_rows)
+    def rises(c: str) -> tuple[Column, Column]:
+        return F.col(c) - F.col(f"_p.v.{c}"), F.col(f"_n.v.{c}") - F.col(c)
 
-    def named(name: str, df: DataFrame) -> DataFrame:
-        return df.select(*by, "ts_ns", "seq", F.col("value").alias(name))
+    def short(step: Column) -> Column:
+        return step + _turns(step) * (2 * math.pi)
 
-    key = [*by, "ts_ns", "seq"]
-    vel = named("vx", along("x", base)).join(named("vy", along("y", base)), key)
-    speed = vel.select(*key, F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2).alias("speed"))
-    smooth_yaw = unwrap(base.select(*key, F.col("yaw").alias("value")), by, target_rows)
-    rate = gradient(smooth_yaw, by, target_rows).select(*key, F.degrees("value").alias("yaw_rate_dps"))
-    accel = named("accel", along("speed", speed))
-    return speed.join(rate, key).join(accel, key)
+    vx, vy = _gradient_of(*rises("x")), _gradient_of(*rises("y"))
+    rate = F.degrees(_gradient_of(*[short(r) for r in rises("yaw")]))
+    moving = rows.withColumns({"speed": F.sqrt(vx * vx + vy * vy), "yaw_rate_dps": rate}).drop("_p", "_n", "x", "y", "yaw")
+    here = F.struct("ts_ns", "speed")
+    rows = OrderedScan(moving, by, like=first).lag("_p", here).lead("_n", here).run()
+    accel = _gradient_of(*rises("speed"))
+    return rows.select(*by, "ts_ns", "seq", "speed", "yaw_rate_dps", accel.alias("accel"))
 
 
 # -- alignment -------------------------------------------------------------------
@@ -130,10 +152,11 @@ def align_union(
     by = list(by)
     picked = samples.filter(F.col("channel_id").isin(*channels))
     series = [*by, "channel_id"]
-    rows = OrderedScan(picked, series, target_rows=target_rows).rank("_rank").lag("_p", F.col("ts_ns")).run()
+    first = OrderedScan(picked, series, target_rows=target_rows).rank("_rank").lag("_p", F.col("ts_ns"))
+    rows = first.run(keep=True)
     opens = F.col("_p").isNull() | (F.col("_p.v") != F.col("ts_ns"))
     rows = rows.withColumn("_open", F.when(opens, F.col("_rank"))).drop("_p")
-    rows = OrderedScan(rows, series, target_rows=target_rows).fill("_first", F.col("_open")).run()
+    rows = OrderedScan(rows, series, like=first).fill("_first", F.col("_open")).run()
     rows = rows.withColumn("occurrence", F.col("_rank") - F.col("_first"))
     cells = [
         F.max(F.when(F.col("channel_id") == c, finite_or_null(F.col("value")))).alias(c) for c in channels
@@ -274,10 +297,11 @@ def state_segments(
     by = list(by)
     state = finite_or_null(F.col(value).cast("double"))
     rows = samples.select(*by, "ts_ns", "seq", state.alias("state"))
-    prev = OrderedScan(rows, by, target_rows=target_rows).lag("_p", F.col("state")).run()
+    first = OrderedScan(rows, by, target_rows=target_rows).lag("_p", F.col("state"))
+    prev = first.run(keep=True)
     changed = F.col("_p").isNull() | ~F.col("state").eqNullSafe(F.col("_p.v"))
     starts = prev.filter(changed).drop("_p")
-    ends = OrderedScan(starts, by, target_rows=target_rows).lead("_n", F.col("ts_ns")).run()
+    ends = OrderedScan(starts, by, like=first).lead("_n", F.col("ts_ns")).run()
     return ends.select(
         *by,
         F.col("ts_ns").alias("start_ns"),

@@ -58,10 +58,13 @@ class OrderedScan:
         tie: Sequence[str] = ("seq",),
         target_rows: int | None = None,
         tie_cell: Column | None = None,
+        like: OrderedScan | None = None,
     ):
         self.df, self.by, self.ts, self.tie = df, list(by), ts, list(tie)
         self.target = max(1, target_rows or TARGET_ROWS)
         self._tie_cell = tie_cell
+        self._like = like
+        self._hot, self._tied = False, False
         self._ops: list[tuple[str, str, Column | None]] = []
 
     # -- requests ---------------------------------------------------------------
@@ -172,24 +175,33 @@ class OrderedScan:
         return out
 
     # -- execution --------------------------------------------------------------
-    def run(self) -> DataFrame:
+    def run(self, keep: bool = False) -> DataFrame:
+        """The frame with the requested columns.
+
+        ``keep`` leaves the cell columns in place, so that a scan over the same ordering
+        built with ``like=`` this one plans nothing and shuffles nothing again.
+        """
         dummy = not self.by
         frame = self.df
         if dummy:
             self.by = ["_one"]
             frame = frame.withColumn("_one", F.lit(0))
+        base_cols = [c for c in self.df.columns if keep or c not in ("_cell", "_tie")]
         inputs = []
         for i, (kind, _, value) in enumerate(self._ops):
             if value is not None:
                 inputs.append((value if kind in ("sum", "max", "fill") else F.struct(value.alias("v"))).alias(f"_in{i}"))
-        base_cols = frame.columns
         frame = frame.select("*", *inputs)
-        split = self._split(frame)
+        if self._like is None:
+            split = self._split(frame)
+        else:
+            split = (frame, self._like._tied) if self._like._hot else None
         order = [self.ts, *self.tie]
         if split is None:
             out = self._windows(frame, Window.partitionBy(*self.by).orderBy(*order), carry=False)
         else:
             tagged, tied = split
+            self._hot, self._tied = True, tied
             cell = [*self.by, "_cell", "_tie"]
             carry = self._carries(tagged, cell)
             if not tied:
@@ -202,8 +214,9 @@ class OrderedScan:
                 cond = term if cond is None else cond & term
             joined = tagged.join(carry, cond, "left").drop(*names.values())
             out = self._windows(joined, Window.partitionBy(*cell).orderBy(*order), carry=True)
-        keep = [c for c in base_cols if not (dummy and c == "_one")]
-        return out.select(*keep, *[name for _, name, _ in self._ops])
+        if keep and self._hot:
+            base_cols = [*base_cols, *[c for c in ("_cell", "_tie") if c not in base_cols]]
+        return out.select(*base_cols, *[name for _, name, _ in self._ops])
 
     def _windows(self, frame: DataFrame, w, carry: bool) -> DataFrame:
         cumulative = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronofleet.registry import ranges
+from chronofleet.registry import ranges, series
 
-GROUPS = (ranges,)
+GROUPS = (ranges, series)
 
 
 def all_queries():
