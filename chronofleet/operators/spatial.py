@@ -116,26 +116,29 @@ def compose_extrinsics(sensors: DataFrame, on: Sequence[str] = ("source_id",), l
 
     joined = pick("camera", "c_").join(pick(lidar, "l_").drop("l_name"), list(on))
 
-    def parts(prefix: str):
+    def parts(prefix: str) -> tuple[list[Column], list[Column]]:
         t = [F.get(f"{prefix}t", F.lit(i)).cast("double") for i in range(3)]
-        r = [F.get(f"{prefix}r", F.lit(i)).cast("double") for i in (1, 2, 3, 0)]
-        return t, normalised(r)
+        return t, [F.get(f"{prefix}r", F.lit(i)).cast("double") for i in (1, 2, 3, 0)]
 
-    ct, cq = parts("c_")
-    lt, lq = parts("l_")
+    # Each stage is named, so no expression is repeated inside the next one.
+    ct, cr = parts("c_")
+    lt, lr = parts("l_")
+    staged = joined.withColumns({"_c": F.array(*normalised(cr)), "_l": F.array(*normalised(lr))})
+    cq, lq = ([F.get(n, F.lit(i)) for i in range(4)] for n in ("_c", "_l"))
     inverse = (-cq[0], -cq[1], -cq[2], cq[3])
     shifted = rotate([a - b for a, b in zip(lt, ct)], inverse)
-    q = normalised(quat_product(inverse, lq))
+    staged = staged.withColumns({"_t": F.array(*shifted), "_q": F.array(*quat_product(inverse, lq))})
+    staged = staged.withColumn("_u", F.array(*normalised([F.get("_q", F.lit(i)) for i in range(4)])))
     # The same rotation has two quaternions; the one a matrix conversion yields is kept:
     # positive w when the trace is positive, else a positive largest vector part.
-    x, y, z, w = q
-    trace = 4 * w * w - 1
-    lead = F.when(trace > 0, w).when((x * x > y * y) & (x * x > z * z), x).when(y * y > z * z, y).otherwise(z)
-    sign = F.when(lead < 0, -1.0).otherwise(1.0)
-    return joined.select(
-        *on, F.col("c_name").alias("name"),
-        F.array(*shifted).alias("translation"),
-        F.array(*[c * sign for c in q]).alias("quaternion"),
+    x, y, z, w = (F.get("_u", F.lit(i)) for i in range(4))
+    lead = F.when(4 * w * w - 1 > 0, w).when((x * x > y * y) & (x * x > z * z), x).when(y * y > z * z, y).otherwise(z)
+    staged = staged.withColumn("_sign", F.when(lead < 0, -1.0).otherwise(1.0))
+    return staged.select(
+        *on,
+        F.col("c_name").alias("name"),
+        F.col("_t").alias("translation"),
+        F.array(*[c * F.col("_sign") for c in (x, y, z, w)]).alias("quaternion"),
     )
 
 

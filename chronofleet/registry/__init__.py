@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronofleet.registry import ranges, series
+from chronofleet.registry import ranges, series, spatial
 
-GROUPS = (ranges, series)
+GROUPS = (ranges, series, spatial)
 
 
 def all_queries():
