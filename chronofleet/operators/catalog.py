@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofleet.functions.text import clean
+from chronofleet.functions.text import clean, qualify_id
 from chronofleet.operators.frames import ranked_pick
 from chronofleet.operators.ranges import KEY, asof_join
 from chronofleet.plans.scan import OrderedScan
@@ -102,12 +102,15 @@ def dedupe_names(df: DataFrame, name: str, order: str, by: Sequence[str] = (), t
     plain = F.regexp_extract("_full", pattern, 2).rlike("^[1-9]")
     taken = names.withColumn("_b", base).withColumn("_n", number).filter(plain & (F.col("_n") >= 2))
     taken = taken.select(*by, F.col("_b").alias(name), "_n").distinct()
-    ith = OrderedScan(taken, key, "_n", [], target_rows, F.lit(0)).rank("_i").run()
-    ith = ith.withColumn("_j", F.col("_n") - F.col("_i"))
     dups = ranked.filter(F.col("_rank") > 1).withColumn("_j", F.col("_rank") - 1)
-    hit = asof_join(dups, ith, key, "_j", ["_i"], right_tie="_i", prefix="_b", target_rows=target_rows)
+    if taken.isEmpty():
+        numbered = dups.withColumn("_b_i", F.lit(0).cast("bigint"))
+    else:
+        ith = OrderedScan(taken, key, "_n", [], target_rows, F.lit(0)).rank("_i").run()
+        ith = ith.withColumn("_j", F.col("_n") - F.col("_i"))
+        numbered = asof_join(dups, ith, key, "_j", ["_i"], right_tie="_i", prefix="_b", target_rows=target_rows)
     n = F.col("_j") + 1 + F.coalesce("_b_i", F.lit(0).cast("bigint"))
-    renamed = hit.withColumn("unique_name", F.format_string(template, F.col(name), n)).select(*df.columns, "unique_name")
+    renamed = numbered.withColumn("unique_name", F.format_string(template, F.col(name), n)).select(*df.columns, "unique_name")
     first = ranked.filter(F.col("_rank") == 1).withColumn("unique_name", F.col(name)).select(*df.columns, "unique_name")
     return first.unionByName(renamed)
 
@@ -270,3 +273,24 @@ def pick_cloud(clouds: DataFrame, by: Sequence[str] = ("source_id",)) -> DataFra
     """Point cloud to overlay: the first with ``lidar`` in its name, else the first."""
     place = F.struct(F.when(F.lower("name").contains("lidar"), 0).otherwise(1), "ord")
     return clouds.groupBy(*by).agg(F.min_by("channel_id", place).alias("channel_id"))
+
+
+__all__ = [
+    "channel_catalog",
+    "channel_path",
+    "channel_tree",
+    "dedupe_names",
+    "dedupe_source_ids",
+    "disambiguate_names",
+    "effective_units",
+    "frame_catalog",
+    "frame_times",
+    "global_range",
+    "group_channels",
+    "group_label",
+    "infer_period",
+    "match_cameras",
+    "pick_cloud",
+    "qualify_id",
+    "search_channels",
+]

@@ -52,43 +52,40 @@ def _ns(v: Column) -> Column:
     return F.coalesce(written, whole)
 
 
-def _entry(e: Column) -> Column:
-    """One imported event as a struct, with ``ok`` false when it cannot be used."""
-    ns = _ns(_get(e, "ns"))
-    before, after = _get(e, "beforeNs"), _get(e, "afterNs")
-    before_ns = F.when(before.isNull(), F.lit(0).cast("bigint")).otherwise(_ns(before))
-    after_ns = F.when(after.isNull(), F.lit(0).cast("bigint")).otherwise(_ns(after))
-    raw_tags = _get(e, "tags")
-    tag_map = F.try_variant_get(raw_tags, "$", "map<string,variant>")
-    tags = F.when(raw_tags.isNull(), no_tags()).otherwise(F.transform_values(tag_map, lambda k, v: _str(v)))
-    tags_ok = raw_tags.isNull() | F.coalesce(F.forall(F.map_values(tag_map), lambda v: _kind(v) == "STRING"), F.lit(False))
-    raw_origin = _get(e, "origin")
-    origin = F.when(raw_origin.isNull(), F.lit("user")).otherwise(_str(raw_origin))
-    raw_conf = _get(e, "confidence")
-    absent = raw_conf.isNull() | (_kind(raw_conf) == "VOID")
-    confidence = F.when(~absent, _num(raw_conf))
+def _decoded(rows: DataFrame) -> DataFrame:
+    """Event columns of one entry variant ``e`` per row; ``ok`` is false when unusable."""
+    keys = {"ns": "_ns", "beforeNs": "_b", "afterNs": "_a", "tags": "_t", "origin": "_o", "confidence": "_c", "id": "_i", "label": "_l", "color": "_k", "createdAt": "_m"}
+    raw = rows.withColumns({name: _get(F.col("e"), key) for key, name in keys.items()})
+    zero = F.lit(0).cast("bigint")
+    absent = F.col("_c").isNull() | (_kind(F.col("_c")) == "VOID")
+    staged = raw.withColumns(
+        {
+            "ns": _ns(F.col("_ns")),
+            "before_ns": F.when(F.col("_b").isNull(), zero).otherwise(_ns(F.col("_b"))),
+            "after_ns": F.when(F.col("_a").isNull(), zero).otherwise(_ns(F.col("_a"))),
+            "_map": F.try_variant_get("_t", "$", "map<string,variant>"),
+            "origin": F.when(F.col("_o").isNull(), F.lit("user")).otherwise(_str(F.col("_o"))),
+            "confidence": F.when(~absent, _num(F.col("_c"))),
+            "_absent": absent,
+            "_id": F.nullif(_str(F.col("_i")), F.lit("")),
+            "label": F.coalesce(clean(_str(F.col("_l"))), F.lit("event")),
+            "color": F.nullif(_str(F.col("_k")), F.lit("")),
+            "created_at": _num(F.col("_m")).cast("bigint"),
+        }
+    )
+    tags = F.when(F.col("_t").isNull(), no_tags()).otherwise(F.transform_values("_map", lambda k, v: _str(v)))
+    tags_ok = F.col("_t").isNull() | F.forall(F.map_values("_map"), lambda v: _kind(v) == "STRING")
     ok = (
-        _kind(e).startswith("OBJECT")
-        & ns.isNotNull()
-        & (before_ns >= 0)
-        & (after_ns >= 0)
+        _kind(F.col("e")).startswith("OBJECT")
+        & F.col("ns").isNotNull()
+        & (F.col("before_ns") >= 0)
+        & (F.col("after_ns") >= 0)
         & tags_ok
-        & origin.isin("user", "agent")
-        & (absent | confidence.between(0.0, 1.0))
-    )
-    return F.struct(
-        F.coalesce(ok, F.lit(False)).alias("ok"),
-        F.nullif(_str(_get(e, "id")), F.lit("")).alias("id"),
-        ns.alias("ns"),
-        before_ns.alias("before_ns"),
-        after_ns.alias("after_ns"),
-        F.coalesce(clean(_str(_get(e, "label"))), F.lit("event")).alias("label"),
-        F.nullif(_str(_get(e, "color")), F.lit("")).alias("color"),
-        _num(_get(e, "createdAt")).cast("bigint").alias("created_at"),
-        tags.alias("tags"),
-        origin.alias("origin"),
-        confidence.alias("confidence"),
+        & F.col("origin").isin("user", "agent")
+        & (F.col("_absent") | F.col("confidence").between(0.0, 1.0))
     )
+    columns = ["source_id", "ord", "_id", "ns", "before_ns", "after_ns", "label", "color", "created_at", "origin", "confidence"]
+    return staged.select(*columns, tags.alias("tags"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def parse_events(docs: DataFrame, now_ms: int = 0, target_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -103,14 +100,13 @@ def parse_events(docs: DataFrame, now_ms: int = 0, target_rows: int | None = Non
     top = F.try_variant_get("v", "$", "array<variant>")
     wrapped = F.try_variant_get("v", "$.bookmarks", "array<variant>")
     listed = v.select("source_id", F.coalesce(top, wrapped).alias("raw"))
-    judged = listed.withColumn("entries", F.transform("raw", _entry)).drop("raw")
-    good = F.col("entries").isNotNull() & F.forall("entries", lambda e: e["ok"])
-    judged = judged.withColumn("_good", F.coalesce(good, F.lit(False)))
-    rejected = judged.filter(~F.col("_good")).select("source_id")
-    rows = judged.filter(F.col("_good")).select("source_id", F.posexplode("entries").alias("ord", "e"))
+    entries = _decoded(listed.select("source_id", F.posexplode("raw").alias("ord", "e")))
+    bad_entry = entries.filter(~F.col("ok")).select("source_id")
+    rejected = listed.filter(F.col("raw").isNull()).select("source_id").union(bad_entry).distinct()
     minted = F.concat(F.lit("bm-"), F.hex(F.xxhash64("source_id", "ord")))
-    rows = rows.select("source_id", F.col("ord").cast("bigint").alias("ord"), F.coalesce("e.id", minted).alias("_id"), "e.*").drop("id", "ok")
-    named = dedupe_names(rows, "_id", "ord", ["source_id"], "%s_%d", r"^(.*)_(\d+)$", target_rows)
+    rows = entries.withColumns({"_id": F.coalesce("_id", minted), "ord": F.col("ord").cast("bigint")}).drop("ok")
+    good = rows.join(rejected, "source_id", "left_anti")
+    named = dedupe_names(good, "_id", "ord", ["source_id"], "%s_%d", r"^(.*)_(\d+)$", target_rows)
     out = named.withColumn("created_at", F.coalesce("created_at", F.lit(now_ms).cast("bigint"))).withColumnRenamed("unique_name", "id")
     return out.select("source_id", "ord", *FIELDS), rejected
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronofleet.plans.interval_join import interval_join
 from chronofleet.plans.scan import TIE_BITS, OrderedScan, order_prefix
@@ -110,6 +111,14 @@ def snapshot_at(
     return out
 
 
+def _hashable(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return all(_hashable(f.dataType) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return _hashable(t.elementType)
+    return not isinstance(t, (T.MapType, T.VariantType))
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -137,7 +146,7 @@ def asof_join(
     lefts = left.select(
         *by, ts, *own,
         F.lit(1).alias("_side"),
-        F.pmod(F.xxhash64(*left.columns), F.lit(4096)).alias("_salt"),
+        F.pmod(F.xxhash64(*[f.name for f in left.schema if _hashable(f.dataType)]), F.lit(4096)).alias("_salt"),
         F.lit(None).cast(tie_type).alias("_tie_key"),
         F.lit(None).cast(matched_type).alias("_match"),
     )

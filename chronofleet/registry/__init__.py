@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronofleet.registry import ranges, series, spatial
+from chronofleet.registry import catalogs, events, ingest, ranges, series, spatial
 
-GROUPS = (ranges, series, spatial)
+GROUPS = (ranges, series, spatial, catalogs, events, ingest)
 
 
 def all_queries():

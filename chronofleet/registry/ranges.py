@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from chronofleet.operators import frames as fr
@@ -70,11 +72,11 @@ def r5(spark, sf_dir):
     return out.select("source_id", "channel_id", "kind", "sample_count", "held_ts_ns", r6("held_value").alias("held_value"))
 
 
-def r6_asof(spark, sf_dir):
+def r6_asof(spark, sf_dir, target=None):
     t = telemetry(spark, sf_dir)
     clicks = t.filter(F.col("channel_id") == "click").select("source_id", "ts_ns", F.col("seq").alias("click_seq"))
     errors = t.filter(F.col("channel_id") == "error")
-    out = rg.asof_join(clicks, errors, ["source_id"], values=["seq", "value"], target_rows=TARGET // 8)
+    out = rg.asof_join(clicks, errors, ["source_id"], values=["seq", "value"], target_rows=target)
     return rounded(out.withColumnsRenamed({"right_ts_ns": "error_ts_ns", "right_seq": "error_seq", "right_value": "error_value"}), "error_value")
 
 
@@ -121,12 +123,12 @@ def r12(spark, sf_dir):
 
 def r13(spark, sf_dir):
     buffered = frames(spark, sf_dir).filter(F.col("decode_idx") % 10 < 7)
-    return fr.coverage_ranges(buffered, target_rows=TARGET)
+    return fr.coverage_ranges(buffered)
 
 
 def r14(spark, sf_dir):
     w = _windows(spark, sf_dir).withColumn("kind", F.concat(F.lit("w"), F.lpad(F.col("window_id").cast("string"), 9, "0")))
-    return rg.coalesce_intervals(w, ["source_id"], T0 + DAY, T0 + 25 * DAY, target_rows=TARGET // 8)
+    return rg.coalesce_intervals(w, ["source_id"], T0 + DAY, T0 + 25 * DAY)
 
 
 QUERIES = {
@@ -216,3 +218,6 @@ QUERIES = {
         SELECT source_id, min(s) AS start_ns, max(e) AS end_ns, arg_min(kind, {{'s': s, 'e': e, 'k': kind}}) AS kind FROM i GROUP BY source_id, isl""",
     ),
 }
+
+# The same join with the hot-series plan forced by a small split target.
+QUERIES["r6_asof_join_hot"] = Query(partial(r6_asof, target=TARGET // 4), QUERIES["r6_asof_join"].sql)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,6 @@ from chronofleet.operators import series as se
 from chronofleet.registry.common import CHANNELS, DAY, FINITE, T0, TARGET, TEL, Query, r6, rounded, sql6, table, telemetry
 
 CHANNEL3 = CHANNELS[:3]
-SMALL = TARGET // 8
 END = T0 + 31 * DAY
 HOLD = 3_600_000_000_000
 COLS = "source_id, channel_id, ts_ns, seq"
@@ -26,7 +26,7 @@ def _spec(spark):
 
 
 def d1(spark, sf_dir):
-    return rounded(se.transform(telemetry(spark, sf_dir), _spec(spark), SMALL), "value").select("source_id", "channel_id", "ts_ns", "seq", "value")
+    return rounded(se.transform(telemetry(spark, sf_dir), _spec(spark)), "value").select("source_id", "channel_id", "ts_ns", "seq", "value")
 
 
 def d1_abs_scale(spark, sf_dir):
@@ -35,7 +35,7 @@ def d1_abs_scale(spark, sf_dir):
 
 
 def d2(spark, sf_dir):
-    return rounded(se.derivative(telemetry(spark, sf_dir), target_rows=SMALL), "value")
+    return rounded(se.derivative(telemetry(spark, sf_dir)), "value")
 
 
 def d2_by_source(spark, sf_dir):
@@ -53,11 +53,11 @@ ANGLES = "ang AS (SELECT source_id, channel_id, ts_ns, seq, (CASE WHEN seq % 97
 
 
 def d3(spark, sf_dir):
-    return rounded(se.gradient(_angles(spark, sf_dir), target_rows=SMALL), "value")
+    return rounded(se.gradient(_angles(spark, sf_dir)), "value")
 
 
-def d4(spark, sf_dir):
-    return rounded(se.unwrap(_angles(spark, sf_dir), target_rows=SMALL), "value")
+def d4(spark, sf_dir, target=None):
+    return rounded(se.unwrap(_angles(spark, sf_dir), target_rows=target), "value")
 
 
 def _poses(spark, sf_dir):
@@ -72,7 +72,7 @@ def _poses(spark, sf_dir):
 
 
 def d5(spark, sf_dir):
-    out = se.ego_signals(_poses(spark, sf_dir), target_rows=TARGET)
+    out = se.ego_signals(_poses(spark, sf_dir))
     return rounded(out.select("source_id", "ts_ns", "seq", "speed", "yaw_rate_dps", "accel"), "speed", "yaw_rate_dps", "accel")
 
 
@@ -98,25 +98,25 @@ def _wrap(t: str, v: str, part: str) -> str:
     return WRAP.format(t=t, v=v, part=part, pi=repr(PI), pi2=repr(PI2))
 
 
-def d6(spark, sf_dir):
-    return rounded(se.align_union(telemetry(spark, sf_dir), CHANNEL3, target_rows=SMALL), *CHANNEL3)
+def d6(spark, sf_dir, target=None):
+    return rounded(se.align_union(telemetry(spark, sf_dir), CHANNEL3, target_rows=target), *CHANNEL3)
 
 
-def d7(spark, sf_dir):
-    return rounded(se.align_hold(telemetry(spark, sf_dir), CHANNEL3, HOLD, target_rows=SMALL), *CHANNEL3)
+def d7(spark, sf_dir, target=None):
+    return rounded(se.align_hold(telemetry(spark, sf_dir), CHANNEL3, HOLD, target_rows=target), *CHANNEL3)
 
 
-def d8(spark, sf_dir):
-    return rounded(se.table_model(telemetry(spark, sf_dir), CHANNEL3, target_rows=TARGET), *CHANNEL3)
+def d8(spark, sf_dir, target=None):
+    return rounded(se.table_model(telemetry(spark, sf_dir), CHANNEL3, target_rows=target), *CHANNEL3)
 
 
 def d9(spark, sf_dir):
     return rounded(se.series_stats(telemetry(spark, sf_dir)), "min_value", "max_value", "mean_value")
 
 
-def d10(spark, sf_dir):
+def d10(spark, sf_dir, target=None):
     t = telemetry(spark, sf_dir)
-    out = se.zip_by_index(t.filter(F.col("channel_id") == "click"), t.filter(F.col("channel_id") == "view"), target_rows=SMALL)
+    out = se.zip_by_index(t.filter(F.col("channel_id") == "click"), t.filter(F.col("channel_id") == "view"), target_rows=target)
     return rounded(out.select("source_id", "idx", "ts_ns", "a", "b"), "a", "b")
 
 
@@ -139,8 +139,8 @@ SEGMENTS = f"""{STATES},
   seg AS (SELECT source_id, channel_id, ts_ns AS start_ns, coalesce(lead(ts_ns) OVER ({ORDER}), {END}) AS end_ns, state AS value FROM ch)"""
 
 
-def d12(spark, sf_dir):
-    return se.state_segments(_states(spark, sf_dir), END, target_rows=SMALL)
+def d12(spark, sf_dir, target=None):
+    return se.state_segments(_states(spark, sf_dir), END, target_rows=target)
 
 
 def d13(spark, sf_dir):
@@ -177,7 +177,7 @@ def d15(spark, sf_dir):
 
 def d15_rolling(spark, sf_dir):
     trace = _trace(spark, sf_dir).withColumn("grp", F.col("user_id") % 4).drop("user_id")
-    return fr.rolling_trace(trace, ["grp"], target_rows=TARGET)
+    return fr.rolling_trace(trace, ["grp"])
 
 
 def d16(spark, sf_dir):
@@ -346,3 +346,7 @@ QUERIES = {
         FROM l WHERE gap IS NOT NULL GROUP BY user_id""",
     ),
 }
+
+# The same operators with the hot-series plan forced by a small split target.
+for _name in ("d4_unwrap", "d6_align_union", "d7_align_hold", "d8_table_model", "d10_zip_by_index", "d12_state_segments"):
+    QUERIES[f"{_name}_hot"] = Query(partial(QUERIES[_name].run, target=TARGET // 4), QUERIES[_name].sql)

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from chronofleet.functions import geometry as geo
 from chronofleet.functions.numeric import finite_or_null
 from chronofleet.operators import spatial as sp
-from chronofleet.registry.common import PTS, T0, TARGET, TEL, Query, r6, rounded, spins, sql6, table, telemetry
+from chronofleet.registry.common import PTS, T0, TEL, Query, r6, rounded, spins, sql6, table, telemetry
 
-SMALL = TARGET // 8
 XYZ = ("x", "y", "z")
 S2 = math.sqrt(0.5)
 
@@ -230,7 +229,7 @@ def g10_boxes(spark, sf_dir):
 
 
 def g10_cloud(spark, sf_dir):
-    return rounded(sp.cloud_extent(points(spark, sf_dir), ["channel_id"], SMALL), *FRAME_COLS)
+    return rounded(sp.cloud_extent(points(spark, sf_dir), ["channel_id"]), *FRAME_COLS)
 
 
 TAN30 = repr(math.tan(math.pi / 6))

@@ -52,9 +52,9 @@ def _text(variant: Column) -> Column:
     return F.try_variant_get(variant, "$", "string")
 
 
-def point3(c: Column) -> Column:
-    """``[x, y]`` or ``[x, y, z]`` as a float struct, else NULL."""
-    n = numbers(c)
+def point3(text: Column) -> Column:
+    """The JSON text ``[x, y]`` or ``[x, y, z]`` as a float struct, else NULL."""
+    n = numbers(F.from_json(text, "array<string>"))
     x, y, z = (F.get(n, F.lit(i)).cast("float") for i in range(3))
     whole = F.struct(x.alias("x"), y.alias("y"), F.coalesce(z, F.lit(0.0).cast("float")).alias("z"))
     return F.when(F.size(n).isin(2, 3), whole)
@@ -129,8 +129,10 @@ def read_openlabel(spark: SparkSession, paths: Sequence[str] | str) -> tuple[Dat
 # -- trajectories ----------------------------------------------------------------
 _TRAJECTORY = (
     "trajectory STRUCT<frame_id: STRING, name: STRING, frames: ARRAY<STRUCT<timestamp: VARIANT,"
-    f" paths: ARRAY<STRUCT<confidence: DOUBLE, points: ARRAY<{_NUMS}>>>>>>"
+    " paths: ARRAY<STRING>>>>"
 )
+# Paths and points are kept as JSON text first, so that a malformed one is skipped alone.
+_PATH = "confidence DOUBLE, points ARRAY<STRING>"
 
 
 def parse_trajectories(docs: DataFrame) -> DataFrame:
@@ -144,8 +146,9 @@ def parse_trajectories(docs: DataFrame) -> DataFrame:
     frames = tr.select(*ids, name.alias("channel_id"), F.posexplode("t.frames").alias("frame_no", "f"))
     stamp = F.col("f.timestamp")
     ts = frame_ts_ns(_text(stamp), _is_number(stamp), F.col("frame_no"), iso=False)
+    parsed = F.transform("f.paths", lambda p: F.from_json(p, _PATH))
     cut = F.transform(
-        "f.paths",
+        parsed,
         lambda p: F.struct(F.coalesce(p["confidence"], F.lit(1.0)).cast("float").alias("confidence"), points3(p["points"]).alias("points")),
     )
     kept = F.filter(cut, lambda p: F.size(p["points"]) > 0)
@@ -232,7 +235,7 @@ def parse_map_json(docs: DataFrame, root_key: str = "map") -> DataFrame:
     ``feature_idx`` counts the kept features; unknown types become ``other``.
     """
     ids = [c for c in docs.columns if c != "doc"]
-    schema = f"`{root_key}` STRUCT<name: STRING, features: ARRAY<STRUCT<type: STRING, polyline: ARRAY<{_NUMS}>>>>"
+    schema = f"`{root_key}` STRUCT<name: STRING, features: ARRAY<STRUCT<type: STRING, polyline: ARRAY<STRING>>>>"
     maps = docs.select(*ids, F.from_json("doc", schema)[root_key].alias("m")).filter(F.col("m").isNotNull())
 
     def feature(f: Column) -> Column:

@@ -8,13 +8,15 @@ range is decoded with one numpy record view and leaves as Arrow batches.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -37,6 +39,9 @@ _ARROW = pa.schema(
 )
 _I64 = np.iinfo(np.int64)
 
+# The decoder travels to the workers with the task, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class Field:

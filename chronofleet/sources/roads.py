@@ -93,23 +93,29 @@ def _borders(section: Column) -> Column:
     for side, sign in (("left", 1.0), ("right", -1.0)):
         lanes = F.transform(
             section[side]["lane"],
-            lambda lane, i: F.struct(
-                F.abs(F.coalesce(F.trim(lane["_id"]).try_cast("bigint"), F.lit(0).cast("bigint"))).alias("n"), i.alias("i"),
-                _zero(F.get(lane["width"], F.lit(0))["_a"]).alias("w"),
+            lambda lane, i: F.named_struct(
+                F.lit("n"), F.abs(F.coalesce(F.trim(lane["_id"]).try_cast("bigint"), F.lit(0).cast("bigint"))),
+                F.lit("i"), i,
+                F.lit("w"), _zero(F.get(lane["width"], F.lit(0))["_a"]),
             ),
         )
         outward = F.array_sort(lanes)
 
-        def border(lane: Column, k: Column, outward: Column = outward, side: str = side, sign: float = sign) -> Column:
-            upto = F.aggregate(F.slice(outward, F.lit(1), k + 1), F.lit(0.0), lambda acc, x: acc + x["w"])
-            edge = F.when(k == F.size(outward) - 1, "road_edge").otherwise("lane_boundary")
-            return F.struct(F.concat(F.lit(f"{side}_"), (k + 1).cast("string")).alias("feature"), edge.alias("type"), (upto * sign).alias("offset"))
-
         none = F.array().cast("array<struct<feature:string,type:string,offset:double>>")
-        sides.append(F.coalesce(F.transform(outward, border), none))
+        sides.append(F.coalesce(F.transform(outward, _border(outward, side, sign)), none))
     return F.concat(*sides)
 
 
+def _border(outward: Column, side: str, sign: float):
+    def border(lane: Column, k: Column) -> Column:
+        upto = F.aggregate(F.slice(outward, F.lit(1), k + 1), F.lit(0.0), lambda acc, x: acc + x["w"])
+        edge = F.when(k == F.size(outward) - 1, "road_edge").otherwise("lane_boundary")
+        name = F.concat(F.lit(f"{side}_"), (k + 1).cast("string"))
+        return F.named_struct(F.lit("feature"), name, F.lit("type"), edge, F.lit("offset"), upto * sign)
+
+    return border
+
+
 def _pose(i: Column) -> Column:
     """Planar pose at sample ``i`` of the geometry in the current row."""
     g = F.col("g")
