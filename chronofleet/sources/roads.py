@@ -42,10 +42,8 @@ def densify_roads(roads: DataFrame, ids: Sequence[str] = ("source_id", "road_id"
     """
     ids = list(ids)
     section = F.get("lanes.laneSection", F.lit(0))
-    flat = roads.select(
-        *ids, F.posexplode("planView.geometry").alias("geom_idx", "g"),
-        F.array_sort(_elevations()).alias("_elev"), _borders(section).alias("_borders"),
-    )
+    flat = roads.select(*ids, "planView", F.array_sort(_elevations()).alias("_elev"), _borders(section).alias("_borders"))
+    flat = flat.select(*ids, "_elev", "_borders", F.posexplode("planView.geometry").alias("geom_idx", "g"))
     g = F.col("g")
     geoms = flat.select(
         *ids, "geom_idx", "_elev", "_borders", "g",
