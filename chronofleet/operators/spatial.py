@@ -215,7 +215,7 @@ def normalise_intensity(points: DataFrame, by: Sequence[str], intensity: str | N
     span = kept.groupBy(*by).agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     level = F.round((F.col("_raw") - F.col("_lo")) / F.when(width > 0, width) * 255.0)
-    scaled = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(255.0), level)), F.lit(128.0))
+    scaled = F.when(width > 0, F.greatest(F.lit(0.0), F.least(F.lit(255.0), level))).otherwise(128.0)
     return kept.join(span, by).withColumn("intensity_u8", scaled.cast("smallint")).drop("_raw", "_lo", "_hi")
 
 

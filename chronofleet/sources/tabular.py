@@ -54,7 +54,7 @@ def classify_columns(raw: DataFrame, columns: Sequence[str] | None = None) -> Da
     aggs = []
     for i, c in enumerate(columns):
         cell = F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
-        is_int = cell.rlike(INTEGER) & cell.try_cast("bigint").isNotNull()
+        is_int = F.when(cell.isNotNull(), cell.rlike(INTEGER) & cell.try_cast("bigint").isNotNull())
         is_float = cell.rlike(FLOAT)
         real = is_float & ~F.lower(cell).rlike("nan")
         flags = F.struct(
