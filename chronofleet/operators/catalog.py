@@ -76,9 +76,9 @@ def infer_period(samples: DataFrame, fallback_ns: int, by: Sequence[str] = KEY,
     """Upper median of the positive gaps of each channel, else the fallback."""
     by = list(by)
     tie = ["seq"] if "seq" in samples.columns else []
-    rows = OrderedScan(samples.select(*by, "ts_ns", *tie), by, "ts_ns", tie, target_rows).lag("_p", F.col("ts_ns")).run()
-    gaps = rows.withColumn("_gap", F.col("ts_ns") - F.col("_p.v")).filter(F.col("_gap") > 0)
-    median = ranked_pick(gaps, by, "_gap", {"_median": (1, 2)}, target_rows)
+    scan = OrderedScan(samples.select(*by, "ts_ns", *tie), by, "ts_ns", tie, target_rows).lag("_p", F.col("ts_ns"))
+    gaps = scan.run().withColumn("_gap", F.col("ts_ns") - F.col("_p.v")).filter(F.col("_gap") > 0)
+    median = ranked_pick(gaps, by, "_gap", {"_median": (1, 2)}, target_rows, at_most=scan.largest)
     channels = samples.select(*by).distinct()
     return channels.join(median, by, "left").select(*by, F.coalesce("_median", F.lit(fallback_ns).cast("bigint")).alias("period_ns"))
 

@@ -109,35 +109,49 @@ def bind_frame_times(
     return bound.withColumn("ts_ns", F.when(F.col("error").isNull(), F.col("ts_ns")))
 
 
-def ranked_pick(df: DataFrame, by: list[str], value: str, picks: dict[str, tuple[int, int]], target_rows: int | None) -> DataFrame:
+def ranked_pick(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    picks: dict[str, tuple[int, int]],
+    target_rows: int | None = None,
+    tie: str | None = None,
+    at_most: int | None = None,
+) -> DataFrame:
     """Order statistics at 0-based index ``floor(n * a / b)`` (at most n-1), exact.
 
-    Equal values are pre-counted, so what is ranked is the set of distinct values.
+    ``value`` is an integer, refined by ``tie`` where it is the coarse form of another
+    number (which is then what is picked). Equal values are pre-counted, so what is
+    ranked is the set of distinct values. ``at_most`` bounds the rows per group, if known.
     """
-    distinct = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m"))
-    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    # A coarse integer key that never decreases with the value, exact value as the tie.
-    coarse = distinct.withColumn("_key", double_to_long(F.col(value).cast("double") * 1e3))
-    scan = OrderedScan(coarse, by, "_key", [value], target_rows, F.col(value).cast("double"))
-    upto = scan.running_sum("_upto", F.col("_m")).run()
-    joined = upto.join(total, by)
+    by = list(by)
+    keys = [value] if tie is None else [value, tie]
+    distinct = df.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("_m"))
+    total = distinct.groupBy(*by).agg(F.sum("_m").alias("_n"))
+    scan = OrderedScan(distinct, by, value, keys[1:], target_rows, F.col(tie) if tie else F.lit(0), at_most=at_most)
+    joined = scan.running_sum("_upto", F.col("_m")).run().join(total, by)
     aggs = []
     for name, (a, b) in picks.items():
         index = F.least(F.col("_n") - 1, F.floor(F.col("_n") * a / b))
-        aggs.append(F.min(F.when(F.col("_upto") > index, F.col(value))).alias(name))
+        aggs.append(F.min(F.when(F.col("_upto") > index, F.struct(*keys)))[keys[-1]].alias(name))
     return joined.groupBy(*by).agg(*aggs)
 
 
 def paint_steps(trace: DataFrame, by: Sequence[str], target_rows: int | None = None) -> DataFrame:
     """Dwell (wall ns) and step (pts ns) between consecutive paints of a trace."""
+    return _paint_steps(trace, by, target_rows)[0]
+
+
+def _paint_steps(trace: DataFrame, by: Sequence[str], target_rows: int | None) -> tuple[DataFrame, int]:
     scan = OrderedScan(trace, by, "wall_ns", ["seq"], target_rows)
     out = scan.lag("_p", F.struct("wall_ns", "pts_ns")).rank("paint_no").run()
-    return out.filter(F.col("_p").isNotNull()).select(
+    steps = out.filter(F.col("_p").isNotNull()).select(
         *by,
         (F.col("paint_no") - 2).alias("pair_no"),
         (F.col("wall_ns") - F.col("_p.v.wall_ns")).alias("dwell_ns"),
         (F.col("pts_ns") - F.col("_p.v.pts_ns")).alias("step_ns"),
     )
+    return steps, scan.largest
 
 
 def pacing_summary(trace: DataFrame, by: Sequence[str], speed: float = 1.0, target_rows: int | None = None) -> DataFrame:
@@ -147,17 +161,35 @@ def pacing_summary(trace: DataFrame, by: Sequence[str], speed: float = 1.0, targ
     """
     by = list(by)
     speed = speed if speed > 0 else 1.0
-    steps = paint_steps(trace, by, target_rows)
+    steps, largest = _paint_steps(trace, by, target_rows)
     intended = F.col("step_ns") / 1e6 / F.lit(speed)
     pairs = steps.withColumn("dwell_ms", F.col("dwell_ns") / 1e6).withColumn("intended_ms", intended)
     pairs = pairs.withColumn("err_ms", F.col("dwell_ms") - F.col("intended_ms")).withColumn("abs_err_ms", F.abs("err_ms"))
     counts = trace.groupBy(*by).agg(F.count(F.lit(1)).alias("paints"))
-    median_step = ranked_pick(pairs, by, "step_ns", {"_step": (1, 2)}, target_rows)
-    dwell_q = ranked_pick(pairs, by, "dwell_ms", {"p50_dwell_ms": (1, 2), "p95_dwell_ms": (95, 100)}, target_rows)
-    err_q = ranked_pick(pairs, by, "abs_err_ms", {"player_err_p95_ms": (95, 100)}, target_rows)
+    # The three distributions are ranked together, one row per measure and pair: an
+    # integer of nanoseconds, with the exact error as its tie.
+    abs_err = F.col("abs_err_ms")
+    measures = F.array(
+        F.struct(F.lit("step").alias("_what"), F.col("step_ns").alias("_k"), F.lit(0.0).alias("_v")),
+        F.struct(F.lit("dwell").alias("_what"), F.col("dwell_ns").alias("_k"), F.col("dwell_ms").alias("_v")),
+        F.struct(F.lit("err").alias("_what"), double_to_long(abs_err * 1e6).alias("_k"), abs_err.alias("_v")),
+    )
+    measured = pairs.select(*by, F.inline(measures)).withColumn("_x", F.when(F.col("_what") == "step", F.col("_k").cast("double")).otherwise(F.col("_v")))
+    quantiles = ranked_pick(measured, [*by, "_what"], "_k", {"_q50": (1, 2), "_q95": (95, 100)}, target_rows, "_x", largest)
+
+    def quantile(what: str, q: str) -> Column:
+        return F.max(F.when(F.col("_what") == what, F.col(q)))
+
+    picked = quantiles.groupBy(*by).agg(
+        quantile("step", "_q50").cast("bigint").alias("_step"),
+        quantile("dwell", "_q50").alias("p50_dwell_ms"),
+        quantile("dwell", "_q95").alias("p95_dwell_ms"),
+        quantile("err", "_q95").alias("player_err_p95_ms"),
+    )
     ideal = F.abs(F.col("_step")) / F.lit(speed) / 1e6
-    base = counts.join(median_step, by).withColumn("source_interval_ns", F.abs(F.col("_step"))).withColumn("ideal_dwell_ms", ideal)
-    base = base.filter(F.col("paints") >= 3).select(*by, "paints", "source_interval_ns", "ideal_dwell_ms")
+    quoted = ["p50_dwell_ms", "p95_dwell_ms", "player_err_p95_ms"]
+    base = counts.filter(F.col("paints") >= 3).join(picked, by).withColumn("source_interval_ns", F.abs(F.col("_step"))).withColumn("ideal_dwell_ms", ideal)
+    base = base.select(*by, "paints", "source_interval_ns", "ideal_dwell_ms", *quoted)
     live = pairs.join(base, by)
     d, i = F.col("dwell_ms"), F.col("ideal_dwell_ms")
     ratio = d / F.when(i > 0, i)
@@ -167,16 +199,16 @@ def pacing_summary(trace: DataFrame, by: Sequence[str], speed: float = 1.0, targ
     edges = [float("-inf"), *HISTOGRAM_EDGES, float("inf")]
     bins = [F.count_if((ratio >= lo) & (ratio < hi)) for lo, hi in zip(edges, edges[1:])]
     reg_err = F.when(regular, F.col("err_ms"))
-    stats = live.groupBy(*by, "paints", "source_interval_ns", "ideal_dwell_ms").agg(
+    stats = live.groupBy(*by, "paints", "source_interval_ns", "ideal_dwell_ms", *quoted).agg(
         F.max(d).alias("max_dwell_ms"),
         F.min(d).alias("min_dwell_ms"),
-        F.avg(d).alias("mean_dwell_ms"),
+        (F.avg("dwell_ns") / 1e6).alias("mean_dwell_ms"),
         F.stddev_pop(d).alias("jitter_ms"),
         F.count_if(repeat).alias("repeats"),
         F.count_if(rushed & ~repeat).alias("rushed"),
         F.count_if(F.col("step_ns") < 0).alias("backward_steps"),
-        F.avg(F.when(first_half, d)).alias("_first"),
-        F.avg(F.when(~first_half, d)).alias("_second"),
+        (F.avg(F.when(first_half, F.col("dwell_ns"))) / 1e6).alias("_first"),
+        (F.avg(F.when(~first_half, F.col("dwell_ns"))) / 1e6).alias("_second"),
         F.array(*bins).alias("hist_dwell"),
         F.stddev_pop("intended_ms").alias("source_jitter_ms"),
         F.stddev_pop("err_ms").alias("player_err_std_ms"),
@@ -188,7 +220,6 @@ def pacing_summary(trace: DataFrame, by: Sequence[str], speed: float = 1.0, targ
     def rate(mean: Column) -> Column:
         return F.when(mean > 0, i / mean).otherwise(0.0)
 
-    stats = stats.join(dwell_q, by).join(err_q, by)
     stats = stats.withColumn("playback_rate_ratio", rate(F.col("mean_dwell_ms")))
     stats = stats.withColumn("first_half_rate", rate(F.col("_first"))).withColumn("second_half_rate", rate(F.col("_second")))
     smooth = (
@@ -216,11 +247,13 @@ def rolling_trace(trace: DataFrame, by: Sequence[str], size: int = ROLLING_PAINT
 def tick_health(ticks: DataFrame, by: Sequence[str], target_rows: int | None = None) -> DataFrame:
     """Gaps between clock ticks: count, maximum, p95 and how many starved."""
     by = list(by)
-    gaps = OrderedScan(ticks, by, "wall_ns", ["seq"], target_rows).lag("_p", F.col("wall_ns")).run()
-    gaps = gaps.filter(F.col("_p").isNotNull()).withColumn("gap_ms", (F.col("wall_ns") - F.col("_p.v")) / 1e6)
+    scan = OrderedScan(ticks, by, "wall_ns", ["seq"], target_rows).lag("_p", F.col("wall_ns"))
+    gaps = scan.run().filter(F.col("_p").isNotNull()).withColumn("gap_ms", (F.col("wall_ns") - F.col("_p.v")) / 1e6)
     stats = gaps.groupBy(*by).agg(
         F.count(F.lit(1)).alias("ticks"),
         F.max("gap_ms").alias("tick_gap_max_ms"),
         F.count_if(F.col("gap_ms") > STARVED_TICK_MS).alias("starved_ticks"),
     )
-    return stats.join(ranked_pick(gaps, by, "gap_ms", {"tick_gap_p95_ms": (95, 100)}, target_rows), by)
+    ranked = gaps.withColumn("_gap_ns", F.col("wall_ns") - F.col("_p.v"))
+    p95 = ranked_pick(ranked, by, "_gap_ns", {"_p95": (95, 100)}, target_rows, at_most=scan.largest)
+    return stats.join(p95, by).withColumn("tick_gap_p95_ms", F.col("_p95") / 1e6).drop("_p95")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronofleet.functions.geometry import yaw
 from chronofleet.functions.numeric import finite_or_null, is_finite, nan
 from chronofleet.operators.ranges import KEY
-from chronofleet.plans.scan import OrderedScan
+from chronofleet.plans.scan import OrderedScan, series_sizes
 
 # Table row cap, track point cap, widest alignment.
 MAX_TABLE_ROWS = 500_000
@@ -174,9 +174,9 @@ def _wide_last(picked: DataFrame, channels: list[str], by: list[str]) -> DataFra
     return picked.groupBy(*by, "ts_ns").agg(*cells)
 
 
-def _hold(wide: DataFrame, channels: list[str], by: list[str], target_rows: int | None) -> DataFrame:
+def _hold(wide: DataFrame, channels: list[str], by: list[str], target_rows: int | None, at_most: int) -> DataFrame:
     # One row per (series, time) is left, so time alone orders it.
-    scan = OrderedScan(wide, by, "ts_ns", [], target_rows, F.lit(0))
+    scan = OrderedScan(wide, by, "ts_ns", [], target_rows, F.lit(0), at_most=at_most)
     for i in range(len(channels)):
         scan.fill(f"_h{i}", F.col(f"_c{i}"))
     return scan.run()
@@ -201,8 +201,11 @@ def align_hold(
     threshold = int(threshold_ns)
     step = max(1, round(threshold * 1e-6))
     picked = samples.filter(F.col("channel_id").isin(*channels)).select(*by, "channel_id", "ts_ns", "seq", "value")
+    # One count bounds both scans: a sample adds at most two marker rows.
+    _, largest = series_sizes(picked, by)
     # Of several samples at one time only the last sees a gap after it.
-    gaps = OrderedScan(picked, [*by, "channel_id"], target_rows=target_rows).lead("_n", F.col("ts_ns")).run()
+    scan = OrderedScan(picked, [*by, "channel_id"], target_rows=target_rows, at_most=largest)
+    gaps = scan.lead("_n", F.col("ts_ns")).run()
     gap = F.col("_n.v") - F.col("ts_ns") > threshold
     held_end = F.col("ts_ns") + threshold
     times = F.when(gap, F.array(F.col("ts_ns"), held_end, held_end + step)).otherwise(F.array("ts_ns"))
@@ -215,7 +218,7 @@ def align_hold(
         "seq",
         "value",
     )
-    held = _hold(_wide_last(rows, channels, by), channels, by, target_rows)
+    held = _hold(_wide_last(rows, channels, by), channels, by, target_rows, 3 * largest)
     out = []
     for i, c in enumerate(channels):
         h = F.col(f"_h{i}")
@@ -241,7 +244,8 @@ def table_model(
     by = list(by)
     picked = samples.filter(F.col("channel_id").isin(*channels))
     wide = _wide_last(picked, channels, by)
-    scan = OrderedScan(wide, by, "ts_ns", [], target_rows, F.lit(0)).rank("_row")
+    _, largest = series_sizes(picked, by)
+    scan = OrderedScan(wide, by, "ts_ns", [], target_rows, F.lit(0), at_most=largest).rank("_row")
     for i in range(len(channels)):
         scan.fill(f"_h{i}", F.col(f"_c{i}"))
     held = scan.run()

@@ -47,6 +47,13 @@ def order_prefix(cols: Sequence[Column], dtypes: Sequence[T.DataType], bits: int
     return [*head, last]
 
 
+def series_sizes(frame: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """Rows in total and in the largest series."""
+    sizes = frame.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    return total or 0, largest or 0
+
+
 class OrderedScan:
     """Collects column requests over one ordering, then adds them in one plan."""
 
@@ -59,11 +66,14 @@ class OrderedScan:
         target_rows: int | None = None,
         tie_cell: Column | None = None,
         like: OrderedScan | None = None,
+        at_most: int | None = None,
     ):
         self.df, self.by, self.ts, self.tie = df, list(by), ts, list(tie)
         self.target = max(1, target_rows or TARGET_ROWS)
         self._tie_cell = tie_cell
         self._like = like
+        self._at_most = at_most
+        self.largest = at_most
         self._hot, self._tied = False, False
         self._ops: list[tuple[str, str, Column | None]] = []
 
@@ -108,10 +118,12 @@ class OrderedScan:
 
     def _split(self, frame: DataFrame) -> tuple[DataFrame, bool] | None:
         """``frame`` with ``_cell`` and ``_tie``, or None when no series is hot."""
+        # A caller that knows a bound on the rows per series saves counting them again.
+        if self._at_most is not None and self._at_most <= self.target:
+            return None
         key_frame = frame.select(*self.by, self.ts)
-        sizes = key_frame.groupBy(*self.by).agg(F.count(F.lit(1)).alias("_n"))
-        total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-        if not largest or largest <= self.target:
+        total, self.largest = series_sizes(key_frame, self.by)
+        if self.largest <= self.target:
             return None
         self.target = max(self.target, -(-total // MAX_HOT_CELLS))
         by_types = [key_frame.schema[c] for c in self.by]

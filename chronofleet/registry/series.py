@@ -166,12 +166,13 @@ PACING = (
     "playback_rate_ratio", "first_half_rate", "second_half_rate", "source_jitter_ms", "player_err_std_ms",
     "player_err_max_ms", "player_err_std_regular_ms", "player_err_p95_ms",
 )
-_COARSE = 3  # sums of squares of large dwells differ in the last digits between engines
+# Sums of squares of large dwells differ in the last digits between engines.
+_PLACES = {"jitter_ms": 1, "source_jitter_ms": 1, "player_err_std_ms": 1, "player_err_std_regular_ms": 1}
 
 
 def d15(spark, sf_dir):
     out = fr.pacing_summary(_trace(spark, sf_dir), ["user_id"], 2.0)
-    out = out.withColumns({c: F.round(c, _COARSE) for c in PACING})
+    out = out.withColumns({c: F.round(c, _PLACES.get(c, 3)) for c in PACING})
     return out.withColumns({f"hist_{i}": F.get("hist_dwell", F.lit(i)) for i in range(7)}).drop("hist_dwell")
 
 
@@ -306,14 +307,14 @@ QUERIES = {
         d15,
         f"""WITH tr AS (SELECT user_id, epoch_us(ts) * 1000 AS wall_ns, event_id * 33333333 - CASE WHEN event_id % 41 = 0 THEN 4000000000 ELSE 0 END AS pts_ns, event_id AS seq FROM events),
         l AS (SELECT *, lag(wall_ns) OVER w AS pw, lag(pts_ns) OVER w AS pp, row_number() OVER w - 2 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY wall_ns, seq)),
-        p AS (SELECT user_id, i, n, (wall_ns - pw) / 1e6 AS d, pts_ns - pp AS step, (pts_ns - pp) / 1e6 / 2.0 AS want FROM l WHERE pw IS NOT NULL),
+        p AS (SELECT user_id, i, n, (wall_ns - pw) / 1e6 AS d, wall_ns - pw AS dn, pts_ns - pp AS step, (pts_ns - pp) / 1e6 / 2.0 AS want FROM l WHERE pw IS NOT NULL),
         e AS (SELECT *, d - want AS err FROM p),
         b AS (SELECT user_id, abs({_at('step', '0.5')}) AS si, abs({_at('step', '0.5')}) / 2.0 / 1e6 AS ideal FROM e WHERE n >= 3 GROUP BY user_id),
         j AS (SELECT e.*, si, ideal, d / ideal AS r FROM e JOIN b USING (user_id)),
         s AS (SELECT user_id, any_value(si) AS source_interval_ns, any_value(ideal) AS ideal,
-          {_at('d', '0.5')} AS p50, {_at('d', '0.95')} AS p95, max(d) AS mx, min(d) AS mn, avg(d) AS mean, stddev_pop(d) AS jit,
+          {_at('d', '0.5')} AS p50, {_at('d', '0.95')} AS p95, max(d) AS mx, min(d) AS mn, avg(dn) / 1e6 AS mean, stddev_pop(d) AS jit,
           count(*) FILTER (d >= 1.5 * ideal) AS repeats, count(*) FILTER (d <= 0.5 * ideal AND NOT d >= 1.5 * ideal) AS rushed,
-          count(*) FILTER (step < 0) AS backward_steps, avg(d) FILTER (i < floor((n - 1) / 2)) AS f1, avg(d) FILTER (i >= floor((n - 1) / 2)) AS f2,
+          count(*) FILTER (step < 0) AS backward_steps, avg(dn) FILTER (i < floor((n - 1) / 2)) / 1e6 AS f1, avg(dn) FILTER (i >= floor((n - 1) / 2)) / 1e6 AS f2,
           stddev_pop(want) AS sj, stddev_pop(err) AS es, max(abs(err)) AS em, {_at('abs(err)', '0.95')} AS ep,
           coalesce(stddev_pop(err) FILTER (want BETWEEN 0.75 * ideal AND 1.25 * ideal), 0) AS er,
           count(*) FILTER (want BETWEEN 0.75 * ideal AND 1.25 * ideal) AS regular_pairs,
@@ -323,12 +324,12 @@ QUERIES = {
         c AS (SELECT user_id, count(*) AS paints FROM tr GROUP BY user_id)
         SELECT user_id, paints, coalesce(source_interval_ns, 0) AS source_interval_ns, round(coalesce(ideal, 0), 3) AS ideal_dwell_ms,
           round(coalesce(p50, 0), 3) AS p50_dwell_ms, round(coalesce(p95, 0), 3) AS p95_dwell_ms, round(coalesce(mx, 0), 3) AS max_dwell_ms,
-          round(coalesce(mn, 0), 3) AS min_dwell_ms, round(coalesce(mean, 0), 3) AS mean_dwell_ms, round(coalesce(jit, 0), 3) AS jitter_ms,
+          round(coalesce(mn, 0), 3) AS min_dwell_ms, round(coalesce(mean, 0), 3) AS mean_dwell_ms, round(coalesce(jit, 0), 1) AS jitter_ms,
           coalesce(repeats, 0) AS repeats, coalesce(rushed, 0) AS rushed, coalesce(backward_steps, 0) AS backward_steps,
           round(coalesce(CASE WHEN mean > 0 THEN ideal / mean END, 0), 3) AS playback_rate_ratio,
           round(coalesce(CASE WHEN f1 > 0 THEN ideal / f1 END, 0), 3) AS first_half_rate, round(coalesce(CASE WHEN f2 > 0 THEN ideal / f2 END, 0), 3) AS second_half_rate,
-          round(coalesce(sj, 0), 3) AS source_jitter_ms, round(coalesce(es, 0), 3) AS player_err_std_ms, round(coalesce(em, 0), 3) AS player_err_max_ms,
-          round(coalesce(er, 0), 3) AS player_err_std_regular_ms, coalesce(regular_pairs, 0) AS regular_pairs, round(coalesce(ep, 0), 3) AS player_err_p95_ms,
+          round(coalesce(sj, 0), 1) AS source_jitter_ms, round(coalesce(es, 0), 1) AS player_err_std_ms, round(coalesce(em, 0), 3) AS player_err_max_ms,
+          round(coalesce(er, 0), 1) AS player_err_std_regular_ms, coalesce(regular_pairs, 0) AS regular_pairs, round(coalesce(ep, 0), 3) AS player_err_p95_ms,
           coalesce(ideal > 0 AND backward_steps = 0 AND jit <= 0.25 * ideal AND p95 <= 1.5 * ideal AND repeats <= 0.05 * (paints - 1)
             AND ideal / mean BETWEEN 0.9 AND 1.1, false) AS smooth,
           coalesce(h0, 0) AS hist_0, coalesce(h1, 0) AS hist_1, coalesce(h2, 0) AS hist_2, coalesce(h3, 0) AS hist_3, coalesce(h4, 0) AS hist_4, coalesce(h5, 0) AS hist_5, coalesce(h6, 0) AS hist_6

@@ -20,18 +20,20 @@ _CAMERAS = [
     ("side", "pinhole", (700.0, 710.0, 320.0, 240.0), (640, 480), (), (), (0.0, 0.0, 2.0), (0.0, 0.5, 0.0, 0.75)),
     ("wide", "ftheta", (0.0, 0.0, 960.0, 600.0), (1920, 1200), (), (0.0, 600.0, 5.0, -90.0), (0.0, 0.0, 1.0), (0.25, 0.0, 0.0, 0.9)),
 ]
-CAMERA_SCHEMA = (
-    "name string, model string, intrinsics array<double>, resolution array<int>, distortion array<double>,"
-    " forward_poly array<double>, translation array<double>, quaternion array<double>"
-)
-
 
 def cameras(spark, sf_dir):
     """The rig of every source that has spins."""
-    rig = spark.createDataFrame([tuple(list(v) if isinstance(v, tuple) else v for v in c) for c in _CAMERAS], CAMERA_SCHEMA)
-    rig = rig.agg(F.collect_list(F.struct(*rig.columns)).alias("rig"))
+    fields = ("name", "model", "intrinsics", "resolution", "distortion", "forward_poly", "translation", "quaternion")
+
+    def literal(v):
+        return F.array(*[F.lit(x) for x in v]) if isinstance(v, tuple) else F.lit(v)
+
+    def camera(c):
+        return F.struct(*[literal(v).cast("array<double>" if isinstance(v, tuple) else "string").alias(n) for n, v in zip(fields, c)])
+
     logs = spins(spark, sf_dir).select("source_id").distinct()
-    return logs.join(F.broadcast(rig)).select("source_id", F.inline("rig"))
+    rig = logs.select("source_id", F.inline(F.array(*[camera(c) for c in _CAMERAS])))
+    return rig.withColumn("resolution", F.col("resolution").cast("array<int>"))
 
 
 def points(spark, sf_dir):

@@ -249,14 +249,16 @@ def profile_times(samples: DataFrame, files: DataFrame, header: int, record: int
     by = ["source_id"]
     rows = samples.select("source_id", "ts_ns", "seq")
     # seq is the record number: unique within a source, so it orders the scan alone.
-    filed = OrderedScan(rows, by, "seq", [], target_rows, F.lit(0)).lag("_p", F.col("ts_ns")).run()
+    in_file = OrderedScan(rows, by, "seq", [], target_rows, F.lit(0)).lag("_p", F.col("ts_ns"))
+    filed = in_file.run()
+    largest = in_file.largest
     falls = F.count_if(F.col("ts_ns") < F.col("_p.v"))
     stats = filed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("records"), F.min("ts_ns").alias("start_ns"), F.max("ts_ns").alias("end_ns"), falls.alias("violations")
     )
-    timed = OrderedScan(rows, by, target_rows=target_rows).lag("_p", F.col("ts_ns")).run()
+    timed = OrderedScan(rows, by, target_rows=target_rows, at_most=largest).lag("_p", F.col("ts_ns")).run()
     steps = timed.filter(F.col("_p").isNotNull()).withColumn("_d", F.col("ts_ns") - F.col("_p.v"))
-    median = ranked_pick(steps, by, "_d", {"median_delta_ns": (1, 2)}, target_rows)
+    median = ranked_pick(steps, by, "_d", {"median_delta_ns": (1, 2)}, target_rows, at_most=largest)
     size = F.col("n_bytes").cast("double")
     used = F.lit(header) + F.coalesce("records", F.lit(0)) * record
     covered = F.when((size > header) & (size > 0), used / size).otherwise(0.0)
