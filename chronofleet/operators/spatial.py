@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofleet.functions.geometry import horner, normalised, quat_product, rotate, rotate_translate
-from chronofleet.functions.numeric import is_finite, nan, round_half_up
+from chronofleet.functions.numeric import double_to_long, is_finite, nan, round_half_up
 from chronofleet.plans.scan import OrderedScan
 
 # View geometry of scene framing and depth shading.
@@ -186,7 +186,7 @@ def cloud_extent(points: DataFrame, by: Sequence[str], target_rows: int | None =
         *[F.avg(F.col(a).cast("double")).alias(f"center_{a}") for a in "xyz"], F.count(F.lit(1)).alias("_n")
     )
     r = F.hypot(F.col("x") - F.col("center_x"), F.col("y") - F.col("center_y"))
-    radii = points.join(centre, by).select(*by, r.alias("_r"), "_n").withColumn("_key", F.floor(F.col("_r") * 1e3))
+    radii = points.join(centre, by).select(*by, r.alias("_r"), "_n").withColumn("_key", double_to_long(F.col("_r") * 1e3))
     # An integer key that never decreases with the radius orders the scan; the radius
     # itself breaks its ties and splits a cell of equal keys.
     ranked = OrderedScan(radii, by, "_key", ["_r"], target_rows, F.col("_r")).rank("_i").run()
@@ -221,6 +221,7 @@ def normalise_intensity(points: DataFrame, by: Sequence[str], intensity: str | N
 
 def depth_bucket(depth: Column, near: float, far: float, buckets: int = DEPTH_BUCKETS) -> Column:
     """Index of the depth shade: clamped to ``[near, far]``, nearest of ``buckets`` levels."""
+    buckets = max(2, int(buckets))
     clamped = F.greatest(F.lit(float(near)), F.least(F.lit(float(far)), depth))
     share = (clamped - near) / (far - near) if far > near else F.lit(0.0)
     return round_half_up(share * (buckets - 1)).cast("int")

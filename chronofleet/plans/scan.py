@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 TARGET_ROWS = 1_000_000
 MAX_HOT_CELLS = 100_000
+FINE_PIECES = 1_024
 TIE_BITS = 17
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -143,13 +144,16 @@ class OrderedScan:
                     if at is None:
                         rows.append((*key, None, 0))
                     continue
-                pieces = 2 * -(-r["_n"] // self.target)
+                share = -(-r["_n"] // self.target)
+                # Finer than needed while cells are few, which saves rounds on uneven time.
+                pieces = max(2 * share, min(16 * share, FINE_PIECES, MAX_HOT_CELLS // len(parents)))
                 rows.append((*key, at, max(0, (span // pieces).bit_length() - 1)))
             if not rows:
                 break
             cuts.append(self._local(rows, cut_schema))
-            tagged = self._apply(key_frame, cuts)
-            hot = self._hot_cells(tagged.filter(F.col("_cell").isNotNull()), [*self.by, "_cell"])
+            # Only rows of cells that were cut last can still be in a hot cell.
+            tagged = self._apply(key_frame, cuts, "inner")
+            hot = self._hot_cells(tagged, [*self.by, "_cell"])
             known = {tuple(t) for t in ties}
             parents = [(r, r["_cell"]) for r in hot if (*[r[c] for c in self.by], r["_cell"]) not in known]
         tagged = self._apply(frame, cuts)
@@ -169,19 +173,19 @@ class OrderedScan:
     def _local(self, rows: list[tuple], schema: T.StructType) -> DataFrame:
         return self.df.sparkSession.createDataFrame(rows, schema)
 
-    def _join_cell(self, left: DataFrame, right: DataFrame) -> DataFrame:
+    def _join_cell(self, left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
         names = {c: f"_r_{c}" for c in [*self.by, "_at"]}
         right = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
         cond = F.col("_cell").eqNullSafe(F.col("_r__at"))
         for c in self.by:
             cond = cond & (left[c] == F.col(names[c]))
         # At most MAX_HOT_CELLS rows by construction.
-        return left.join(F.broadcast(right), cond, "left").drop(*names.values())
+        return left.join(F.broadcast(right), cond, how).drop(*names.values())
 
-    def _apply(self, frame: DataFrame, cuts: list[DataFrame]) -> DataFrame:
+    def _apply(self, frame: DataFrame, cuts: list[DataFrame], how: str = "left") -> DataFrame:
         out = frame.withColumn("_cell", F.lit(None).cast("bigint"))
         for cut in cuts:
-            out = self._join_cell(out, cut)
+            out = self._join_cell(out, cut, how)
             slice_start = F.expr(f"shiftleft(shiftright(`{self.ts}`, _bits), _bits)")
             out = out.withColumn("_cell", F.when(F.col("_bits").isNull(), F.col("_cell")).otherwise(slice_start)).drop("_bits")
         return out

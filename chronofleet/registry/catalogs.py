@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronofleet.operators import catalog as ct
-from chronofleet.registry.common import PTS, T0, TEL, Query, spins, table, telemetry
+from chronofleet.registry.common import T0, TEL, Query, spins, table, telemetry
 from chronofleet.sources.sinks import catalog_json
 
 UNITS = [("click", "m/s"), ("error", " "), ("purchase", "deg")]

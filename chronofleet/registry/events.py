@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronofleet.functions.text import url_basename
 from chronofleet.functions.time import fmt_absolute, fmt_duration, parse_ns
 from chronofleet.operators import events as ev
-from chronofleet.registry.common import T0, TEL, Query, r6, rounded, sql6, table, telemetry
+from chronofleet.registry.common import T0, TEL, Query, rounded, sql6, table, telemetry
 from chronofleet.sources.sinks import to_json_columns
 
 SECOND = 1_000_000_000

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronofleet.operators import frames as fr
 from chronofleet.operators import ranges as rg
-from chronofleet.registry.common import CHANNELS, DAY, SIX_HOURS, T0, TARGET, TEL, Query, r6, rounded, spins, sql6, telemetry
+from chronofleet.registry.common import DAY, T0, TARGET, TEL, Query, r6, rounded, spins, sql6, telemetry
 
 START, END = T0 + 10 * DAY, T0 + 12 * DAY
 CURSOR = T0 + 15 * DAY + 12_345_678_901
@@ -117,13 +117,12 @@ def r11(spark, sf_dir):
 
 
 def r12(spark, sf_dir):
-    t = telemetry(spark, sf_dir).filter(F.col("channel_id").isin(*CHANNELS[:3]))
+    t = telemetry(spark, sf_dir)
     return rounded(t.orderBy("ts_ns", "seq"), "value")
 
 
 def r13(spark, sf_dir):
-    buffered = frames(spark, sf_dir).filter(F.col("decode_idx") % 10 < 7)
-    return fr.coverage_ranges(buffered)
+    return fr.coverage_ranges(frames(spark, sf_dir))
 
 
 def r14(spark, sf_dir):
@@ -202,10 +201,10 @@ QUERIES = {
         FROM tel e JOIN tel c ON e.channel_id = 'error' AND c.channel_id = 'click' AND e.source_id = c.source_id
         AND c.ts_ns BETWEEN e.ts_ns - (e.seq % 5) * {HOUR} AND e.ts_ns + (e.seq % 3) * {HOUR}""",
     ),
-    "r12_time_merge": Query(r12, f"WITH {TEL} SELECT {COLS} FROM tel WHERE channel_id IN ('click', 'error', 'purchase') ORDER BY ts_ns, seq"),
+    "r12_time_merge": Query(r12, f"WITH {TEL} SELECT {COLS} FROM tel ORDER BY ts_ns, seq"),
     "r13_coverage_ranges": Query(
         r13,
-        f"""WITH {TEL}, {FRAMES}, b AS (SELECT *, decode_idx - row_number() OVER (PARTITION BY channel_id ORDER BY decode_idx) AS run FROM fr WHERE decode_idx % 10 < 7)
+        f"""WITH {TEL}, {FRAMES}, b AS (SELECT *, decode_idx - row_number() OVER (PARTITION BY channel_id ORDER BY decode_idx) AS run FROM fr)
         SELECT channel_id, min(decode_idx) AS first_idx, max(decode_idx) AS last_idx, min(pts_ns) AS start_ns, max(pts_ns) + 1 AS end_ns FROM b GROUP BY channel_id, run""",
     ),
     "r14_coalesce_intervals": Query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronofleet.operators import frames as fr
 from chronofleet.operators import series as se
-from chronofleet.registry.common import CHANNELS, DAY, FINITE, T0, TARGET, TEL, Query, r6, rounded, sql6, table, telemetry
+from chronofleet.registry.common import CHANNELS, DAY, FINITE, T0, TARGET, TEL, Query, rounded, sql6, table, telemetry
 
 CHANNEL3 = CHANNELS[:3]
 END = T0 + 31 * DAY

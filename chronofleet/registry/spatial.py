@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronofleet.functions import geometry as geo
 from chronofleet.functions.numeric import finite_or_null
 from chronofleet.operators import spatial as sp
-from chronofleet.registry.common import PTS, T0, TEL, Query, r6, rounded, spins, sql6, table, telemetry
+from chronofleet.registry.common import PTS, T0, Query, r6, rounded, spins, sql6, table
 
 XYZ = ("x", "y", "z")
 S2 = math.sqrt(0.5)
