@@ -28,7 +28,7 @@ def configure(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one if unset."""
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="chronofleet-checkpoint-"))
     return sc.getCheckpointDir()
