@@ -173,10 +173,10 @@ class OrderedScan:
     def _local(self, rows: list[tuple], schema: T.StructType) -> DataFrame:
         return self.df.sparkSession.createDataFrame(rows, schema)
 
-    def _join_cell(self, left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    def _join_cell(self, left: DataFrame, right: DataFrame, how: str = "left", whole: bool = False) -> DataFrame:
         names = {c: f"_r_{c}" for c in [*self.by, "_at"]}
         right = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
-        cond = F.col("_cell").eqNullSafe(F.col("_r__at"))
+        cond = F.lit(True) if whole else F.col("_cell") == F.col("_r__at")
         for c in self.by:
             cond = cond & (left[c] == F.col(names[c]))
         # At most MAX_HOT_CELLS rows by construction.
@@ -184,8 +184,8 @@ class OrderedScan:
 
     def _apply(self, frame: DataFrame, cuts: list[DataFrame], how: str = "left") -> DataFrame:
         out = frame.withColumn("_cell", F.lit(None).cast("bigint"))
-        for cut in cuts:
-            out = self._join_cell(out, cut, how)
+        for i, cut in enumerate(cuts):
+            out = self._join_cell(out, cut, how, whole=i == 0)  # the first cut is of whole series
             slice_start = F.expr(f"shiftleft(shiftright(`{self.ts}`, _bits), _bits)")
             out = out.withColumn("_cell", F.when(F.col("_bits").isNull(), F.col("_cell")).otherwise(slice_start)).drop("_bits")
         return out
@@ -224,10 +224,10 @@ class OrderedScan:
                 carry = F.broadcast(carry)  # one row per cell, bounded by the cuts made above
             names = {c: f"_c_{c}" for c in cell}
             carry = carry.select(*[F.col(c).alias(names.get(c, c)) for c in carry.columns])
-            cond = None
-            for c in cell:
-                term = tagged[c].eqNullSafe(F.col(names[c]))
-                cond = term if cond is None else cond & term
+            # Carries exist for cut series only, whose key and cell are never NULL.
+            cond = tagged["_tie"].eqNullSafe(F.col(names["_tie"])) if tied else F.lit(True)
+            for c in [*self.by, "_cell"]:
+                cond = cond & (tagged[c] == F.col(names[c]))
             joined = tagged.join(carry, cond, "left").drop(*names.values())
             out = self._windows(joined, Window.partitionBy(*cell).orderBy(*order), carry=True)
         if keep and self._hot:

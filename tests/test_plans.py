@@ -48,3 +48,15 @@ def test_point_operators_do_not_shuffle(spark):
 def test_scan_shuffles_once_for_two_steps(spark):
     plan = plan_of(entry_points.queries()["d4_unwrap"](spark, DATA))
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_points_explode_inside_generated_code(spark):
+    """Only then is the position array of a spin not copied for every point."""
+    plan = plan_of(entry_points.queries()["g1_explode_points"](spark, DATA))
+    assert any("Generate posexplode" in line and "*(" in line for line in plan.splitlines())
+
+
+def test_split_scan_broadcasts_cells_and_shuffles_rows_once(spark):
+    plan = plan_of(entry_points.queries()["d2_derivative_hot"](spark, "/root/testdata/sf0.01"))
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "SortMergeJoin" not in plan
+    assert sum("Exchange hashpartitioning" in line and "_cell" in line and "seq" not in line for line in plan.splitlines()) <= 2
