@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofleet.llm import exact_dedup, mixing, toxicity
+from chronofleet.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from chronofleet.llm.common import saved, table
 
 
@@ -25,12 +25,33 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near copies.
+
+    Rows without an id are linked with nothing and stay.
+    """
+    parts = ngram_join.ngram_components(docs)
+    others = parts.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(others, docs["doc_id"] == others["_id"], "left_anti")
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in as many copies as their source's target takes."""
     return mixing.repeated(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("source_mixing", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded bytes per document of the mix."""
+    return bpe.default_tokenizer(spark).digests(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
+    ("source_mixing", mix),
+    ("byte_bpe", tokens),
+]
 
 ORACLE_SQL = None
 
