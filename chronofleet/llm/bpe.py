@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 
 import ahocorasick
 import pyarrow as pa
@@ -170,14 +171,14 @@ class Encoder:
         return b"".join([known(p) or joined(p) for p in self.pattern.findall(text)])[:-1]
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(sent) -> Encoder:
-    if sent.id not in _encoders:  # a worker keeps it, with its memo, for all its tasks
+def _encoder(key: str, sent) -> Encoder:
+    if key not in _encoders:  # a worker keeps it, with its memo, for all its tasks
         _encoders.clear()
-        _encoders[sent.id] = Encoder(*sent.value)
-    return _encoders[sent.id]
+        _encoders[key] = Encoder(*sent.value)
+    return _encoders[key]
 
 
 class Tokenizer:
@@ -185,14 +186,15 @@ class Tokenizer:
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         ranks = read_ranks(spark, path)
+        self.key = uuid.uuid4().hex
         self.sent = spark.sparkContext.broadcast((ranks, split_table(ranks), pattern))
 
     def encode(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, ids) per row, over the whole text; null text gives no ids."""
-        sent = self.sent
+        key, sent = self.key, self.sent
 
         def task(batches):
-            e = _encoder(sent)
+            e = _encoder(key, sent)
             for b in batches:
                 for at in range(0, b.num_rows, _OUT_ROWS):
                     part = b.slice(at, _OUT_ROWS)
@@ -203,10 +205,10 @@ class Tokenizer:
 
     def decode(self, encoded: DataFrame) -> DataFrame:
         """(doc_id, data) with the bytes of the ids."""
-        sent = self.sent
+        key, sent = self.key, self.sent
 
         def task(batches):
-            tokens = _encoder(sent).tokens
+            tokens = _encoder(key, sent).tokens
             for b in batches:
                 for at in range(0, b.num_rows, _OUT_ROWS):
                     part = b.slice(at, _OUT_ROWS)
@@ -221,10 +223,10 @@ class Tokenizer:
         Null and empty texts have no tokens and the digests of nothing; rows that repeat or lack
         an id are rows of their own.
         """
-        sent = self.sent
+        key, sent = self.key, self.sent
 
         def task(batches):
-            e = _encoder(sent)
+            e = _encoder(key, sent)
             tokens = {b"%d" % r: t for r, t in e.tokens.items()}
             for b in batches:
                 for at in range(0, b.num_rows, _OUT_ROWS):
