@@ -8,6 +8,7 @@ number of documents, so a key that a third of all documents share makes no hot t
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofleet.llm.common import saved, strings
+from chronofleet.llm.common import saved_by, strings
 
 BATCH_BYTES = 16 << 20
 PACKED = "batch long, ids binary, offsets binary, data binary"
@@ -27,21 +28,26 @@ def _bytes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def packed(docs: DataFrame, extra: Callable[[np.ndarray, np.ndarray], dict[str, bytes]] | None = None, extra_schema: str = "") -> DataFrame:
-    """(batch, ids, offsets, data, ...) written once; rows without an id are left out.
+def packed(docs: DataFrame, extra: Callable[[np.ndarray, np.ndarray], dict[str, bytes]] | None = None, extra_schema: str = "", tagged: bool = False) -> DataFrame:
+    """(batch, ids, offsets, data, ...) written once in buckets; rows without an id are left out.
 
-    ``docs`` has doc_id and text. ``extra`` maps a batch's bytes and offsets to further columns.
+    ``docs`` has doc_id and text, and a string column tag if ``tagged``. ``extra`` maps a batch's bytes
+    and offsets to further columns.
     """
+    if tagged:
+        extra_schema = ", ".join(x for x in (extra_schema, "tags binary") if x)
     names = [c.split()[0] for c in extra_schema.split(", ") if c]
 
     def task(batches: Iterator[pa.RecordBatch]):
         squeeze = zstandard.ZstdCompressor(level=1)
-        ids, bufs, sizes, held, count, part = [], [], [], 0, 0, 0
+        ids, bufs, sizes, tags, held, count, part = [], [], [], [], 0, 0, 0
 
         def flush():
             buf = np.concatenate(bufs)
             offs = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
             more = extra(buf, offs) if extra else {}
+            if tagged:
+                more["tags"] = json.dumps(tags).encode()
             row = [part << 24 | count, _bytes(np.concatenate(ids)), _bytes(offs), squeeze.compress(buf)] + [more[n] for n in names]
             return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64())] + [pa.array([x], pa.binary()) for x in row[1:]], ["batch", "ids", "offsets", "data", *names])
 
@@ -51,6 +57,7 @@ def packed(docs: DataFrame, extra: Callable[[np.ndarray, np.ndarray], dict[str,
             part = b.column("part")[0].as_py()
             own = b.column("doc_id").to_numpy(zero_copy_only=False)
             buf, offs = strings(b.column("text"))
+            own_tags = b.column("tag").to_pylist() if tagged else []
             at = 0
             while at < len(own):
                 to = int(np.searchsorted(offs, offs[at] + BATCH_BYTES - held, "right")) - 1
@@ -58,16 +65,18 @@ def packed(docs: DataFrame, extra: Callable[[np.ndarray, np.ndarray], dict[str,
                 ids.append(own[at:to])
                 bufs.append(buf[offs[at] : offs[to]].copy())
                 sizes.append(np.diff(offs[at : to + 1]))
+                tags += own_tags[at:to]
                 held += int(offs[to] - offs[at])
                 at = to
                 if held >= BATCH_BYTES * 0.98 or at < len(own):
                     yield flush()
-                    ids, bufs, sizes, held, count = [], [], [], 0, count + 1
+                    ids, bufs, sizes, tags, held, count = [], [], [], [], 0, count + 1
         if ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.spark_partition_id().cast("long").alias("part"))
-    return saved(rows.filter("doc_id IS NOT NULL").mapInArrow(task, PACKED + (", " + extra_schema if extra_schema else "")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.spark_partition_id().cast("long").alias("part"), *(["tag"] if tagged else []))
+    rows = rows.filter("doc_id IS NOT NULL").mapInArrow(task, PACKED + (", " + extra_schema if extra_schema else ""))
+    return saved_by(rows, "batch")
 
 
 def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,6 +86,10 @@ def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(data, np.uint8), offs
 
 
+def tags_of(row) -> list[str | None]:
+    return json.loads(row["tags"])
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
@@ -88,21 +101,23 @@ KEY_BITS = 48
 
 
 def encoded(keys: np.ndarray) -> bytes:
-    """Sorted distinct KEY_BITS-bit keys as steps of their high half and the low 16 bits."""
-    steps = np.diff(keys >> np.uint64(16), prepend=np.uint64(0))
-    wide = len(keys) > 0 and int(steps[1:].max(initial=0)) > 0xFFFF
-    first = steps[:1].astype(np.uint32).tobytes()
-    return bytes([4 if wide else 2]) + first + steps[1:].astype(np.uint32 if wide else np.uint16).tobytes() + (keys & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+    """Sorted KEY_BITS-bit keys: steps of their high half, of as few bytes as do, and the low 16 bits."""
+    steps = np.diff(keys >> np.uint64(16), prepend=np.uint64(0)).astype(np.uint32)
+    most = int(steps[1:].max(initial=0))
+    width = 2 if most < 1 << 16 else 3 if most < 1 << 24 else 4
+    planes = np.ascontiguousarray(steps[1:].view(np.uint8).reshape(-1, 4)[:, :width].T)
+    return bytes([width]) + steps[:1].tobytes() + planes.tobytes() + (keys & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
 
 def decoded(blob: bytes, n: int) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.uint64)
     width = blob[0]
-    steps = np.empty(n, np.uint64)
-    steps[0] = np.frombuffer(blob, np.uint32, 1, 1)[0]
-    steps[1:] = np.frombuffer(blob, np.uint32 if width == 4 else np.uint16, n - 1, 5)
-    return np.cumsum(steps, dtype=np.uint64) << np.uint64(16) | np.frombuffer(blob, np.uint16, n, 5 + width * (n - 1))
+    steps = np.zeros((n, 4), np.uint8)
+    steps[0] = np.frombuffer(blob, np.uint8, 4, 1)
+    steps[1:, :width] = np.frombuffer(blob, np.uint8, width * (n - 1), 5).reshape(width, -1).T
+    high = np.cumsum(steps.view(np.uint32).ravel(), dtype=np.uint64)
+    return high << np.uint64(16) | np.frombuffer(blob, np.uint16, n, 5 + width * (n - 1))
 
 
 ASKED = "bucket int, batch long, n int, keys binary, counts binary"

@@ -38,6 +38,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_by(df: DataFrame, key: str) -> DataFrame:
+    """Like ``saved``, in buckets by ``key``: joins and groups by it later need no shuffle of ``df``."""
+    spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_partitions(spark), key).option("path", scratch(spark)).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only the name; the files of an external table stay
+    return out
+
+
 def ready(parts: int, n: int, per: int) -> int:
     """Partitions for ``n`` items at ``per`` each, but no fewer than ``parts``."""
     return max(parts, -(-n // per), 1)

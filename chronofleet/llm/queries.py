@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from chronofleet.llm import bpe, exact_dedup, hnsw_dedup, mixing, ngram_join, suffix_dedup, toxicity, warc
+from chronofleet.llm import bpe, exact_dedup, hnsw_dedup, mixing, ngram_join, quality, suffix_dedup, surrogates, toxicity, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join,
     "op2_exact_dedup": exact_dedup,
     "op3_byte_bpe": bpe,
     "op4_hnsw_dedup": hnsw_dedup,
+    "op5_quality": quality,
     "op6_source_mixing": mixing,
+    "op7_surrogates": surrogates,
     "op8_warc": warc,
     "op9_suffix_dedup": suffix_dedup,
     "op10_toxicity": toxicity,

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofleet.llm import batches as bt
-from chronofleet.llm.common import PIECE_BYTES, Rolling, mixed, ready, saved, shuffle_partitions, table
+from chronofleet.llm.common import PIECE_BYTES, Rolling, mixed, ready, saved, saved_by, shuffle_partitions, table
 
 PASSAGE = 100
 Q = 24
@@ -362,7 +362,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     buckets = ready(parts, n_bytes * 3 // 39, BUCKET_KEYS)
     asked = packs.mapInArrow(_ask(buckets), ENTRY)
     answers = asked.groupBy("kind", "bucket").applyInPandas(_answers, ANSWER)
-    contexts = saved(packs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_contexts, CONTEXTS))
+    contexts = saved_by(packs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_contexts, CONTEXTS), "batch")
     cores = contexts.mapInArrow(_ask_cores(buckets), bt.ASKED).groupBy("bucket").applyInPandas(bt.frequency_classes, bt.ANSWERED)
     cores = saved(cores)
     strings = contexts.groupBy("batch").cogroup(cores.groupBy("batch")).applyInPandas(_ask_strings(buckets), ENTRY)
