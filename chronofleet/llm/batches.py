@@ -34,6 +34,7 @@ def packed(docs: DataFrame, extra: Callable[[np.ndarray, np.ndarray], dict[str,
     ``docs`` has doc_id and text, and a string column tag if ``tagged``. ``extra`` maps a batch's bytes
     and offsets to further columns.
     """
+    limit = BATCH_BYTES
     if tagged:
         extra_schema = ", ".join(x for x in (extra_schema, "tags binary") if x)
     names = [c.split()[0] for c in extra_schema.split(", ") if c]
@@ -60,7 +61,7 @@ def packed(docs: DataFrame, extra: Callable[[np.ndarray, np.ndarray], dict[str,
             own_tags = b.column("tag").to_pylist() if tagged else []
             at = 0
             while at < len(own):
-                to = int(np.searchsorted(offs, offs[at] + BATCH_BYTES - held, "right")) - 1
+                to = int(np.searchsorted(offs, offs[at] + limit - held, "right")) - 1
                 to = min(max(to, at + 1), len(own))
                 ids.append(own[at:to])
                 bufs.append(buf[offs[at] : offs[to]].copy())
@@ -68,7 +69,7 @@ def packed(docs: DataFrame, extra: Callable[[np.ndarray, np.ndarray], dict[str,
                 tags += own_tags[at:to]
                 held += int(offs[to] - offs[at])
                 at = to
-                if held >= BATCH_BYTES * 0.98 or at < len(own):
+                if held >= limit * 0.98 or at < len(own):
                     yield flush()
                     ids, bufs, sizes, tags, held, count = [], [], [], [], 0, count + 1
         if ids:

@@ -158,11 +158,14 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """``documents`` with every row as often as the mix takes it, with all its columns."""
-    counts = mixed(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    out = docs.join(counts, docs["doc_id"].eqNullSafe(counts["_id"]))
-    copy = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return out.filter("_copies > 0").withColumn("_copy", copy).select(*docs.columns)
+    """``documents`` with every row as often as the mix takes it, with all its columns.
+
+    Rows that repeat an id get as many copies as the most of them.
+    """
+    counts = mixed(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    out = docs.join(counts, docs["doc_id"].eqNullSafe(counts["doc_id"]))
+    copy = F.explode(F.sequence(F.lit(1), counts["copies"].cast("int")))
+    return out.select(*[docs[c] for c in docs.columns], copy.alias("a copy")).drop("a copy")
 
 
 def query(spark, sf_dir):

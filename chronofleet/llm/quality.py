@@ -31,6 +31,8 @@ SLACK_BITS = 0.1
 #: that a few words don't decide.
 PRIOR_BYTES = 60
 BUCKET_KEYS = 1 << 20
+#: No discount is below this, so that no byte is impossible.
+LEAST_DISCOUNT = 0.05
 #: Log probabilities travel in steps of 1 / SCALE.
 SCALE = 2048
 #: Quantiles are exact on scores rounded to 1 / BINS.
@@ -146,7 +148,7 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     if not n1 or not n2 or not n3:
         return 0.5, 1.0, 1.5  # too little text to tell
     y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    return tuple(min(max(k - (k + 1) * y * b / a, LEAST_DISCOUNT), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
 def model(top: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:

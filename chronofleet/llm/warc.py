@@ -13,6 +13,7 @@ A record whose payload equals that of an earlier identifier is a ``revisit`` wit
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,12 +48,12 @@ def _name(page_id) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def _slices(text: str):
-    for at in range(0, len(text), CHUNK_CHARS):
-        yield text[at : at + CHUNK_CHARS]
+def _slices(text: str, chars: int):
+    for at in range(0, len(text), chars):
+        yield text[at : at + chars]
 
 
-def _chunk_rows(batches):
+def _chunk_rows(batches, chars: int):
     """Rows of WARC text: one for the headers of a record, one per chunk, one to end it."""
     for b in batches:
         out = []
@@ -62,7 +63,7 @@ def _chunk_rows(batches):
             http = f"HTTP/1.1 200 OK{_EOL}Content-Type: text/html; charset=utf-8{_EOL}"
             if refers is None:
                 http += f"Transfer-Encoding: chunked{_EOL}{_EOL}"
-                sizes = [len(c.encode()) for c in _slices(text)]
+                sizes = [len(c.encode()) for c in _slices(text, chars)]
                 length = len(http) + sum(s + len(f"{s:x}") + 4 for s in sizes) + 5
             else:
                 http += f"Content-Length: {size}{_EOL}{_EOL}"
@@ -75,7 +76,7 @@ def _chunk_rows(batches):
             ]
             # The text source ends every row with CRLF, so a row leaves out its last one.
             out.append((_EOL.join(head) + _EOL + _EOL + http)[: -len(_EOL)])
-            for s, chunk in zip(sizes, _slices(text)):
+            for s, chunk in zip(sizes, _slices(text, chars)):
                 out.append(f"{s:x}{_EOL}{chunk}")
                 if len(out) >= _OUT_ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
@@ -88,7 +89,7 @@ def _chunk_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
 
-def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
+def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", chunk_chars: int = CHUNK_CHARS) -> None:
     """Write one record per row below ``path``.
 
     Null html is an empty payload, a null url leaves the target out, clashing column names do
@@ -96,7 +97,7 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     LEAST_REVISIT_BYTES the smallest page_id is the response; rows that repeat this page_id are
     responses each, rows without one are revisits unless none has one.
     """
-    lines = roles(pages, page_id, url, html).mapInArrow(_chunk_rows, "value string")
+    lines = roles(pages, page_id, url, html).mapInArrow(partial(_chunk_rows, chars=chunk_chars), "value string")
     lines.write.option("lineSep", _EOL).option("compression", "gzip").text(path)
 
 
