@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofleet.llm.common import table
+from chronofleet.llm.common import reachable, table
 
 #: Distinct pieces a task remembers, and the longest of them; longer ones are done each time.
 MEMO_PIECES = 1 << 19
@@ -185,6 +185,7 @@ class Tokenizer:
     """A vocabulary for encoding and decoding columns; the file's size bounds what is broadcast."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        reachable(spark)
         ranks = read_ranks(spark, path)
         self.key = uuid.uuid4().hex
         self.sent = spark.sparkContext.broadcast((ranks, split_table(ranks), pattern))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 PIECE_BYTES = 4 << 20
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if they have it there."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,6 +33,7 @@ def scratch(spark: SparkSession) -> str:
 
     Where that setting is absent (tests on one machine) a temporary folder takes its place.
     """
+    reachable(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = tempfile.mkdtemp(prefix="llm-scratch-")
