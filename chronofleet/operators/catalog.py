@@ -42,7 +42,7 @@ def channel_catalog(samples: DataFrame, kind: str = "scalar", by: Sequence[str]
     return out.join(units.select("channel_id", "unit"), "channel_id", "left")
 
 
-def frame_catalog(frames: DataFrame, items: Column, by: Sequence[str] = ("channel_id",), fallback_ns: int = 100_000_000, target_rows: int | None = None) -> DataFrame:
+def frame_catalog(frames: DataFrame, items: Column, by: Sequence[str] = ("source_id", "channel_id"), fallback_ns: int = 100_000_000, target_rows: int | None = None) -> DataFrame:
     """Per frame channel the largest item count of a frame, frame count and range.
 
     ``items`` counts the points, boxes or paths of one frame row. The range ends one
@@ -60,7 +60,7 @@ def frame_catalog(frames: DataFrame, items: Column, by: Sequence[str] = ("channe
     return agg.join(period, by).withColumn("end_ns", F.col("_last") + F.col("period_ns")).drop("_last", "period_ns")
 
 
-def frame_times(frames: DataFrame, by: Sequence[str] = ("channel_id",), target_rows: int | None = None) -> DataFrame:
+def frame_times(frames: DataFrame, by: Sequence[str] = ("source_id", "channel_id"), target_rows: int | None = None) -> DataFrame:
     """The ascending frame times of each channel as rows with a 0-based index."""
     ranked = OrderedScan(frames.select(*by, "ts_ns"), by, "ts_ns", [], target_rows, F.lit(0)).rank("_i").run()
     return ranked.select(*by, (F.col("_i") - 1).alias("frame_idx"), "ts_ns")

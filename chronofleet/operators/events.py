@@ -6,16 +6,19 @@ confidence)``; frames that carry an order have it in ``ord``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofleet.functions.text import clean
 from chronofleet.functions.time import fmt_relative
 from chronofleet.operators.catalog import dedupe_names
-from chronofleet.plans.small import small_values
 from chronofleet.sources.annotations import read_documents
 
 FIELDS = ("id", "ns", "before_ns", "after_ns", "label", "color", "created_at", "tags", "origin", "confidence")
+#: Ids are unique within a source only.
+EVENT_KEY = ("source_id", "id")
 SCHEMA_VERSION = 2
 SAFE_INTEGER = 2**53 - 1
 
@@ -142,27 +145,33 @@ def make_events(df: DataFrame, start_ns: int = 0) -> DataFrame:
     )
 
 
-def upsert_events(base: DataFrame, incoming: DataFrame, mode: str = "merge") -> DataFrame:
-    """Merge by id: an incoming event replaces its namesake in place, new ones follow.
+def upsert_events(base: DataFrame, incoming: DataFrame, mode: str = "merge", by: Sequence[str] = EVENT_KEY) -> DataFrame:
+    """Merge by key: an incoming event replaces its namesake in place, new ones follow.
 
-    Both frames carry ``ord``; the result adds ``status`` (kept, updated, added) and
-    ``block`` so that ``orderBy("block", "ord")`` is the merged order. ``replace`` drops
-    the base.
+    Ids are unique within a source, so ``by`` names the source too. Both frames carry
+    ``ord``; the result adds ``status`` (kept, updated, added) and ``block`` so that
+    ``orderBy("block", "ord")`` is the merged order. Each frame is read once: a full outer
+    join meets the incoming events as one list per key. ``replace`` drops the base.
     """
-    rest = [c for c in base.columns if c not in ("id", "ord")]
+    by = list(by)
+    rest = [c for c in base.columns if c not in (*by, "ord")]
     if mode == "replace":
         return incoming.select(*base.columns).withColumns({"status": F.lit("added"), "block": F.lit(0)})
     if mode != "merge":
         raise ValueError(f"mode must be merge or replace, not {mode!r}")
-    last = incoming.groupBy("id").agg(F.max_by(F.struct(*rest), "ord").alias("_in"))
-    kept = base.join(last, "id", "left")
-    hit = F.col("_in").isNotNull()
-    merged = kept.select(
-        "id", "ord", *[F.when(hit, F.col("_in")[c]).otherwise(F.col(c)).alias(c) for c in rest],
-        F.when(hit, "updated").otherwise("kept").alias("status"), F.lit(0).alias("block"),
-    )
-    new = incoming.join(base.select("id"), "id", "left_anti").select("id", "ord", *rest, F.lit("added").alias("status"), F.lit(1).alias("block"))
-    return merged.unionByName(new)
+    listed = incoming.groupBy(*by).agg(F.collect_list(F.struct("ord", F.struct(*rest).alias("e"))).alias("_in"), F.max_by(F.struct(*rest), "ord").alias("_last"))
+    kept = base.select(*by, F.struct("ord", F.struct(*rest).alias("e")).alias("_old"))
+    both = kept.join(listed, by, "full_outer")
+    old, new, last = F.col("_old"), F.col("_in"), F.col("_last")
+
+    def row(ord_, e, status, block):
+        return F.struct(ord_.alias("ord"), e.alias("e"), F.lit(status).alias("status"), F.lit(block).alias("block"))
+
+    stays = F.when(new.isNull(), row(old["ord"], old["e"], "kept", 0)).otherwise(row(old["ord"], last, "updated", 0))
+    rows = F.when(old.isNotNull(), F.array(stays)).otherwise(F.transform(new, lambda x: row(x["ord"], x["e"], "added", 1)))
+    out = both.select(*by, F.explode(rows).alias("_r"))
+    cols = [F.col(c) if c in by else F.col("_r.ord") if c == "ord" else F.col("_r.e")[c].alias(c) for c in base.columns]
+    return out.select(*cols, "_r.status", "_r.block")
 
 
 def upsert_counts(merged: DataFrame) -> DataFrame:
@@ -171,26 +180,27 @@ def upsert_counts(merged: DataFrame) -> DataFrame:
 
 
 # -- edits -----------------------------------------------------------------------
-def edit_events(base: DataFrame, edits: DataFrame) -> DataFrame:
-    """Apply ``edits(seq, id, op, attr, value, before_ns, after_ns)`` in ``seq`` order.
+def edit_events(base: DataFrame, edits: DataFrame, by: Sequence[str] = EVENT_KEY) -> DataFrame:
+    """Apply ``edits(seq, *by, op, attr, value, before_ns, after_ns)`` in ``seq`` order.
 
     Operations: ``label`` (a blank one is ignored), ``range`` (negatives become 0),
     ``tag`` (a blank value removes the attribute), ``delete``.
     """
+    by = list(by)
     op = F.col("op")
     text = clean(F.col("value"))
     zero = F.lit(0).cast("bigint")
     span = F.struct(F.greatest("before_ns", zero).alias("before"), F.greatest("after_ns", zero).alias("after"))
     renames, ranges = (op == "label") & text.isNotNull(), op == "range"
-    plain = edits.groupBy("id").agg(
+    plain = edits.groupBy(*by).agg(
         F.max_by(F.when(renames, text), F.when(renames, F.col("seq"))).alias("_label"),
         F.max_by(F.when(ranges, span), F.when(ranges, F.col("seq"))).alias("_span"),
         F.coalesce(F.bool_or(op == "delete"), F.lit(False)).alias("_gone"),
     )
     # The last edit per attribute first, so the list per event is at most its attributes.
-    tags = edits.filter(op == "tag").groupBy("id", "attr").agg(F.max_by(F.struct("value"), "seq").alias("v"))
-    tags = tags.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("attr", F.col("v.value").alias("value")))).alias("_tags"))
-    joined = base.join(plain, "id", "left").join(tags, "id", "left").filter(~F.coalesce("_gone", F.lit(False)))
+    tags = edits.filter(op == "tag").groupBy(*by, "attr").agg(F.max_by(F.struct("value"), "seq").alias("v"))
+    tags = tags.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("attr", F.col("v.value").alias("value")))).alias("_tags"))
+    joined = base.join(plain, by, "left").join(tags, by, "left").filter(~F.coalesce("_gone", F.lit(False)))
     kept = F.map_filter("tags", lambda k, v: ~F.map_contains_key("_tags", k))
     added = F.map_filter("_tags", lambda k, v: F.trim(v) != "")
     return joined.select(
@@ -208,17 +218,17 @@ def edit_events(base: DataFrame, edits: DataFrame) -> DataFrame:
 def prune_tags(events: DataFrame, attributes: DataFrame) -> DataFrame:
     """Drop tags whose attribute is not in ``attributes(id)``.
 
-    A taxonomy of checked small size becomes a literal set; a larger one is joined on
-    the exploded tags.
+    One plan for a taxonomy of any size: the distinct attributes of the tags in use are
+    joined with it, and events take back what is left of theirs. Rows that repeat a key keep
+    their own tags.
     """
-    known = small_values(attributes, "id")
-    if known is not None:
-        keep = [k for k in known if k is not None]
-        return events.withColumn("tags", F.map_filter("tags", lambda k, v: k.isin(*keep) if keep else F.lit(False)))
-    pairs = events.select("id", F.explode("tags").alias("attr", "value"))
-    valid = pairs.join(attributes.select(F.col("id").alias("attr")).distinct(), "attr")
-    packed = valid.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("attr", "value"))).alias("_t"))
-    return events.join(packed, "id", "left").withColumn("tags", F.coalesce("_t", no_tags())).drop("_t").select(*events.columns)
+    mine = events.withColumn("_keys", F.array_sort(F.map_keys("tags")))
+    sets = mine.select("_keys").distinct()
+    valid = sets.select("_keys", F.explode("_keys").alias("attr")).join(attributes.select(F.col("id").alias("attr")).distinct(), "attr")
+    allowed = valid.groupBy("_keys").agg(F.collect_list("attr").alias("_ok"))
+    out = mine.join(allowed, "_keys", "left")
+    kept = F.map_filter("tags", lambda k, v: F.array_contains(F.coalesce("_ok", F.array().cast("array<string>")), k))
+    return out.withColumn("tags", kept).select(*events.columns)
 
 
 # -- export ----------------------------------------------------------------------

@@ -24,10 +24,9 @@ RUSHED_RATIO = 0.5
 HISTOGRAM_EDGES = (0.25, 0.5, 0.75, 1.25, 1.75, 2.5)
 REGULAR_LOW, REGULAR_HIGH = 0.75, 1.25
 STARVED_TICK_MS = 12
-ROLLING_PAINTS = 600
 
 
-def keyframe_at(frames: DataFrame, t_ns: int, by: Sequence[str] = ("channel_id",)) -> DataFrame:
+def keyframe_at(frames: DataFrame, t_ns: int, by: Sequence[str] = ("source_id", "channel_id")) -> DataFrame:
     """Per channel the frame at or before ``t`` and the keyframe to decode from.
 
     ``frame_idx`` is the last decode index with ``pts <= t`` (-1 if none);
@@ -43,7 +42,7 @@ def keyframe_at(frames: DataFrame, t_ns: int, by: Sequence[str] = ("channel_id",
     )
 
 
-def frames_from(frames: DataFrame, t_ns: int, by: Sequence[str] = ("channel_id",)) -> DataFrame:
+def frames_from(frames: DataFrame, t_ns: int, by: Sequence[str] = ("source_id", "channel_id")) -> DataFrame:
     """All access units whose pts is at or after that of the keyframe chosen for ``t``."""
     reached = F.col("is_key") & (F.col("pts_ns") <= t_ns)
     place = F.struct("pts_ns", "decode_idx")
@@ -53,7 +52,7 @@ def frames_from(frames: DataFrame, t_ns: int, by: Sequence[str] = ("channel_id",
     return frames.join(start, list(by)).filter(F.col("pts_ns") >= F.col("_start")).drop("_start")
 
 
-def coverage_ranges(frames: DataFrame, by: Sequence[str] = ("channel_id",), target_rows: int | None = None) -> DataFrame:
+def coverage_ranges(frames: DataFrame, by: Sequence[str] = ("source_id", "channel_id"), target_rows: int | None = None) -> DataFrame:
     """Runs of consecutive decode indices as ``[min pts, max pts + 1)``."""
     ranked = OrderedScan(frames, by, "decode_idx", [], target_rows, F.lit(0)).rank("_rank").run()
     return (
@@ -70,7 +69,7 @@ def coverage_ranges(frames: DataFrame, by: Sequence[str] = ("channel_id",), targ
 
 
 def remap_presentation(
-    frames: DataFrame, sidecar: DataFrame, by: Sequence[str] = ("channel_id",), target_rows: int | None = None
+    frames: DataFrame, sidecar: DataFrame, by: Sequence[str] = ("source_id", "channel_id"), target_rows: int | None = None
 ) -> DataFrame:
     """Give decode-ordered frames their sidecar times.
 
@@ -90,7 +89,7 @@ def remap_presentation(
 
 
 def bind_frame_times(
-    frames: DataFrame, table: DataFrame, by: Sequence[str] = ("channel_id",), target_rows: int | None = None
+    frames: DataFrame, table: DataFrame, by: Sequence[str] = ("source_id", "channel_id"), target_rows: int | None = None
 ) -> DataFrame:
     """Row i of a time table becomes the time of frame i.
 
@@ -236,7 +235,7 @@ def pacing_summary(trace: DataFrame, by: Sequence[str], speed: float = 1.0, targ
     return out.withColumn("hist_dwell", F.coalesce("hist_dwell", empty))
 
 
-def rolling_trace(trace: DataFrame, by: Sequence[str], size: int = ROLLING_PAINTS, target_rows: int | None = None) -> DataFrame:
+def rolling_trace(trace: DataFrame, by: Sequence[str], size: int, target_rows: int | None = None) -> DataFrame:
     """The most recent ``size`` paints of each trace, the window the summary runs over."""
     by = list(by)
     ranked = OrderedScan(trace, by, "wall_ns", ["seq"], target_rows).rank("_i").run()

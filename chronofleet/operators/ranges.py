@@ -43,7 +43,7 @@ def fetch_range(
     return body.unionByName(_last_row(samples.filter(F.col("ts_ns") < start_ns), by, ("ts_ns", "seq")))
 
 
-def fetch_ranges(samples: DataFrame, windows: DataFrame, by: Sequence[str] = ("channel_id",), closed: bool = False) -> DataFrame:
+def fetch_ranges(samples: DataFrame, windows: DataFrame, by: Sequence[str] = ("source_id", "channel_id"), closed: bool = False) -> DataFrame:
     """Batch form: every window row joined to its samples (``start_ns``/``end_ns``)."""
     return interval_join(samples, windows, by, closed=closed)
 

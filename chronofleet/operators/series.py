@@ -13,11 +13,6 @@ from chronofleet.functions.numeric import finite_or_null, is_finite, nan
 from chronofleet.operators.ranges import KEY
 from chronofleet.plans.scan import OrderedScan, series_sizes
 
-# Table row cap, track point cap, widest alignment.
-MAX_TABLE_ROWS = 500_000
-MAX_TRACK_POINTS = 5_000
-MAX_ALIGNED = 16
-
 
 # -- pointwise and neighbour transforms ------------------------------------------
 def absolute(samples: DataFrame) -> DataFrame:
@@ -136,8 +131,8 @@ def ego_signals(poses: DataFrame, by: Sequence[str] = ("source_id",), target_row
 # -- alignment -------------------------------------------------------------------
 def _check_channels(channels: Sequence[str]) -> list[str]:
     channels = list(channels)
-    if not channels or len(channels) > MAX_ALIGNED:
-        raise ValueError(f"alignment takes 1 to {MAX_ALIGNED} channels, got {len(channels)}")
+    if not channels:
+        raise ValueError("alignment takes at least one channel")
     return channels
 
 
@@ -231,14 +226,14 @@ def table_model(
     samples: DataFrame,
     channels: Sequence[str],
     by: Sequence[str] = ("source_id",),
-    max_rows: int | None = MAX_TABLE_ROWS,
+    max_rows: int | None = None,
     target_rows: int | None = None,
 ) -> DataFrame:
     """One row per distinct time; every cell holds its channel's last value (NaN kept).
 
     Column ``<channel>`` is the held value, ``<channel>__exact`` tells whether a sample
-    falls on that very time. The row cap applies per ``by`` group; ``truncated`` is set
-    where it cut.
+    falls on that very time. All rows are returned unless ``max_rows`` asks for the first of
+    each ``by`` group; ``truncated`` is set where that cut.
     """
     channels = _check_channels(channels)
     by = list(by)
@@ -337,8 +332,8 @@ def zip_by_index(a: DataFrame, b: DataFrame, by: Sequence[str] = ("source_id",),
 def gps_track(
     lat: DataFrame,
     lon: DataFrame,
+    max_points: int,
     by: Sequence[str] = ("source_id",),
-    max_points: int = MAX_TRACK_POINTS,
     target_rows: int | None = None,
 ) -> DataFrame:
     """Strided track of at most about ``max_points`` fixes with finite coordinates.

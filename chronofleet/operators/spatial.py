@@ -232,7 +232,7 @@ def depth_histogram(points: DataFrame, near: float, far: float, by: Sequence[str
     return points.withColumn("bucket", bucket).groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n_points"))
 
 
-def subsample_points(points: DataFrame, k: int, seed: int, by: Sequence[str] = ("ts_ns",), target_rows: int | None = None) -> DataFrame:
+def subsample_points(points: DataFrame, k: int, seed: int, by: Sequence[str] = ("source_id", "channel_id", "ts_ns"), target_rows: int | None = None) -> DataFrame:
     """At most ``k`` points per spin, uniform without replacement, stable across retries.
 
     A hash of (seed, spin, point) orders the draw, so a re-run task picks the same
@@ -273,7 +273,7 @@ def join_paths(paths: DataFrame, by: Sequence[str]) -> DataFrame:
     return packed.select(*by, flat.alias("points"), F.transform("_p", lambda p: F.size(p["points"])).alias("path_lengths"))
 
 
-def latest_frame(paths: DataFrame, by: Sequence[str] = ("channel_id",)) -> DataFrame:
+def latest_frame(paths: DataFrame, by: Sequence[str] = ("source_id", "channel_id")) -> DataFrame:
     """All paths of the newest frame of each channel."""
     newest = paths.groupBy(*by).agg(F.max("ts_ns").alias("ts_ns"))
     return paths.join(newest, [*by, "ts_ns"])

@@ -134,14 +134,14 @@ QUERIES = {
     ),
     "c2_frame_catalog": Query(
         c2,
-        f"""WITH f AS (SELECT 'lidar-' || label AS channel_id, {T0} + vec_id * 100000000 AS ts_ns FROM embeddings),
-        g AS (SELECT *, ts_ns - lag(ts_ns) OVER (PARTITION BY channel_id ORDER BY ts_ns) AS gap FROM f)
-        SELECT channel_id, 21::BIGINT AS sample_count, count(*) AS frame_count, min(ts_ns) AS start_ns,
-        max(ts_ns) + coalesce(list_sort(list(gap) FILTER (gap > 0))[(count(*) FILTER (gap > 0)) // 2 + 1], 100000000) AS end_ns FROM g GROUP BY channel_id""",
+        f"""WITH f AS (SELECT 'log-' || (vec_id % 4) AS source_id, 'lidar-' || label AS channel_id, {T0} + vec_id * 100000000 AS ts_ns FROM embeddings),
+        g AS (SELECT *, ts_ns - lag(ts_ns) OVER (PARTITION BY source_id, channel_id ORDER BY ts_ns) AS gap FROM f)
+        SELECT source_id, channel_id, 21::BIGINT AS sample_count, count(*) AS frame_count, min(ts_ns) AS start_ns,
+        max(ts_ns) + coalesce(list_sort(list(gap) FILTER (gap > 0))[(count(*) FILTER (gap > 0)) // 2 + 1], 100000000) AS end_ns FROM g GROUP BY source_id, channel_id""",
     ),
     "c2_frame_times": Query(
         c2_times,
-        f"SELECT 'lidar-' || label AS channel_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, {T0} + vec_id * 100000000 AS ts_ns FROM embeddings",
+        f"SELECT 'log-' || (vec_id % 4) AS source_id, 'lidar-' || label AS channel_id, row_number() OVER (PARTITION BY vec_id % 4, label ORDER BY vec_id) - 1 AS frame_idx, {T0} + vec_id * 100000000 AS ts_ns FROM embeddings",
     ),
     "c3_global_range": Query(c3, f"WITH {TEL} SELECT min(ts_ns) AS start_ns, max(ts_ns) + 1 AS end_ns FROM tel WHERE source_id <> 'log-3'"),
     "c4_qualified_ids": Query(c4, "SELECT length(p_name) || '|' || p_name || '|' || p_brand AS qualified, count(*) AS n FROM part GROUP BY 1"),

@@ -100,11 +100,11 @@ BASE = "base AS (SELECT * REPLACE ('e' || ord AS id) FROM ev)"
 
 
 def e3(spark, sf_dir):
-    return ev.upsert_events(_unique(spark, sf_dir), _incoming(spark, sf_dir)).select("id", "ord", "ns", "after_ns", "label", "status", "block")
+    return ev.upsert_events(_unique(spark, sf_dir), _incoming(spark, sf_dir), by=["id"]).select("id", "ord", "ns", "after_ns", "label", "status", "block")
 
 
 def e3_counts(spark, sf_dir):
-    return ev.upsert_counts(ev.upsert_events(_unique(spark, sf_dir), _incoming(spark, sf_dir)))
+    return ev.upsert_counts(ev.upsert_events(_unique(spark, sf_dir), _incoming(spark, sf_dir), by=["id"]))
 
 
 def e4(spark, sf_dir):
@@ -133,7 +133,7 @@ def _edits(spark, sf_dir):
 
 
 def e5(spark, sf_dir):
-    return _shown(ev.edit_events(_unique(spark, sf_dir), _edits(spark, sf_dir)))
+    return _shown(ev.edit_events(_unique(spark, sf_dir), _edits(spark, sf_dir), ["id"]))
 
 
 def e6(spark, sf_dir):
@@ -141,6 +141,16 @@ def e6(spark, sf_dir):
     return _shown(ev.prune_tags(_unique(spark, sf_dir), keys))
 
 
+def e6_many(spark, sf_dir):
+    """Two sources that repeat ids, and more attributes than any list of literals would take."""
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    tags = F.create_map(F.concat(F.lit("a"), key), F.col("p_brand"), F.lit("gone"), F.lit("x"))
+    events = p.select(F.concat(F.lit("s"), (F.col("p_partkey") % 2).cast("string")).alias("source_id"), F.concat(F.lit("e"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("id"), tags.alias("tags"))
+    out = ev.prune_tags(events, p.filter("p_partkey % 3 <> 0").select(F.concat(F.lit("a"), key).alias("id")))
+    return out.select("source_id", "id", F.array_join(F.map_keys("tags"), ",").alias("keys"))
+
+
 def e7(spark, sf_dir):
     return ev.export_events(_unique(spark, sf_dir)).orderBy("ns", "id")
 
@@ -206,6 +216,10 @@ QUERIES = {
         FROM base WHERE i % 11 <> 0""",
     ),
     "e6_prune_tags": Query(e6, f"WITH {TEL}, {EV}, {BASE} SELECT id, ns, before_ns, after_ns, label, {TAGS.format(w='i % 4 NOT IN (1, 3)')} AS tags, origin, {sql6('confidence')} AS confidence FROM base"),
+    "e6_prune_tags_many": Query(
+        e6_many,
+        "SELECT 's' || (p_partkey % 2) AS source_id, 'e' || (p_partkey // 2) AS id, CASE WHEN p_partkey % 3 <> 0 THEN 'a' || p_partkey ELSE '' END AS keys FROM part",
+    ),
     "e7_export_events": Query(
         e7,
         f"""WITH {TEL}, {EV}, {BASE} SELECT id, ns, '{{"id":"' || id || '","ns":"' || ns || '","beforeNs":"' || before_ns || '","afterNs":"' || after_ns || '","label":"' || label ||

@@ -495,19 +495,19 @@ def _video(spark, sf_dir):
 
 
 def s30(spark, sf_dir):
-    good, _ = video.parse_sidecar(*_sidecars(spark, sf_dir))
+    good, _ = video.parse_sidecar(*_sidecars(spark, sf_dir), by=["channel_id"])
     return good
 
 
 def s30_rejected(spark, sf_dir):
-    _, bad = video.parse_sidecar(*_sidecars(spark, sf_dir))
+    _, bad = video.parse_sidecar(*_sidecars(spark, sf_dir), by=["channel_id"])
     return bad
 
 
 def _sidecars(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("channel_id", F.concat("event_type", F.lit("-"), (F.col("user_id") % 8).cast("string")))
     frames = e.select("channel_id", F.col("event_id").alias("decode_idx"), (F.lit(T0) + F.col("event_id") * 1000).alias("ts_ns"))
-    lines = sidecar_lines(frames).select("channel_id", F.col("line_no").alias("seq"), F.col("line").alias("value"))
+    lines = sidecar_lines(frames, ["channel_id"]).select("channel_id", F.col("line_no").alias("seq"), F.col("line").alias("value"))
     torn = F.col("channel_id").startswith("click-1") & (F.col("seq") == 3)
     lines = lines.withColumn("value", F.when(torn, F.lit("3 x")).otherwise(F.col("value")))
     extra = F.when(F.col("channel_id") == "view-2", 1).otherwise(0)
@@ -519,7 +519,7 @@ def _bframes(spark, sf_dir):
     """Groups of three frames decoded as 0, 2, 1; channel ``view`` has decode-ordered times."""
     e = table(spark, sf_dir, "events")
     rows = e.select("event_type", "event_id")
-    idx = sidecar_lines(rows.select(F.col("event_type").alias("channel_id"), F.col("event_id").alias("decode_idx"), F.lit(0).cast("bigint").alias("ts_ns"))).select("channel_id", F.col("line_no").alias("decode_idx"))
+    idx = sidecar_lines(rows.select(F.col("event_type").alias("channel_id"), F.col("event_id").alias("decode_idx"), F.lit(0).cast("bigint").alias("ts_ns")), ["channel_id"]).select("channel_id", F.col("line_no").alias("decode_idx"))
     comp = F.col("decode_idx") + F.when(F.col("decode_idx") % 3 == 1, 1).when(F.col("decode_idx") % 3 == 2, -1).otherwise(0)
     frames = idx.withColumn("composition", comp)
     wobble = F.when((F.col("channel_id") == "view") & (F.col("decode_idx") % 2 == 1), -5_000_000_000).otherwise(0)
@@ -528,20 +528,20 @@ def _bframes(spark, sf_dir):
 
 
 def s31(spark, sf_dir):
-    return fr.remap_presentation(*_bframes(spark, sf_dir)).select("channel_id", "decode_idx", "pts_ns")
+    return fr.remap_presentation(*_bframes(spark, sf_dir), ["channel_id"]).select("channel_id", "decode_idx", "pts_ns")
 
 
 def s31_runs(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     runs = p.select(F.col("p_brand").alias("channel_id"), F.col("p_partkey").alias("run_idx"), F.col("p_size").alias("sample_count"), (F.col("p_partkey") % 5 + 1).alias("delta"))
     offs = p.select(F.col("p_brand").alias("channel_id"), F.col("p_partkey").alias("run_idx"), (F.col("p_size") - F.col("p_partkey") % 2).alias("sample_count"), (F.col("p_partkey") % 3).alias("offset"))
-    return video.composition_times(runs, offs)
+    return video.composition_times(runs, offs, ["channel_id"])
 
 
 def s32(spark, sf_dir):
     t = telemetry(spark, sf_dir)
     idx = _bframes(spark, sf_dir)[0].select("channel_id", "decode_idx").filter((F.col("channel_id") != "view") | (F.col("decode_idx") > 0))
-    return fr.bind_frame_times(idx, t.select("channel_id", "seq", "ts_ns"))
+    return fr.bind_frame_times(idx, t.select("channel_id", "seq", "ts_ns"), ["channel_id"])
 
 
 def k6(spark, sf_dir):
@@ -611,7 +611,7 @@ QUERIES = {
         j AS (SELECT o.*, s.p AS side, v.p AS vid FROM o LEFT JOIN o s ON o.e IN (0, 1) AND s.e = 1 AND s.stem = o.stem LEFT JOIN o v ON o.e IN (0, 1) AND v.e = 0 AND v.stem = o.stem)
         SELECT p::VARCHAR AS path, name, CASE e WHEN 0 THEN CASE WHEN side IS NULL THEN 'video_untimed' ELSE 'video' END WHEN 1 THEN 'sidecar' WHEN 2 THEN 'lidar' WHEN 6 THEN 'unknown'
           WHEN 4 THEN ['calibration', 'openlabel', 'trajectory', 'map_geometry', 'unknown'][p % 5 + 1] ELSE 'tabular' END AS kind,
-        CASE WHEN e = 0 THEN side::VARCHAR END AS sidecar, CASE WHEN e = 1 AND vid IS NULL THEN 'orphan sidecar; no ' || stem || '.mp4' END AS error FROM j""",
+        CASE WHEN e = 0 THEN side::VARCHAR END AS sidecar, CASE WHEN e = 1 AND vid IS NULL THEN 'sidecar of a video that is not here: ' || stem || '.mp4' END AS error FROM j""",
     ),
     "s11_match_recipes": Query(
         s11,
@@ -719,7 +719,7 @@ QUERIES = {
     "s30_sidecar": Query(s30, f"WITH {SIDE} SELECT channel_id, frame, {T0} + event_id * 1000 AS ts_ns FROM s WHERE channel_id NOT LIKE 'click-1%' AND channel_id <> 'view-2'"),
     "s30_rejected_sidecars": Query(
         s30_rejected,
-        f"""WITH {SIDE} SELECT channel_id, CASE WHEN channel_id = 'view-2' THEN (count(*) + 1) || ' frames but ' || count(*) || ' timestamps' ELSE 'line 3: missing timestamp column' END AS error
+        f"""WITH {SIDE} SELECT channel_id, CASE WHEN channel_id = 'view-2' THEN (count(*) + 1) || ' frames but ' || count(*) || ' timestamps' ELSE 'line 3: only one field' END AS error
         FROM s GROUP BY channel_id HAVING channel_id = 'view-2' OR (channel_id LIKE 'click-1%' AND count(*) > 3)""",
     ),
     "s31_presentation_order": Query(

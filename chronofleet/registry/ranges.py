@@ -99,11 +99,11 @@ def r7_apply(spark, sf_dir):
 
 
 def r8(spark, sf_dir):
-    return fr.keyframe_at(frames(spark, sf_dir), T0 + 55_555_555_555)
+    return fr.keyframe_at(frames(spark, sf_dir), T0 + 55_555_555_555, ["channel_id"])
 
 
 def r9(spark, sf_dir):
-    return fr.frames_from(frames(spark, sf_dir), T0 + 55_555_555_555)
+    return fr.frames_from(frames(spark, sf_dir), T0 + 55_555_555_555, ["channel_id"])
 
 
 def r11(spark, sf_dir):
@@ -122,7 +122,7 @@ def r12(spark, sf_dir):
 
 
 def r13(spark, sf_dir):
-    return fr.coverage_ranges(frames(spark, sf_dir))
+    return fr.coverage_ranges(frames(spark, sf_dir), ["channel_id"])
 
 
 def r14(spark, sf_dir):

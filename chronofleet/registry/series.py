@@ -178,7 +178,7 @@ def d15(spark, sf_dir):
 
 def d15_rolling(spark, sf_dir):
     trace = _trace(spark, sf_dir).withColumn("grp", F.col("user_id") % 4).drop("user_id")
-    return fr.rolling_trace(trace, ["grp"])
+    return fr.rolling_trace(trace, ["grp"], 600)
 
 
 def d16(spark, sf_dir):

@@ -25,7 +25,6 @@ DOUBLE_SCHEMAS = ("foxglove.Float64", "std_msgs/Float64", "std_msgs/msg/Float64"
 FLOAT_SCHEMAS = ("foxglove.Float32", "std_msgs/Float32", "std_msgs/msg/Float32")
 VECTOR_SCHEMAS = ("foxglove.Vector3", "geometry_msgs/Vector3", "geometry_msgs/msg/Vector3")
 ENUM_SUFFIXES = ("mode", "state", "status", "enum")
-MAX_DEPTH = 16
 
 
 def infer_channel_kind(schema_name: Column, encoding: Column, enum_prefix: str) -> Column:
@@ -95,15 +94,13 @@ def _scalar(t: T.DataType) -> bool:
     return isinstance(t, (T.NumericType, T.BooleanType))
 
 
-def leaf_paths(schema: T.StructType, fixed_arrays: dict[str, int] | None = None, path: str = "", depth: int = 0) -> list[tuple[str, str]]:
+def leaf_paths(schema: T.StructType, fixed_arrays: dict[str, int] | None = None, path: str = "") -> list[tuple[str, str]]:
     """``(path, kind)`` of every numeric leaf, kind ``scalar`` or ``vector``.
 
     A flat struct of numbers is a vector and its members are scalars too. Arrays count
     only when ``fixed_arrays`` names their path with a length; other arrays, strings and
     nested collections are skipped.
     """
-    if depth > MAX_DEPTH:
-        return []
     fixed_arrays = fixed_arrays or {}
     out = []
     for f in schema.fields:
@@ -114,7 +111,7 @@ def leaf_paths(schema: T.StructType, fixed_arrays: dict[str, int] | None = None,
         elif isinstance(t, T.StructType):
             if t.fields and all(_scalar(g.dataType) for g in t.fields):
                 out.append((at, "vector"))
-            out += leaf_paths(t, fixed_arrays, at, depth + 1)
+            out += leaf_paths(t, fixed_arrays, at)
         elif isinstance(t, T.ArrayType) and _scalar(t.elementType) and at in fixed_arrays:
             out.append((at, "vector"))
     return out

@@ -69,7 +69,7 @@ def decode_spins(df: DataFrame, decoder: Callable[[bytes], tuple[Sequence[float]
     return validate_spins(df.mapInPandas(run, schema))
 
 
-def pack_spins(points: DataFrame, by: Sequence[str] = ("ts_ns",)) -> DataFrame:
+def pack_spins(points: DataFrame, by: Sequence[str] = ("source_id", "channel_id", "ts_ns")) -> DataFrame:
     """One row per spin from points; a spin is one sensor turn, so its size is bounded."""
     by = list(by)
     point = F.struct("point_idx", "x", "y", "z", F.round(F.col("intensity") * 255).cast("smallint").alias("i"))
@@ -78,7 +78,7 @@ def pack_spins(points: DataFrame, by: Sequence[str] = ("ts_ns",)) -> DataFrame:
     return packed.select(*by, xyz.alias("positions"), F.transform("p", lambda q: q["i"]).alias("intensities"))
 
 
-def write_spins(points: DataFrame, path: str, by: Sequence[str] = ("ts_ns",)) -> None:
+def write_spins(points: DataFrame, path: str, by: Sequence[str] = ("source_id", "channel_id", "ts_ns")) -> None:
     """Parquet with ``t_ns, positions, intensities`` and any further key columns."""
     packed = pack_spins(points, by).withColumnRenamed("ts_ns", "t_ns")
     packed.sortWithinPartitions("t_ns").write.mode("errorifexists").parquet(path)

@@ -22,14 +22,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from chronofleet.operators.frames import ranked_pick
 from chronofleet.plans.scan import OrderedScan
-from chronofleet.plans.small import small_values
 
-# Limits of a recipe, the acceptance threshold, time units.
-MAX_RECORD_BYTES = 1 << 20
-MAX_FIELDS = 512
-MAX_CHANNELS = 256
+# The acceptance threshold, time units.
 MIN_COVERAGE = 0.99
-MAGIC_HEAD_BYTES = 256
 UNITS = {"nanos": 1, "micros": 1_000, "millis": 1_000_000, "seconds": 1_000_000_000}
 DTYPES = {"u8": "u1", "i8": "i1", "u16": "u2", "i16": "i2", "u32": "u4", "i32": "i4", "u64": "u8", "i64": "i8", "f32": "f4", "f64": "f8"}
 
@@ -78,10 +73,8 @@ class Recipe:
         if box.get("type") != "fixed_record":
             raise ValueError(f"unsupported container {box.get('type')!r}")
         header, record = int(box.get("headerSkipBytes", 0)), int(box["recordSizeBytes"])
-        if not 0 < record <= MAX_RECORD_BYTES:
-            raise ValueError(f"recordSizeBytes {record} is not in 1..{MAX_RECORD_BYTES}")
-        if len(doc["fields"]) > MAX_FIELDS or len(doc["channels"]) > MAX_CHANNELS:
-            raise ValueError(f"at most {MAX_FIELDS} fields and {MAX_CHANNELS} channels")
+        if record <= 0:
+            raise ValueError(f"recordSizeBytes {record} is not positive")
         fields: dict[str, Field] = {}
         for f in doc["fields"]:
             if f["dtype"] not in DTYPES:
@@ -279,45 +272,43 @@ def gate_profile(times: DataFrame, channels: DataFrame, relax_monotonicity: bool
         F.array(
             F.when(F.col("coverage") < min_coverage, F.lit("coverage is too low")),
             F.when(unordered, F.lit("time is not monotonic")),
-            F.when(~F.coalesce("_varies", F.lit(False)), F.lit("every channel is constant")),
+            F.when(~F.coalesce("_varies", F.lit(False)), F.lit("no channel ever changes")),
         )
     )
     return joined.select("source_id", (F.size(reasons) == 0).alias("accepted"), reasons.alias("reasons"))
 
 
 # -- matching --------------------------------------------------------------------
+def magic_bytes(recipes: DataFrame) -> DataFrame:
+    """``n_bytes``: how much of each file's head the magics of ``recipes`` reach."""
+    reach = F.transform("magics", lambda m: m["offset"] + F.ceil(F.length(F.regexp_replace(m["hex"], r"\s", "")) / 2))
+    return recipes.select(F.coalesce(F.max(F.array_max(reach)), F.lit(0)).cast("int").alias("n_bytes"))
+
+
 def match_recipes(files: DataFrame, recipes: DataFrame) -> DataFrame:
     """The recipe of each file: all magic bytes match, else the extension; newest first.
 
     ``files(path, name, head BINARY)``, ``recipes(recipe_id, ord, extensions, magics
-    ARRAY<STRUCT<offset INT, hex STRING>>)`` with the newest at the lowest ``ord``. Both
-    tests are equality joins: on the bytes at the offsets in use, and on name suffixes
-    of the lengths in use.
+    ARRAY<STRUCT<offset INT, hex STRING>>)`` with the newest at the lowest ``ord``; heads
+    reach as far as :func:`magic_bytes` says. Both tests are equality joins, whatever the
+    number of rules: on the bytes at each offset in use, and on name suffixes of each length
+    in use. Offsets and lengths in use are lists in one value.
     """
     rules = recipes.withColumn("magics", F.transform("magics", lambda m: F.struct(m["offset"].alias("offset"), F.upper(F.regexp_replace(m["hex"], r"\s", "")).alias("hex"))))
-    head = F.hex(F.substring("head", 1, MAGIC_HEAD_BYTES))
-    prepared = files.withColumns({"_hex": head, "_lower": F.lower("name")})
+    prepared = files.withColumns({"_hex": F.hex("head"), "_lower": F.lower("name")})
     magic_rules = rules.filter(F.size("magics") > 0).select("recipe_id", "ord", "magics", F.get("magics", F.lit(0)).alias("_m"))
     magic_rules = magic_rules.filter(F.forall("magics", lambda m: m["hex"].rlike("^([0-9A-F]{2})*$")))
     magic_rules = magic_rules.withColumn("_spot", F.struct(F.col("_m.offset").alias("o"), F.length("_m.hex").alias("n"))).withColumn("_want", F.col("_m.hex"))
-    spots = small_values(magic_rules, "_spot")
     ext_rules = rules.select("recipe_id", "ord", F.explode("extensions").alias("_e")).select("recipe_id", "ord", F.lower("_e").alias("_suffix"))
-    lengths = small_values(ext_rules.select(F.length("_suffix").alias("_n")), "_n")
-    if spots is None or lengths is None:
-        raise ValueError("too many distinct magic offsets or extension lengths")
-    hits = []
-    if spots:
-        at = F.array(*[F.struct(F.struct(F.lit(s["o"]).alias("o"), F.lit(s["n"]).alias("n")).alias("_spot"), F.substring("_hex", s["o"] * 2 + 1, s["n"]).alias("_want")) for s in spots])
-        looked = prepared.select("path", "_hex", F.inline(at))
-        found = looked.join(magic_rules.drop("_m"), ["_spot", "_want"])
-        whole = F.forall("magics", lambda m: F.substr("_hex", m["offset"] * 2 + 1, F.length(m["hex"])) == m["hex"])
-        hits.append(found.filter(whole).select("path", "recipe_id", F.struct(F.lit(0).alias("r"), F.col("ord").alias("o")).alias("_place"), F.lit("magic").alias("matched_by")))
-    if lengths:
-        cuts = F.array(*[F.right("_lower", F.lit(n)) for n in lengths])
-        tails = prepared.select("path", F.explode(F.array_distinct(cuts)).alias("_suffix"))
-        hits.append(tails.join(ext_rules, "_suffix").select("path", "recipe_id", F.struct(F.lit(1).alias("r"), F.col("ord").alias("o")).alias("_place"), F.lit("extension").alias("matched_by")))
-    if not hits:
-        return files.select("path", F.lit(None).cast("string").alias("recipe_id"), F.lit(None).cast("string").alias("matched_by"))
-    options = hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
+    spots = magic_rules.agg(F.collect_set("_spot")).scalar()
+    lengths = ext_rules.agg(F.collect_set(F.length("_suffix"))).scalar()
+    looked = prepared.select("path", "_hex", F.explode(spots).alias("_spot")).withColumn("_want", F.substr("_hex", F.col("_spot.o") * 2 + 1, F.col("_spot.n")))
+    found = looked.join(magic_rules.drop("_m"), ["_spot", "_want"])
+    whole = F.forall("magics", lambda m: F.substr("_hex", m["offset"] * 2 + 1, F.length(m["hex"])) == m["hex"])
+    hits = [found.filter(whole).select("path", "recipe_id", F.struct(F.lit(0).alias("r"), F.col("ord").alias("o")).alias("_place"), F.lit("magic").alias("matched_by"))]
+    tails = prepared.withColumn("_lengths", lengths)
+    tails = tails.select("path", F.explode(F.array_distinct(F.transform("_lengths", lambda n: F.right("_lower", n)))).alias("_suffix"))
+    hits.append(tails.join(ext_rules, "_suffix").select("path", "recipe_id", F.struct(F.lit(1).alias("r"), F.col("ord").alias("o")).alias("_place"), F.lit("extension").alias("matched_by")))
+    options = hits[0].unionByName(hits[1])
     best = options.groupBy("path").agg(F.min_by(F.struct("recipe_id", "matched_by"), "_place").alias("b"))
     return files.select("path").join(best, "path", "left").select("path", "b.*")

@@ -25,7 +25,6 @@ SUFFIXES = (
     (".parquet", "tabular"),
     (".pq", "tabular"),
 )
-HEAD_BYTES = 64 * 1024
 
 
 def list_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
@@ -34,17 +33,19 @@ def list_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"))
 
 
-def read_heads(files: DataFrame, n_bytes: int = HEAD_BYTES) -> DataFrame:
-    """Adds ``head``, the first bytes of each file, read by the executors."""
+def read_heads(files: DataFrame, n_bytes: int = 0) -> DataFrame:
+    """Adds ``head``, read by the executors: a JSON document whole, as its marker may stand anywhere,
+    of any other file the first ``n_bytes`` (what ``recipe.magic_bytes`` asks for)."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", head binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads = []
             for path in batch.column("path").to_pylist():
+                whole = path.lower().endswith(".json")
                 fs, inner = pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
                 with fs.open_input_stream(inner) as f:
-                    heads.append(f.read(n_bytes))
+                    heads.append(f.read() if whole else f.read(n_bytes))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=[*batch.schema.names, "head"])
 
     return files.mapInArrow(run, schema)
@@ -85,6 +86,6 @@ def classify_files(files: DataFrame, calibration_marker: str, map_key: str = "ma
     joined = keyed.join(pairs, [*by, "_video"], "left")
     kind = F.when((F.col("kind") == "video") & F.col("_side").isNull(), "video_untimed").otherwise(F.col("kind"))
     orphan = (F.col("kind") == "sidecar") & ~F.col("_has_video")
-    message = F.when(orphan, F.concat(F.lit("orphan sidecar; no "), "_video"))
+    message = F.when(orphan, F.concat(F.lit("sidecar of a video that is not here: "), "_video"))
     sidecar = F.when(F.col("kind") == "video", F.col("_side"))
     return joined.select(*by, "path", "name", kind.alias("kind"), sidecar.alias("sidecar"), message.alias("error"))

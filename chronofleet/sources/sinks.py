@@ -65,14 +65,14 @@ def catalog_json(catalog: DataFrame, id_col: str = "channel_id") -> DataFrame:
     return catalog.select(*keys, F.to_json(obj, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def sidecar_lines(frames: DataFrame, by: Sequence[str] = ("channel_id",), target_rows: int | None = None) -> DataFrame:
+def sidecar_lines(frames: DataFrame, by: Sequence[str] = ("source_id", "channel_id"), target_rows: int | None = None) -> DataFrame:
     """``line_no`` and the text ``index<TAB>ns`` of each frame in decode order."""
     ranked = OrderedScan(frames, by, "decode_idx", [], target_rows, F.lit(0)).rank("_i").run()
     line = F.col("_i") - 1
     return ranked.select(*by, line.alias("line_no"), F.concat_ws("\t", line.cast("string"), F.col("ts_ns").cast("string")).alias("line"))
 
 
-def write_sidecar(frames: DataFrame, path: str, by: Sequence[str] = ("channel_id",)) -> None:
+def write_sidecar(frames: DataFrame, path: str, by: Sequence[str] = ("source_id", "channel_id")) -> None:
     """One folder per channel; part files follow the line order."""
     lines = sidecar_lines(frames, by).repartitionByRange(*by, "line_no").sortWithinPartitions(*by, "line_no")
     lines.select(*by, "line").write.mode("errorifexists").partitionBy(*by).text(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chronofleet.plans.scan import OrderedScan
 
 
-def parse_sidecar(lines: DataFrame, frame_counts: DataFrame | None = None, by: Sequence[str] = ("channel_id",), target_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def parse_sidecar(lines: DataFrame, frame_counts: DataFrame | None = None, by: Sequence[str] = ("source_id", "channel_id"), target_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Frame times of valid sidecars, and one error row per rejected one.
 
     ``lines(by, seq, value)`` in file order. A line is ``frame<TAB>ts_ns``, the frame is
@@ -25,8 +25,8 @@ def parse_sidecar(lines: DataFrame, frame_counts: DataFrame | None = None, by: S
     ts_ns = F.when(ts.rlike(r"^[+-]?\d+$"), ts.try_cast("bigint"))
     line_no = F.col("_i") - 1
     reason = (
-        F.when(F.col("value") == "", "empty line")
-        .when(F.size(parts) < 2, "missing timestamp column")
+        F.when(F.col("value") == "", "line holds nothing")
+        .when(F.size(parts) < 2, "only one field")
         .when(F.size(parts) > 2, "more than two fields")
         .when(frame_no.isNull(), "frame is not an integer")
         .when(frame_no != line_no, "frame is not the line number")
@@ -53,10 +53,10 @@ def read_sidecar(spark: SparkSession, paths: Sequence[str] | str, frame_counts:
     # A single BIGINT in file order: split offset first, then the position in the split.
     place = F.col("_metadata.file_block_start") * (1 << 20) + F.monotonically_increasing_id() % (1 << 33)
     lines = raw.select(F.col("_metadata.file_path").alias("channel_id"), place.alias("seq"), "value")
-    return parse_sidecar(lines, frame_counts)
+    return parse_sidecar(lines, frame_counts, ["channel_id"])
 
 
-def expand_runs(runs: DataFrame, value: str, by: Sequence[str] = ("channel_id",), target_rows: int | None = None) -> DataFrame:
+def expand_runs(runs: DataFrame, value: str, by: Sequence[str] = ("source_id", "channel_id"), target_rows: int | None = None) -> DataFrame:
     """Run-length table ``(by, run_idx, sample_count, value)`` as one row per sample.
 
     Adds ``decode_idx`` and ``total``, the sum of ``value`` over all earlier samples.
@@ -74,7 +74,7 @@ def expand_runs(runs: DataFrame, value: str, by: Sequence[str] = ("channel_id",)
     )
 
 
-def composition_times(durations: DataFrame, offsets: DataFrame | None, by: Sequence[str] = ("channel_id",), target_rows: int | None = None) -> DataFrame:
+def composition_times(durations: DataFrame, offsets: DataFrame | None, by: Sequence[str] = ("source_id", "channel_id"), target_rows: int | None = None) -> DataFrame:
     """Composition time of every sample from decode durations and composition offsets.
 
     ``durations(by, run_idx, sample_count, delta)``, ``offsets(by, run_idx, sample_count,

@@ -11,16 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from chronofleet.session import ensure_checkpoint_dir
-
 
 def stream_samples(spark: SparkSession, path: str, schema: StructType | str, max_files: int = 1000) -> DataFrame:
     """Sample files of a folder as a stream, in bounded steps."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def append_to_lake(stream: DataFrame, path: str, name: str) -> StreamingQuery:
-    """Write a transformed stream to the lake once, resuming from its checkpoint."""
-    progress = f"{ensure_checkpoint_dir(stream.sparkSession)}/streams/{name}"
-    writer = stream.writeStream.format("parquet").partitionBy("source_id").option("checkpointLocation", progress)
+def append_to_lake(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write a transformed stream to the lake once, resuming from ``checkpoint``.
+
+    The folder must be one that driver and executors share and that outlives the session.
+    """
+    writer = stream.writeStream.format("parquet").partitionBy("source_id").option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start(path)

@@ -53,7 +53,7 @@ CASES = {
     "intervals": lambda f, n: rg.coalesce_intervals(
         f.select("source_id", F.col("ts_ns").alias("start_ns"), (F.col("ts_ns") + F.col("seq") % 3).alias("end_ns"), F.col("channel_id").alias("kind")), ["source_id"], target_rows=n
     ),
-    "coverage": lambda f, n: fr.coverage_ranges(f.select("channel_id", F.col("seq").alias("decode_idx"), F.col("ts_ns").alias("pts_ns")), target_rows=n),
+    "coverage": lambda f, n: fr.coverage_ranges(f.select("channel_id", F.col("seq").alias("decode_idx"), F.col("ts_ns").alias("pts_ns")), ["channel_id"], target_rows=n),
     "pacing": lambda f, n: fr.pacing_summary(f.select("source_id", F.col("ts_ns").alias("wall_ns"), (F.col("seq") * 10).alias("pts_ns"), "seq"), ["source_id"], target_rows=n).select(
         "source_id", "paints", "source_interval_ns", "p50_dwell_ms", "p95_dwell_ms", "player_err_p95_ms", "repeats", "hist_dwell"
     ),

@@ -42,14 +42,14 @@ def test_sample_at_keeps_exact_ns(series, rows):
 def test_many_windows_of_mixed_length(series, spark, rows):
     s = series({"a": [(t, t) for t in range(0, 1000, 10)]})
     w = spark.createDataFrame([("w1", "a", 0, 1000), ("w2", "a", 55, 56), ("w3", "a", 30, 60), ("w4", "a", 60, 30), ("w5", "z", 0, 100)], "w string, channel_id string, start_ns bigint, end_ns bigint")
-    got = rg.fetch_ranges(s, w).groupBy("w").count()
+    got = rg.fetch_ranges(s, w, ["channel_id"]).groupBy("w").count()
     assert rows(got) == [("w1", 100), ("w3", 3)]
 
 
 def test_no_windows(series, spark):
     s = series({"a": [(1, 1)]})
     w = spark.createDataFrame([], "channel_id string, start_ns bigint, end_ns bigint")
-    assert rg.fetch_ranges(s, w).isEmpty()
+    assert rg.fetch_ranges(s, w, ["channel_id"]).isEmpty()
 
 
 def test_event_slice_is_closed(series, spark, rows):
@@ -150,10 +150,37 @@ def test_table_cap(series, rows):
     assert rows(se.table_model(s, ["a"], by=[], max_rows=10), "ts_ns", "truncated") == [(i, False) for i in range(10)]
 
 
-def test_alignment_checks_channel_count(series):
-    s = series({"a": [(0, 1)]})
+def test_any_number_of_channels_aligns(series):
+    names = [f"c{i}" for i in range(17)]
+    s = series({c: [(0, i), (5, i)] for i, c in enumerate(names)})
+    assert se.align_union(s, names).count() == 2
+    assert [tuple(r[c] for c in names) for r in se.align_hold(s, names, 10).orderBy("ts_ns").collect()][0] == tuple(range(17))
     with pytest.raises(ValueError):
-        se.align_union(s, [str(i) for i in range(17)])
+        se.align_union(s, [])
+
+
+def test_table_keeps_all_rows(spark):
+    s = spark.range(600_000).selectExpr("'log' AS source_id", "'a' AS channel_id", "id AS ts_ns", "id AS seq", "cast(id AS double) AS value")
+    assert se.table_model(s, ["a"]).count() == 600_000
+
+
+def test_open_window_takes_everything(series):
+    s = series({"a": [(-5, 1), (0, 2), (2**62, 3)]})
+    w = s.sparkSession.createDataFrame([("a", -(2**63), 2**63 - 1, 1), ("a", 0, 1, 2), ("a", 2**62, 2**63 - 1, 3)], "channel_id string, start_ns bigint, end_ns bigint, w int")
+    got = sorted((r.w, r.ts_ns) for r in rg.fetch_ranges(s, w, ["channel_id"]).collect())
+    assert got == [(1, -5), (1, 0), (1, 2**62), (2, 0), (3, 2**62)]
+    assert rg.fetch_ranges(s, w, ["channel_id"], closed=True).filter("w = 2").count() == 1
+
+
+def test_deep_leaves_are_found():
+    from pyspark.sql import types as T
+
+    from chronofleet.sources.messages import leaf_paths
+
+    t = T.DoubleType()
+    for i in range(21):
+        t = T.StructType([T.StructField(f"d{i}", t), T.StructField("s", T.StringType())])
+    assert [p.count(".") for p, _ in leaf_paths(t)] == [20]
 
 
 # -- segments and tracks ---------------------------------------------------------
@@ -213,32 +240,32 @@ def _frames(spark, pts, keys):
 @pytest.mark.parametrize(("t", "want"), [(5, (-1, 2)), (10, (0, 2)), (35, (2, 2)), (99, (5, 4))])
 def test_keyframes(spark, rows, t, want):
     f = _frames(spark, [10, 20, 30, 40, 50, 60], {2, 4})
-    assert rows(fr.keyframe_at(f, t), "frame_idx", "key_idx") == [want]
+    assert rows(fr.keyframe_at(f, t, ["channel_id"]), "frame_idx", "key_idx") == [want]
 
 
 def test_no_keyframe(spark, rows):
     f = _frames(spark, [10, 20], set())
-    assert rows(fr.keyframe_at(f, 15), "frame_idx", "key_idx") == [(0, -1)]
-    assert fr.frames_from(f, 15).isEmpty()
+    assert rows(fr.keyframe_at(f, 15, ["channel_id"]), "frame_idx", "key_idx") == [(0, -1)]
+    assert fr.frames_from(f, 15, ["channel_id"]).isEmpty()
 
 
 def test_decode_run(spark, rows):
     f = _frames(spark, [10, 20, 30, 40], {1, 3})
-    assert rows(fr.frames_from(f, 35), "pts_ns") == [(20,), (30,), (40,)]
-    assert rows(fr.frames_from(f, 0), "pts_ns") == [(20,), (30,), (40,)]
+    assert rows(fr.frames_from(f, 35, ["channel_id"]), "pts_ns") == [(20,), (30,), (40,)]
+    assert rows(fr.frames_from(f, 0, ["channel_id"]), "pts_ns") == [(20,), (30,), (40,)]
 
 
 def test_coverage_uses_the_span_of_a_run(spark, rows):
     f = _frames(spark, [10, 40, 20, 30, 70, 80], set()).filter(F.col("decode_idx") != 4)
-    assert rows(fr.coverage_ranges(f), "start_ns", "end_ns") == [(10, 41), (80, 81)]
+    assert rows(fr.coverage_ranges(f, ["channel_id"]), "start_ns", "end_ns") == [(10, 41), (80, 81)]
 
 
 def test_presentation_remap(spark, rows):
     f = spark.createDataFrame([("v", 0, 0), ("v", 1, 3), ("v", 2, 1), ("v", 3, 2)], "channel_id string, decode_idx bigint, composition bigint")
     side = spark.createDataFrame([("v", i, 100 + i) for i in range(4)], "channel_id string, frame bigint, ts_ns bigint")
-    assert rows(fr.remap_presentation(f, side), "decode_idx", "pts_ns") == [(0, 100), (1, 103), (2, 101), (3, 102)]
+    assert rows(fr.remap_presentation(f, side, ["channel_id"]), "decode_idx", "pts_ns") == [(0, 100), (1, 103), (2, 101), (3, 102)]
     decode = spark.createDataFrame([("v", i, t) for i, t in enumerate([100, 103, 101, 102])], "channel_id string, frame bigint, ts_ns bigint")
-    assert rows(fr.remap_presentation(f, decode), "decode_idx", "pts_ns") == [(0, 100), (1, 103), (2, 101), (3, 102)]
+    assert rows(fr.remap_presentation(f, decode, ["channel_id"]), "decode_idx", "pts_ns") == [(0, 100), (1, 103), (2, 101), (3, 102)]
 
 
 def test_steady_pacing_is_smooth(spark, rows):
@@ -309,12 +336,30 @@ def test_export_imports_again(spark, rows):
     assert rejected.isEmpty() and rows(two) == rows(one)
 
 
-def test_large_taxonomy_prunes_the_same(spark, rows, monkeypatch):
-    events = spark.createDataFrame([("a", {"x": "1", "y": "2"}), ("b", {"z": "3"}), ("c", {})], "id string, tags map<string,string>")
-    attrs = spark.createDataFrame([("x",), ("q",)], "id string")
-    small = rows(ev.prune_tags(events, attrs))
-    monkeypatch.setattr(ev, "small_values", lambda *a: None)
-    assert rows(ev.prune_tags(events, attrs)) == small
+@pytest.mark.parametrize("many", [10, 6000])
+def test_taxonomies_of_any_size_prune_the_same(spark, rows, many):
+    data = [("s1", "e1", {"a": "1", "gone": "2"}), ("s2", "e1", {"b": "2"}), ("s2", "e1", {"a": "3"}), ("s1", "e2", {}), ("s1", "e3", None)]
+    events = spark.createDataFrame(data, "source_id string, id string, tags map<string,string>")
+    attrs = spark.createDataFrame([("a",), ("b",)] + [(f"k{i}",) for i in range(many)], "id string")
+    got = sorted((s, i, str(t)) for s, i, t in ((r.source_id, r.id, r.tags) for r in ev.prune_tags(events, attrs).collect()))
+    assert got == sorted([("s1", "e1", "{'a': '1'}"), ("s2", "e1", "{'b': '2'}"), ("s2", "e1", "{'a': '3'}"), ("s1", "e2", "{}"), ("s1", "e3", "None")])
+
+
+def test_edits_and_merges_stay_within_their_source(spark):
+    schema = "source_id string, id string, ord long, ns long, before_ns long, after_ns long, label string, tags map<string,string>"
+    base = spark.createDataFrame([("s1", "e1", 0, 5, 0, 0, "one", {}), ("s2", "e1", 0, 6, 0, 0, "two", {})], schema)
+    edits = spark.createDataFrame([(1, "s1", "e1", "delete", None, None, None, None)], "seq long, source_id string, id string, op string, attr string, value string, before_ns long, after_ns long")
+    assert [(r.source_id, r.label) for r in ev.edit_events(base, edits).collect()] == [("s2", "two")]
+    new = spark.createDataFrame([("s2", "e1", 0, 7, 0, 0, "new", {}), ("s2", "e1", 1, 8, 0, 0, "newer", {}), ("s3", "e1", 2, 9, 0, 0, "add", {}), ("s3", "e1", 3, 9, 0, 0, "twice", {})], schema)
+    got = sorted((r.source_id, r.label, r.status, r.block, r.ord) for r in ev.upsert_events(base, new).collect())
+    assert got == [("s1", "one", "kept", 0, 0), ("s2", "newer", "updated", 0, 0), ("s3", "add", "added", 1, 2), ("s3", "twice", "added", 1, 3)]
+
+
+def test_two_sources_do_not_mix(spark):
+    f = spark.createDataFrame([(s, "c", i, i * 10, True) for s in "ab" for i in range(2)], "source_id string, channel_id string, decode_idx long, pts_ns long, is_key boolean")
+    assert fr.keyframe_at(f, 100).count() == 2 and fr.coverage_ranges(f).count() == 2
+    pts = spark.createDataFrame([(s, "c", 1, i, 0.0, 0.0, 0.0, 1) for s in "ab" for i in range(4)], "source_id string, channel_id string, ts_ns long, point_idx int, x double, y double, z double, intensity int")
+    assert sp.subsample_points(pts, 3, 1).count() == 6
 
 
 # -- geometry --------------------------------------------------------------------
@@ -349,9 +394,9 @@ def test_mismatched_paths_fail(spark):
 
 def test_subsample_is_stable_and_small_spins_stay(spark, rows):
     pts = spark.createDataFrame([(1, i) for i in range(50)] + [(2, i) for i in range(3)], "ts_ns bigint, point_idx int")
-    one, two = sp.subsample_points(pts, 10, 3), sp.subsample_points(pts.repartition(7), 10, 3, target_rows=8)
+    one, two = sp.subsample_points(pts, 10, 3, ["ts_ns"]), sp.subsample_points(pts.repartition(7), 10, 3, ["ts_ns"], target_rows=8)
     assert rows(one) == rows(two) and one.count() == 13
-    assert rows(sp.subsample_points(pts, 10, 4)) != rows(one)
+    assert rows(sp.subsample_points(pts, 10, 4, ["ts_ns"])) != rows(one)
 
 
 # -- scalar functions ------------------------------------------------------------

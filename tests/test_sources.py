@@ -168,7 +168,7 @@ def test_spins_with_ns_timestamps(spark, rows, tmp_path):
 
 def test_spin_sink_round_trip(spark, rows, tmp_path):
     pts = spark.createDataFrame([(9, i, float(i), 0.0, -1.0, i / 255) for i in range(4)], "ts_ns bigint, point_idx int, x float, y float, z float, intensity float")
-    write_spins(pts, str(tmp_path / "out"))
+    write_spins(pts, str(tmp_path / "out"), ["ts_ns"])
     good, bad = read_spins(spark, str(tmp_path / "out"))
     assert bad.isEmpty() and rows(good, "ts_ns", "intensities") == [(9, [0, 1, 2, 3])]
 
@@ -226,7 +226,7 @@ def test_routing_of_real_files(spark, rows, tmp_path):
     files = routing.read_heads(routing.list_files(spark, str(tmp_path)))
     got = rows(routing.classify_files(files, "m/v1"), "name", "kind", "error")
     assert got == [
-        ("a.mp4", "video", None), ("a.mp4.timestamps", "sidecar", None), ("b.mp4", "video_untimed", None), ("c.mp4.timestamps", "sidecar", "orphan sidecar; no c.mp4"),
+        ("a.mp4", "video", None), ("a.mp4.timestamps", "sidecar", None), ("b.mp4", "video_untimed", None), ("c.mp4.timestamps", "sidecar", "sidecar of a video that is not here: c.mp4"),
         ("x.json", "trajectory", None), ("y.lidar.parquet", "lidar", None),
     ]
 
@@ -257,7 +257,7 @@ def test_lake_scan_is_pruned_and_sorted(spark, tmp_path):
 
 def test_sidecar_sink_reads_back(spark, rows, tmp_path):
     f = spark.createDataFrame([("v", 5, 100), ("v", 9, 50)], "channel_id string, decode_idx bigint, ts_ns bigint")
-    sinks.write_sidecar(f, str(tmp_path / "side"))
+    sinks.write_sidecar(f, str(tmp_path / "side"), ["channel_id"])
     assert sorted(p.read_text() for p in (tmp_path / "side" / "channel_id=v").glob("part-*")) == ["0\t100\n1\t50\n"]
     good, bad = video.read_sidecar(spark, str(tmp_path / "side" / "channel_id=v"))
     assert bad.isEmpty() and rows(good, "ts_ns") == [(50,), (100,)]
@@ -272,5 +272,5 @@ def test_stream_replay_fills_the_lake(spark, rows, tmp_path):
     src = _samples(spark, 100)
     src.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = stream_samples(spark, str(tmp_path / "in"), src.schema).filter("ts_ns < 50000").withColumn("value", F.abs("value"))
-    append_to_lake(stream, str(tmp_path / "out"), f"t{tmp_path.name}").awaitTermination()
+    append_to_lake(stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
     assert rows(series_stats(spark.read.parquet(str(tmp_path / "out")))) == rows(series_stats(src.filter("ts_ns < 50000")))
