@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from chronofleet.llm.common import saved_by, strings
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 PACKED = "batch long, ids binary, offsets binary, data binary"
 
 

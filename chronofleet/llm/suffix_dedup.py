@@ -34,7 +34,7 @@ from chronofleet.llm.common import PIECE_BYTES, Rolling, mixed, ready, saved, sa
 PASSAGE = 100
 Q = 24
 CORE_STRINGS = 8
-BUCKET_KEYS = 1 << 21
+BUCKET_KEYS = 1 << 19
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 _SHIFT = np.uint64(64 - bt.KEY_BITS)
 
