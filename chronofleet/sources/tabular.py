@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import sys
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronofleet.functions.numeric import nan
 from chronofleet.functions.time import group_time_ns, guess_time_unit, strict_ns, to_ts_ns
+from chronofleet.sources.routing import list_files
+
+# The probes travel to the workers with the task, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Column names taken for a time column.
 TIME_NAMES = (
@@ -44,13 +55,13 @@ def _is_integral(t: T.DataType) -> bool:
     return isinstance(t, _INTEGRAL) or (isinstance(t, T.DecimalType) and t.scale == 0)
 
 
-def classify_columns(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Class of each text column: ``integer``, ``float`` or ``non_numeric``.
+def classify_columns(raw: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Class of each text column: ``integer``, ``float`` or ``non_numeric``, per group of ``by``.
 
     Cells are trimmed and empty cells do not count. One non-numeric cell makes the
     column non-numeric; so does having no finite-or-infinite value at all. One pass.
     """
-    columns = list(columns or raw.columns)
+    columns = list(columns or [c for c in raw.columns if c not in by])
     aggs = []
     for i, c in enumerate(columns):
         cell = F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
@@ -63,12 +74,12 @@ def classify_columns(raw: DataFrame, columns: Sequence[str] | None = None) -> Da
             F.coalesce(F.bool_or(real), F.lit(False)).alias("real"),
         )
         aggs.append(flags.alias(f"c{i}"))
-    one = raw.agg(*aggs)
+    one = raw.groupBy(*by).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("name"), F.col(f"c{i}").alias("f")) for i, c in enumerate(columns)])
     kind = (
         F.when(~F.col("f.real") | ~F.col("f.float"), "non_numeric").when(F.col("f.int"), "integer").otherwise("float")
     )
-    return one.select(F.inline(rows)).select("ordinal", "name", kind.alias("kind"))
+    return one.select(*by, F.inline(rows)).select(*by, "ordinal", "name", kind.alias("kind"))
 
 
 def type_columns(raw: DataFrame, classes: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
@@ -78,32 +89,98 @@ def type_columns(raw: DataFrame, classes: dict[str, str], keep: Sequence[str] =
     return raw.select(*keep, *out)
 
 
+def _probed(files: DataFrame, probe: Callable) -> dict[str, list[str]]:
+    """Paths by what ``probe(filesystem, path)`` says of each file; files are opened in tasks.
+
+    The driver holds the paths, as any read of them does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = []
+            for path in batch.column("path").to_pylist():
+                said.append(probe(*pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(said, pa.string())], names=["path", "said"])
+
+    groups: dict[str, list[str]] = {}
+    for r in files.select("path").mapInArrow(run, "path string, said string").orderBy("path").toLocalIterator():
+        groups.setdefault(r["said"], []).append(r["path"])
+    return groups
+
+
+def _first_line(fs: pafs.FileSystem, path: str) -> str:
+    line = b""
+    with fs.open_input_stream(path) as f:
+        while b"\n" not in line and (more := f.read(1 << 16)):
+            line += more
+    return line.split(b"\n")[0].rstrip(b"\r").decode("utf-8-sig", "replace")
+
+
+def _footer(fs: pafs.FileSystem, path: str) -> str:
+    with fs.open_input_file(path) as f:
+        return pq.read_schema(f).remove_metadata().to_string()
+
+
+def _column_names(header: str) -> list[str]:
+    names = next(csv.reader([header]), [])
+    return [n if n and names.count(n) == 1 else f"{n or '_c'}{i}" for i, n in enumerate(names)]
+
+
 def read_csv_log(spark: SparkSession, paths: Sequence[str] | str) -> tuple[DataFrame, DataFrame]:
-    """Typed wide frame with ``source_file`` and ``seq``, and the class of every column.
+    """Typed wide frame with ``source_file`` and ``seq``, and the class of every column of every file.
 
-    A header is required; short rows read as empty cells.
+    Each file is read by its own header, so columns may be in another order, or missing, from
+    file to file; short rows read as empty cells. A column is numeric in the files where its
+    cells are: elsewhere it is NULL, and its class says ``non_numeric``. It is BIGINT where no file
+    needs DOUBLE.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(paths)
-    names = raw.columns
+    raws, classes = [], []
     # Splits are packed by size, not by offset, so the row id alone gives no file order.
     seq = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    tagged = raw.select("*", F.col("_metadata.file_path").alias("source_file"), seq.alias("seq"))
-    classes_df = classify_columns(raw, names)
-    classes = {r["name"]: r["kind"] for r in classes_df.orderBy("ordinal").collect()}  # one row per column
-    return type_columns(tagged, classes, ["source_file", "seq"]), classes_df
+    for header, own in _probed(list_files(spark, paths), _first_line).items():
+        names = _column_names(header)
+        if not names:
+            continue
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(own)
+        raw = raw.select("*", F.col("_metadata.file_path").alias("source_file"), seq.alias("seq"))
+        raws.append((names, raw))
+        classes.append(classify_columns(raw, names, ["source_file"]))
+    if not raws:
+        raise ValueError("no file has a header")
+    classes_df = reduce(DataFrame.unionByName, classes)
+    widest = classes_df.filter("kind <> 'non_numeric'").groupBy("name").agg(F.min("kind").alias("kind"))  # float before integer
+    kinds = {r["name"]: r["kind"] for r in widest.collect()}  # one row per column name
+    bad = classes_df.filter("kind = 'non_numeric'").groupBy("source_file").agg(F.collect_set("name").alias("_bad")).withColumnRenamed("source_file", "_file")
+    out = []
+    for names, raw in raws:
+        here = {n: kinds[n] for n in names if n in kinds}
+        rows = type_columns(raw.join(bad, F.col("source_file") == F.col("_file"), "left"), here, ["source_file", "seq", "_bad"])
+        fine = lambda n: ~F.array_contains(F.coalesce("_bad", F.array().cast("array<string>")), n)
+        out.append(rows.select("source_file", "seq", *[F.when(fine(n), F.col(f"`{n}`")).alias(n) for n in here]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out), classes_df
 
 
 def read_parquet_log(spark: SparkSession, paths: Sequence[str] | str, basis: TimeBasis) -> DataFrame:
-    """Samples of every numeric column of Parquet logs; other columns are never read."""
-    raw = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
-    numeric = [f.name for f in raw.schema if _is_numeric(f.dataType)]
+    """Samples of every numeric column of Parquet logs; other columns are never read.
+
+    Files of one footer schema are read together, so a column that other files lack, or have
+    with another type, is kept, and a file without a column has no samples of it.
+    """
+    out = []
     seq = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    wide = raw.select(*numeric, F.col("_metadata.file_path").alias("source_id"), seq.alias("seq"))
-    return unpivot_channels(wide, basis)
+    for own in _probed(list_files(spark, paths).filter("name LIKE '%.parquet' OR name LIKE '%.pq'"), _footer).values():
+        raw = spark.read.parquet(*own)
+        numeric = [f.name for f in raw.schema if _is_numeric(f.dataType)]
+        wide = raw.select(*numeric, F.col("_metadata.file_path").alias("source_id"), seq.alias("seq"))
+        out.append(unpivot_channels(wide, basis))
+    if not out:
+        raise ValueError("no Parquet file found")
+    return reduce(DataFrame.unionByName, out)
 
 
 def inspect_log(df: DataFrame) -> DataFrame:

@@ -46,6 +46,24 @@ def test_csv_log(spark, rows, tmp_path):
     ]
 
 
+def test_csv_files_keep_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("t_us,speed,rpm\n1,1.5,7\n2,2.5,8\n")
+    (tmp_path / "b.csv").write_text("t_us,rpm,speed,brake\n1,10,bad,1\n2,20,3,0\n")
+    wide, classes = tabular.read_csv_log(spark, str(tmp_path))
+    name = F.element_at(F.split("source_file", "/"), -1)
+    got = sorted((r.f, r.t_us, r.speed, r.rpm, r.brake) for r in wide.withColumn("f", name).collect())
+    assert got == [("a.csv", 1, 1.5, 7, None), ("a.csv", 2, 2.5, 8, None), ("b.csv", 1, None, 10, 1), ("b.csv", 2, None, 20, 0)]
+    kinds = {(r.f, r.name): r.kind for r in classes.withColumn("f", name).collect()}
+    assert kinds["a.csv", "speed"] == "float" and kinds["b.csv", "speed"] == "non_numeric" and ("a.csv", "brake") not in kinds
+
+
+def test_parquet_files_keep_their_own_columns(spark, rows, tmp_path):
+    pq.write_table(pa.table({"t_us": [1, 2], "speed": [1.0, 2.0]}), tmp_path / "a.parquet")
+    pq.write_table(pa.table({"t_us": [3], "speed": [7], "brake": [0.5]}), tmp_path / "b.parquet")
+    df = tabular.read_parquet_log(spark, str(tmp_path), tabular.TimeBasis("t_us"))
+    assert rows(df, "channel_id", "ts_ns", "value") == [("brake", 3000, 0.5), ("speed", 1000, 1.0), ("speed", 2000, 2.0), ("speed", 3000, 7.0)]
+
+
 def test_csv_order_survives_many_splits(spark, tmp_path):
     (tmp_path / "big.csv").write_text("t,v\n" + "".join(f"{i},{i}\n" for i in range(5000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
