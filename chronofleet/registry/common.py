@@ -7,6 +7,8 @@ LiDAR spins (21 points each).
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronofleet-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def ns_of(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) * 1000
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronofleet.functions import time as tm
-from chronofleet.registry.common import PTS, T0, TEL, Query, r6, rounded, spins, sql6, table, telemetry
+from chronofleet.registry.common import PTS, T0, TEL, Query, new_folder, r6, rounded, spins, sql6, table, telemetry
 from chronofleet.sources import annotations as an
 from chronofleet.sources import messages as ms
 from chronofleet.sources import recipe as rc
 from chronofleet.sources import roads, routing, tabular, video
 from chronofleet.sources.pointcloud import decode_spins, pack_spins, validate_spins
-from chronofleet.sources.sinks import sidecar_lines
+from chronofleet.sources.sinks import read_samples, sidecar_lines, write_csv, write_samples
 from chronofleet.operators import frames as fr
 from chronofleet.operators.spatial import explode_points
 
@@ -554,6 +554,20 @@ IDX = "x AS (SELECT event_type AS channel_id, row_number() OVER (PARTITION BY ev
 SIDE = """e AS (SELECT event_type || '-' || (user_id % 8) AS channel_id, event_id FROM events),
   s AS (SELECT channel_id, row_number() OVER (PARTITION BY channel_id ORDER BY event_id) - 1 AS frame, event_id FROM e)"""
 
+def k1(spark, sf_dir):
+    """Samples written as CSV and read back."""
+    samples, path = telemetry(spark, sf_dir), new_folder(spark)
+    write_csv(samples, path)
+    return rounded(spark.read.schema(samples.schema).option("header", True).csv(path), "value")
+
+
+def k7(spark, sf_dir):
+    """Samples written to the lake and read back."""
+    path = new_folder(spark)
+    write_samples(telemetry(spark, sf_dir), path)
+    return rounded(read_samples(spark, path), "value")
+
+
 QUERIES = {
     "s1_classify_columns": Query(
         s1,
@@ -766,6 +780,8 @@ QUERIES = {
         SELECT segment_id, 'gnss' AS channel_id, start + 500000000 + i * 250000000 AS ts_ns, i AS seq, {sql6('v[i + 1]')} AS x, {sql6('v[i + 2]')} AS y, {sql6('v[i + 3]')} AS z FROM s WHERE NOT (vec_id % 3 = 0 AND i = 2)""",
     ),
     "k5_pack_spins": Query(k5, "SELECT 'lidar-' || label AS channel_id, count(*) AS n_spins, count(*) AS n_equal FROM embeddings GROUP BY 1"),
+    "k1_csv_round_trip": Query(k1, f"WITH {TEL} SELECT source_id, channel_id, ts_ns, seq, {sql6('value')} AS value FROM tel"),
+    "k7_lake_round_trip": Query(k7, f"WITH {TEL} SELECT source_id, channel_id, ts_ns, seq, {sql6('value')} AS value FROM tel"),
     "k6_sidecar_lines": Query(
         k6,
         f"""WITH {TEL}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id, channel_id ORDER BY seq) - 1 AS i FROM tel)

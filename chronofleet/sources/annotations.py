@@ -96,6 +96,25 @@ def parse_openlabel(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select(*ids, "channel_id", "frame_no", "ts_ns", "uid", "box_idx", "g.*", "label"), rejected
 
 
+def openlabel_frames(docs: DataFrame) -> DataFrame:
+    """``channel_id, frame_no, ts_ns, n_objects`` of every frame, those without boxes too.
+
+    A document without frames is one frame at time 0.
+    """
+    ids = [c for c in docs.columns if c != "doc"]
+    ol = docs.select(*ids, F.from_json("doc", _OPENLABEL)["openlabel"].alias("o")).filter(F.col("o").isNotNull()).select(*ids, "o.*")
+    base = ol.filter(F.col("metadata").isNotNull() | F.col("objects").isNotNull() | F.col("frames").isNotNull())
+    base = base.withColumn("channel_id", F.coalesce("metadata.name", F.lit("objects")))
+    seq = base.filter(F.col("frames").isNotNull()).select(*ids, "channel_id", F.explode("frames").alias("_no", "_f"))
+    frame_no = F.coalesce(F.col("_no").try_cast("bigint"), F.lit(9223372036854775807))
+    stamp = F.col("_f.frame_properties.timestamp")
+    many = lambda c: F.when(c.isNull(), 0).otherwise(F.size(c)).alias("n_objects")
+    seq = seq.select(*ids, "channel_id", frame_no.alias("frame_no"), frame_ts_ns(_text(stamp), _is_number(stamp), frame_no).alias("ts_ns"), many(F.col("_f.objects")))
+    zero = F.lit(0).cast("bigint")
+    static = base.filter(F.col("frames").isNull()).select(*ids, "channel_id", zero.alias("frame_no"), zero.alias("ts_ns"), many(F.col("objects")))
+    return seq.unionByName(static)
+
+
 def _geometry(at: Column, centre: tuple[int, ...], size: Column, size_at: tuple[int, ...], quat: tuple[Column, ...]) -> Column:
     parts = [F.get(at, F.lit(i)).cast("float").alias(n) for i, n in zip(centre, ("cx", "cy", "cz"))]
     parts += [F.get(size, F.lit(i)).cast("float").alias(n) for i, n in zip(size_at, ("sx", "sy", "sz"))]
@@ -157,6 +176,17 @@ def parse_trajectories(docs: DataFrame) -> DataFrame:
     )
 
 
+def trajectory_frames(docs: DataFrame) -> DataFrame:
+    """``channel_id, frame_no, ts_ns, n_paths`` of every frame, those without paths too."""
+    ids = [c for c in docs.columns if c != "doc"]
+    tr = docs.select(*ids, F.from_json("doc", _TRAJECTORY)["trajectory"].alias("t")).filter(F.col("t").isNotNull())
+    name = F.coalesce("t.frame_id", "t.name", F.lit("trajectory"))
+    frames = tr.select(*ids, name.alias("channel_id"), F.posexplode("t.frames").alias("frame_no", "f"))
+    stamp = F.col("f.timestamp")
+    ts = frame_ts_ns(_text(stamp), _is_number(stamp), F.col("frame_no"), iso=False)
+    return frames.select(*ids, "channel_id", "frame_no", ts.alias("ts_ns"), F.when(F.col("f.paths").isNull(), 0).otherwise(F.size("f.paths")).alias("n_paths"))
+
+
 def read_trajectories(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     return parse_trajectories(read_documents(spark, paths))
 
