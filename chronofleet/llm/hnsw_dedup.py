@@ -181,7 +181,10 @@ class Graph:
             both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
             s = np.where(both >= 0, np.einsum("qd,qcd->qc", x[t], x[np.maximum(both, 0)]), -np.inf)
             full = (both >= 0).sum(axis=1) > most
-            keep = np.take_along_axis(both, np.argsort(-s, axis=1), 1)[:, :most]
+            # A hub may be offered links by a whole batch; the nearest are enough to choose from.
+            order = np.argsort(-s, axis=1)[:, : 3 * most]
+            both, s = np.take_along_axis(both, order, 1), np.take_along_axis(s, order, 1)
+            keep = both[:, :most].copy()
             if full.any():
                 keep[full] = _diverse(x, both[full], s[full], most)
             graph[t] = -1
