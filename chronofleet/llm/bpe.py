@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from chronofleet.llm.common import reachable, table
 
 #: Distinct pieces a task remembers, and the longest of them; longer ones are done each time.
-MEMO_PIECES = 1 << 19
+MEMO_PIECES = 1 << 18
 MEMO_BYTES = 64
 _OUT_ROWS = 64
 
