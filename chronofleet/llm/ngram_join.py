@@ -30,9 +30,11 @@ SHINGLE = 5
 THRESHOLD = 80
 GROUPS = 64
 LEAF = 32
-#: Keys of one bucket of the frequency count, and documents of one tree.
-BUCKET_KEYS = 1 << 22
-TREE_ROWS = 1 << 13
+#: Of its first shingles so many hook a document to others at once.
+HOOKS = 5
+#: Keys of one bucket of the frequency count, and documents of one block of a tree.
+BUCKET_KEYS = 1 << 20
+TREE_ROWS = 1 << 10
 _COEFF = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
 
@@ -234,24 +236,39 @@ class CountTree:
 
 
 def _search_groups(batches):
-    """Trees over the runs of equal (token, block) in sorted rows; pairs of ids that may link."""
+    """Trees over the runs of equal token in rows sorted by family, blocks and token.
+
+    Documents of a family mostly share many tokens: a set of documents that has been searched is
+    not searched again, and each pair of ids is given once per family and pair of blocks.
+    """
+    family, searched, given = None, set(), set()
 
     def found(rows):
+        nonlocal family
         t = pa.Table.from_batches(rows).combine_chunks()
         ids, comp = t["doc_id"].to_numpy(), t["component"].to_numpy()
-        if (comp == comp[0]).all():
+        mine = (t["low"][0].as_py(), t["one"][0].as_py(), t["two"][0].as_py())
+        if mine != family:
+            family = mine
+            searched.clear()
+            given.clear()
+        same = hash(ids.tobytes())
+        if same in searched or (comp == comp[0]).all():
             return None
+        searched.add(same)
         point = np.frombuffer(b"".join(t["point"].to_pylist()), np.int32).reshape(-1, GROUPS)
         a, b = CountTree(point, comp).search(np.arange(len(ids)))
-        if not len(a):
+        pairs = [p for p in zip(np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist()) if p not in given]
+        if not pairs:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
+        given.update(pairs)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
     held, key = [], None
     for b in batches:
         if not b.num_rows:
             continue
-        k = np.stack([b.column(c).to_numpy() for c in ("token", "one", "two")], 1)
+        k = np.stack([b.column(c).to_numpy() for c in ("low", "one", "two", "token")], 1)
         change = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
         for x, y in zip(np.append(0, change), np.append(change, len(k))):
             if held and tuple(k[x]) != key:
@@ -289,8 +306,9 @@ def _bound(batches):
 
 
 def _hooked(entries: DataFrame) -> DataFrame:
-    """Links of documents to the smallest one that shares their rarest or second rarest shingle."""
-    mine = entries.select("doc_id", "point", F.explode(F.slice("tokens", 1, 2)).alias("token"))
+    """Links of documents to the smallest one that shares one of HOOKS of their first shingles."""
+    at = F.array_distinct(F.array(*[F.element_at("tokens", (F.floor((F.size("tokens") - 1) * k / (HOOKS - 1)) + 1).cast("int")) for k in range(HOOKS)]))
+    mine = entries.select("doc_id", "point", F.explode(at).alias("token"))
     centre = mine.groupBy("token").agg(F.min("doc_id").alias("b"))
     pairs = mine.select("token", F.col("doc_id").alias("a"), "point").join(centre, "token").filter("a <> b").select("a", "b", "point").dropDuplicates(["a", "b"])
     other = entries.select(F.col("doc_id").alias("b"), F.col("point").alias("other"))
@@ -304,15 +322,17 @@ def _across(entries: DataFrame, joined: DataFrame) -> DataFrame:
     rows = saved(entries.select("doc_id", "tokens").join(comp, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "tokens"))
     each = rows.select("doc_id", "component", F.explode("tokens").alias("token"))
     mixed_ = each.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).filter("low < high")
-    blocks = F.ceil(F.col("many") / TREE_ROWS).cast("int")
-    each = each.join(mixed_.select("token", blocks.alias("blocks")), "token")
-    # A token of more documents than one tree takes gets a tree per pair of blocks.
+    mixed_ = saved(mixed_.select("token", "low", "many"))
+    # Tokens with the same smallest component are one family. It gets a task per pair of blocks
+    # of its documents, so that no tree holds more than two blocks.
+    sizes = mixed_.groupBy("low").agg(F.ceil(F.max("many") / TREE_ROWS).cast("int").alias("blocks"))
+    each = each.join(mixed_.select("token", "low").join(sizes, "low"), "token")
     each = each.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     each = each.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("token", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "doc_id", "component")
+    each = each.select("low", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "token", "doc_id", "component")
     each = each.join(entries.select("doc_id", "point"), "doc_id")
     parts = shuffle_partitions(spark)
-    each = each.repartition(parts, "token", "one", "two").sortWithinPartitions("token", "one", "two", "doc_id")
+    each = each.repartition(parts, "low", "one", "two").sortWithinPartitions("low", "one", "two", "token", "doc_id")
     pairs = each.mapInArrow(_search_groups, "a long, b long").distinct()
     return _links(pairs, entries)
 
