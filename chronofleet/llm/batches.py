@@ -28,19 +28,19 @@ def _bytes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def packed(docs: DataFrame, extra: Callable[[np.ndarray, np.ndarray], dict[str, bytes]] | None = None, extra_schema: str = "", tagged: bool = False) -> DataFrame:
+def packed(docs: DataFrame, extra: Callable[[np.ndarray, np.ndarray], dict[str, bytes]] | None = None, extra_schema: str = "", tagged: bool = False, batch_bytes: int | None = None) -> DataFrame:
     """(batch, ids, offsets, data, ...) written once in buckets; rows without an id are left out.
 
     ``docs`` has doc_id and text, and a string column tag if ``tagged``. ``extra`` maps a batch's bytes
     and offsets to further columns.
     """
-    limit = BATCH_BYTES
+    limit = batch_bytes or BATCH_BYTES
     if tagged:
         extra_schema = ", ".join(x for x in (extra_schema, "tags binary") if x)
     names = [c.split()[0] for c in extra_schema.split(", ") if c]
 
     def task(batches: Iterator[pa.RecordBatch]):
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=5)
         ids, bufs, sizes, tags, held, count, part = [], [], [], [], 0, 0, 0
 
         def flush():

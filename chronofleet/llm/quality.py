@@ -31,6 +31,8 @@ SLACK_BITS = 0.1
 #: that a few words don't decide.
 PRIOR_BYTES = 60
 BUCKET_KEYS = 1 << 20
+#: Text of a batch: the larger, the fewer n-grams are asked for again and again.
+BATCH_BYTES = 12 << 20
 #: No discount is below this, so that no byte is impossible.
 LEAST_DISCOUNT = 0.05
 #: Log probabilities travel in steps of 1 / SCALE.
@@ -200,7 +202,7 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, n_bytes, total_bits and held (trusted but not counted) per row with an id."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("tag"))
-    packs = bt.packed(rows, tagged=True)
+    packs = bt.packed(rows, tagged=True, batch_bytes=BATCH_BYTES)
     good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     where = packs.select("batch", "ids").mapInArrow(_ids, "batch long, doc_id long")
     good = where.join(good, "doc_id", "left_semi").distinct().withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0)
