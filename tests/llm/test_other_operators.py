@@ -63,6 +63,23 @@ def test_graph_recall_on_cliques_and_noise():
     assert len(want & set(zip(q.tolist(), n.tolist()))) >= 0.99 * len(want)
 
 
+def test_audit_sees_lost_small_groups(monkeypatch):
+    rng = np.random.default_rng(3)
+    hot = rng.standard_normal(32) + rng.standard_normal((1000, 32)) * 0.05
+    x = hnsw_dedup._unit(np.concatenate([hot, rng.standard_normal((2000, 32))])[(order := rng.permutation(3000))])
+    g = hnsw_dedup.Graph(x, hnsw_dedup._levels(np.arange(len(x))))
+    is_hot, near = order < 1000, hnsw_dedup.Graph.near
+
+    def lossy(self, q, beam, least):
+        got_q, got_n = near(self, q, beam, least)
+        on = is_hot[got_n] | (beam >= 256)
+        return got_q[on], got_n[on]
+
+    monkeypatch.setattr(hnsw_dedup.Graph, "near", lossy)
+    beam, recall = g.audited(hnsw_dedup.BEAM)
+    assert beam >= 256 and recall >= hnsw_dedup.RECALL
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(1)
     rows = [(i, None if i % 7 == 0 else f"http://x/{i} ü\n", "".join(rng.choice("\r\n aé😀") for _ in range(rng.choice([0, 5, 99, 100, 5000])))) for i in range(40)]
