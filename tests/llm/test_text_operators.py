@@ -283,6 +283,17 @@ def test_packing_keeps_every_row(spark, documents, odd_rows, monkeypatch):
     assert sorted(got) == sorted((r[0], (r[1] or "").encode()) for r in odd_rows if r[0] is not None)
 
 
+def test_training_drops_near_copies_only(spark):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    text = [" ".join(["the cat sat", *(f"w{rng.randrange(10**6)}" for _ in range(4))]) for _ in range(300)] + ["", "one", "ONE", "a b c", "A b  c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(text)], ["text"])
+    sig = [s for b in toxicity._signature([batch]) for s in b.column("sig").to_pylist()]
+    assert len(set(sig[:300])) == 300
+    assert len(set(sig[300:])) == 3 and sig[301] == sig[302] and sig[303] == sig[304]
+
+
 def test_toxicity_learns_words_and_ignores_labels_it_must_not_see(spark, documents):
     rng = random.Random(2)
     vocab = [f"w{k}" for k in range(300)]
