@@ -5,7 +5,8 @@ form (letters in lower case, bare digits), so that all spellings of one entity a
 is a function of key, kind and canonical form: same kind, length, script, gender and valid check
 digits; it is laid over the spelling found, keeping separators and case. A table of all
 entities is checked for collisions: no two entities of a kind share a surrogate and no surrogate is
-an entity of the corpus; the later of two draws again until none is left.
+an entity of the corpus; the later of two draws again until none is left. Names and local parts of
+e-mails get longer with every second draw, so that there are always enough.
 """
 
 from __future__ import annotations
@@ -94,7 +95,8 @@ def _letters(seed: Column, text: Column, hexes: bool = False) -> Column:
     return F.array_join(F.transform(F.split(text, "(?!^)(?!$)"), one), "")
 
 
-def _name(seed: Column, canon: Column) -> Column:
+def _name(seed: Column, canon: Column, grown: Column) -> Column:
+    """A made-up name with three syllables a word and ``grown`` more."""
     words = F.split(F.substring(canon, 3, 999), " ")
 
     def made(parts: str, ends: dict[str, str]) -> Column:
@@ -102,7 +104,7 @@ def _name(seed: Column, canon: Column) -> Column:
         n = len(parts.split())
 
         def word(w, i):
-            body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.element_at(syllables, _draw(seed, i * 8 + k, n) + 1)), "")
+            body = F.array_join(F.transform(F.sequence(F.lit(0), 2 + grown), lambda k: F.element_at(syllables, _draw(seed, i * 64 + k, n) + 1)), "")
             # The given name ends as its gender's names do, where a given name is there.
             end = F.when(F.substring(canon, 1, 1) == "f", ends["f"]).otherwise(ends["m"])
             return F.initcap(F.when((i == 0) & (F.size(words) > 1), F.concat(body, end)).otherwise(body))
@@ -115,6 +117,8 @@ def _name(seed: Column, canon: Column) -> Column:
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical surrogate of an entity."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 256)
+    # Names and e-mails grow with the draws, as short ones are too few for many entities.
+    grown = F.floor(attempt / 2).cast("int")
     # The country code of a phone and the issuer's digit of a card stay.
     lead = F.when(kind == "phone", F.greatest(F.length(canon) - 10, F.lit(0))).when(kind == "card", F.lit(1)).otherwise(F.lit(0))
     digits = F.concat(F.substring(canon, 1, lead), _letters(seed, F.substring(canon, lead + 1, F.length(canon))))
@@ -122,7 +126,8 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
     domain_seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index(canon, "@", -1)), 256)
-    email = F.concat(_letters(seed, F.substring_index(canon, "@", 1)), F.lit("@"), F.lit("m"), F.substring(domain_seed, 1, 10), F.lit(".example."), F.element_at(F.array(*[F.lit(x) for x in ("com", "org", "net")]), _draw(domain_seed, F.lit(0), 3) + 1))
+    more = F.substring(F.sha2(F.concat(seed, F.lit("more")), 256), F.lit(1), grown)
+    email = F.concat(_letters(seed, F.substring_index(canon, "@", 1)), more, F.lit("@"), F.lit("m"), F.substring(domain_seed, 1, 10), F.lit(".example."), F.element_at(F.array(*[F.lit(x) for x in ("com", "org", "net")]), _draw(domain_seed, F.lit(0), 3) + 1))
     country = F.substring(canon, 1, 2)
     bban = _letters(seed, F.substring(canon, 5, 99))
     iban = F.concat(country, F.lpad((98 - _mod97(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0"), bban)
@@ -130,7 +135,7 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     secret = F.concat(prefix, _letters(seed, F.substring(canon, F.length(prefix) + 1, F.length(canon)), hexes=True))
     return (
         F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", F.concat(body, check))
-        .when(kind == "iban", iban).when(kind == "name", _name(seed, canon)).otherwise(digits)
+        .when(kind == "iban", iban).when(kind == "name", _name(seed, canon, grown)).otherwise(digits)
     )
 
 

@@ -436,6 +436,18 @@ def test_surrogates_draw_again_on_collisions(spark, monkeypatch):
     assert made["made"].is_unique and not set(made["made"]) & set(made["canon"]) and len(made) == 20
 
 
+def test_short_surrogates_grow(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(surrogates, "NAME_PARTS", {k: ("ba be", ends) for k, (_, ends) in surrogates.NAME_PARTS.items()})
+    real = [("name", f"m smith{k}") for k in range(40)] + [("email", f"{chr(97 + k % 26)}{'' if k < 26 else k % 10}@x.org") for k in range(36)]
+    rows = spark.createDataFrame(real, "kind string, canon string").coalesce(1)
+    tries = rows.withColumn("made", surrogates.surrogate("k", F.col("kind"), F.col("canon"), F.lit(8)))
+    assert tries.filter("kind = 'name'").select("made").distinct().count() > 8  # else drawn() has no end
+    made = surrogates.drawn(rows, "k").toPandas()
+    assert len(made) == len(real) and not made.duplicated(["kind", "made"]).any()
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
