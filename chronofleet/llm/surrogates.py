@@ -19,16 +19,24 @@ from chronofleet.llm.common import saved, table
 _WORD = r"\p{L}\p{N}_"
 _TITLES_M = "mr|herr|monsieur|señor|sr|господин"
 _TITLES_F = "mrs|ms|miss|frau|madame|mme|señora|sra|госпожа"
+_FURTHER = "dr|prof|professor|doktor|dra|ing|dipl|rev"
+_TITLE = rf"(?:{_TITLES_M}|{_TITLES_F})\.? (?:(?:{_FURTHER})\.? )*"
+#: A capital with letters of both cases behind it, joined by hyphens or apostrophes, or an initial.
+_PART = r"(?-i:\p{Lu}(?:\.|(?=[\p{L}\p{M}'’-]*\p{Ll})[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]++)*+))"
+_SMALL = r"(?-i:(?:von|van|de|der|den|del|della|di|da|dos|du|la|le|zu|zum|zur|al|el|ter|ten) )*"
+#: Length of the part behind the check digits, by country.
+_BBAN = {11: "no", 12: "be", 14: "dk|fi|fo|gl|nl", 15: "mk|si", 16: "at|ba|ee|kz|lt|lu|xk", 17: "ch|cr|hr|li|lv", 18: "bg|bh|de|ge|gb|ie|me|rs|va", 19: "ae|gi|il|iq|tl", 20: "ad|cz|es|md|pk|ro|sa|se|sk|tn|vg", 21: "pt", 22: "is|tr", 23: "fr|gr|it|mc|mr|sm", 24: "al|az|by|cy|do|gt|hu|lb|pl|sv", 25: "br|eg|ps|qa|ua", 26: "jo|kw|mu", 27: "mt|sc", 28: "lc"}
+_IBANS = "|".join(rf"(?:{c})\d{{2}}(?: ?[a-z0-9]{{4}}){{{n // 4}}}" + (rf" ?[a-z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in _BBAN.items())
 #: Kind and pattern, the first that matches counts. No pattern starts inside a word.
 PATTERNS = {
     "email": rf"(?<![{_WORD}.%+-])[{_WORD}.%+-]++@[{_WORD}-]+(?:\.[{_WORD}-]+)*\.\p{{L}}{{2,}}",
     "secret": rf"(?<![{_WORD}])(?:[0-9a-f]{{32,128}}|akia[0-9a-z]{{16}}|ghp_[0-9a-z]{{36}}|sk-[0-9a-z]{{20,64}})(?![{_WORD}])",
     "ip": rf"(?<![{_WORD}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![{_WORD}]|\.\d)",
-    "iban": rf"(?<![{_WORD}])[a-z]{{2}}\d{{2}}(?: ?\d{{4}}){{3,7}}(?: ?\d{{1,3}})?(?![{_WORD}])",
+    "iban": rf"(?<![{_WORD}])(?:(?:{_IBANS})(?![{_WORD}])|[a-z]{{2}}\d{{2}}(?: ?\d{{4}}){{3,7}}(?: ?\d{{1,3}})?(?![{_WORD}]))",
     "ssn": rf"(?<![{_WORD}-])\d{{3}}-\d{{2}}-\d{{4}}(?![{_WORD}-])",
     "card": rf"(?<![{_WORD}])(?:\d{{13,19}}|\d{{4}}(?: \d{{4}}){{3}}|\d{{4}}(?:-\d{{4}}){{3}}|\d{{4}} \d{{6}} \d{{5}}|\d{{4}}-\d{{6}}-\d{{5}})(?![{_WORD}])",
-    "phone": rf"(?<![{_WORD}+])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}|(?<=[ .-])\d{{2,4}}[ .-]\d{{3,4}}[ .-]\d{{3,4}})(?![{_WORD}])|(?<![{_WORD}+])\+\d{{9,14}}(?![{_WORD}])",
-    "name": rf"(?<![{_WORD}])(?:{_TITLES_M}|{_TITLES_F})\.? (?-i:\p{{Lu}}\p{{Ll}}+)(?: (?-i:\p{{Lu}}\p{{Ll}}+))?",
+    "phone": rf"(?<![{_WORD}+])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}|\d{{2,4}}[ .-]\d{{3,4}}[ .-]\d{{3,4}})(?![{_WORD}])|(?<![{_WORD}+])\+(?:[ .()-]{{0,2}}\d){{8,15}}(?![{_WORD}])",
+    "name": rf"(?<![{_WORD}])(?:{_TITLE}){_SMALL}{_PART}(?: (?!(?:{_TITLES_M}|{_TITLES_F})\b){_SMALL}{_PART})*",
 }
 PATTERN = "(?i)(?:" + "|".join(PATTERNS.values()) + ")"
 DIGIT_KINDS = ("card", "phone", "ssn")
@@ -64,7 +72,7 @@ def kind_of(entity: Column) -> Column:
     """The kind of a match, null where its check digit rules it out."""
     kind = F.lit(None).cast("string")
     for name in reversed(PATTERNS):
-        kind = F.when(entity.rlike("(?i)^(?:" + PATTERNS[name].replace("(?<=[ .-])", "") + ")$"), F.lit(name)).otherwise(kind)
+        kind = F.when(entity.rlike("(?i)^(?:" + PATTERNS[name] + ")$"), F.lit(name)).otherwise(kind)
     card = F.when(_digits(entity).rlike("^[2-6]") & (_luhn_sum(_digits(entity)) % 10 == 0), F.lit("card"))
     plain = F.regexp_replace(entity, " ", "")
     iban = F.when(_mod97(F.concat(F.substring(plain, 5, 99), F.substring(plain, 1, 4))) == 1, F.lit("iban"))
@@ -72,7 +80,7 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    name = F.regexp_replace(F.lower(entity), r"^\S+ ", "")
+    name = F.translate(F.regexp_replace(F.lower(entity), "^" + _TITLE, ""), "’", "'")
     gender = F.when(F.lower(entity).rlike(rf"^(?:{_TITLES_F})\b"), "f").otherwise("m")
     return F.when(kind.isin(*DIGIT_KINDS), _digits(entity)).when(kind == "iban", F.regexp_replace(F.lower(entity), " ", "")).when(kind == "name", F.concat(gender, F.lit(" "), name)).otherwise(F.lower(entity))
 
@@ -120,7 +128,7 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     # Names and e-mails grow with the draws, as short ones are too few for many entities.
     grown = F.floor(attempt / 2).cast("int")
     # The country code of a phone and the issuer's digit of a card stay.
-    lead = F.when(kind == "phone", F.greatest(F.length(canon) - 10, F.lit(0))).when(kind == "card", F.lit(1)).otherwise(F.lit(0))
+    lead = F.when(kind == "phone", F.least(F.greatest(F.length(canon) - 10, F.lit(0)), F.lit(3))).when(kind == "card", F.lit(1)).otherwise(F.lit(0))
     digits = F.concat(F.substring(canon, 1, lead), _letters(seed, F.substring(canon, lead + 1, F.length(canon))))
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
@@ -144,7 +152,7 @@ def laid_over(kind: Column, entity: Column, made: Column) -> Column:
     chars = F.split(entity, "(?!^)(?!$)")
     before = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9a-zA-Z]", ""))
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9a-zA-Z]"), F.substring(made, before(i), F.lit(1))).otherwise(c)), "")
-    title = F.concat(F.regexp_extract(entity, r"^(\S+ )", 1), made)
+    title = F.concat(F.regexp_extract(entity, f"(?i)^({_TITLE})", 1), made)
     out = F.when(kind.isin(*DIGIT_KINDS, "iban"), spaced).when(kind == "name", title).otherwise(made)
     loud = kind.isin("email", "secret", "iban") & (F.upper(entity) == entity) & (F.lower(entity) != entity)
     return F.when(loud, F.upper(out)).otherwise(out)
