@@ -165,15 +165,34 @@ def read_csv_log(spark: SparkSession, paths: Sequence[str] | str) -> tuple[DataF
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out), classes_df
 
 
+def _parquet_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """Files named in ``paths``, whatever their ending, and Parquet files of the folders named there."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    named, folders = [], []
+    for p in [paths] if isinstance(paths, str) else paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        found = at.getFileSystem(conf).globStatus(at)
+        if not found:
+            raise FileNotFoundError(p)
+        for f in found:
+            (named if f.isFile() else folders).append(f.getPath().toString())
+    parts = [list_files(spark, named)] if named else []
+    if folders:
+        parts.append(list_files(spark, folders).filter(F.lower("name").rlike(r"\.(parquet|pq)$")))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def read_parquet_log(spark: SparkSession, paths: Sequence[str] | str, basis: TimeBasis) -> DataFrame:
     """Samples of every numeric column of Parquet logs; other columns are never read.
 
     Files of one footer schema are read together, so a column that other files lack, or have
-    with another type, is kept, and a file without a column has no samples of it.
+    with another type, is kept, and a file without a column has no samples of it. Files that
+    ``paths`` name, or match, are all read; in folders those that end in .parquet or .pq in any
+    case. A file without a Parquet footer is an error.
     """
     out = []
     seq = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    for own in _probed(list_files(spark, paths).filter("name LIKE '%.parquet' OR name LIKE '%.pq'"), _footer).values():
+    for own in _probed(_parquet_files(spark, paths), _footer).values():
         raw = spark.read.parquet(*own)
         numeric = [f.name for f in raw.schema if _is_numeric(f.dataType)]
         wide = raw.select(*numeric, F.col("_metadata.file_path").alias("source_id"), seq.alias("seq"))

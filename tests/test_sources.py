@@ -64,6 +64,18 @@ def test_parquet_files_keep_their_own_columns(spark, rows, tmp_path):
     assert rows(df, "channel_id", "ts_ns", "value") == [("brake", 3000, 0.5), ("speed", 1000, 1.0), ("speed", 2000, 2.0), ("speed", 3000, 7.0)]
 
 
+def test_parquet_files_given_are_all_read(spark, rows, tmp_path):
+    names = ["a.parquet", "LOG.PARQUET", "b.log", "c"]
+    for i, name in enumerate(names):
+        pq.write_table(pa.table({"t_us": [i], "speed": [float(i)]}), tmp_path / name)
+    df = tabular.read_parquet_log(spark, [str(tmp_path / n) for n in names], tabular.TimeBasis("t_us"))
+    assert rows(df, "ts_ns") == [(0,), (1000,), (2000,), (3000,)]
+    assert rows(tabular.read_parquet_log(spark, str(tmp_path), tabular.TimeBasis("t_us")), "ts_ns") == [(0,), (1000,)]
+    (tmp_path / "d.txt").write_text("no footer")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        tabular.read_parquet_log(spark, [str(tmp_path / "a.parquet"), str(tmp_path / "d.txt")], tabular.TimeBasis("t_us"))
+
+
 def test_csv_order_survives_many_splits(spark, tmp_path):
     (tmp_path / "big.csv").write_text("t,v\n" + "".join(f"{i},{i}\n" for i in range(5000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
