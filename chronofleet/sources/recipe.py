@@ -290,12 +290,18 @@ def match_recipes(files: DataFrame, recipes: DataFrame) -> DataFrame:
 
     ``files(path, name, head BINARY)``, ``recipes(recipe_id, ord, extensions, magics
     ARRAY<STRUCT<offset INT, hex STRING>>)`` with the newest at the lowest ``ord``; heads
-    reach as far as :func:`magic_bytes` says. Both tests are equality joins, whatever the
+    reach as far as :func:`magic_bytes` says, and where ``files`` has ``n_bytes``, the sizes of the
+    files, a shorter head is an error. Both tests are equality joins, whatever the
     number of rules: on the bytes at each offset in use, and on name suffixes of each length
     in use. Offsets and lengths in use are lists in one value.
     """
     rules = recipes.withColumn("magics", F.transform("magics", lambda m: F.struct(m["offset"].alias("offset"), F.upper(F.regexp_replace(m["hex"], r"\s", "")).alias("hex"))))
-    prepared = files.withColumns({"_hex": F.hex("head"), "_lower": F.lower("name")})
+    head = F.col("head")
+    if "n_bytes" in files.columns:
+        reach = magic_bytes(recipes).first()["n_bytes"]
+        short = F.coalesce(F.length("head"), F.lit(0)) < F.least("n_bytes", F.lit(reach))
+        head = F.when(short, F.raise_error(F.concat(F.lit(f"head is shorter than the {reach} bytes of the magics: "), "path")).cast("binary")).otherwise(head)
+    prepared = files.withColumns({"_hex": F.hex(head), "_lower": F.lower("name")})
     magic_rules = rules.filter(F.size("magics") > 0).select("recipe_id", "ord", "magics", F.get("magics", F.lit(0)).alias("_m"))
     magic_rules = magic_rules.filter(F.forall("magics", lambda m: m["hex"].rlike("^([0-9A-F]{2})*$")))
     magic_rules = magic_rules.withColumn("_spot", F.struct(F.col("_m.offset").alias("o"), F.length("_m.hex").alias("n"))).withColumn("_want", F.col("_m.hex"))

@@ -9,6 +9,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofleet.sources.recipe import magic_bytes
+
 # Suffixes in order of priority, and the bytes of a file that are sniffed.
 SIDECAR_SUFFIX = ".mp4.timestamps"
 SUFFIXES = (
@@ -33,9 +35,11 @@ def list_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"))
 
 
-def read_heads(files: DataFrame, n_bytes: int = 0) -> DataFrame:
+def read_heads(files: DataFrame, n_bytes: int = 0, recipes: DataFrame | None = None) -> DataFrame:
     """Adds ``head``, read by the executors: a JSON document whole, as its marker may stand anywhere,
-    of any other file the first ``n_bytes`` (what ``recipe.magic_bytes`` asks for)."""
+    of any other file the first ``n_bytes``, or as many as the magics of ``recipes`` reach."""
+    if recipes is not None:
+        n_bytes = max(n_bytes, magic_bytes(recipes).first()["n_bytes"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", head binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
