@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronofleet.llm import bpe, exact_dedup, hnsw_dedup, mixing, ngram_join, quality, suffix_dedup, surrogates, toxicity, warc
+from chronofleet.llm import bpe, exact_dedup, hnsw_dedup, mixing, ngram_join, quality, source_audit, suffix_dedup, surrogates, topk_search, toxicity, warc, whitening
 
 QUERIES = {
     "op1_ngram_join": ngram_join,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc": warc,
     "op9_suffix_dedup": suffix_dedup,
     "op10_toxicity": toxicity,
+    "op11_source_audit": source_audit,
+    "op12_topk_search": topk_search,
+    "op13_whitening": whitening,
 }
 
 
