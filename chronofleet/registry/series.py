@@ -11,7 +11,6 @@ from chronofleet.operators import frames as fr
 from chronofleet.operators import series as se
 from chronofleet.registry.common import CHANNELS, DAY, FINITE, T0, TARGET, TEL, Query, rounded, sql6, table, telemetry
 
-CHANNEL3 = CHANNELS[:3]
 END = T0 + 31 * DAY
 HOLD = 3_600_000_000_000
 COLS = "source_id, channel_id, ts_ns, seq"
@@ -99,15 +98,15 @@ def _wrap(t: str, v: str, part: str) -> str:
 
 
 def d6(spark, sf_dir, target=None):
-    return rounded(se.align_union(telemetry(spark, sf_dir), CHANNEL3, target_rows=target), *CHANNEL3)
+    return rounded(se.align_union(telemetry(spark, sf_dir), CHANNELS, target_rows=target), *CHANNELS)
 
 
 def d7(spark, sf_dir, target=None):
-    return rounded(se.align_hold(telemetry(spark, sf_dir), CHANNEL3, HOLD, target_rows=target), *CHANNEL3)
+    return rounded(se.align_hold(telemetry(spark, sf_dir), CHANNELS, HOLD, target_rows=target), *CHANNELS)
 
 
 def d8(spark, sf_dir, target=None):
-    return rounded(se.table_model(telemetry(spark, sf_dir), CHANNEL3, target_rows=target), *CHANNEL3)
+    return rounded(se.table_model(telemetry(spark, sf_dir), CHANNELS, target_rows=target), *CHANNELS)
 
 
 def d9(spark, sf_dir):
@@ -195,7 +194,7 @@ def _fin(c: str) -> str:
 
 
 def _align_cells() -> str:
-    return ", ".join(f"max(CASE WHEN channel_id = '{c}' THEN {_fin('value')} END) AS {c}" for c in CHANNEL3)
+    return ", ".join(f"max(CASE WHEN channel_id = '{c}' THEN {_fin('value')} END) AS {c}" for c in CHANNELS)
 
 
 def _held(c: str) -> str:
@@ -204,9 +203,9 @@ def _held(c: str) -> str:
 
 
 ONCE = "once AS (SELECT source_id, channel_id, ts_ns, max_by(value, seq) AS value FROM t3 GROUP BY ALL)"
-T3 = "t3 AS (SELECT * FROM tel WHERE channel_id IN ('click', 'error', 'purchase'))"
-HELD = ", ".join(_held(c) for c in CHANNEL3)
-JOINED = "axis a " + " ".join(f"JOIN h_{c} ON h_{c}.source_id = a.source_id AND h_{c}.ts_ns = a.ts_ns" for c in CHANNEL3)
+T3 = "t3 AS (SELECT * FROM tel WHERE channel_id IN ('click', 'error', 'purchase', 'signup', 'view'))"
+HELD = ", ".join(_held(c) for c in CHANNELS)
+JOINED = "axis a " + " ".join(f"JOIN h_{c} ON h_{c}.source_id = a.source_id AND h_{c}.ts_ns = a.ts_ns" for c in CHANNELS)
 EPS = max(1, round(HOLD * 1e-6))
 
 QUERIES = {
@@ -247,7 +246,7 @@ QUERIES = {
         f"""WITH {TEL}, o AS (SELECT *, row_number() OVER (PARTITION BY source_id, channel_id, ts_ns ORDER BY seq) - 1 AS occurrence FROM tel
         WHERE channel_id IN ('click', 'error', 'purchase')),
         g AS (SELECT source_id, ts_ns, occurrence, {_align_cells()} FROM o GROUP BY source_id, ts_ns, occurrence)
-        SELECT source_id, ts_ns, occurrence, {', '.join(f'{sql6(c)} AS {c}' for c in CHANNEL3)} FROM g""",
+        SELECT source_id, ts_ns, occurrence, {', '.join(f'{sql6(c)} AS {c}' for c in CHANNELS)} FROM g""",
     ),
     "d7_align_hold": Query(
         d7,
@@ -255,12 +254,12 @@ QUERIES = {
         gaps AS (SELECT *, lead(ts_ns) OVER (PARTITION BY source_id, channel_id ORDER BY ts_ns) AS nx FROM once),
         axis AS (SELECT source_id, ts_ns FROM once UNION SELECT source_id, ts_ns + {HOLD} FROM gaps WHERE nx - ts_ns > {HOLD}
                  UNION SELECT source_id, ts_ns + {HOLD} + {EPS} FROM gaps WHERE nx - ts_ns > {HOLD}), {HELD}
-        SELECT a.source_id, a.ts_ns, {', '.join(sql6(f'CASE WHEN a.ts_ns - h_{c}.s_ts <= {HOLD} THEN h_{c}.value END') + f' AS {c}' for c in CHANNEL3)} FROM {JOINED}""",
+        SELECT a.source_id, a.ts_ns, {', '.join(sql6(f'CASE WHEN a.ts_ns - h_{c}.s_ts <= {HOLD} THEN h_{c}.value END') + f' AS {c}' for c in CHANNELS)} FROM {JOINED}""",
     ),
     "d8_table_model": Query(
         d8,
         f"""WITH {TEL}, {T3}, {ONCE}, axis AS (SELECT DISTINCT source_id, ts_ns FROM once), {HELD}
-        SELECT a.source_id, a.ts_ns, {', '.join(sql6(f'h_{c}.value') + f' AS {c}, coalesce(h_{c}.exact, false) AS {c}__exact' for c in CHANNEL3)},
+        SELECT a.source_id, a.ts_ns, {', '.join(sql6(f'h_{c}.value') + f' AS {c}, coalesce(h_{c}.exact, false) AS {c}__exact' for c in CHANNELS)},
         false AS truncated FROM {JOINED}""",
     ),
     "d9_series_stats": Query(
