@@ -360,7 +360,7 @@ QUERIES = {
     "g14_join_paths": Query(g14_join, f"WITH {PATHS} SELECT source_id, ts_ns, count(*) AS n_points, count(DISTINCT path_idx) AS n_paths, round(sum(x::DOUBLE), 4) AS sum_x FROM fp GROUP BY 1, 2"),
     "g15_latest_frame": Query(
         g15,
-        f"""WITH {PATHS}, m AS (SELECT channel_id, max(ts_ns) AS ts_ns FROM fp GROUP BY 1)
-        SELECT channel_id, source_id, ts_ns, path_idx, count(*) AS n_points FROM fp JOIN m USING (channel_id, ts_ns) GROUP BY ALL""",
+        f"""WITH {PATHS}, m AS (SELECT source_id, channel_id, max(ts_ns) AS ts_ns FROM fp GROUP BY ALL)
+        SELECT channel_id, source_id, ts_ns, path_idx, count(*) AS n_points FROM fp JOIN m USING (source_id, channel_id, ts_ns) GROUP BY ALL""",
     ),
 }
