@@ -1,13 +1,16 @@
 """Near-duplicate embeddings by a navigable small-world graph per shard.
 
 Distinct vectors are dealt to shards by hash. Each shard builds a hierarchical graph; every
-vector then queries every shard in blocks. A beam search walks down the layers; nodes near
-the threshold are walked on from without end, and a beam that holds nothing else is widened, so
-a neighbourhood of any size is gathered whole. Before it answers, a shard audits itself with
-probes at the threshold against brute force and widens its beam until the recall is met, over all
-pairs as well as on average per probe; a beam as wide as the shard is a scan of it.
-Candidates are verified by cosine in double precision, links are symmetric, and components are
-their union. A group of equal vectors is one node with a weight.
+vector then queries every shard in blocks. A beam search walks down the layers; a beam that holds
+nothing but nodes near the threshold is widened, and where that would look at more nodes than a
+scan of the shard, as inside a group of near vectors that is a large part of it, the shard is
+scanned for that query. Before it answers, a shard audits itself with probes at the threshold
+against brute force and widens its beam until the recall is met, over all pairs as well as on
+average per probe. Candidates are verified by cosine in double precision.
+
+A shard answers with one row per vector that has links there, their number, and with links
+that join components only: a group of near vectors of any size gives about as many rows as it has
+members, never all its pairs. A group of equal vectors is one node with a weight.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronofleet.llm.common import ready, saved, shuffle_partitions, table
 from chronofleet.llm.graph import components
@@ -35,6 +39,8 @@ BLOCK_ROWS = 1 << 11
 SEEN_CELLS = 1 << 24
 #: Layers of so many nodes are scanned.
 SCANNED = 1 << 10
+#: A walk costs so many times what a scan does for each node that it looks at.
+WALK = 2
 _STEP = 4
 
 
@@ -199,26 +205,21 @@ class Graph:
             graph[t] = -1
             graph[t, : keep.shape[1]] = keep
 
-    def near(self, q: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of all nodes found with a similarity of ``least``."""
-        out_q, out_n = [], []
-        width = max(1, min(512, SEEN_CELLS // max(1, len(self.x))))
-        for a in range(0, len(q), width):
-            todo, wide = np.arange(a, min(a + width, len(q))), beam
-            while len(todo):
-                if wide >= len(self.x):
-                    hit_q, hit_n = np.nonzero(q[todo] @ self.x.T >= least)
-                    out_q.append(todo[hit_q])
-                    out_n.append(hit_n)
-                    break
+    def near(self, q: np.ndarray, beam: int, least: float):
+        """Yields (query, node) of all nodes found with a similarity of ``least``, some queries at a time."""
+        n = len(self.x)
+        for a in range(0, len(q), max(1, min(512, SEEN_CELLS // max(1, n)))):
+            todo, wide = np.arange(a, min(a + max(1, min(512, SEEN_CELLS // max(1, n))), len(q))), beam
+            while len(todo) and WALK * wide * LINKS < n:
                 entry = self._entry(q[todo], 1) if len(self.nodes) > 1 else np.zeros(len(todo), np.int64)
                 _, sims, hit_q, hit_n = _search(self.x, self.graphs[0], q[todo], entry, wide, least)
                 short = sims.min(axis=1) >= NEAR
                 keep = ~short[hit_q]
-                out_q.append(todo[hit_q[keep]])
-                out_n.append(hit_n[keep])
+                yield todo[hit_q[keep]], hit_n[keep]
                 todo, wide = todo[short], wide * 4
-        return (np.concatenate(out_q), np.concatenate(out_n)) if out_q else (np.zeros(0, np.int64),) * 2
+            if len(todo):
+                hit_q, hit_n = np.nonzero(q[todo] @ self.x.T >= least)
+                yield todo[hit_q], hit_n
 
     def audited(self, beam: int) -> tuple[int, float]:
         """The beam at which probes find RECALL of what brute force finds, and the recall.
@@ -238,7 +239,8 @@ class Graph:
         want[np.arange(len(base)), own] = True
         while True:
             got = np.zeros_like(want)
-            got[self.near(q, beam, COSINE)] = True
+            for found in self.near(q, beam, COSINE):
+                got[found] = True
             got &= want
             recall = float(min(got.sum() / want.sum(), (got.sum(axis=1) / want.sum(axis=1)).mean(), got[np.arange(len(base)), own].mean()))
             if recall >= RECALL or beam >= len(self.x):
@@ -251,23 +253,21 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
-BLOCK = "shard int, dim int, kind int, part int, ids binary, vectors binary"
+BLOCK = "shard int, dim int, kind int, ids binary, sizes binary, vectors binary"
 
 
-def _packed(kind: int):
-    """Rows (shard, dim, id, vector) sorted by shard and dim as blocks."""
+def _packed(kind: int, dtype: str):
+    """Rows (shard, dim, rep, size, v) sorted by shard and dim as blocks."""
 
     def task(batches):
         held, key = [], None
 
         def block():
             t = pa.Table.from_batches(held)
-            ids = t["rep"].to_numpy()
+            ids, sizes = t["rep"].to_numpy(), t["size"].to_numpy()
             data = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([kind], pa.int32()), pa.array([0], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([data.astype(np.float64).tobytes()], pa.binary())],
-                ["shard", "dim", "kind", "part", "ids", "vectors"],
-            )
+            cols = [pa.array([x], pa.int32()) for x in (*key, kind)] + [pa.array([x.tobytes()], pa.binary()) for x in (ids, sizes, data.astype(dtype))]
+            return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in BLOCK.split(", ")])
 
         limit = BLOCK_ROWS if kind else 1 << 62
         for b in batches:
@@ -296,55 +296,86 @@ def _levels(ids: np.ndarray) -> np.ndarray:
     return np.floor(-np.log(np.maximum(h, 1e-12)) / np.log(LINKS)).astype(np.int64)
 
 
-def _query_shards(batches):
-    """Blocks of queries against the graph of their shard, which comes first in sorted rows."""
-    graph = key = None
-    for b in batches:
-        for i in range(b.num_rows):
-            shard, dim, kind, part, ids, data = (b.column(c)[i].as_py() for c in ("shard", "dim", "kind", "part", "ids", "vectors"))
-            ids, v = np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dim)
-            if kind == 0:
-                order = np.argsort((ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(7), kind="stable")
-                own_ids, own = ids[order], v[order]
-                graph, key = Graph(_unit(own), _levels(own_ids)), (shard, dim, part)
-                beam, _ = graph.audited(BEAM)
-                norms = np.linalg.norm(own / np.abs(own).max(axis=1, keepdims=True), axis=1)
-                continue
-            if graph is None or key != (shard, dim, part):
-                continue
-            q, n = graph.near(_unit(v), beam, COSINE - 1e-4)
-            on = ids[q] != own_ids[n]
+class Shard:
+    """The vectors of a shard, their audited graph, and which of them are joined by links given so far."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, v: np.ndarray):
+        order = np.argsort((ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(7), kind="stable")
+        self.ids, self.sizes = ids[order], sizes[order]
+        self.v = v[order] / np.abs(v[order]).max(axis=1, keepdims=True)
+        self.norms = np.linalg.norm(self.v, axis=1)
+        self.graph = Graph(_unit(v[order]), _levels(self.ids))
+        self.beam, self.recall = self.graph.audited(BEAM)
+        self.joined = np.arange(len(ids))
+
+    def _verified(self, v: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
+        ok = np.zeros(len(q), bool)
+        for at in range(0, len(q), 1 << 16):
+            x, m = v[q[at : at + (1 << 16)]], n[at : at + (1 << 16)]
+            ok[at : at + (1 << 16)] = np.einsum("kd,kd->k", x, self.v[m]) / (np.linalg.norm(x, axis=1) * self.norms[m]) >= COSINE
+        return ok
+
+    def answer(self, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        """(a, b, others): how many vectors each query links with, and links that join components."""
+        others, links = np.zeros(len(ids), np.int64), []
+        scaled = v / np.abs(v).max(axis=1, keepdims=True)
+        for q, n in self.graph.near(_unit(v), self.beam, COSINE - 1e-4):
+            on = ids[q] != self.ids[n]
             q, n = q[on], n[on]
-            out_a, out_b = [], []
-            for at in range(0, len(q), 1 << 16):
-                x, y = v[q[at : at + (1 << 16)]], own[n[at : at + (1 << 16)]]
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                y = y / np.abs(y).max(axis=1, keepdims=True)
-                ok = np.einsum("kd,kd->k", x, y) / (np.linalg.norm(x, axis=1) * norms[n[at : at + (1 << 16)]]) >= COSINE
-                a_, b_ = ids[q[at : at + (1 << 16)][ok]], own_ids[n[at : at + (1 << 16)][ok]]
-                out_a.append(np.minimum(a_, b_))
-                out_b.append(np.maximum(a_, b_))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+            on = self._verified(scaled, q, n)
+            q, n = q[on], n[on]
+            others += np.bincount(q, self.sizes[n], len(ids)).astype(np.int64)
+            order = np.argsort(q, kind="stable")
+            q, n = q[order], n[order]
+            for k, own in zip(q[np.flatnonzero(np.append(True, q[1:] != q[:-1]))] if len(q) else [], np.split(n, np.flatnonzero(q[1:] != q[:-1]) + 1)):
+                of, first = np.unique(self.joined[own], return_index=True)
+                links += [(ids[k], self.ids[m]) for m in own[first]]
+                if len(of) > 1:
+                    self.joined[np.isin(self.joined, of)] = of[0]
+        counted = np.flatnonzero(others)
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        none = pa.nulls(len(counted), pa.int64())
+        cols = [pa.concat_arrays(x) for x in ([pa.array(ids[counted]), pa.array(a)], [none, pa.array(b)], [pa.array(others[counted]), pa.nulls(len(a), pa.int64())])]
+        return pa.RecordBatch.from_arrays(cols, ["a", "b", "others"])
+
+
+def _query_shards(dtype: str):
+    """Blocks of queries against the graph of their shard, which comes first in sorted rows."""
+
+    def task(batches):
+        shard = key = None
+        for b in batches:
+            for i in range(b.num_rows):
+                no, dim, kind, ids, sizes, data = (b.column(c)[i].as_py() for c in ("shard", "dim", "kind", "ids", "sizes", "vectors"))
+                ids, v = np.frombuffer(ids, np.int64), np.frombuffer(data, dtype).reshape(-1, dim).astype(np.float64)
+                if kind == 0:
+                    shard, key = Shard(ids, np.frombuffer(sizes, np.int64), v), (no, dim)
+                elif key == (no, dim):
+                    yield shard.answer(ids, v)
+
+    return task
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, between the distinct vectors of ``nodes`` (rep, v)."""
+    """(a, b, others) for the distinct vectors of ``nodes`` (rep, size, v).
+
+    Rows with ``others`` tell how many vectors ``a`` links with in one shard; the other rows are links,
+    enough of them to connect what is connected. Vectors of single precision travel as such.
+    """
     spark = nodes.sparkSession
     parts = shuffle_partitions(spark)
     shards = ready(SHARDS, nodes.count(), SHARD_ROWS)
-    rows = nodes.select("rep", "v", F.size("v").alias("dim"))
+    dtype = "f4" if nodes.schema["v"].dataType == T.ArrayType(T.FloatType()) else "f8"
+    rows = nodes.select("rep", "size", "v", F.size("v").alias("dim"))
+    shape = ["shard", "dim", "rep", "size", "v"]
     own = rows.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
-    own = own.repartition(max(parts, shards), "shard", "dim").sortWithinPartitions("shard", "dim", "rep").select("shard", "dim", "rep", "v")
-    graphs = saved(own.mapInArrow(_packed(0), BLOCK))
-    blocks = rows.withColumn("shard", F.lit(0)).sortWithinPartitions("dim").select("shard", "dim", "rep", "v").mapInArrow(_packed(1), BLOCK)
-    blocks = saved(blocks)
-    halves = 2  # tasks per shard
-    asks = blocks.withColumns({"shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), "part": F.pmod(F.hash("ids"), F.lit(halves))})
-    answer = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(halves - 1))))
-    every = answer.unionByName(asks).select(*[c.split()[0] for c in BLOCK.split(", ")])
-    every = every.repartition(max(parts, 2 * shards * halves), "shard", "part").sortWithinPartitions("shard", "part", "dim", "kind")
-    return saved(every.mapInArrow(_query_shards, "a long, b long").distinct())
+    own = own.repartition(max(parts, shards), "shard", "dim").sortWithinPartitions("shard", "dim", "rep").select(*shape)
+    graphs = saved(own.mapInArrow(_packed(0, dtype), BLOCK))
+    blocks = saved(rows.withColumn("shard", F.lit(0)).sortWithinPartitions("dim").select(*shape).mapInArrow(_packed(1, dtype), BLOCK))
+    asks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    every = graphs.unionByName(asks).select(*[c.split()[0] for c in BLOCK.split(", ")])
+    every = every.repartition(max(parts, 4 * shards), "shard").sortWithinPartitions("shard", "dim", "kind")
+    return saved(every.mapInArrow(_query_shards(dtype), "a long, b long, others long"))
 
 
 def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -352,19 +383,20 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor
     do vectors of different lengths or rows without an id. Equal vectors link with each other. A
-    row that repeats an id and its vector counts once as a neighbour.
+    row that repeats an id and its vector counts once as a neighbour. A cosine of exactly COSINE
+    links, other columns are ignored whatever their names, and an empty table gives an empty one.
     """
-    v = F.col(vector).cast("array<double>")
+    v = F.col(vector)
+    if rows.schema[vector].dataType != T.ArrayType(T.FloatType()):
+        v = v.cast("array<double>")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     every = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(F.coalesce(fine, F.lit(False)), v).alias("v"))
     usable = every.filter("v IS NOT NULL AND vec_id IS NOT NULL").distinct()
     nodes = saved(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
-    links = near_links(nodes.select("rep", "v"))
-    sizes = nodes.select("rep", "size")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(sizes, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("size").alias("others"))
-    comp = components(links)
-    per = sizes.join(counted, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
+    found = near_links(nodes)
+    counted = found.filter("others IS NOT NULL").groupBy("a").agg(F.sum("others").alias("others"))
+    comp = components(found.filter("others IS NULL").select("a", "b"))
+    per = nodes.select("rep", "size").join(counted, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
     per = per.select("rep", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     member = every.join(nodes.select(F.col("v").alias("of"), "rep"), F.col("v") == F.col("of"), "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("rep")).alias("mine"))
     out = member.join(per, F.col("mine") == F.col("rep"), "left")

@@ -26,7 +26,7 @@ def _vectors(rng, groups, dim=16):
 
 
 def _brute(rows):
-    fine = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    fine = [(i, np.array(v, float)) for i, v in {(i, None if v is None else tuple(v)): None for i, v in rows} if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
     links, up = {i: set() for i, _ in rows}, {}
     find = lambda x: x if up.get(x, x) == x else find(up[x])
     for k, (i, x) in enumerate(fine):
@@ -39,10 +39,44 @@ def _brute(rows):
     return {(i, len(links[i]), None if i is None else find(i)) for i, _ in rows}
 
 
+@pytest.mark.parametrize("walked", [False, True])
+def test_a_dense_shard_answers_with_few_rows(monkeypatch, walked):
+    """A third of the rows near one another, small groups apart; counts against brute force."""
+    monkeypatch.setattr(hnsw_dedup, "WALK", 0.1 if walked else 100)
+    rng = np.random.default_rng(9)
+    dim, dense = 32, 1000
+    small = np.repeat(rng.standard_normal((200, dim)), 5, axis=0) + rng.standard_normal((1000, dim)) * 0.1
+    v = np.concatenate([rng.standard_normal(dim) + rng.standard_normal((dense, dim)) * 0.2, small, rng.standard_normal((1000, dim))])[rng.permutation(3000)].astype(np.float32).astype(float)
+    ids, sizes = np.arange(3000) * 3, rng.integers(1, 4, 3000)
+    shard = hnsw_dedup.Shard(ids, sizes, v)
+    out = [r for a in range(0, 3000, 700) for r in shard.answer(ids[a : a + 700], v[a : a + 700]).to_pylist()]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    want = {int(ids[k]): int(sizes[linked[k]].sum()) for k in range(3000) if linked[k].any()}
+    got = {r["a"]: r["others"] for r in out if r["others"] is not None}
+    assert sum(got.values()) >= (0.99 if walked else 1) * sum(want.values()) and all(n <= want[i] for i, n in got.items())
+    assert walked or got == want
+    links = [(r["a"], r["b"]) for r in out if r["others"] is None]
+    assert len(links) <= 2 * 3000 < linked.sum() / 20 and all(linked[a // 3, b // 3] for a, b in links)
+    up = list(range(3000))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a // 3), find(b // 3)
+        up[max(a, b)] = min(a, b)
+    assert walked or all(find(a) == find(b) for a, b in zip(*np.nonzero(linked)))
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(5)
     rows = [(i * 7 % 1009, [float(np.float32(x)) for x in v]) for i, v in enumerate(_vectors(rng, 90))]
     rows += [(2000, None), (2001, [0.0] * 16), (2002, [1.0] * 15 + [None]), (2003, [1.0] * 15 + [float("inf")]), (2004, []), (2005, rows[0][1]), (2006, rows[0][1][:8]), (2007, [x * 1e30 for x in rows[0][1]]), (None, rows[0][1])]
+    rows += [(3000, rows[0][1]), (3000, rows[0][1])]  # a repeated row counts once
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, node string, v int").repartition(4)
     got = hnsw_dedup.near_duplicates(df).collect()
     assert {(r.vec_id, r.n_links, r.component_id) for r in got} == _brute(rows) and len(got) == len(rows)
@@ -58,7 +92,7 @@ def test_graph_recall_on_cliques_and_noise():
     g = hnsw_dedup.Graph(x, hnsw_dedup._levels(np.arange(len(x))))
     beam, recall = g.audited(hnsw_dedup.BEAM)
     assert recall >= hnsw_dedup.RECALL
-    q, n = g.near(x, beam, 0.9)
+    q, n = (np.concatenate(v) for v in zip(*g.near(x, beam, 0.9)))
     want = set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.9))))
     assert len(want & set(zip(q.tolist(), n.tolist()))) >= 0.99 * len(want)
 
@@ -71,9 +105,9 @@ def test_audit_sees_lost_small_groups(monkeypatch):
     is_hot, near = order < 1000, hnsw_dedup.Graph.near
 
     def lossy(self, q, beam, least):
-        got_q, got_n = near(self, q, beam, least)
-        on = is_hot[got_n] | (beam >= 256)
-        return got_q[on], got_n[on]
+        for got_q, got_n in near(self, q, beam, least):
+            on = is_hot[got_n] | (beam >= 256)
+            yield got_q[on], got_n[on]
 
     monkeypatch.setattr(hnsw_dedup.Graph, "near", lossy)
     beam, recall = g.audited(hnsw_dedup.BEAM)
