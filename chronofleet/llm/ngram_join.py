@@ -11,7 +11,9 @@ each shingle that could make two documents meet: in a common order of all shingl
 ones first, two linked sets share one of their first ``n - ceil(0.8 n) + 1``. Trees search only
 between documents that are not connected yet: a first step hooks each document to the first
 one that has its rarest shared shingle, and a tree whose documents are all in one component
-isn't built. No link between different components goes unchecked, so components are exact.
+isn't built. What a tree finds is verified at once, on sets that lie next to the points; a verified pair
+joins two components and ends the search between them, so a task emits fewer links than it has
+documents. No link between different components goes unchecked, so components are exact.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofleet.llm import batches as bt
@@ -32,9 +34,11 @@ GROUPS = 64
 LEAF = 32
 #: Of its first shingles so many hook a document to others at once.
 HOOKS = 5
-#: Keys of one bucket of the frequency count, and documents of one block of a tree.
+#: Keys of one bucket of the frequency count.
 BUCKET_KEYS = 1 << 20
-TREE_ROWS = 1 << 10
+#: Documents and shingles of one block of a family, on average.
+TREE_ROWS = 1 << 12
+TREE_SHINGLES = 1 << 21
 _COEFF = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
 
@@ -164,18 +168,17 @@ def _entries(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         all_rows = np.repeat(np.arange(len(s.ids)), np.diff(ends))
         point = points(h, all_rows, len(s.ids))
         for d, t in zip(docs, tokens):
-            out.append((s.ids[d], int(s.n[d]), t.tolist(), point[d].tobytes(), _pack48(h[ends[d] : ends[d + 1]])))
+            out.append((s.ids[d], int(s.n[d]), t.tolist(), point[d].tobytes(), h[ends[d] : ends[d + 1]].tobytes()))
     return pd.DataFrame(out, columns=["doc_id", "n", "tokens", "point", "hashes"])
 
 
-def _pack48(h: np.ndarray) -> bytes:
-    return (h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpack48(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
 
 def _may_link(n, m, common):
@@ -186,8 +189,8 @@ def _may_link(n, m, common):
 class CountTree:
     """A bulk-loaded R-tree over count vectors; each node has the upper corner of its points."""
 
-    def __init__(self, point: np.ndarray, comp: np.ndarray):
-        self.point, self.comp, self.size = point, comp, point.sum(axis=1)
+    def __init__(self, point: np.ndarray):
+        self.point, self.size = point, point.sum(axis=1)
         self.order = np.arange(len(point))
         self.nodes = []
         self._build(0, len(point))
@@ -196,8 +199,7 @@ class CountTree:
         own = self.order[a:b]
         p = self.point[own]
         me = len(self.nodes)
-        comp = self.comp[own]
-        self.nodes.append([p.max(axis=0), int(self.size[own].min()), int(self.size[own].max()), a, b, -1, -1, comp[0] if (comp == comp[0]).all() else None])
+        self.nodes.append([p.max(axis=0), int(self.size[own].min()), int(self.size[own].max()), a, b, -1, -1])
         if b - a > LEAF:
             axis = int(np.argmax(p.max(axis=0) - p.min(axis=0))) if self.size[own].max() <= 1.25 * self.size[own].min() else None
             key = self.size[own] if axis is None else p[:, axis]
@@ -207,68 +209,123 @@ class CountTree:
             self.nodes[me][6] = self._build(a + mid, b)
         return me
 
-    def search(self, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (asking, found), found > asking, of different components that may link."""
-        left, right = [], []
+    def search(self, ask: np.ndarray, comp: np.ndarray):
+        """Yields (candidates, found): asking points of other components that may link with one found.
+
+        ``comp`` may change between two steps: points that have come together are not given.
+        """
         todo = [(0, ask)]
         while todo:
             node, q = todo.pop()
-            top, low, high, a, b, one, two, comp = self.nodes[node]
+            top, low, high, a, b, one, two = self.nodes[node]
             n = self.size[q]
-            ok = (100 * np.minimum(n, high) >= THRESHOLD * np.maximum(n, low)) & ((comp is None) | (self.comp[q] != comp))
-            q = q[ok]
-            if not len(q):
-                continue
-            q = q[_may_link(self.size[q], low, np.minimum(self.point[q], top).sum(axis=1))]
+            q = q[100 * np.minimum(n, high) >= THRESHOLD * np.maximum(n, low)]
+            if len(q):
+                own = comp[self.order[a:b]]
+                if (own == own[0]).all():
+                    q = q[comp[q] != own[0]]
+            if len(q):
+                q = q[_may_link(self.size[q], low, np.minimum(self.point[q], top).sum(axis=1))]
             if not len(q):
                 continue
             if one >= 0:
                 todo += [(one, q), (two, q)]
                 continue
             for m in self.order[a:b]:
-                hit = q[(q < m) & (self.comp[q] != self.comp[m])]
+                hit = q[comp[q] != comp[m]]
                 hit = hit[_may_link(self.size[hit], self.size[m], np.minimum(self.point[hit], self.point[m]).sum(axis=1))]
-                left.append(hit)
-                right.append(np.full(len(hit), m))
-        if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(left), np.concatenate(right)
+                if len(hit):
+                    yield hit, m
+
+
+class Family:
+    """Documents of one pair of blocks, joined by verified links as trees over them are searched."""
+
+    def __init__(self, ids, comp, block, point, sets):
+        self.ids, self.block, self.point, self.sets = ids, block, point, sets
+        self.comp = np.unique(comp, return_inverse=True)[1]
+        self.tried = np.zeros((len(ids), -(-len(ids) // 8)), np.uint8)  # a bit per pair
+        self.links = []
+
+    def _link(self, m: int, hit: np.ndarray) -> None:
+        """Verifies ``m`` against candidates until none is left in another component."""
+        while len(hit):
+            hit = hit[(self.comp[hit] != self.comp[m]) & ((self.tried[m, hit >> 3] >> (hit & 7)) & 1 == 0)]
+            if not len(hit):
+                return
+            k, hit = int(hit[0]), hit[1:]
+            self.tried[m, k >> 3] |= 1 << (k & 7)
+            self.tried[k, m >> 3] |= 1 << (m & 7)
+            x, y = self.sets[m], self.sets[k]
+            if _may_link(len(x), len(y), _common(x, y)):
+                self.links.append((self.ids[m], self.ids[k]))
+                old, new = self.comp[k], self.comp[m]
+                self.comp[self.comp == old] = new
+
+    def search(self, rows: np.ndarray) -> None:
+        """Links between all documents of ``rows``, which share a token; of two blocks, across them."""
+        comp = self.comp[rows]
+        if (comp == comp[0]).all():
+            return
+        tree = CountTree(self.point[rows])
+        if (self.block == self.block[0]).all():
+            ask, found = np.arange(len(rows)), None
+        else:  # the smaller block asks
+            first = self.block[rows] == self.block[0]
+            ask = np.flatnonzero(first if 2 * first.sum() <= len(rows) else ~first)
+            found = self.block[rows[ask[0]]] if len(ask) else None
+        live = _Live(self.comp, rows)
+        for hit, m in tree.search(ask, live):
+            if found is None:
+                hit = hit[hit < m]  # each pair once
+            elif self.block[rows[m]] == found:
+                continue
+            self._link(int(rows[m]), rows[hit])
 
 
-def _search_groups(batches):
-    """Trees over the runs of equal token in rows sorted by family, blocks and token.
+class _Live:
+    """Components of some rows as they are now."""
 
-    Documents of a family mostly share many tokens: a set of documents that has been searched is
-    not searched again, and each pair of ids is given once per family and pair of blocks.
-    """
-    family, searched, given = None, set(), set()
+    def __init__(self, comp: np.ndarray, rows: np.ndarray):
+        self.comp, self.rows = comp, rows
+
+    def __getitem__(self, at):
+        return self.comp[self.rows[at]]
+
+
+ROW = "low long, one int, two int, block int, doc_id long, component long, tokens array<long>, point binary, hashes binary"
+
+
+def _search_families(batches):
+    """Links that join components, for each family and pair of blocks in sorted rows."""
 
     def found(rows):
-        nonlocal family
         t = pa.Table.from_batches(rows).combine_chunks()
-        ids, comp = t["doc_id"].to_numpy(), t["component"].to_numpy()
-        mine = (t["low"][0].as_py(), t["one"][0].as_py(), t["two"][0].as_py())
-        if mine != family:
-            family = mine
-            searched.clear()
-            given.clear()
-        same = hash(ids.tobytes())
-        if same in searched or (comp == comp[0]).all():
+        comp = t["component"].to_numpy()
+        if (comp == comp[0]).all():
+            return None
+        ids, block = t["doc_id"].to_numpy(), t["block"].to_numpy()
+        if (block == block[0]).all() and t["one"][0].as_py() != t["two"][0].as_py():
             return None
-        searched.add(same)
         point = np.frombuffer(b"".join(t["point"].to_pylist()), np.int32).reshape(-1, GROUPS)
-        a, b = CountTree(point, comp).search(np.arange(len(ids)))
-        pairs = [p for p in zip(np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist()) if p not in given]
-        if not pairs:
+        family = Family(ids, comp, block, point, [np.frombuffer(h.as_buffer(), np.uint64) for c in t["hashes"].chunks for h in c])
+        tokens = t["tokens"].combine_chunks()
+        values, row = tokens.flatten().to_numpy(), np.repeat(np.arange(len(ids)), tokens.value_lengths().to_numpy())
+        order = np.lexsort((row, values))
+        values, row = values[order], row[order]
+        for own in np.split(row, np.flatnonzero(values[1:] != values[:-1]) + 1):
+            if len(own) > 1:
+                family.search(own)
+        if not family.links:
             return None
-        given.update(pairs)
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+        a, b = np.array(family.links, np.int64).T
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     held, key = [], None
     for b in batches:
         if not b.num_rows:
             continue
-        k = np.stack([b.column(c).to_numpy() for c in ("low", "one", "two", "token")], 1)
+        k = np.stack([b.column(c).to_numpy() for c in ("low", "one", "two")], 1)
         change = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
         for x, y in zip(np.append(0, change), np.append(change, len(k))):
             if held and tuple(k[x]) != key:
@@ -285,8 +342,8 @@ def _verified(batches):
     for b in batches:
         keep = np.zeros(b.num_rows, bool)
         for i in range(b.num_rows):
-            x, y = (_unpack48(b.column(c)[i].as_py()) for c in ("hashes", "other"))
-            keep[i] = _may_link(len(x), len(y), len(x) + len(y) - len(np.union1d(x, y)))
+            x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in ("hashes", "other"))
+            keep[i] = _may_link(len(x), len(y), _common(x, y))
         keep = pa.array(keep)
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
@@ -315,26 +372,63 @@ def _hooked(entries: DataFrame) -> DataFrame:
     return _links(pairs.join(other, "b").select("a", "b", "point", "other").mapInArrow(_bound, "a long, b long"), entries)
 
 
-def _across(entries: DataFrame, joined: DataFrame) -> DataFrame:
-    """Links between documents of different components, from a tree per shared first shingle."""
-    spark = entries.sparkSession
+def _families(entries: DataFrame, joined: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents by family, (low, doc_id, component, n, tokens), and (token, low) of tokens in several components.
+
+    Tokens with the same smallest component are one family: their documents mostly are the same.
+    """
     comp = joined.select(F.col("node").alias("doc_id"), "component")
-    rows = saved(entries.select("doc_id", "tokens").join(comp, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "tokens"))
-    each = rows.select("doc_id", "component", F.explode("tokens").alias("token"))
-    mixed_ = each.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).filter("low < high")
-    mixed_ = saved(mixed_.select("token", "low", "many"))
-    # Tokens with the same smallest component are one family. It gets a task per pair of blocks
-    # of its documents, so that no tree holds more than two blocks.
-    sizes = mixed_.groupBy("low").agg(F.ceil(F.max("many") / TREE_ROWS).cast("int").alias("blocks"))
-    each = each.join(mixed_.select("token", "low").join(sizes, "low"), "token")
-    each = each.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    each = each.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("low", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "token", "doc_id", "component")
-    each = each.join(entries.select("doc_id", "point"), "doc_id")
-    parts = shuffle_partitions(spark)
-    each = each.repartition(parts, "low", "one", "two").sortWithinPartitions("low", "one", "two", "token", "doc_id")
-    pairs = each.mapInArrow(_search_groups, "a long, b long").distinct()
-    return _links(pairs, entries)
+    rows = entries.select("doc_id", "n", "tokens").join(comp, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "tokens")
+    each = rows.select("doc_id", "n", "component", F.explode("tokens").alias("token"))
+    if only is not None:
+        each = each.join(only, "token", "left_semi")
+    each = saved(each)
+    spread = each.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token", "low")
+    spread = saved(spread)
+    family = each.join(spread, "token").groupBy("low", "doc_id", "component", "n").agg(F.collect_list("token").alias("tokens"))
+    return saved(family), spread
+
+
+def _block(blocks: str, first: str = "0") -> Column:
+    return (F.expr(first) + F.pmod(F.xxhash64("doc_id"), F.col(blocks))).cast("int")
+
+
+def _many(docs: str, shingles: str) -> Column:
+    return F.ceil(F.greatest(F.col(docs) / TREE_ROWS, F.col(shingles) / TREE_SHINGLES)).cast("int")
+
+
+def _searched(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    rows = rows.join(entries.select("doc_id", "point", "hashes"), "doc_id").select(*[c.split()[0] for c in ROW.split(", ")])
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "low", "one", "two").sortWithinPartitions("low", "one", "two", "doc_id")
+    return saved(rows.mapInArrow(_search_families, "a long, b long"))
+
+
+def _across(entries: DataFrame, joined: DataFrame) -> DataFrame:
+    """Links between documents of different components, from a tree per shared first shingle.
+
+    A first round searches blocks of a family, each of bounded size, on their own. Families of
+    one block are done then. In the others most documents belong to one component by now; a
+    second round deals that component's documents to blocks of one kind, all others to blocks
+    of another, and searches every pair of blocks but those of two blocks of the first kind.
+    """
+    family, spread = _families(entries, joined)
+    sizes = saved(family.groupBy("low").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).withColumn("blocks", _many("docs", "shingles")))
+    own = family.join(sizes.select("low", "blocks"), "low").withColumn("one", _block("blocks"))
+    first = _searched(own.withColumns({"two": F.col("one"), "block": F.col("one")}), entries)
+    large = sizes.filter("blocks > 1")
+    if large.isEmpty():
+        return first
+    joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(first))
+    family, _ = _families(entries, joined, spread.join(large, "low", "left_semi"))
+    sizes = family.groupBy("low", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    main = sizes.groupBy("low").agg(F.max(F.struct("docs", "component")).alias("top")).select("low", F.col("top.component").alias("main"))
+    kind = F.col("component") == F.col("main")
+    sizes = sizes.join(main, "low").groupBy("low", "main").agg(*[F.sum(F.when(k, F.col(c)).otherwise(0)).alias(f"{c}_{name}") for c in ("docs", "shingles") for name, k in (("main", kind), ("rest", ~kind))])
+    sizes = saved(sizes.select("low", "main", _many("docs_rest", "shingles_rest").alias("rest"), _many("docs_main", "shingles_main").alias("most")))
+    rows = family.join(sizes, "low").withColumn("block", F.when(kind, _block("most", "rest")).otherwise(_block("rest")))
+    with_ = F.when(kind, F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("most") - 1))
+    rows = rows.withColumn("with", F.explode(with_)).withColumns({"one": F.least("block", "with"), "two": F.greatest("block", "with")})
+    return first.union(_searched(rows, entries))
 
 
 def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -342,7 +436,9 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     A text without words, or null, has no shingles and is linked with nothing; one with fewer words
     than a shingle has its whole sequence as one. Rows that repeat an id are one document with
-    the links of all its texts; a row without an id gets its size and no component.
+    the links of all its texts; a row without an id gets its size and no component. Texts of
+    any length count whole, similarity of exactly THRESHOLD links, other columns are ignored
+    whatever their names, and an empty table gives an empty one.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -6,7 +6,7 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -86,7 +86,7 @@ def test_count_tree_loses_no_link():
     base = rng.poisson(3, (40, ngram_join.GROUPS))
     point = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0) for _ in range(6)]).astype(np.int32)
     comp = np.arange(len(point))
-    got = set(zip(*(x.tolist() for x in ngram_join.CountTree(point, comp).search(comp))))
+    got = {tuple(sorted((int(q), int(m)))) for hit, m in ngram_join.CountTree(point).search(np.arange(len(point)), comp) for q in hit}
     size = point.sum(axis=1)
     for i in range(len(point)):
         for j in range(i + 1, len(point)):
@@ -94,6 +94,19 @@ def test_count_tree_loses_no_link():
                 assert (i, j) in got
 
 
+def test_a_hot_family_gives_joining_links_only():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 62, 300, dtype=np.uint64))
+    sets = [np.sort(np.concatenate([base[rng.random(len(base)) > 0.02 * (k % 8)], rng.integers(0, 1 << 62, 3 * (k % 8), dtype=np.uint64)])) for k in range(400)]
+    rows = np.repeat(np.arange(400), [len(x) for x in sets])
+    point = ngram_join.points(np.concatenate(sets), rows, 400)
+    family = ngram_join.Family(np.arange(1000, 1400), np.arange(400), np.zeros(400, int), point, sets)
+    family.search(np.arange(400))
+    assert len(family.links) == 400 - len(np.unique(family.comp)) < 400
+    alike = [[180 * len(np.intersect1d(x, y)) >= 80 * (len(x) + len(y)) for y in sets[:60]] for x in sets[:60]]
+    assert all(family.comp[i] == family.comp[j] for i in range(60) for j in range(60) if alike[i][j])
+
+
 def test_large_bucket_is_split(spark, documents, monkeypatch):
     monkeypatch.setattr(ngram_join, "TREE_ROWS", 3)
     rows = _near_copies()
@@ -283,15 +296,26 @@ def test_packing_keeps_every_row(spark, documents, odd_rows, monkeypatch):
     assert sorted(got) == sorted((r[0], (r[1] or "").encode()) for r in odd_rows if r[0] is not None)
 
 
-def test_training_drops_near_copies_only(spark):
-    import pyarrow as pa
+def test_scores_equal_sums_over_whole_texts(documents, odd_rows, monkeypatch):
+    """Every row's score against the plain sum of its coordinates' weights; long, empty, null and repeated rows."""
+    rng = np.random.default_rng(6)
+    at = np.sort(rng.choice(toxicity.BIAS, 200_000, replace=False))
+    model = at, rng.standard_normal(len(at)).astype(np.float32) / 50, -0.3
+    full = np.zeros(toxicity.BIAS)
+    full[at] = model[1]
 
-    rng = random.Random(4)
-    text = [" ".join(["the cat sat", *(f"w{rng.randrange(10**6)}" for _ in range(4))]) for _ in range(300)] + ["", "one", "ONE", "a b c", "A b  c"]
-    batch = pa.RecordBatch.from_arrays([pa.array(text)], ["text"])
-    sig = [s for b in toxicity._signature([batch]) for s in b.column("sig").to_pylist()]
-    assert len(set(sig[:300])) == 300
-    assert len(set(sig[300:])) == 3 and sig[301] == sig[302] and sig[303] == sig[304]
+    def plain(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        counts = Counter(toxicity.coordinates(data, np.array([0, len(data)]))[1].tolist())
+        total = sum(full[toxicity._leveled(np.array([c]), level)[0]] for c, n in counts.items() for level in toxicity.LEVELS if n >= level)
+        return 1 / (1 + np.exp(-np.clip(total + model[2], -35, 35)))
+
+    docs = documents(odd_rows)
+    got = toxicity.scored(docs, model, keep=docs.columns, score="_p").select("doc_id", "text", "_p").collect()
+    assert len(got) == len(odd_rows) and sorted(map(str, [r[:2] for r in got])) == sorted(map(str, [tuple(r[:2]) for r in odd_rows]))
+    assert all(abs(r["_p"] - plain(r["text"])) < 1e-6 for r in got)
+    again = toxicity.scored(docs, model).collect()
+    assert sorted(round(r["score"], 12) for r in again) == sorted(round(r["_p"], 12) for r in got)
 
 
 def test_toxicity_learns_words_and_ignores_labels_it_must_not_see(spark, documents):
