@@ -11,13 +11,12 @@ broadcast; the final weights keep the coordinates that aren't 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronofleet.llm.common import Rolling, lowered, mixed, pieces, saved, strings, table, words
 
@@ -27,8 +26,8 @@ STEMS = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 4)
 #: Documents with a label that training uses at most: those of the smallest hash.
 TRAIN_ROWS = 1 << 15
-#: Smallest pair hashes that near copies must share, all of them, for one to stand for the rest.
-MIN_HASHES = 8
+#: Bytes of text that are taken apart at a time; a longer document is taken alone.
+PIECE_BYTES = 1 << 18
 SHARDS = 24
 ROUNDS = 24
 ALPHA, BETA, L1 = 0.2, 1.0, 0.2
@@ -84,33 +83,9 @@ def features(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(r), np.concatenate(x)
 
 
-def _signature(batches):
-    """Adds a hash of the ``MIN_HASHES`` smallest pair hashes of each text, each by a hash of its own.
-
-    Texts whose pair sets have a Jaccard similarity of J share it with a chance of J ** MIN_HASHES.
-    """
-    for b in batches:
-        for part in pieces(b, "text"):
-            buf, offs = strings(part.column("text"))
-            start, end, row = words(lowered(buf), offs)
-            h = Rolling(lowered(buf)).of(start, end)
-            same = row[1:] == row[:-1]
-            alone = np.bincount(row, minlength=part.num_rows)[row] < 2
-            rows = np.concatenate([row[1:][same], row[alone]])
-            at = np.concatenate([mixed(h[:-1][same] * _A + h[1:][same] * _B), h[alone]])
-            order = np.argsort(rows, kind="stable")
-            rows, at = rows[order], at[order]
-            own, first = np.unique(rows, return_index=True)
-            sig = np.zeros(part.num_rows, np.uint64)
-            for k in range(MIN_HASHES if len(own) else 0):
-                least = np.minimum.reduceat(mixed(at + np.uint64(k) * _C), first)
-                sig[own] = mixed(sig[own] * _A + least)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig.view(np.int64))], [*part.schema.names, "sig"])
-
-
 def _featured(pdf: pd.DataFrame):
     batch = pa.RecordBatch.from_arrays([pa.array(pdf["text"], pa.string()), pa.array(pdf["toxic"], pa.int64())], ["text", "toxic"])
-    for part in pieces(batch, "text"):
+    for part in pieces(batch, "text", PIECE_BYTES):
         yield part.column("toxic").to_numpy(), *coordinates(*strings(part.column("text")))
 
 
@@ -175,18 +150,16 @@ def _gradients(w: np.ndarray):
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """(coordinates, weights, bias) from labelled documents outside the held-out fold.
 
-    Rows without a label or an id are not used; of several labels of an id the largest counts;
-    of near copies with the same label one is used, where near means that ``MIN_HASHES`` smallest pair
-    hashes are equal, so texts less than half alike fall together in fewer than 1 of 256 cases. Without any label all weights and the bias are 0: scores of 0.5.
+    Rows without a label or an id are not used; of several labels of an id the largest counts, and
+    rows that repeat an id count each. Without any label all weights and the bias are 0: scores of 0.5.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(fold != HELD_OUT)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")).withColumn("hash", F.xxhash64("doc_id"))
     known = known.orderBy("hash", "doc_id").limit(TRAIN_ROWS).select("doc_id", "toxic")  # bounded, so it may be broadcast
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = text.join(F.broadcast(known), "doc_id").mapInArrow(_signature, "doc_id long, text string, toxic long, sig long")
-    rows = rows.groupBy("sig", "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
-    rows = saved(rows.select("text", "toxic", F.pmod(F.xxhash64("sig"), F.lit(SHARDS)).cast("int").alias("shard")))
+    rows = text.join(F.broadcast(known), "doc_id")
+    rows = saved(rows.select("text", "toxic", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARDS)).cast("int").alias("shard")))
     total, positive = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not total:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
@@ -215,31 +188,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     return at[keep], w[keep].astype(np.float32), float(w[-1])
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep=("doc_id",), text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep=("doc_id",), text: str = "text", score: str = "score") -> DataFrame:
     """The columns ``keep`` and ``score`` per row, from the whole text; null text counts as empty."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, own = docs.sparkSession.sparkContext.broadcast(model), text if text in keep else "_scored"
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def task(batches):
         at, w, bias = sent.value
         full = np.zeros(1 << BITS, np.float32)
         full[at] = w
         wanted = _wanted(at)
-        for texts in parts:
-            out = []
-            for part in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text"):
-                rows, x = coordinates(*strings(part.column("text")))
+        for b in batches:
+            for part in pieces(b, own, PIECE_BYTES):
+                rows, x = coordinates(*strings(part.column(own)))
                 hit = wanted[x]
                 rows, x = features(rows[hit], x[hit])
                 total = bias + np.bincount(rows, full[x], part.num_rows)
-                out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-            yield pd.Series(np.concatenate(out) if out else [], dtype=float)
+                p = pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], p], [*keep, score])
 
-    return docs.select(*keep, score(F.col(text)).alias("score"))
+    rows = docs.select(*keep) if own == text else docs.select(*keep, F.col(text).alias(own))
+    return rows.mapInArrow(task, T.StructType([*rows.schema.fields[: len(keep)], T.StructField(score, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted per row of ``docs``; rows without an id are in fold 0."""
+    """doc_id, held_out, score, predicted per row of ``docs``; rows without an id are in fold 0.
+
+    A null text is scored like an empty one (the bias alone), a text of any length whole; repeated
+    rows get equal scores. Other columns are ignored whatever their names; an empty table gives
+    an empty one, and without usable labels every score is 0.5.
+    """
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % FOLDS
     out = scored(docs, fit(docs, labels))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
