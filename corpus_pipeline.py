@@ -16,8 +16,8 @@ from chronofleet.llm.common import saved, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the threshold of the classifier trained on ``labels``."""
-    scores = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=docs.columns)
-    return scores.filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    scores = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=docs.columns, score="_toxicity")
+    return scores.filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
