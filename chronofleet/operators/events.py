@@ -24,6 +24,10 @@ SAFE_INTEGER = 2**53 - 1
 
 _NO_TAGS = "map<string,string>"
 
+#: A document is one row of the input, so its entries have been together in a task before: they are
+#: ordered there too, without counting them first.
+DOC_ENTRIES = 500_000
+
 
 def no_tags() -> Column:
     return F.create_map().cast(_NO_TAGS)
@@ -109,7 +113,7 @@ def parse_events(docs: DataFrame, now_ms: int = 0, target_rows: int | None = Non
     minted = F.concat(F.lit("bm-"), F.hex(F.xxhash64("source_id", "ord")))
     rows = entries.withColumns({"_id": F.coalesce("_id", minted), "ord": F.col("ord").cast("bigint")}).drop("ok")
     good = rows.join(rejected, "source_id", "left_anti")
-    named = dedupe_names(good, "_id", "ord", ["source_id"], "%s_%d", r"^(.*)_(\d+)$", target_rows)
+    named = dedupe_names(good, "_id", "ord", ["source_id"], "%s_%d", r"^(.*)_(\d+)$", target_rows, at_most=DOC_ENTRIES)
     out = named.withColumn("created_at", F.coalesce("created_at", F.lit(now_ms).cast("bigint"))).withColumnRenamed("unique_name", "id")
     return out.select("source_id", "ord", *FIELDS), rejected
 

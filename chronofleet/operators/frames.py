@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofleet.functions.numeric import double_to_long
-from chronofleet.plans.scan import OrderedScan
+from chronofleet.plans.histogram import DENSE_BITS
+from chronofleet.plans.scan import TARGET_ROWS, OrderedScan
 
 # Smoothness limits and histogram edges of the pacing verdict.
 SMOOTH_JITTER_RATIO = 0.25
@@ -54,7 +55,7 @@ def frames_from(frames: DataFrame, t_ns: int, by: Sequence[str] = ("source_id",
 
 def coverage_ranges(frames: DataFrame, by: Sequence[str] = ("source_id", "channel_id"), target_rows: int | None = None) -> DataFrame:
     """Runs of consecutive decode indices as ``[min pts, max pts + 1)``."""
-    ranked = OrderedScan(frames, by, "decode_idx", [], target_rows, F.lit(0)).rank("_rank").run()
+    ranked = OrderedScan(frames, by, "decode_idx", [], target_rows, F.lit(0), slice_bits=DENSE_BITS).rank("_rank").run()
     return (
         ranked.withColumn("_run", F.col("decode_idx") - F.col("_rank"))
         .groupBy(*by, "_run")
@@ -121,10 +122,14 @@ def ranked_pick(
 
     ``value`` is an integer, refined by ``tie`` where it is the coarse form of another
     number (which is then what is picked). Equal values are pre-counted, so what is
-    ranked is the set of distinct values. ``at_most`` bounds the rows per group, if known.
+    ranked is the set of distinct values. ``at_most`` bounds the rows per group, if known: groups
+    under the target are sorted as arrays within one aggregate.
     """
     by = list(by)
     keys = [value] if tie is None else [value, tie]
+    if at_most is not None and at_most <= (target_rows or TARGET_ROWS):
+        held = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*keys))).alias("_held"))
+        return held.filter(F.size("_held") > 0).select(*by, *[_pick("_held", *p)[keys[-1]].alias(name) for name, p in picks.items()])
     distinct = df.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("_m"))
     total = distinct.groupBy(*by).agg(F.sum("_m").alias("_n"))
     scan = OrderedScan(distinct, by, value, keys[1:], target_rows, F.col(tie) if tie else F.lit(0), at_most=at_most)
@@ -136,6 +141,12 @@ def ranked_pick(
     return joined.groupBy(*by).agg(*aggs)
 
 
+def _pick(held: str, a: int, b: int) -> Column:
+    """The element of a sorted array at 0-based index ``floor(n * a / b)``, at most n-1."""
+    n = F.size(held)
+    return F.get(held, F.least(n - 1, F.floor(n * a / b)).cast("int"))
+
+
 def paint_steps(trace: DataFrame, by: Sequence[str], target_rows: int | None = None) -> DataFrame:
     """Dwell (wall ns) and step (pts ns) between consecutive paints of a trace."""
     return _paint_steps(trace, by, target_rows)[0]
@@ -153,18 +164,25 @@ def _paint_steps(trace: DataFrame, by: Sequence[str], target_rows: int | None) -
     return steps, scan.largest
 
 
-def pacing_summary(trace: DataFrame, by: Sequence[str], speed: float = 1.0, target_rows: int | None = None) -> DataFrame:
-    """Frame-pacing statistics of each paint trace ``(by, wall_ns, pts_ns, seq)``.
+def _live_small(pairs: DataFrame, by: list[str], speed: float) -> DataFrame:
+    """Pairs with the quantiles of their group, for groups that fit an array: one pass over the pairs.
 
-    Traces with fewer than three paints keep their paint count; the rest is zero.
+    The three measures are sorted side by side in the aggregate that gathers a group, and the
+    group is unfolded again in the same partition.
     """
-    by = list(by)
-    speed = speed if speed > 0 else 1.0
-    steps, largest = _paint_steps(trace, by, target_rows)
-    intended = F.col("step_ns") / 1e6 / F.lit(speed)
-    pairs = steps.withColumn("dwell_ms", F.col("dwell_ns") / 1e6).withColumn("intended_ms", intended)
-    pairs = pairs.withColumn("err_ms", F.col("dwell_ms") - F.col("intended_ms")).withColumn("abs_err_ms", F.abs("err_ms"))
-    counts = trace.groupBy(*by).agg(F.count(F.lit(1)).alias("paints"))
+    row = ["pair_no", "dwell_ns", "step_ns", "dwell_ms", "intended_ms", "err_ms", "abs_err_ms"]
+    sorted_ = [F.array_sort(F.collect_list(c)).alias(f"_s_{c}") for c in ("step_ns", "dwell_ms", "abs_err_ms")]
+    group = pairs.groupBy(*by).agg(F.collect_list(F.struct(*row)).alias("_rows"), *sorted_).filter(F.size("_rows") >= 2)
+    step = F.abs(_pick("_s_step_ns", 1, 2))
+    group = group.select(
+        *by, "_rows", (F.size("_rows") + 1).cast("bigint").alias("paints"), step.alias("source_interval_ns"), (step / F.lit(speed) / 1e6).alias("ideal_dwell_ms"),
+        _pick("_s_dwell_ms", 1, 2).alias("p50_dwell_ms"), _pick("_s_dwell_ms", 95, 100).alias("p95_dwell_ms"), _pick("_s_abs_err_ms", 95, 100).alias("player_err_p95_ms"),
+    )
+    return group.select("*", F.inline("_rows")).drop("_rows")
+
+
+def _live_large(pairs: DataFrame, counts: DataFrame, by: list[str], speed: float, target_rows: int | None, largest: int) -> DataFrame:
+    """Pairs with the quantiles of their group, ranked over the distinct values of each measure."""
     # The three distributions are ranked together, one row per measure and pair: an
     # integer of nanoseconds, with the exact error as its tie.
     abs_err = F.col("abs_err_ms")
@@ -186,10 +204,27 @@ def pacing_summary(trace: DataFrame, by: Sequence[str], speed: float = 1.0, targ
         quantile("err", "_q95").alias("player_err_p95_ms"),
     )
     ideal = F.abs(F.col("_step")) / F.lit(speed) / 1e6
-    quoted = ["p50_dwell_ms", "p95_dwell_ms", "player_err_p95_ms"]
     base = counts.filter(F.col("paints") >= 3).join(picked, by).withColumn("source_interval_ns", F.abs(F.col("_step"))).withColumn("ideal_dwell_ms", ideal)
-    base = base.select(*by, "paints", "source_interval_ns", "ideal_dwell_ms", *quoted)
-    live = pairs.join(base, by)
+    return pairs.join(base.drop("_step"), by)
+
+
+def pacing_summary(trace: DataFrame, by: Sequence[str], speed: float = 1.0, target_rows: int | None = None) -> DataFrame:
+    """Frame-pacing statistics of each paint trace ``(by, wall_ns, pts_ns, seq)``.
+
+    Traces with fewer than three paints keep their paint count; the rest is zero.
+    """
+    by = list(by)
+    speed = speed if speed > 0 else 1.0
+    steps, largest = _paint_steps(trace, by, target_rows)
+    intended = F.col("step_ns") / 1e6 / F.lit(speed)
+    pairs = steps.withColumn("dwell_ms", F.col("dwell_ns") / 1e6).withColumn("intended_ms", intended)
+    pairs = pairs.withColumn("err_ms", F.col("dwell_ms") - F.col("intended_ms")).withColumn("abs_err_ms", F.abs("err_ms"))
+    counts = trace.groupBy(*by).agg(F.count(F.lit(1)).alias("paints"))
+    quoted = ["p50_dwell_ms", "p95_dwell_ms", "player_err_p95_ms"]
+    if largest <= (target_rows or TARGET_ROWS):
+        live = _live_small(pairs, by, speed)
+    else:
+        live = _live_large(pairs, counts, by, speed, target_rows, largest)
     d, i = F.col("dwell_ms"), F.col("ideal_dwell_ms")
     ratio = d / F.when(i > 0, i)
     repeat, rushed = (i > 0) & (d >= REPEAT_RATIO * i), (i > 0) & (d <= RUSHED_RATIO * i)

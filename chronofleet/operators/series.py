@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronofleet.functions.geometry import yaw
 from chronofleet.functions.numeric import finite_or_null, is_finite, nan
 from chronofleet.operators.ranges import KEY
-from chronofleet.plans.scan import OrderedScan, series_sizes
+from chronofleet.plans.scan import OrderedScan
 
 
 # -- pointwise and neighbour transforms ------------------------------------------
@@ -45,9 +45,12 @@ def _slope(ts: str, value: str):
     return F.when(dt > 0, (F.col(value) - F.col(f"_p.v.{value}")) / F.when(dt > 0, dt)).otherwise(nan())
 
 
-def derivative(samples: DataFrame, by: Sequence[str] = KEY, target_rows: int | None = None) -> DataFrame:
-    """Change per second; NaN on the first sample and where time does not advance."""
-    rows = OrderedScan(samples, by, target_rows=target_rows).lag("_p", F.struct("ts_ns", "value")).run()
+def derivative(samples: DataFrame, by: Sequence[str] = KEY, target_rows: int | None = None, histogram: DataFrame | None = None) -> DataFrame:
+    """Change per second; NaN on the first sample and where time does not advance.
+
+    ``histogram``, here and elsewhere, is the one stored with the lake that ``samples`` come from.
+    """
+    rows = OrderedScan(samples, by, target_rows=target_rows, histogram=histogram).lag("_p", F.struct("ts_ns", "value")).run()
     return rows.withColumn("value", _slope("ts_ns", "value")).select(*samples.columns)
 
 
@@ -70,10 +73,10 @@ def _gradient_of(rise_before: Column, rise_after: Column) -> Column:
     return F.coalesce(slope, nan())
 
 
-def gradient(samples: DataFrame, by: Sequence[str] = KEY, target_rows: int | None = None) -> DataFrame:
+def gradient(samples: DataFrame, by: Sequence[str] = KEY, target_rows: int | None = None, histogram: DataFrame | None = None) -> DataFrame:
     """Second-order central difference on uneven time, one-sided at both ends."""
     here = F.struct("ts_ns", "value")
-    rows = OrderedScan(samples, by, target_rows=target_rows).lag("_p", here).lead("_n", here).run()
+    rows = OrderedScan(samples, by, target_rows=target_rows, histogram=histogram).lag("_p", here).lead("_n", here).run()
     v = F.col("value")
     slope = _gradient_of(v - F.col("_p.v.value"), F.col("_n.v.value") - v)
     return rows.withColumn("value", slope).select(*samples.columns)
@@ -88,13 +91,13 @@ def _turns(step: Column) -> Column:
     return F.coalesce(turns, F.lit(0).cast("bigint"))
 
 
-def unwrap(samples: DataFrame, by: Sequence[str] = KEY, target_rows: int | None = None) -> DataFrame:
+def unwrap(samples: DataFrame, by: Sequence[str] = KEY, target_rows: int | None = None, histogram: DataFrame | None = None) -> DataFrame:
     """Remove 2*pi jumps from an angle series.
 
     Each step contributes a whole number of turns; the running total is an integer sum,
     so it does not depend on how the series is split.
     """
-    first = OrderedScan(samples, by, target_rows=target_rows).lag("_p", F.col("value"))
+    first = OrderedScan(samples, by, target_rows=target_rows, histogram=histogram).lag("_p", F.col("value"))
     rows = first.run(keep=True).withColumn("_turns", _turns(F.col("value") - F.col("_p.v")))
     total = OrderedScan(rows, by, like=first).running_sum("_total", F.col("_turns")).run()
     return total.withColumn("value", F.col("value") + F.col("_total") * (2 * math.pi)).select(*samples.columns)
@@ -136,8 +139,17 @@ def _check_channels(channels: Sequence[str]) -> list[str]:
     return channels
 
 
+def _gathered(picked: DataFrame, channels: list[str], by: list[str], probe: OrderedScan) -> tuple[DataFrame, bool]:
+    """``picked`` with all channels of a group in one partition, where no group is hot.
+
+    Windows per channel, aggregates per time and windows per group then share that one exchange.
+    """
+    cold = bool(by) and probe.size() * len(channels) <= probe.target
+    return (picked.repartition(*by), True) if cold else (picked, False)
+
+
 def align_union(
-    samples: DataFrame, channels: Sequence[str], by: Sequence[str] = ("source_id",), target_rows: int | None = None
+    samples: DataFrame, channels: Sequence[str], by: Sequence[str] = ("source_id",), target_rows: int | None = None, histogram: DataFrame | None = None
 ) -> DataFrame:
     """One row per time of any channel; absent and non-finite values are NULL.
 
@@ -145,9 +157,11 @@ def align_union(
     """
     channels = _check_channels(channels)
     by = list(by)
-    picked = samples.filter(F.col("channel_id").isin(*channels))
+    picked = samples.filter(F.col("channel_id").isin(*channels)).select(*by, "channel_id", "ts_ns", "seq", "value")
     series = [*by, "channel_id"]
-    first = OrderedScan(picked, series, target_rows=target_rows).rank("_rank").lag("_p", F.col("ts_ns"))
+    probe = OrderedScan(picked, series, target_rows=target_rows, histogram=histogram)
+    picked, _ = _gathered(picked, channels, by, probe)
+    first = OrderedScan(picked, series, target_rows=target_rows, sized=probe).rank("_rank").lag("_p", F.col("ts_ns"))
     rows = first.run(keep=True)
     opens = F.col("_p").isNull() | (F.col("_p.v") != F.col("ts_ns"))
     rows = rows.withColumn("_open", F.when(opens, F.col("_rank"))).drop("_p")
@@ -183,6 +197,7 @@ def align_hold(
     threshold_ns: float | None,
     by: Sequence[str] = ("source_id",),
     target_rows: int | None = None,
+    histogram: DataFrame | None = None,
 ) -> DataFrame:
     """Step-hold alignment: the last sample is held while its age is within the threshold.
 
@@ -190,16 +205,19 @@ def align_hold(
     start of the gap. Without a usable threshold this is :func:`align_union`.
     """
     if threshold_ns is None or not math.isfinite(threshold_ns) or threshold_ns <= 0:
-        return align_union(samples, channels, by, target_rows)
+        return align_union(samples, channels, by, target_rows, histogram)
     channels = _check_channels(channels)
     by = list(by)
     threshold = int(threshold_ns)
     step = max(1, round(threshold * 1e-6))
     picked = samples.filter(F.col("channel_id").isin(*channels)).select(*by, "channel_id", "ts_ns", "seq", "value")
     # One count bounds both scans: a sample adds at most two marker rows.
-    _, largest = series_sizes(picked, by)
+    series = [*by, "channel_id"]
+    probe = OrderedScan(picked, series, target_rows=target_rows, histogram=histogram)
+    largest = probe.size() * len(channels)
+    picked, _ = _gathered(picked, channels, by, probe)
     # Of several samples at one time only the last sees a gap after it.
-    scan = OrderedScan(picked, [*by, "channel_id"], target_rows=target_rows, at_most=largest)
+    scan = OrderedScan(picked, series, target_rows=target_rows, sized=probe)
     gaps = scan.lead("_n", F.col("ts_ns")).run()
     gap = F.col("_n.v") - F.col("ts_ns") > threshold
     held_end = F.col("ts_ns") + threshold
@@ -228,6 +246,7 @@ def table_model(
     by: Sequence[str] = ("source_id",),
     max_rows: int | None = None,
     target_rows: int | None = None,
+    histogram: DataFrame | None = None,
 ) -> DataFrame:
     """One row per distinct time; every cell holds its channel's last value (NaN kept).
 
@@ -237,10 +256,12 @@ def table_model(
     """
     channels = _check_channels(channels)
     by = list(by)
-    picked = samples.filter(F.col("channel_id").isin(*channels))
+    picked = samples.filter(F.col("channel_id").isin(*channels)).select(*by, "channel_id", "ts_ns", "seq", "value")
+    probe = OrderedScan(picked, by, target_rows=target_rows, histogram=histogram)
+    if by and probe.size() <= probe.target:
+        picked = picked.repartition(*by)  # times are formed and scanned after one exchange
     wide = _wide_last(picked, channels, by)
-    _, largest = series_sizes(picked, by)
-    scan = OrderedScan(wide, by, "ts_ns", [], target_rows, F.lit(0), at_most=largest).rank("_row")
+    scan = OrderedScan(wide, by, "ts_ns", [], target_rows, F.lit(0), sized=probe).rank("_row")
     for i in range(len(channels)):
         scan.fill(f"_h{i}", F.col(f"_c{i}"))
     held = scan.run()
@@ -287,7 +308,7 @@ def compare_sources(stats: DataFrame, left_source: str, right_source: str, toler
 
 
 def state_segments(
-    samples: DataFrame, range_end_ns: int, by: Sequence[str] = KEY, value: str = "value", target_rows: int | None = None
+    samples: DataFrame, range_end_ns: int, by: Sequence[str] = KEY, value: str = "value", target_rows: int | None = None, histogram: DataFrame | None = None
 ) -> DataFrame:
     """Runs of equal state as ``[start_ns, end_ns)``; a non-finite run is one NULL gap.
 
@@ -296,7 +317,7 @@ def state_segments(
     by = list(by)
     state = finite_or_null(F.col(value).cast("double"))
     rows = samples.select(*by, "ts_ns", "seq", state.alias("state"))
-    first = OrderedScan(rows, by, target_rows=target_rows).lag("_p", F.col("state"))
+    first = OrderedScan(rows, by, target_rows=target_rows, histogram=histogram).lag("_p", F.col("state"))
     prev = first.run(keep=True)
     changed = F.col("_p").isNull() | ~F.col("state").eqNullSafe(F.col("_p.v"))
     starts = prev.filter(changed).drop("_p")

@@ -1,14 +1,17 @@
 """Ordered scans (lag, lead, fill, rank, running aggregates) that split hot series.
 
 ``Window.partitionBy(series).orderBy(ts)`` puts a whole series in one task, and one
-series may hold a large share of all rows. An :class:`OrderedScan` looks at the row
-count per series first. Series below ``target_rows`` use the plain window. A larger
-one is cut into cells of consecutive time:
+series may hold a large share of all rows. An :class:`OrderedScan` looks at a histogram
+of rows per series and time slice first: the one stored with the lake, else one counting
+job. Series below ``target_rows`` use the plain window. A larger one is cut into cells of
+consecutive time:
 
 1. a cell above the target is cut into power-of-two time slices sized from its own
-   count and its own first and last time; this repeats until every cell fits, so a
-   dense minute inside a sparse year is found after a few rounds;
-2. a cell that is one single nanosecond cannot be cut by time and is cut by the
+   count and its own first and last time; the histogram tells which of these are still
+   too large, so a dense minute inside a sparse year is found without another job;
+2. only where a single slice of the histogram is above the target, or the order is
+   no time, cells are counted again until they fit;
+3. a cell that is one single nanosecond cannot be cut by time and is cut by the
    sequence column that orders its ties.
 
 Each cell is scanned by its own window. What crosses cell borders (last value, count,
@@ -16,24 +19,38 @@ sum, maximum so far) is pre-aggregated to one row per cell with map-side combini
 accumulated over that small frame, and joined back. Cells are a pure function of the
 data, so a recomputed task lands on the same cells.
 
-Only cells above the target are ever collected: at most ``total rows / target``, and
-the target is raised so that this never exceeds ``MAX_HOT_CELLS``.
+Only cells above the target are ever collected: at most ``total rows / target`` of each
+width, and the target is doubled until these fit ``MAX_HOT_CELLS``. Keys may be NULL. Carries are broadcast
+only if the number of cells times the width of a row is proven to be under ``CARRY_BYTES``.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronofleet.plans.histogram import SLICE_BITS, WHOLE, hot_slices, merged, time_histogram
+
 TARGET_ROWS = 1_000_000
 MAX_HOT_CELLS = 100_000
+CARRY_BYTES = 64 << 20
 FINE_PIECES = 1_024
 TIE_BITS = 17
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_FIXED = (*_INTEGRAL, T.FloatType, T.DoubleType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
+
+
+def fixed_width(t: T.DataType) -> int | None:
+    """Bytes of a value whose size does not depend on the data, at most; None for other types."""
+    if isinstance(t, T.StructType):
+        parts = [fixed_width(f.dataType) for f in t.fields]
+        return None if None in parts else 24 + sum(parts)
+    return 24 if isinstance(t, _FIXED) else None
 
 
 def order_prefix(cols: Sequence[Column], dtypes: Sequence[T.DataType], bits: int) -> list[Column]:
@@ -48,13 +65,6 @@ def order_prefix(cols: Sequence[Column], dtypes: Sequence[T.DataType], bits: int
     return [*head, last]
 
 
-def series_sizes(frame: DataFrame, by: Sequence[str]) -> tuple[int, int]:
-    """Rows in total and in the largest series."""
-    sizes = frame.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    return total or 0, largest or 0
-
-
 class OrderedScan:
     """Collects column requests over one ordering, then adds them in one plan."""
 
@@ -68,14 +78,28 @@ class OrderedScan:
         tie_cell: Column | None = None,
         like: OrderedScan | None = None,
         at_most: int | None = None,
+        histogram: DataFrame | None = None,
+        slice_bits: int | None = None,
+        sized: OrderedScan | None = None,
     ):
         self.df, self.by, self.ts, self.tie = df, list(by), ts, list(tie)
+        self._columns = df.columns
+        if not self.by:
+            self.by, self.df = ["_one"], df.withColumn("_one", F.lit(0))
+            histogram = None if histogram is None else histogram.withColumn("_one", F.lit(0))
         self.target = max(1, target_rows or TARGET_ROWS)
         self._tie_cell = tie_cell
         self._like = like
         self._at_most = at_most
         self.largest = at_most
-        self._hot, self._tied = False, False
+        self._histogram = histogram
+        # Times are ns by contract; other orders say how dense they are, or are counted as they are.
+        self._bits = slice_bits if slice_bits is not None else SLICE_BITS if ts.endswith("_ns") or histogram is not None else None
+        self._rows: list | None = None
+        if sized is not None and sized.size() is not None:  # counts of the same series with no fewer rows
+            self._rows, self.largest, self.target, self._at_most = sized._rows, sized.largest, sized.target, sized._at_most
+        self._hot, self._tied, self._cells = False, False, 0
+        self._null_keys, self._key_bytes = False, 0
         self._ops: list[tuple[str, str, Column | None]] = []
 
     # -- requests ---------------------------------------------------------------
@@ -112,54 +136,99 @@ class OrderedScan:
         # Bounded: every returned cell holds more than ``target`` of ``total`` rows.
         return (
             frame.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(self.ts).alias("_lo"), F.max(self.ts).alias("_hi"))
-            .filter(F.col("_n") > self.target)
+            .agg(F.count(F.lit(1)).alias("n"), F.min(self.ts).alias("lo"), F.max(self.ts).alias("hi"))
+            .filter(F.col("n") > self.target)
             .collect()
         )
 
+    def _counted(self, key_frame: DataFrame) -> list:
+        """Hot slices of all widths (whole series only, where the order is no time); sets ``largest``. One job."""
+        if self._bits is None:
+            sizes = key_frame.groupBy(*self.by).agg(F.count(F.lit(1)).alias("n"), F.min(self.ts).alias("lo"), F.max(self.ts).alias("hi"))
+            sizes = sizes.select(*self.by, F.lit(None).cast("bigint").alias("slice"), "n", "lo", "hi")
+        elif self._histogram is not None:
+            sizes = merged(self._histogram, self.by)
+        else:
+            sizes = time_histogram(key_frame, self.by, self.ts, self._bits)
+        while True:
+            rows, self.largest = hot_slices(sizes, self.by, self.target, self._bits, 8 * MAX_HOT_CELLS + 1)
+            if len(rows) <= 8 * MAX_HOT_CELLS:
+                return rows
+            self.target *= 2
+
+    def size(self) -> int:
+        """Rows of the largest series, or the bound that was given; counts at most once."""
+        if self._rows is None and (self._at_most is None or self._at_most > self.target):
+            self._rows = self._counted(self.df.select(*self.by, self.ts))
+        return self.largest
+
+    def _cut(self, n: int, lo: int, hi: int, cells: int) -> int:
+        """Bits of the slices a cell is cut into."""
+        share = -(-n // self.target)
+        # Finer than needed while cells are few, which saves rounds on uneven time.
+        pieces = max(2 * share, min(16 * share, FINE_PIECES, MAX_HOT_CELLS // max(1, cells)))
+        return max(0, ((hi - lo) // pieces).bit_length() - 1)
+
     def _split(self, frame: DataFrame) -> tuple[DataFrame, bool] | None:
         """``frame`` with ``_cell`` and ``_tie``, or None when no series is hot."""
         # A caller that knows a bound on the rows per series saves counting them again.
-        if self._at_most is not None and self._at_most <= self.target:
+        if self.size() <= self.target:
             return None
-        key_frame = frame.select(*self.by, self.ts)
-        total, self.largest = series_sizes(key_frame, self.by)
-        if self.largest <= self.target:
-            return None
-        self.target = max(self.target, -(-total // MAX_HOT_CELLS))
+        key_frame, counted = frame.select(*self.by, self.ts), self._rows
         by_types = [key_frame.schema[c] for c in self.by]
+        by_types = [T.StructField(f.name, f.dataType) for f in by_types]
         cut_schema = T.StructType([*by_types, T.StructField("_at", T.LongType()), T.StructField("_bits", T.IntegerType())])
-        cuts, ties = [], []
-        hot = self._hot_cells(key_frame, self.by)
-        parents = [(r, None) for r in hot]
-        while parents:
-            rows = []
-            for r, at in parents:
-                key = [r[c] for c in self.by]
-                if any(v is None for v in key) or r["_lo"] is None:
+        self._null_keys = any(r[c] is None for r in counted for c in self.by)
+        self._key_bytes = max(sum(24 + len(str(r[c])) for c in self.by) for r in counted)
+        by_level = defaultdict(list)
+        for r in counted:
+            by_level[(*[r[c] for c in self.by], r["level"])].append((r["at"], r["n"], r["lo"], r["hi"]))
+        cuts, ties, unknown = [], set(), False
+        # Cells to cut: (key, start or None for a whole series, bits, rows, first and last time).
+        todo = [(tuple(r[c] for c in self.by), None, WHOLE, r["n"], r["lo"], r["hi"]) for r in counted if r["level"] == WHOLE]
+        while todo:
+            rows, children = [], []
+            for key, at, bits, n, lo, hi in todo:
+                if lo is None:
                     continue
-                span = r["_hi"] - r["_lo"]
-                if span == 0:
-                    ties.append((*key, r["_lo"] if at is None else at))
+                if lo == hi:
+                    ties.add((*key, lo if at is None else at))
                     if at is None:
                         rows.append((*key, None, 0))
                     continue
-                share = -(-r["_n"] // self.target)
-                # Finer than needed while cells are few, which saves rounds on uneven time.
-                pieces = max(2 * share, min(16 * share, FINE_PIECES, MAX_HOT_CELLS // len(parents)))
-                rows.append((*key, at, max(0, (span // pieces).bit_length() - 1)))
+                own = self._cut(n, lo, hi, len(todo))
+                known = self._bits is not None and own >= self._bits
+                if known:
+                    own = min(own - (own - self._bits) % 2, 62)
+                    for c, *rest in by_level[(*key, own)]:
+                        if c is not None and (at is None or at <= c << own < at + (1 << bits)):
+                            children.append((key, c << own, own, *rest))
+                unknown |= not known
+                rows.append((*key, at, own))
+                self._cells += ((hi - lo) >> own) + 2
+            if not rows:
+                break
+            cuts.append(self._local(rows, cut_schema))
+            todo = children
+        while unknown:
+            tagged = self._apply(key_frame, cuts).filter(F.col("_cell").isNotNull())
+            rows, hot = [], self._hot_cells(tagged, [*self.by, "_cell"])
+            for r in hot:
+                key = tuple(r[c] for c in self.by)
+                if (*key, r["_cell"]) in ties:
+                    continue
+                if r["lo"] == r["hi"]:
+                    ties.add((*key, r["_cell"]))
+                    continue
+                rows.append((*key, r["_cell"], self._cut(r["n"], r["lo"], r["hi"], len(hot))))
+                self._cells += ((r["hi"] - r["lo"]) >> rows[-1][-1]) + 2
             if not rows:
                 break
             cuts.append(self._local(rows, cut_schema))
-            # Only rows of cells that were cut last can still be in a hot cell.
-            tagged = self._apply(key_frame, cuts, "inner")
-            hot = self._hot_cells(tagged, [*self.by, "_cell"])
-            known = {tuple(t) for t in ties}
-            parents = [(r, r["_cell"]) for r in hot if (*[r[c] for c in self.by], r["_cell"]) not in known]
         tagged = self._apply(frame, cuts)
         tie_schema = T.StructType([*by_types, T.StructField("_at", T.LongType())])
         if ties:
-            mark = self._local(ties, tie_schema).withColumn("_tied", F.lit(True))
+            mark = self._local(list(ties), tie_schema).withColumn("_tied", F.lit(True))
             tagged = self._join_cell(tagged, mark)
             tie_cell = self._tie_cell
             if tie_cell is None:
@@ -178,10 +247,14 @@ class OrderedScan:
         right = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
         cond = F.lit(True) if whole else F.col("_cell") == F.col("_r__at")
         for c in self.by:
-            cond = cond & (left[c] == F.col(names[c]))
-        # At most MAX_HOT_CELLS rows by construction.
+            cond = cond & self._same(left[c], F.col(names[c]))
+        # A few times MAX_HOT_CELLS rows at most.
         return left.join(F.broadcast(right), cond, how).drop(*names.values())
 
+    def _same(self, left: Column, right: Column) -> Column:
+        """Equality of keys; of NULL ones only where a hot series has one."""
+        return left.eqNullSafe(right) if self._null_keys else left == right
+
     def _apply(self, frame: DataFrame, cuts: list[DataFrame], how: str = "left") -> DataFrame:
         out = frame.withColumn("_cell", F.lit(None).cast("bigint"))
         for i, cut in enumerate(cuts):
@@ -197,12 +270,8 @@ class OrderedScan:
         ``keep`` leaves the cell columns in place, so that a scan over the same ordering
         built with ``like=`` this one plans nothing and shuffles nothing again.
         """
-        dummy = not self.by
         frame = self.df
-        if dummy:
-            self.by = ["_one"]
-            frame = frame.withColumn("_one", F.lit(0))
-        base_cols = [c for c in self.df.columns if keep or c not in ("_cell", "_tie")]
+        base_cols = [c for c in self._columns if keep or c not in ("_cell", "_tie")]
         inputs = []
         for i, (kind, _, value) in enumerate(self._ops):
             if value is not None:
@@ -220,14 +289,17 @@ class OrderedScan:
             self._hot, self._tied = True, tied
             cell = [*self.by, "_cell", "_tie"]
             carry = self._carries(tagged, cell)
-            if not tied:
-                carry = F.broadcast(carry)  # one row per cell, bounded by the cuts made above
+            width = fixed_width(carry.drop(*self.by).schema)
+            if not tied and width is not None and self._cells * (width + self._key_bytes) <= CARRY_BYTES:
+                carry = F.broadcast(carry)  # one row of known width per cell
             names = {c: f"_c_{c}" for c in cell}
             carry = carry.select(*[F.col(c).alias(names.get(c, c)) for c in carry.columns])
-            # Carries exist for cut series only, whose key and cell are never NULL.
-            cond = tagged["_tie"].eqNullSafe(F.col(names["_tie"])) if tied else F.lit(True)
-            for c in [*self.by, "_cell"]:
-                cond = cond & (tagged[c] == F.col(names[c]))
+            # Carries exist for cut series only, whose cell is never NULL.
+            cond = tagged["_cell"] == F.col(names["_cell"])
+            if tied:
+                cond = cond & tagged["_tie"].eqNullSafe(F.col(names["_tie"]))
+            for c in self.by:
+                cond = cond & self._same(tagged[c], F.col(names[c]))
             joined = tagged.join(carry, cond, "left").drop(*names.values())
             out = self._windows(joined, Window.partitionBy(*cell).orderBy(*order), carry=True)
         if keep and self._hot:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from chronofleet.operators import frames as fr
 from chronofleet.operators import ranges as rg
-from chronofleet.registry.common import DAY, T0, TARGET, TEL, Query, r6, rounded, spins, sql6, telemetry
+from chronofleet.registry.common import DAY, T0, TARGET, TEL, Query, new_folder, r6, rounded, spins, sql6, table, telemetry
+from chronofleet.sources import sinks
 
 START, END = T0 + 10 * DAY, T0 + 12 * DAY
 CURSOR = T0 + 15 * DAY + 12_345_678_901
@@ -72,6 +73,51 @@ def r5(spark, sf_dir):
     return out.select("source_id", "channel_id", "kind", "sample_count", "held_ts_ns", r6("held_value").alias("held_value"))
 
 
+def _lake(spark, sf_dir):
+    """The samples written as a lake and read back, with the histogram stored beside them."""
+    samples, path = telemetry(spark, sf_dir), new_folder(spark)
+    sinks.write_samples(samples, path, 8)
+    return sinks.read_samples(spark, path, samples.schema), sinks.read_histogram(spark, path)
+
+
+def r2_lake(spark, sf_dir):
+    lake, histogram = _lake(spark, sf_dir)
+    return rounded(rg.fetch_range(lake, ["click", "error"], START, END, include_prev=True, histogram=histogram).select("source_id", "channel_id", "ts_ns", "seq", "value"), "value")
+
+
+def r4_lake(spark, sf_dir):
+    lake, histogram = _lake(spark, sf_dir)
+    return rounded(rg.sample_at(lake, CURSOR, histogram=histogram).select("source_id", "channel_id", "ts_ns", "seq", "value"), "value")
+
+
+def vectors(spark, sf_dir):
+    """Three components of each embedding as a vector channel, several at one time."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(
+        F.concat(F.lit("log-"), (F.col("vec_id") % 4).cast("string")).alias("source_id"), F.concat(F.lit("vec-"), (F.col("label") % 3).cast("string")).alias("channel_id"),
+        (F.lit(T0) + F.expr("vec_id div 3") * 5_000_000_000_000).alias("ts_ns"), F.col("vec_id").alias("seq"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("value"),
+    )
+
+
+def r5_many(spark, sf_dir, target=None):
+    """The snapshot at every purchase of a source."""
+    t = telemetry(spark, sf_dir)
+    enums = t.select("source_id", F.concat(F.lit("state-"), "channel_id").alias("channel_id"), "ts_ns", "seq", (F.col("seq") % 3).cast("int").alias("code"))
+    video = frames(spark, sf_dir).withColumnRenamed("channel_id", "source_id").withColumn("channel_id", F.lit("cam"))
+    times = t.filter(F.col("channel_id") == "purchase").select("source_id", F.col("ts_ns").alias("t_ns"), F.col("seq").alias("snapshot_id"))
+    out = rg.snapshot_many(times, scalars=t, enums=enums, vectors=vectors(spark, sf_dir), spins=spins(spark, sf_dir), frames=video, target_rows=target)
+    held = [r6(F.get("held_vector", F.lit(i))).alias(f"held_{i}") for i in range(3)]
+    return out.select("snapshot_id", "source_id", "t_ns", "channel_id", "kind", "sample_count", "held_ts_ns", r6("held_value").alias("held_value"), *held)
+
+
+def r6_vectors(spark, sf_dir, target=None):
+    """For every click the latest vector of its source: a payload that doesn't travel with the scan."""
+    clicks = telemetry(spark, sf_dir).filter(F.col("channel_id") == "click").select("source_id", "ts_ns", F.col("seq").alias("click_seq"))
+    out = rg.asof_join(clicks, vectors(spark, sf_dir), ["source_id"], values=["seq", "value"], target_rows=target)
+    held = [r6(F.get("right_value", F.lit(i))).alias(f"v{i}") for i in range(3)]
+    return out.select("source_id", "ts_ns", "click_seq", F.col("right_ts_ns").alias("vector_ts_ns"), F.col("right_seq").alias("vec_id"), *held)
+
+
 def r6_asof(spark, sf_dir, target=None):
     t = telemetry(spark, sf_dir)
     clicks = t.filter(F.col("channel_id") == "click").select("source_id", "ts_ns", F.col("seq").alias("click_seq"))
@@ -130,6 +176,9 @@ def r14(spark, sf_dir):
     return rg.coalesce_intervals(w, ["source_id"], T0 + DAY, T0 + 25 * DAY)
 
 
+VECTORS = f"""vec AS (SELECT 'log-' || (vec_id % 4) AS source_id, 'vec-' || (label % 3) AS channel_id, {T0} + (vec_id // 3) * 5000000000000 AS ts_ns,
+  vec_id AS seq, list_transform(embedding[1:3], lambda x: x::DOUBLE) AS value FROM embeddings)"""
+
 QUERIES = {
     "r1_fetch_range": Query(r1, f"WITH {TEL} SELECT {COLS} FROM tel WHERE channel_id IN ('click', 'error') AND ts_ns >= {START} AND ts_ns < {END}"),
     "r2_fetch_range_prev": Query(
@@ -160,6 +209,27 @@ QUERIES = {
         SELECT n.source_id, n.channel_id, n.kind, sample_count, h.ts_ns AS held_ts_ns, {VALUE} AS held_value
         FROM n LEFT JOIN h ON rn = 1 AND n.source_id = h.source_id AND n.channel_id = h.channel_id AND n.kind = h.kind""",
     ),
+    "r5_snapshot_many": Query(
+        r5_many,
+        f"""WITH {TEL}, {VECTORS}, a AS (
+          SELECT source_id, channel_id, 'scalar' AS kind, ts_ns, seq, value, NULL::DOUBLE[] AS v FROM tel
+          UNION ALL SELECT source_id, 'state-' || channel_id, 'enum', ts_ns, seq, (seq % 3)::DOUBLE, NULL FROM tel
+          UNION ALL SELECT source_id, 'cam', 'video', {T0} + seq * 33333333, seq, NULL, NULL FROM tel
+          UNION ALL SELECT source_id, channel_id, 'vector', ts_ns, seq, NULL, value FROM vec
+          UNION ALL SELECT 'log-' || (vec_id % 4), 'lidar-' || label, 'point_cloud', {T0} + vec_id * 100000000, 0, NULL, NULL FROM embeddings),
+        n AS (SELECT source_id, channel_id, kind, count(*) AS sample_count FROM a GROUP BY ALL),
+        o AS (SELECT source_id, channel_id, kind, ts_ns, arg_max({{'x': value}}, seq).x AS value, arg_max({{'x': v}}, seq).x AS v FROM a GROUP BY ALL),
+        w AS (SELECT t.seq AS snapshot_id, t.ts_ns AS t_ns, n.* FROM tel t JOIN n USING (source_id) WHERE t.channel_id = 'purchase')
+        SELECT snapshot_id, w.source_id, w.t_ns, w.channel_id, w.kind, sample_count, o.ts_ns AS held_ts_ns, {sql6("o.value")} AS held_value,
+          {sql6("o.v[1]")} AS held_0, {sql6("o.v[2]")} AS held_1, {sql6("o.v[3]")} AS held_2
+        FROM w ASOF LEFT JOIN o ON w.source_id = o.source_id AND w.channel_id = o.channel_id AND w.kind = o.kind AND w.t_ns >= o.ts_ns""",
+    ),
+    "r6_asof_vectors": Query(
+        r6_vectors,
+        f"""WITH {TEL}, {VECTORS}, o AS (SELECT source_id, ts_ns, max(seq) AS seq, arg_max(value, seq) AS value FROM vec GROUP BY ALL)
+        SELECT c.source_id, c.ts_ns, c.seq AS click_seq, o.ts_ns AS vector_ts_ns, o.seq AS vec_id, {sql6("o.value[1]")} AS v0, {sql6("o.value[2]")} AS v1, {sql6("o.value[3]")} AS v2
+        FROM (SELECT * FROM tel WHERE channel_id = 'click') c ASOF LEFT JOIN o ON c.source_id = o.source_id AND c.ts_ns >= o.ts_ns""",
+    ),
     "r6_asof_join": Query(
         r6_asof,
         f"""WITH {TEL}, e AS (SELECT source_id, ts_ns, max_by(seq, seq) AS seq, max_by(value, seq) AS value FROM tel WHERE channel_id = 'error' GROUP BY ALL)
@@ -220,3 +290,8 @@ QUERIES = {
 
 # The same join with the hot-series plan forced by a small split target.
 QUERIES["r6_asof_join_hot"] = Query(partial(r6_asof, target=TARGET // 4), QUERIES["r6_asof_join"].sql)
+QUERIES["r6_asof_vectors_hot"] = Query(partial(r6_vectors, target=TARGET // 8), QUERIES["r6_asof_vectors"].sql)
+QUERIES["r5_snapshot_many_hot"] = Query(partial(r5_many, target=TARGET // 8), QUERIES["r5_snapshot_many"].sql)
+# From a stored lake, whose histogram tells where the last sample of a series is.
+QUERIES["r2_fetch_range_prev_lake"] = Query(r2_lake, QUERIES["r2_fetch_range_prev"].sql)
+QUERIES["r4_sample_at_lake"] = Query(r4_lake, QUERIES["r4_sample_at"].sql)

@@ -244,7 +244,7 @@ QUERIES = {
     "d6_align_union": Query(
         d6,
         f"""WITH {TEL}, o AS (SELECT *, row_number() OVER (PARTITION BY source_id, channel_id, ts_ns ORDER BY seq) - 1 AS occurrence FROM tel
-        WHERE channel_id IN ('click', 'error', 'purchase')),
+        WHERE channel_id IN ('click', 'error', 'purchase', 'signup', 'view')),
         g AS (SELECT source_id, ts_ns, occurrence, {_align_cells()} FROM o GROUP BY source_id, ts_ns, occurrence)
         SELECT source_id, ts_ns, occurrence, {', '.join(f'{sql6(c)} AS {c}' for c in CHANNELS)} FROM g""",
     ),

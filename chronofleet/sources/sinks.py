@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronofleet.plans.histogram import time_histogram
 from chronofleet.plans.scan import OrderedScan
 
+HISTOGRAM = "_histogram"
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, integers for ns, empty cells for NULL, doubled quotes."""
@@ -82,12 +85,21 @@ def write_samples(samples: DataFrame, path: str, partitions: int | None = None)
     """Parquet by source, sorted by (channel, time) so row-group statistics prune scans.
 
     The range partitioning samples the data first, so a hot channel or source is spread
-    over several files.
+    over several files. The time histogram of the written rows is stored beside them, where
+    readers of Parquet don't look: ordered scans and last samples are planned from it.
     """
     keys = ["source_id", "channel_id", "ts_ns", *(["seq"] if "seq" in samples.columns else [])]
     ranged = samples.repartitionByRange(partitions, *keys) if partitions else samples.repartitionByRange(*keys)
     ranged.sortWithinPartitions(*keys).write.mode("errorifexists").partitionBy("source_id").parquet(path)
+    written = read_samples(samples.sparkSession, path, samples.schema)
+    time_histogram(written, ["source_id", "channel_id"]).write.mode("errorifexists").parquet(f"{path}/{HISTOGRAM}")
+
+
+def read_samples(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The lake; with its ``schema`` no file is opened to plan a query, and source ids keep their type."""
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
 
 
-def read_samples(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_histogram(spark: SparkSession, path: str) -> DataFrame:
+    """Rows per series and time slice of the lake, as the ``histogram`` argument of operators takes them."""
+    return spark.read.parquet(f"{path}/{HISTOGRAM}")

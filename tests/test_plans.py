@@ -60,3 +60,87 @@ def test_split_scan_broadcasts_cells_and_shuffles_rows_once(spark):
     plan = plan_of(entry_points.queries()["d2_derivative_hot"](spark, "/root/testdata/sf0.01"))
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "SortMergeJoin" not in plan
     assert sum("Exchange hashpartitioning" in line and "_cell" in line and "seq" not in line for line in plan.splitlines()) <= 2
+
+
+def executions(spark, build):
+    """The physical plans of what runs while ``build`` makes a query."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    build()
+    bus.waitUntilEmpty()
+    every = store.executionsList()
+    return [every.apply(i).physicalPlanDescription() for i in range(before, store.executionsCount())]
+
+
+@pytest.mark.parametrize(("name", "most"), [("d2_derivative", 1), ("d2_derivative_hot", 1), ("d7_align_hold", 1), ("d8_table_model", 1), ("d12_state_segments", 1), ("c6_infer_period", 1), ("s8_profile_times", 1), ("e1_read_events", 0), ("r2_fetch_range_prev", 0), ("r4_sample_at", 0)])
+def test_building_a_query_counts_at_most_once(spark, name, most):
+    queries = entry_points.queries()
+    assert len(executions(spark, lambda: queries[name](spark, DATA))) <= most
+
+
+def test_the_lake_is_planned_from_its_histogram(spark, tmp_path, rows):
+    from pyspark.sql import functions as F
+
+    from chronofleet.operators.ranges import sample_at
+    from chronofleet.operators.series import derivative
+    from chronofleet.registry.common import DAY, T0, telemetry
+    from chronofleet.sources.sinks import read_histogram, read_samples, write_samples
+
+    samples, path = telemetry(spark, DATA), str(tmp_path / "lake")
+    write_samples(samples, path, 8)
+    lake, histogram = read_samples(spark, path, samples.schema), read_histogram(spark, path)
+    assert histogram.agg(F.sum("n")).first()[0] == lake.count() == samples.count()
+    found = {}
+    plans = executions(spark, lambda: found.update(hot=derivative(lake, target_rows=50, histogram=histogram)))
+    assert len(plans) <= 1 and all("value" not in p.split("Arguments")[0] and "_histogram" in p for p in plans)
+    assert rows(found["hot"], "source_id", "channel_id", "ts_ns", "seq", "value") == rows(derivative(samples), "source_id", "channel_id", "ts_ns", "seq", "value")
+    t = T0 + 15 * DAY
+    assert not executions(spark, lambda: found.update(last=sample_at(lake, t, histogram=histogram)))
+    assert rows(found["last"], "source_id", "channel_id", "ts_ns", "seq") == rows(sample_at(samples, t), "source_id", "channel_id", "ts_ns", "seq")
+    scans = [line for line in plan_of(found["last"]).splitlines() if "FileScan" in line and "value#" in line]
+    assert sum("GreaterThanOrEqual(ts_ns," in line for line in scans) == 2 and len(scans) == 3
+
+
+def test_last_samples_are_hash_aggregated(spark):
+    plan = plan_of(entry_points.queries()["r4_sample_at"](spark, DATA)).splitlines()
+    first = max(i for i, line in enumerate(plan) if "Aggregate" in line)
+    assert "HashAggregate" in plan[first] and not any("Sort " in line for line in plan[first:])
+
+
+def test_no_payload_is_broadcast_by_an_asof_join(spark):
+    from pyspark.sql import functions as F
+
+    from chronofleet.operators.ranges import asof_join
+
+    blob = F.rpad(F.col("id").cast("string"), 1 << 20, "x")
+    right = spark.range(5000).select(F.lit("s").alias("s"), F.col("id").alias("ts_ns"), F.col("id").alias("seq"), blob.alias("blob"))
+    left = spark.range(100).select(F.lit("s").alias("s"), (F.col("id") * 41).alias("ts_ns"), F.col("id"))
+    out = asof_join(left, right, ["s"], values=["blob"], target_rows=100).select("id", "right_ts_ns", F.length("right_blob").alias("n"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the optimizer takes the made-up rows for small
+    try:
+        plan = plan_of(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = plan.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    carried = 0
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((k for k in range(i + 1, len(lines)) if depth(lines[k]) <= depth(line)), len(lines))
+            assert not any("rpad(" in x for x in lines[i:below])
+            carried += any("max_by" in x for x in lines[i:below])
+    assert carried and "rpad(" in plan
+    got = out.collect()
+    assert all(r["right_ts_ns"] == r["id"] * 41 and r["n"] == 1 << 20 for r in got) and len(got) == 100
+
+
+def test_alignment_gathers_a_group_once(spark):
+    for name in ("d6_align_union", "d7_align_hold", "d8_table_model"):
+        assert plan_of(entry_points.queries()[name](spark, DATA)).count("Exchange hashpartitioning") == 1, name
+
+
+def test_pacing_ranks_its_measures_in_one_pass(spark):
+    plan = plan_of(entry_points.queries()["d15_pacing_summary"](spark, DATA))
+    assert plan.count("Window [") == 1 and "Expand" not in plan

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronofleet.operators.ranges import asof_join
+from chronofleet.plans.histogram import time_histogram
 from chronofleet.plans.scan import OrderedScan
 
 SCHEMA = "s string, ts_ns bigint, seq bigint, value double"
@@ -55,6 +56,35 @@ def test_no_cell_holds_a_hot_series(spark, shape):
     assert largest <= 20
 
 
+def test_a_hot_series_without_a_key_is_cut_too(spark, rows):
+    rng = random.Random(8)
+    data = [(None, T0 + rng.randint(0, 10**7), i, float(i)) for i in range(300)] + [("a", T0 + i, i, 1.0) for i in range(50)] + [(None, T0 + 5, 400 + i, 2.0) for i in range(60)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(4)
+    split = _scan(df, 20).run(keep=True)
+    assert rows(split.drop("value", "_cell", "_tie")) == rows(_scan(df, 10**6).run().drop("value"))
+    assert "NestedLoop" not in split._jdf.queryExecution().executedPlan().toString()
+    assert split.filter("s IS NULL").groupBy("_cell", "_tie").count().agg(F.max("count")).first()[0] <= 60
+
+
+def test_stored_histogram_cuts_like_a_count(spark, rows):
+    rng = random.Random(3)
+    step = 1 << 36
+    data = [("a", T0 + int(rng.gauss(0, 40)) * step + rng.randint(0, step - 1), i, float(i)) for i in range(1500)]
+    data += [("b", T0 + rng.choice([0, 900]) * step + i, i, float(i)) for i in range(500)] + [("c", -step * 3 + i, i, 0.0) for i in range(5)]
+    df = spark.createDataFrame(data, SCHEMA)
+    stored = time_histogram(df, ["s"]).union(time_histogram(df.limit(0), ["s"]))
+    make = lambda h: OrderedScan(df, ["s"], target_rows=40, histogram=h).lag("p", F.struct("seq")).rank("r").running_sum("t", F.col("seq"))
+    kept = make(stored).run(keep=True)
+    largest = kept.filter(F.col("_cell").isNotNull()).groupBy("s", "_cell", "_tie").count().agg(F.max("count")).first()[0]
+    assert largest <= 40
+    want = rows(OrderedScan(df, ["s"]).lag("p", F.struct("seq")).rank("r").running_sum("t", F.col("seq")).run(), "s", "seq", "r", "t")
+    assert rows(kept, "s", "seq", "r", "t") == want == rows(make(None).run(), "s", "seq", "r", "t")
+    # The histogram of more rows than the frame has cuts as well.
+    some = df.filter("seq % 3 = 0")
+    few = OrderedScan(some, ["s"], target_rows=40, histogram=stored).rank("r").run()
+    assert rows(few, "s", "seq", "r") == rows(OrderedScan(some, ["s"]).rank("r").run(), "s", "seq", "r")
+
+
 def test_struct_sequence(spark, rows):
     data = [("a", T0, ("f1", i), float(i)) for i in range(50)] + [("a", T0, ("f0", i << 17), float(i)) for i in range(50)]
     df = spark.createDataFrame(data, "s string, ts_ns bigint, seq struct<file:string,row:bigint>, value double")
