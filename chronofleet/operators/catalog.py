@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from chronofleet.functions.text import clean, qualify_id
 from chronofleet.operators.frames import ranked_pick
 from chronofleet.operators.ranges import KEY, asof_join
-from chronofleet.plans.scan import OrderedScan
+from chronofleet.plans.scan import TARGET_ROWS, OrderedScan
 
 # Series per plot, plausible coordinate limits, names of coordinates.
 PLOT_SERIES = 16
@@ -84,15 +84,16 @@ def infer_period(samples: DataFrame, fallback_ns: int, by: Sequence[str] = KEY,
 
 
 # -- names -----------------------------------------------------------------------
-def dedupe_names(df: DataFrame, name: str, order: str, by: Sequence[str] = (), template: str = "%s (%d)", pattern: str = r"^(.*) \((\d+)\)$", target_rows: int | None = None) -> DataFrame:
+def dedupe_names(df: DataFrame, name: str, order: str, by: Sequence[str] = (), template: str = "%s (%d)", pattern: str = r"^(.*) \((\d+)\)$", target_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Adds ``unique_name``: the first holder keeps a name, later ones get a number from 2.
 
     Numbers whose decorated form is a name of its own in the input are skipped, so the
-    result never repeats. ``order`` is an integer arrival order.
+    result never repeats. ``order`` is an integer arrival order. ``at_most`` bounds the rows
+    of a ``by`` group, if known; under the target nothing is counted before the first row.
     """
     by = list(by)
     key = [*by, name]
-    ranked = OrderedScan(df, key, order, [], target_rows, F.lit(0)).rank("_rank").run()
+    ranked = OrderedScan(df, key, order, [], target_rows, F.lit(0), at_most=at_most).rank("_rank").run()
     # Names that already look decorated block one number n of their base. The j-th free
     # number is j + 1 + (blocked numbers up to there): blocked number i counts from
     # j >= n_i - i on, which is a lookup of the last threshold reached.
@@ -103,12 +104,13 @@ def dedupe_names(df: DataFrame, name: str, order: str, by: Sequence[str] = (), t
     taken = names.withColumn("_b", base).withColumn("_n", number).filter(plain & (F.col("_n") >= 2))
     taken = taken.select(*by, F.col("_b").alias(name), "_n").distinct()
     dups = ranked.filter(F.col("_rank") > 1).withColumn("_j", F.col("_rank") - 1)
-    if taken.isEmpty():
+    small = at_most is not None and at_most <= (target_rows or TARGET_ROWS)
+    if not small and taken.isEmpty():
         numbered = dups.withColumn("_b_i", F.lit(0).cast("bigint"))
     else:
-        ith = OrderedScan(taken, key, "_n", [], target_rows, F.lit(0)).rank("_i").run()
+        ith = OrderedScan(taken, key, "_n", [], target_rows, F.lit(0), at_most=at_most).rank("_i").run()
         ith = ith.withColumn("_j", F.col("_n") - F.col("_i"))
-        numbered = asof_join(dups, ith, key, "_j", ["_i"], right_tie="_i", prefix="_b", target_rows=target_rows)
+        numbered = asof_join(dups, ith, key, "_j", ["_i"], right_tie="_i", prefix="_b", target_rows=target_rows, at_most=None if at_most is None else 2 * at_most)
     n = F.col("_j") + 1 + F.coalesce("_b_i", F.lit(0).cast("bigint"))
     renamed = numbered.withColumn("unique_name", F.format_string(template, F.col(name), n)).select(*df.columns, "unique_name")
     first = ranked.filter(F.col("_rank") == 1).withColumn("unique_name", F.col(name)).select(*df.columns, "unique_name")
@@ -238,19 +240,30 @@ def group_channels(channels: DataFrame, stats: DataFrame | None = None, by: Sequ
     return ranked.select(*by, "channel_id", "panel", "group_key", part.alias("part"))
 
 
-def _substrings(c: Column) -> Column:
-    """All distinct non-empty substrings of a short name."""
+#: Longest gram of the index that pairs names.
+GRAM = 8
+
+
+def _grams(c: Column) -> Column:
+    """All distinct substrings of up to GRAM characters: at most GRAM times the length."""
     n = F.length(c)
-    starts = F.sequence(F.lit(1), n)
-    cut = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(c, i, k)))
-    return F.when(n > 0, F.array_distinct(F.flatten(cut)))
+    cut = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.substring(c, i, F.lit(k)))) for k in range(1, GRAM + 1)]
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*cut))))
+
+
+def _containing(longer: DataFrame, whole: str, shorter: DataFrame, part: str, by: list[str]) -> DataFrame:
+    """Rows of both frames where ``whole`` contains ``part``, a non-empty name: found by its first gram, then verified."""
+    index = longer.select("*", F.explode(_grams(F.col(whole))).alias("_gram"))
+    asked = shorter.filter(F.length(part) > 0).withColumn("_gram", F.substring(part, 1, GRAM))
+    return index.join(asked, [*by, "_gram"]).filter(F.contains(whole, part)).drop("_gram")
 
 
 def match_cameras(videos: DataFrame, cameras: DataFrame, by: Sequence[str] = ("source_id",)) -> DataFrame:
     """Calibration camera of each video: same stem, else containment, else the first.
 
-    ``videos(by, video_id, name)``, ``cameras(by, name, ord)``. Containment is an equality
-    join on the substrings of the longer name, so no video meets every camera.
+    ``videos(by, video_id, name)``, ``cameras(by, name, ord)``. Containment is looked up in an
+    index of short grams of the longer name, whose rows grow with GRAM times its length, so no
+    video meets every camera.
     """
     by = list(by)
     stem = F.lower(F.regexp_replace("name", r"\.[^./\\]+$", ""))
@@ -261,8 +274,8 @@ def match_cameras(videos: DataFrame, cameras: DataFrame, by: Sequence[str] = ("s
         return df.select(*by, "video_id", "camera", F.struct(F.lit(rank).alias("r"), F.col("ord").alias("o")).alias("place"))
 
     exact = best(vids.withColumnRenamed("stem", "lname").join(cams, [*by, "lname"]), 1)
-    from_video = vids.select(*by, "video_id", F.explode(_substrings(F.col("stem"))).alias("lname")).join(cams, [*by, "lname"])
-    from_camera = cams.select(*by, "camera", "ord", F.explode(_substrings(F.col("lname"))).alias("stem")).join(vids, [*by, "stem"])
+    from_video = _containing(vids, "stem", cams, "lname", by)
+    from_camera = _containing(cams, "lname", vids, "stem", by)
     first = cams.groupBy(*by).agg(F.min_by("camera", "ord").alias("camera"), F.min("ord").alias("ord"))
     anything = vids.join(first, by)
     options = exact.unionByName(best(from_video, 2)).unionByName(best(from_camera, 2)).unionByName(best(anything, 3))

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import struct
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chronofleet.functions import time as tm
-from chronofleet.registry.common import PTS, T0, TEL, Query, new_folder, r6, rounded, spins, sql6, table, telemetry
+from chronofleet.registry.common import DAY, PTS, T0, TEL, Query, new_folder, r6, rounded, spins, sql6, table, telemetry
 from chronofleet.sources import annotations as an
+from chronofleet.sources import mcap as mc
 from chronofleet.sources import messages as ms
 from chronofleet.sources import recipe as rc
 from chronofleet.sources import roads, routing, tabular, video
+from chronofleet.sources.files import located
 from chronofleet.sources.pointcloud import decode_spins, pack_spins, validate_spins
 from chronofleet.sources.sinks import read_samples, sidecar_lines, write_csv, write_samples
 from chronofleet.operators import frames as fr
+from chronofleet.operators.catalog import frame_catalog
 from chronofleet.operators.spatial import explode_points
 
 MARKER = "fleet.calibration/v1"
@@ -58,6 +66,25 @@ def s2(spark, sf_dir):
     return rounded(tabular.unpivot_channels(_wide(spark, sf_dir), BASIS), "value")
 
 
+def s1_files(spark, sf_dir):
+    """Orders as CSV logs of two layouts, read by their own headers into long samples."""
+    folder = new_folder(spark)
+    w = _wide(spark, sf_dir)
+    write_csv(w.filter(F.col("seq") % 2 == 0).select("t_us", "price", F.col("priority").alias("note"), "cust"), f"{folder}/a")
+    write_csv(w.filter(F.col("seq") % 2 != 0).select(F.col("cust").alias("Cust"), "t_us", F.col("even").cast("int").alias("even")), f"{folder}/b")
+    wide, _ = tabular.read_csv_log(spark, folder)
+    return rounded(tabular.unpivot_channels(wide, BASIS, ["source_file", "seq"]).select(F.lower("channel_id").alias("channel_id"), "ts_ns", "value"), "value")
+
+
+def s2_files(spark, sf_dir):
+    """The same orders as Parquet logs of two layouts and types."""
+    folder = new_folder(spark)
+    w = _wide(spark, sf_dir)
+    w.filter(F.col("seq") % 2 == 0).select("t_us", "price", "priority", "cust").write.parquet(f"{folder}/a")
+    w.filter(F.col("seq") % 2 != 0).select(F.col("cust").cast("double").alias("cust"), "t_us", "even").write.parquet(f"{folder}/b")
+    return rounded(tabular.read_parquet_log(spark, [f"{folder}/a", f"{folder}/b"], BASIS).select("channel_id", "ts_ns", "value"), "value")
+
+
 def s3(spark, sf_dir):
     return tabular.inspect_log(_wide(spark, sf_dir).drop("source_id", "seq"))
 
@@ -267,6 +294,125 @@ def s7(spark, sf_dir):
     return rounded(rc.decode_blobs(_blobs(spark, sf_dir), RECIPE), "value")
 
 
+ITEMS = {
+    "recipeVersion": 1,
+    "container": {"type": "fixed_record", "headerSkipBytes": 12, "recordSizeBytes": 30},
+    "time": {"field": "day", "unit": "millis"},
+    "fields": [
+        {"name": "order", "offset": 0, "dtype": "i64"},
+        {"name": "line", "offset": 8, "dtype": "u16", "endian": "be"},
+        {"name": "day", "offset": 10, "dtype": "i64", "endian": "be"},
+        {"name": "quantity", "offset": 18, "dtype": "f64"},
+        {"name": "cents", "offset": 26, "dtype": "i32", "scale": 0.01},
+    ],
+    "channels": [{"nativeId": n, "fields": [n]} for n in ("order", "line", "quantity", "cents")],
+}
+ITEM_RECORD = np.dtype([("order", "<i8"), ("line", ">u2"), ("day", ">i8"), ("quantity", "<f8"), ("cents", "<i4")])
+
+
+def _write_items(rows, folder):
+    """Record files of up to 4096 rows each, written by the tasks that hold the rows."""
+
+    def task(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at : at + 4096]
+                rec = np.zeros(len(part), ITEM_RECORD)
+                for name in ITEM_RECORD.names:
+                    rec[name] = part[name]
+                fs, inner = located(f"{folder}/{part['order'].iloc[0]}-{part['line'].iloc[0]}.rec")
+                fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(inner) as f:
+                    f.write(b"line items 1" + rec.tobytes())
+                yield pd.DataFrame({"n": [len(part)]})
+
+    rows.mapInPandas(task, "n long").agg(F.sum("n")).collect()
+
+
+def s7_files(spark, sf_dir):
+    """Line items written as record files and read back through the file reader in splits of 1000 records."""
+    folder = new_folder(spark)
+    day = F.unix_millis(F.col("l_shipdate").cast("timestamp"))
+    _write_items(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_linenumber").cast("int").alias("line"), day.alias("day"), F.col("l_quantity").cast("double").alias("quantity"), F.round(F.col("l_extendedprice").cast("double") * 100).cast("int").alias("cents")), folder)
+    samples = rc.read_recipe(spark, folder, ITEMS, 30 * 1000)
+    value = lambda c: F.max(F.when(F.col("channel_id") == c, F.col("value")))
+    back = samples.groupBy("source_id", "seq", "ts_ns").agg(*[value(c).alias(c) for c in ("order", "line", "quantity", "cents")])
+    return back.select(F.col("order").cast("bigint").alias("l_orderkey"), F.col("line").cast("bigint").alias("l_linenumber"), "ts_ns", r6("quantity").alias("quantity"), r6("cents").alias("price"))
+
+
+# -- message containers ----------------------------------------------------------
+def _mcap_record(op, body):
+    return struct.pack("<BQ", op, len(body)) + body
+
+
+def _mcap_text(s):
+    return struct.pack("<I", len(s.encode())) + s.encode()
+
+
+def _mcap_file(pdf, shape):
+    """Container bytes of messages: shape 0 has zstd chunks, 1 plain chunks, 2 chunks without an index, 3 no chunks."""
+    topics = sorted(pdf["topic"].unique())
+    names = _mcap_record(mc.SCHEMA, struct.pack("<H", 1) + _mcap_text("pkg.Number") + _mcap_text("json") + struct.pack("<I", 0))
+    names += b"".join(_mcap_record(mc.CHANNEL, struct.pack("<HH", i + 1, 1) + _mcap_text(t) + _mcap_text("json") + struct.pack("<I", 0)) for i, t in enumerate(topics))
+    out, index = mc.MAGIC + _mcap_record(1, _mcap_text("") + _mcap_text("")), b""
+    step = 500 if shape < 3 else len(pdf)
+    for at in range(0, len(pdf), step):
+        part = pdf.iloc[at : at + step]
+        raw = names + b"".join(
+            _mcap_record(mc.MESSAGE, struct.pack("<HIQQ", topics.index(t) + 1, 0, ts, ts) + str(i).encode()) for t, ts, i in zip(part["topic"], part["log_time"], part["event_id"])
+        )
+        if shape == 3:
+            out += raw
+            continue
+        codec = "zstd" if shape == 0 else ""
+        packed = pa.Codec("zstd").compress(raw, asbytes=True) if codec else raw
+        first, last = int(part["log_time"].min()), int(part["log_time"].max())
+        chunk = _mcap_record(mc.CHUNK, struct.pack("<QQQI", first, last, len(raw), 0) + _mcap_text(codec) + struct.pack("<Q", len(packed)) + packed)
+        held = sorted({topics.index(t) + 1 for t in part["topic"]})
+        entries = b"".join(struct.pack("<HQ", c, 0) for c in held)
+        index += _mcap_record(mc.CHUNK_INDEX, struct.pack("<QQQQI", first, last, len(out), len(chunk), len(entries)) + entries + struct.pack("<Q", 0) + _mcap_text(codec) + struct.pack("<QQ", len(packed), len(raw)))
+        out += chunk
+    out += _mcap_record(mc.DATA_END, struct.pack("<I", 0))
+    start = len(out) if shape < 2 else 0
+    return out + (names + index if start else b"") + _mcap_record(mc.FOOTER, struct.pack("<QQI", start, 0, 0)) + mc.MAGIC
+
+
+def _write_mcap(spark, sf_dir):
+    """Events as container files of up to 4000 events of a log each, written by tasks."""
+    folder = new_folder(spark)
+
+    def write(pdf):
+        pdf = pdf.sort_values("event_id")
+        log, no = int(pdf["log"].iloc[0]), int(pdf["no"].iloc[0])
+        fs, inner = located(f"{folder}/log-{log}-{no}.mcap")
+        fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(inner) as f:
+            f.write(_mcap_file(pdf, log))
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    e = table(spark, sf_dir, "events")
+    rows = e.select((F.col("user_id") % 4).cast("int").alias("log"), F.expr("event_id div 4000").alias("no"), F.concat(F.lit("/"), "event_type").alias("topic"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("log_time"), "event_id")
+    rows.groupBy("log", "no").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+def _mcap_rows(messages):
+    name = F.regexp_extract("source_id", r"([^/]+)$", 1)
+    return messages.select(name.alias("file"), "topic", "schema_name", "encoding", "log_time", F.col("payload").cast("string").cast("bigint").alias("event_id"))
+
+
+def s23(spark, sf_dir):
+    return _mcap_rows(mc.read_mcap(spark, _write_mcap(spark, sf_dir), pack_bytes=1 << 15))
+
+
+def s23_range(spark, sf_dir):
+    return _mcap_rows(mc.read_mcap(spark, _write_mcap(spark, sf_dir), T0 + 3 * DAY, T0 + 9 * DAY, ["/click", "/view"], 1 << 15))
+
+
+MCAP = """SELECT 'log-' || (user_id % 4) || '-' || (event_id // 4000) || '.mcap' AS file, '/' || event_type AS topic, 'pkg.Number' AS schema_name, 'json' AS encoding,
+  epoch_us(ts) * 1000 AS log_time, event_id FROM events"""
+
+
 def _profiles(spark, sf_dir):
     samples = rc.decode_blobs(_blobs(spark, sf_dir), RECIPE)
     files = _blobs(spark, sf_dir).groupBy("source_id").agg((F.sum(F.length("data")) + F.when(F.col("source_id") == "log-0", 90_000_000).otherwise(11)).alias("n_bytes"))
@@ -426,6 +572,36 @@ def s17(spark, sf_dir):
     return rows.select("source_id", "channel_id", "frame_no", "ts_ns", "path_idx", "confidence", "i", *[r6(F.col("p")[c]).alias(c) for c in "xyz"])
 
 
+def _openlabel_frame_docs(spark, sf_dir):
+    """Per embedding a document of three frames: objects, an empty frame and one without an entry for objects."""
+    e = table(spark, sf_dir, "embeddings")
+    k = F.col("vec_id")
+    cube = '{"object_data":{"cuboid":[{"val":[1,2,3,0,0,0,1,4,5,6]}]}}'
+    objects = F.when(k % 2 == 0, F.lit(f'{{"u":{cube},"v":{cube}}}')).otherwise(F.lit(f'{{"u":{cube}}}'))
+    frame = lambda no, body: F.concat(F.lit('"'), no.cast("string"), F.lit('":{'), body, F.lit("}"))
+    frames = F.concat_ws(",", frame(k, F.concat(F.lit('"objects":'), objects)), frame(k + 7, F.lit('"objects":{}')), frame(k + 9, F.lit('"frame_properties":{"timestamp":"soon"}')))
+    doc = F.concat(F.lit('{"openlabel":{"metadata":{"name":"boxes-'), (k % 5).cast("string"), F.lit('"},"objects":{"u":{"type":"car"}},"frames":{'), frames, F.lit("}}}"))
+    return e.select(F.concat(F.lit("doc-"), k.cast("string")).alias("source_id"), doc.alias("doc"))
+
+
+def s15_frames(spark, sf_dir):
+    return an.openlabel_frames(_openlabel_frame_docs(spark, sf_dir)).select("source_id", "channel_id", "frame_no", "ts_ns", F.col("n_objects").cast("int").alias("n_objects"))
+
+
+def c2_annotations(spark, sf_dir):
+    """The frame catalog of annotation files, frames without any box included."""
+    boxes = an.openlabel_frames(_openlabel_frame_docs(spark, sf_dir)).select("source_id", "channel_id", "ts_ns", F.col("n_objects").alias("items"))
+    paths = an.trajectory_frames(_trajectory_docs(spark, sf_dir)).select(F.concat(F.lit("path-"), F.col("source_id").cast("string")).alias("source_id"), "channel_id", "ts_ns", F.col("n_paths").alias("items"))
+    return frame_catalog(boxes.unionByName(paths), F.col("items"))
+
+
+TRAJECTORY_NS = "(CASE vec_id % 3 WHEN 0 THEN 1500 WHEN 1 THEN 1500000000 ELSE 33333333 END)::BIGINT"
+
+
+def s17_frames(spark, sf_dir):
+    return an.trajectory_frames(_trajectory_docs(spark, sf_dir)).select("source_id", "channel_id", "frame_no", "ts_ns", F.col("n_paths").cast("int").alias("n_paths"))
+
+
 def _camera_docs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     k = F.col("vec_id")
@@ -488,6 +664,29 @@ def s20(spark, sf_dir):
     )
 
 
+def s20_curves(spark, sf_dir):
+    """One road per part of a spiral and a parametric cubic, point by point sums."""
+    p = table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    of = {n: t for n, t in (("arc", "struct<_curvature:double>"), ("spiral", "struct<_curvStart:double,_curvEnd:double>"), ("poly3", "struct<_a:double,_b:double,_c:double,_d:double>"))}
+    of["paramPoly3"] = "struct<_aU:double,_bU:double,_cU:double,_dU:double,_aV:double,_bV:double,_cV:double,_dV:double,_pRange:string>"
+
+    def geometry(start, x, length, **given):
+        cols = [start.alias("_s"), x.alias("_x"), F.lit(2.0).alias("_y"), F.lit(0.5).alias("_hdg"), length.alias("_length")]
+        return F.struct(*cols, *[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in of.items()])
+
+    spiral = F.struct(F.lit(0.01).alias("a"), (0.02 + (k % 5) * 0.01).alias("b"))
+    cubic = F.struct(*[F.lit(v) for v in (0.0, 1.5, 0.02, -0.001, 0.25, 0.1, 0.03, 0.002)], F.when(k % 2 == 0, F.lit("arcLength")).otherwise(F.lit("normalized")))
+    plan = F.struct(F.array(geometry(F.lit(0.0), F.lit(1.0), size + 0.3, spiral=spiral), geometry(size + 0.3, F.lit(100.0), F.lit(7.25), paramPoly3=cubic)).alias("geometry"))
+    none = F.lit(None)
+    elevation, lanes = "struct<elevation:array<struct<_s:double,_a:double,_b:double,_c:double,_d:double>>>", "struct<lane:array<struct<_id:string,width:array<struct<_a:double>>>>>"
+    out = p.select(F.lit("map").alias("source_id"), k.alias("road_id"), plan.alias("planView"), none.cast(elevation).alias("elevationProfile"), none.cast(f"struct<laneSection:array<struct<left:{lanes},right:{lanes}>>>").alias("lanes"))
+    dense = roads.densify_roads(out)
+    total = lambda c: F.round(F.sum(F.col(c).cast("double")), 2)
+    weighed = F.round(F.sum(F.col("point_idx") * F.col("x").cast("double")), 1)
+    return dense.groupBy("road_id", "feature", "type").agg(F.count(F.lit(1)).alias("n_points"), total("x").alias("sum_x"), total("y").alias("sum_y"), weighed.alias("weighed_x"))
+
+
 # -- frame times -----------------------------------------------------------------
 def _video(spark, sf_dir):
     t = telemetry(spark, sf_dir)
@@ -569,6 +768,13 @@ def k7(spark, sf_dir):
 
 
 QUERIES = {
+    "s7_recipe_files": Query(
+        s7_files,
+        f"""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, epoch_ms(l_shipdate::TIMESTAMP) * 1000000 AS ts_ns, {sql6("l_quantity::DOUBLE")} AS quantity,
+        {sql6("round(l_extendedprice::DOUBLE * 100) * 0.01")} AS price FROM lineitem""",
+    ),
+    "s23_mcap_chunks": Query(s23, MCAP),
+    "s23_mcap_range": Query(s23_range, f"{MCAP} WHERE event_type IN ('click', 'view') AND epoch_us(ts) * 1000 >= {T0 + 3 * DAY} AND epoch_us(ts) * 1000 < {T0 + 9 * DAY}"),
     "s1_classify_columns": Query(
         s1,
         """SELECT * FROM (VALUES (0, 't_us', 'integer'), (1, 'line', 'integer'), (2, 'quantity', 'float'), (3, 'price', 'float'), (4, 'flag', 'non_numeric'),
@@ -666,8 +872,8 @@ QUERIES = {
     ),
     "s18_rejected_cameras": Query(
         s18_rejected,
-        """SELECT vec_id AS source_id, array_to_string(list_filter([CASE WHEN vec_id % 13 = 0 THEN 'missing or wrong schema' END, CASE WHEN vec_id % 5 = 0 THEN 'camera 0: distortion must have 0 or 5 entries' END,
-        CASE WHEN vec_id % 7 = 0 THEN 'camera 0: ftheta needs at least 2 coefficients' END, CASE WHEN vec_id % 11 = 0 THEN 'camera 0: quaternion must be 4 numbers' END], lambda r: r IS NOT NULL), '; ') AS errors
+        """SELECT vec_id AS source_id, array_to_string(list_filter([CASE WHEN vec_id % 13 = 0 THEN 'schema is not the one asked for' END, CASE WHEN vec_id % 5 = 0 THEN 'camera 0: distortion takes five coefficients or none' END,
+        CASE WHEN vec_id % 7 = 0 THEN 'camera 0: an ftheta model takes two coefficients of forward_poly or more' END, CASE WHEN vec_id % 11 = 0 THEN 'camera 0: quaternion is no vector of four' END], lambda r: r IS NOT NULL), '; ') AS errors
         FROM embeddings WHERE vec_id % 5 = 0 OR vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0""",
     ),
     "s19_map_features": Query(
@@ -692,6 +898,54 @@ QUERIES = {
         SELECT k AS road_id, feature, type, count(*) AS n_points, round(sum((x - sin(h)*off)::FLOAT::DOUBLE), 2) AS sum_x, round(sum((y + cos(h)*off)::FLOAT::DOUBLE), 2) AS sum_y, round(sum(z::FLOAT::DOUBLE), 2) AS sum_z
         FROM p, f GROUP BY 1, 2, 3""",
     ),
+    "s20_curves": Query(
+        s20_curves,
+        """WITH g AS (SELECT p_partkey AS k, p_size::DOUBLE + 0.3 AS len, ceil(p_size + 0.3)::INT AS n, 0.02 + (p_partkey % 5) * 0.01 AS k1 FROM part),
+        st AS (SELECT *, greatest(1, ceil(len / 0.5)::INT) AS steps FROM g),
+        nd AS (SELECT *, len / steps AS ds, unnest(range(0, steps)) AS j FROM st),
+        hd AS (SELECT *, 0.5 + 0.01*(ds*j) + 0.5*(k1 - 0.01)/len*(ds*j)*(ds*j) AS ha, 0.5 + 0.01*(ds*(j+1)) + 0.5*(k1 - 0.01)/len*(ds*(j+1))*(ds*(j+1)) AS hb FROM nd),
+        dd AS (SELECT *, ds*0.5*(cos(ha) + cos(hb)) AS dx, ds*0.5*(sin(ha) + sin(hb)) AS dy FROM hd),
+        cu AS (SELECT *, coalesce(sum(dx) OVER w, 0) AS cx, coalesce(sum(dy) OVER w, 0) AS cy FROM dd WINDOW w AS (PARTITION BY k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        sa AS (SELECT k, unnest(range(0, n + 1)) AS i, len, n, steps, len / steps AS ds FROM st),
+        sn AS (SELECT *, len * i / n AS s, least(floor(len * i / n / ds)::INT, steps - 1) AS j FROM sa),
+        sp AS (SELECT sn.k, 0 AS gi, sn.i, 1.0 + cx + dx * (s / sn.ds - sn.j) AS x, 2.0 + cy + dy * (s / sn.ds - sn.j) AS y FROM sn JOIN cu ON cu.k = sn.k AND cu.j = sn.j),
+        pc AS (SELECT k, unnest(range(1, 9)) AS i, CASE WHEN k % 2 = 0 THEN 7.25 ELSE 1.0 END AS reach FROM g),
+        pv AS (SELECT *, 1.5*(reach*i/8) + 0.02*(reach*i/8)*(reach*i/8) - 0.001*(reach*i/8)*(reach*i/8)*(reach*i/8) AS u, 0.25 + 0.1*(reach*i/8) + 0.03*(reach*i/8)*(reach*i/8) + 0.002*(reach*i/8)*(reach*i/8)*(reach*i/8) AS v FROM pc),
+        al AS (SELECT * FROM sp UNION ALL SELECT k, 1, i, 100.0 + cos(0.5)*u - sin(0.5)*v, 2.0 + sin(0.5)*u + cos(0.5)*v FROM pv),
+        r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gi, i) - 1 AS point_idx FROM al)
+        SELECT k AS road_id, 'centerline' AS feature, 'centerline' AS type, count(*) AS n_points, round(sum(x::FLOAT::DOUBLE), 2) AS sum_x, round(sum(y::FLOAT::DOUBLE), 2) AS sum_y,
+          round(sum(point_idx * x::FLOAT::DOUBLE), 1) AS weighed_x FROM r GROUP BY k""",
+    ),
+    "s1_read_csv_log": Query(
+        s1_files,
+        f"""WITH w AS (SELECT o_orderkey, epoch_us(o_orderdate::TIMESTAMP) * 1000 + 1000 AS ts_ns, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 THEN o_totalprice END AS price,
+          o_custkey AS cust, CASE WHEN o_orderkey % 2 <> 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END END AS even FROM orders)
+        SELECT 'price' AS channel_id, ts_ns, {sql6("price")} AS value FROM w UNION ALL SELECT 'cust', ts_ns, {sql6("cust")} FROM w UNION ALL SELECT 'even', ts_ns, {sql6("even")} FROM w""",
+    ),
+    "s2_read_parquet_log": Query(
+        s2_files,
+        f"""WITH w AS (SELECT o_orderkey, epoch_us(o_orderdate::TIMESTAMP) * 1000 + 1000 AS ts_ns, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price,
+          o_custkey AS cust, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END AS even FROM orders)
+        SELECT 'price' AS channel_id, ts_ns, {sql6("price")} AS value FROM w WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'cust', ts_ns, {sql6("cust")} FROM w
+        UNION ALL SELECT 'even', ts_ns, {sql6("even")} FROM w WHERE o_orderkey % 2 <> 0""",
+    ),
+    "s15_frames": Query(
+        s15_frames,
+        """WITH f(d, many) AS (VALUES (0, -1), (7, 0), (9, 0)) SELECT 'doc-' || vec_id AS source_id, 'boxes-' || (vec_id % 5) AS channel_id, vec_id + d AS frame_no,
+        (vec_id + d) * 33333333 AS ts_ns, CASE WHEN many < 0 THEN CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END ELSE 0 END AS n_objects FROM embeddings, f""",
+    ),
+    "s17_frames": Query(
+        s17_frames,
+        f"""SELECT vec_id AS source_id, CASE WHEN vec_id % 2 = 0 THEN 'ego' ELSE 'plan' END AS channel_id, f AS frame_no,
+        CASE WHEN f = 0 THEN 0 ELSE {TRAJECTORY_NS} END AS ts_ns, f * 3 AS n_paths FROM embeddings, (SELECT range::INT AS f FROM range(2)) r""",
+    ),
+    "c2_annotation_frames": Query(
+        c2_annotations,
+        f"""WITH b AS (SELECT 'doc-' || vec_id AS source_id, 'boxes-' || (vec_id % 5) AS channel_id, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS sample_count, 3::BIGINT AS frame_count,
+          vec_id * 33333333 AS start_ns, (vec_id + 9) * 33333333 + 7 * 33333333 AS end_ns FROM embeddings),
+        t AS (SELECT *, {TRAJECTORY_NS} AS ts FROM embeddings)
+        SELECT * FROM b UNION ALL SELECT 'path-' || vec_id, CASE WHEN vec_id % 2 = 0 THEN 'ego' ELSE 'plan' END, 3, 2, least(0, ts), greatest(0, ts) + CASE WHEN ts <> 0 THEN abs(ts) ELSE 100000000 END FROM t""",
+    ),
     "s21_channel_kinds": Query(
         s21,
         """WITH m AS (SELECT event_id % 7 AS s FROM events) SELECT ['foxglove.Float64', 'std_msgs/Float32', 'geometry_msgs/msg/Vector3', 'acme.ControlMode', 'pkg.H264Frame', 'sensor_msgs/Image', 'acme.Other'][s + 1] AS schema_name,

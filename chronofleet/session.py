@@ -12,7 +12,8 @@ SETTINGS = {
     # Hot join keys are split at run time, also where that costs a further shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.python.filterPushdown.enabled": "true",
+    # Batches for Python tasks end by bytes too, as a blob or a document can be megabytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
 

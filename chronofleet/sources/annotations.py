@@ -216,16 +216,16 @@ def parse_cameras(docs: DataFrame, marker: str) -> tuple[DataFrame, DataFrame]:
         model = F.coalesce(c["model"], F.lit("pinhole"))
         n_dist, n_poly = F.size(floats(c["distortion"])), F.size(floats(c["forward_poly"]))
         found = [
-            (c["name"].isNull(), "missing name"),
-            (~model.isin("pinhole", "ftheta"), "unknown model"),
-            *[(k[f].isNull(), f"missing intrinsics.{f}") for f in ("fx", "fy", "cx", "cy", "width", "height")],
-            (n_dist != F.coalesce(F.size(c["distortion"]), F.lit(0)), "distortion has a non-numeric entry"),
-            (~n_dist.isin(0, 5), "distortion must have 0 or 5 entries"),
-            (n_poly != F.coalesce(F.size(c["forward_poly"]), F.lit(0)), "forward_poly has a non-numeric entry"),
-            ((model == "ftheta") & (n_poly < 2), "ftheta needs at least 2 coefficients"),
-            ((model == "pinhole") & (n_poly > 0), "forward_poly is only for ftheta"),
-            (F.coalesce(F.size(numbers(e["translation"])), F.lit(0)) != 3, "translation must be 3 numbers"),
-            (F.coalesce(F.size(numbers(e["quaternion"])), F.lit(0)) != 4, "quaternion must be 4 numbers"),
+            (c["name"].isNull(), "it has no name"),
+            (~model.isin("pinhole", "ftheta"), "its model is neither pinhole nor ftheta"),
+            *[(k[f].isNull(), f"its intrinsics lack {f}") for f in ("fx", "fy", "cx", "cy", "width", "height")],
+            (n_dist != F.coalesce(F.size(c["distortion"]), F.lit(0)), "not every distortion coefficient is a number"),
+            (~n_dist.isin(0, 5), "distortion takes five coefficients or none"),
+            (n_poly != F.coalesce(F.size(c["forward_poly"]), F.lit(0)), "not every coefficient of forward_poly is a number"),
+            ((model == "ftheta") & (n_poly < 2), "an ftheta model takes two coefficients of forward_poly or more"),
+            ((model == "pinhole") & (n_poly > 0), "a pinhole model takes no forward_poly"),
+            (F.coalesce(F.size(numbers(e["translation"])), F.lit(0)) != 3, "translation is no vector of three"),
+            (F.coalesce(F.size(numbers(e["quaternion"])), F.lit(0)) != 4, "quaternion is no vector of four"),
         ]
         broken = F.array(*[F.when(F.coalesce(cond, F.lit(True)), F.lit(text)) for cond, text in found])
         return F.transform(F.array_compact(broken), lambda m: F.concat(F.lit("camera "), i.cast("string"), F.lit(": "), m))
@@ -233,8 +233,8 @@ def parse_cameras(docs: DataFrame, marker: str) -> tuple[DataFrame, DataFrame]:
     per_camera = F.flatten(F.transform("j.cameras", rules))
     header = F.array_compact(
         F.array(
-            F.when(~F.coalesce(F.col("j.schema") == marker, F.lit(False)), F.lit("missing or wrong schema")),
-            F.when(F.col("j.cameras").isNull(), F.lit("missing cameras")),
+            F.when(~F.coalesce(F.col("j.schema") == marker, F.lit(False)), F.lit("schema is not the one asked for")),
+            F.when(F.col("j.cameras").isNull(), F.lit("there is no list of cameras")),
         )
     )
     judged = parsed.withColumn("errors", F.concat(header, F.coalesce(per_camera, F.array().cast("array<string>"))))

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Decoded bytes that a task holds before it hands spins on.
+SPIN_BYTES = 16 << 20
 SPIN_SCHEMA = "ts_ns bigint, positions array<float>, intensities array<smallint>"
 
 
@@ -48,25 +57,36 @@ def read_spins(spark: SparkSession, paths: Sequence[str] | str) -> tuple[DataFra
 
 
 def decode_spins(df: DataFrame, decoder: Callable[[bytes], tuple[Sequence[float], Sequence[int]]], blob: str = "blob") -> tuple[DataFrame, DataFrame]:
-    """Spins from compressed blobs, decoded batch-wise by the caller's function.
+    """Spins from compressed blobs, decoded by the caller's function.
 
     ``df`` has ``spin_start_timestamp`` in microseconds; ``decoder`` maps one blob to
-    positions and intensities.
+    positions and intensities. A spin is megabytes: a task decodes blob by blob and hands spins
+    on whenever it holds SPIN_BYTES of them. ``session.configure`` bounds the batches of blobs it gets.
     """
     ids = [c for c in df.columns if c not in (blob, "spin_start_timestamp")]
-    id_schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in ids)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            decoded = [decoder(b) for b in pdf[blob]]
-            out = pdf[ids].copy()
-            out["t_ns"] = pdf["spin_start_timestamp"].astype("int64") * 1000
-            out["positions"] = [d[0] for d in decoded]
-            out["intensities"] = [d[1] for d in decoded]
-            yield out
-
-    schema = id_schema + "t_ns bigint, positions array<float>, intensities array<smallint>"
-    return validate_spins(df.mapInPandas(run, schema))
+    kept = df.select(*ids, F.col("spin_start_timestamp").cast("bigint").alias("spin_start_timestamp"), F.col(blob).alias(blob))
+    schema = T.StructType([*kept.select(*ids).schema.fields, *T._parse_datatype_string(SPIN_SCHEMA.replace("ts_ns", "t_ns")).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, held, spins = 0, 0, []
+            for i, data in enumerate(batch.column(blob)):
+                positions, intensities = decoder(data.as_py())
+                spins.append((np.asarray(positions, np.float32), np.asarray(intensities, np.int16)))
+                held += sum(x.nbytes for x in spins[-1])
+                if held >= SPIN_BYTES or i + 1 == batch.num_rows:
+                    part = batch.slice(first, len(spins))
+                    t_ns = pc.multiply(part.column("spin_start_timestamp"), 1000)
+                    arrays = [_lists([s[k] for s in spins], kind) for k, kind in enumerate((pa.float32(), pa.int16()))]
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ids], t_ns, *arrays], [*ids, "t_ns", "positions", "intensities"])
+                    first, held, spins = i + 1, 0, []
+
+    return validate_spins(kept.mapInArrow(run, schema))
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values), kind))
 
 
 def pack_spins(points: DataFrame, by: Sequence[str] = ("source_id", "channel_id", "ts_ns")) -> DataFrame:

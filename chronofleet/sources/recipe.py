@@ -1,8 +1,8 @@
 """Fixed-record binary logs described by a JSON recipe.
 
-``register_recipe_source(spark)`` adds the data source ``recipe_log``. A file is cut into
-byte ranges that start on record borders, so one large log is read by many tasks; each
-range is decoded with one numpy record view and leaves as Arrow batches.
+A file is cut into byte ranges that start on record borders, so one large log is read by many
+tasks; each range is decoded with numpy record views and leaves as Arrow batches. The ranges
+are rows of a frame made from the listing of the files.
 """
 
 from __future__ import annotations
@@ -14,14 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from chronofleet.operators.frames import ranked_pick
+from chronofleet.plans.histogram import DENSE_BITS
 from chronofleet.plans.scan import OrderedScan
+from chronofleet.sources.files import list_files, located, task_count
 
 # The acceptance threshold, time units.
 MIN_COVERAGE = 0.99
@@ -135,70 +135,40 @@ class Recipe:
             yield pa.record_batch([source, pa.array([cid] * n, pa.string()), pa.array(ts), seq, pa.array(v)], schema=_ARROW)
 
 
-@dataclass
-class _Range(InputPartition):
-    path: str
-    first_record: int
-    records: int
+CHUNK_RECORDS = 1 << 16
 
 
-class _Reader(DataSourceReader):
-    CHUNK_RECORDS = 1 << 16
+def recipe_splits(files: DataFrame, recipe: Recipe, split_bytes: int) -> DataFrame:
+    """(path, first_record, records): runs of whole records of ``files(path, n_bytes)``."""
+    per = max(1, split_bytes // recipe.record)
+    total = F.expr(f"greatest(n_bytes - {recipe.header}, 0) div {recipe.record}")
+    cut = files.select("path", total.alias("total")).filter("total > 0")
+    cut = cut.select("path", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1, F.lit(per).cast("bigint"))).alias("first_record"))
+    return cut.select("path", "first_record", F.least(F.lit(per).cast("bigint"), F.col("total") - F.col("first_record")).alias("records"))
 
-    def __init__(self, options: dict[str, str]):
-        self.recipe = Recipe.parse(options["recipe"])
-        self.paths = json.loads(options["paths"])
-        self.split_bytes = int(options.get("splitbytes", options.get("splitBytes", 128 << 20)))
 
-    def partitions(self) -> Sequence[InputPartition]:
-        out = []
-        per = max(1, self.split_bytes // self.recipe.record)
-        for path in self.paths:
-            fs, inner = pafs.FileSystem.from_uri(path)
-            total = max(0, fs.get_file_info(inner).size - self.recipe.header) // self.recipe.record
-            out += [_Range(path, at, min(per, total - at)) for at in range(0, total, per)]
-        return out or [_Range("", 0, 0)]
+def read_recipe(spark: SparkSession, paths: Sequence[str] | str, recipe: str | dict, split_bytes: int = 128 << 20) -> DataFrame:
+    """Samples of binary logs, files or folders; sizes come with the listing and splits are rows of a frame.
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        if not partition.records:
-            return
-        fs, inner = pafs.FileSystem.from_uri(partition.path)
-        with fs.open_input_file(inner) as f:
-            done = 0
-            while done < partition.records:
-                n = min(self.CHUNK_RECORDS, partition.records - done)
-                at = partition.first_record + done
-                buf = f.read_at(n * self.recipe.record, self.recipe.header + at * self.recipe.record)
-                yield from self.recipe.batches(partition.path, at, buf)
-                done += n
-
-
-class RecipeDataSource(DataSource):
-    """``spark.read.format("recipe_log").option("recipe", json).option("paths", json list)``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "recipe_log"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
-
-
-def register_recipe_source(spark: SparkSession) -> None:
-    spark.dataSource.register(RecipeDataSource)
+    A file shorter than its header has no records, and a part of a record at its end is left out.
+    """
+    text = recipe if isinstance(recipe, str) else json.dumps(recipe)
+    plan = Recipe.parse(text)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Recipe.parse(text)
+        for batch in batches:
+            for split in batch.to_pylist():
+                path = split["path"]
+                fs, inner = located(path)
+                with fs.open_input_file(inner) as f:
+                    for at in range(split["first_record"], split["first_record"] + split["records"], CHUNK_RECORDS):
+                        n = min(CHUNK_RECORDS, split["first_record"] + split["records"] - at)
+                        yield from own.batches(path, at, f.read_at(n * own.record, own.header + at * own.record))
 
-def read_recipe(spark: SparkSession, paths: Sequence[str], recipe: str | dict, split_bytes: int = 128 << 20) -> DataFrame:
-    """Samples of binary logs; ``paths`` are file URIs any executor can open."""
-    text = recipe if isinstance(recipe, str) else json.dumps(recipe)
-    Recipe.parse(text)
-    register_recipe_source(spark)
-    uris = [p if "://" in p else f"file://{p}" for p in paths]
-    reader = spark.read.format("recipe_log").option("recipe", text).option("paths", json.dumps(uris))
-    return reader.option("splitBytes", split_bytes).load()
+    splits = recipe_splits(list_files(spark, paths), plan, split_bytes)
+    # Dealt out by number, as adaptive execution would merge these few small rows.
+    return splits.repartition(task_count(spark), "path", "first_record").mapInArrow(run, SCHEMA)
 
 
 def decode_blobs(blobs: DataFrame, recipe: str | dict) -> DataFrame:
@@ -242,7 +212,7 @@ def profile_times(samples: DataFrame, files: DataFrame, header: int, record: int
     by = ["source_id"]
     rows = samples.select("source_id", "ts_ns", "seq")
     # seq is the record number: unique within a source, so it orders the scan alone.
-    in_file = OrderedScan(rows, by, "seq", [], target_rows, F.lit(0)).lag("_p", F.col("ts_ns"))
+    in_file = OrderedScan(rows, by, "seq", [], target_rows, F.lit(0), slice_bits=DENSE_BITS).lag("_p", F.col("ts_ns"))
     filed = in_file.run()
     largest = in_file.largest
     falls = F.count_if(F.col("ts_ns") < F.col("_p.v"))

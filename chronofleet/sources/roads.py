@@ -53,8 +53,9 @@ def densify_roads(roads: DataFrame, ids: Sequence[str] = ("source_id", "road_id"
     w = Window.partitionBy(*ids).orderBy("geom_idx")
     joins = F.abs(F.lag(F.col("_s0") + F.col("_len")).over(w) - F.col("_s0")) < 1e-6
     geoms = geoms.withColumn("_from", F.when(joins, 1).otherwise(0)).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("_len") / SAMPLE_STEP).cast("int")))
-    rows = geoms.select("*", F.explode(F.sequence("_from", F.col("_n"))).alias("_i"))
-    rows = rows.withColumn("_p", _pose(F.col("_i")))
+    clothoid = g["spiral"].isNotNull() & ~_bends(g)
+    plain = geoms.filter(~clothoid).select("*", F.explode(F.sequence("_from", F.col("_n"))).alias("_i")).withColumn("_p", _pose(F.col("_i")))
+    rows = plain.select(*geoms.columns, "_i", "_p").unionByName(_clothoids(geoms.filter(clothoid), ids))
     points = rows.select(*ids, "geom_idx", "_i", "_elev", "_borders", (F.col("_s0") + F.col("_len") * F.col("_i") / F.col("_n")).alias("_s"), "_p.*")
     points = points.withColumn("z", _height(F.col("_s")))
     centre = F.struct(F.lit("centerline").alias("feature"), F.lit("centerline").alias("type"), F.lit(0.0).alias("offset"))
@@ -125,40 +126,54 @@ def _pose(i: Column) -> Column:
 
     line = pose(x0 + F.cos(h0) * s, y0 + F.sin(h0) * s, h0)
     k = _zero(g["arc"]["_curvature"])
-    bent = F.abs(k) >= 1e-12
-    r = 1.0 / F.when(bent, k)
+    r = 1.0 / F.when(F.abs(k) >= 1e-12, k)
     theta = h0 + k * s
     arc = pose(x0 - r * F.sin(h0) + r * F.sin(theta), y0 + r * F.cos(h0) - r * F.cos(theta), theta)
     curved = (
-        F.when(g["arc"].isNotNull() & bent, arc)
-        .when(g["spiral"].isNotNull(), _spiral(s))
+        F.when(_bends(g), arc)
         .when(g["poly3"].isNotNull(), _bent(i, _poly3))
         .when(g["paramPoly3"].isNotNull(), _bent(i, _param_poly3))
     )
     return F.coalesce(curved, line)
 
 
-def _spiral(s: Column) -> Column:
-    """Clothoid by trapezoids on a half-metre grid, linear between grid nodes."""
-    length, h0 = F.col("_len"), F.col("_hdg0")
+def _bends(g: Column) -> Column:
+    return F.coalesce(g["arc"].isNotNull() & (F.abs(_zero(g["arc"]["_curvature"])) >= 1e-12), F.lit(False))
+
+
+def _clothoids(geoms: DataFrame, ids: list[str]) -> DataFrame:
+    """Rows ``_i``, ``_p`` of spirals by trapezoids on a half-metre grid, linear between its nodes.
+
+    One row per node holds the way to the next; a running sum gives the place of each node, and
+    the samples that lie behind a node are placed from it.
+    """
+    length, h0, n = F.col("_len"), F.col("_hdg0"), F.col("_n")
     k0, k1 = _zero(F.col("g")["spiral"]["_curvStart"]), _zero(F.col("g")["spiral"]["_curvEnd"])
-    steps = F.greatest(F.lit(1), F.ceil(length / SPIRAL_STEP).cast("int"))
-    ds = length / steps
-    node = F.least(F.floor(s / ds).cast("int"), steps - 1)
-    part = s / ds - node
 
     def heading(at: Column) -> Column:
         return h0 + k0 * at + 0.5 * (k1 - k0) / length * at * at
 
-    def advance(fn) -> Column:
-        def step(j: Column) -> Column:
-            return ds * 0.5 * (fn(heading(ds * j)) + fn(heading(ds * (j + 1))))
-
-        whole = F.when(node > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(node - 1, F.lit(0))), F.lit(0.0), lambda acc, j: acc + step(j))).otherwise(0.0)
-        return whole + step(node) * part
-
-    a, b = heading(ds * node), heading(ds * (node + 1))
-    return F.struct((F.col("_x0") + advance(F.cos)).alias("x"), (F.col("_y0") + advance(F.sin)).alias("y"), (a + (b - a) * part).alias("hdg"))
+    grid = geoms.withColumn("_steps", F.greatest(F.lit(1), F.ceil(length / SPIRAL_STEP).cast("int"))).withColumn("_ds", length / F.col("_steps"))
+    nodes = grid.select("*", F.explode(F.sequence(F.lit(0), F.col("_steps") - 1)).alias("_j"))
+    a, b = heading(F.col("_ds") * F.col("_j")), heading(F.col("_ds") * (F.col("_j") + 1))
+    way = {f"_d{c}": F.col("_ds") * 0.5 * (fn(a) + fn(b)) for c, fn in (("x", F.cos), ("y", F.sin))}
+    nodes = nodes.withColumns({**way, "_a": a, "_b": b})
+    before = Window.partitionBy(*ids, "geom_idx").orderBy("_j").rowsBetween(Window.unboundedPreceding, -1)
+    nodes = nodes.withColumns({f"_at{c}": F.coalesce(F.sum(f"_d{c}").over(before), F.lit(0.0)) for c in "xy"})
+
+    def node_of(i: Column) -> Column:
+        return F.least(F.floor(length * i / n / F.col("_ds")).cast("int"), F.col("_steps") - 1)
+
+    # A node has two samples at most, near the same share of the way.
+    near = F.floor(F.col("_j") * n / F.col("_steps")).cast("int")
+    behind = F.filter(F.sequence(near - 1, near + 2), lambda i: (i >= F.col("_from")) & (i <= n) & (node_of(i) == F.col("_j")))
+    rows = nodes.select("*", F.explode(behind).alias("_i"))
+    part = length * F.col("_i") / n / F.col("_ds") - F.col("_j")
+    pose = F.struct(
+        (F.col("_x0") + F.col("_atx") + F.col("_dx") * part).alias("x"), (F.col("_y0") + F.col("_aty") + F.col("_dy") * part).alias("y"),
+        (F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias("hdg"),
+    )
+    return rows.select(*geoms.columns, "_i", pose.alias("_p"))
 
 
 def _poly3(i: Column) -> tuple[Column, Column]:

@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofleet.sources.files import list_files, located
 from chronofleet.sources.recipe import magic_bytes
 
+__all__ = ["classify_files", "kind_of", "list_files", "read_heads"]
+
 # Suffixes in order of priority, and the bytes of a file that are sniffed.
 SIDECAR_SUFFIX = ".mp4.timestamps"
+#: Bytes of heads that a task holds before it hands them on; a larger document is handed on alone.
+HEAD_BYTES = 8 << 20
 SUFFIXES = (
     (".mp4.timestamps", "sidecar"),
     (".mp4", "video"),
@@ -29,12 +33,6 @@ SUFFIXES = (
 )
 
 
-def list_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """``path, name, n_bytes`` of files; contents are not read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"))
-
-
 def read_heads(files: DataFrame, n_bytes: int = 0, recipes: DataFrame | None = None) -> DataFrame:
     """Adds ``head``, read by the executors: a JSON document whole, as its marker may stand anywhere,
     of any other file the first ``n_bytes``, or as many as the magics of ``recipes`` reach."""
@@ -44,13 +42,16 @@ def read_heads(files: DataFrame, n_bytes: int = 0, recipes: DataFrame | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = []
-            for path in batch.column("path").to_pylist():
+            heads, first = [], 0
+            for i, path in enumerate(batch.column("path").to_pylist()):
                 whole = path.lower().endswith(".json")
-                fs, inner = pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+                fs, inner = located(path)
                 with fs.open_input_stream(inner) as f:
                     heads.append(f.read() if whole else f.read(n_bytes))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=[*batch.schema.names, "head"])
+                if sum(map(len, heads)) >= HEAD_BYTES or i + 1 == batch.num_rows:
+                    part = batch.slice(first, len(heads))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(heads, pa.binary())], names=[*batch.schema.names, "head"])
+                    heads, first = [], i + 1
 
     return files.mapInArrow(run, schema)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import sys
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from chronofleet.functions.numeric import nan
 from chronofleet.functions.time import group_time_ns, guess_time_unit, strict_ns, to_ts_ns
-from chronofleet.sources.routing import list_files
+from chronofleet.sources.files import list_files, located
 
 # The probes travel to the workers with the task, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -99,7 +100,7 @@ def _probed(files: DataFrame, probe: Callable) -> dict[str, list[str]]:
         for batch in batches:
             said = []
             for path in batch.column("path").to_pylist():
-                said.append(probe(*pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))))
+                said.append(probe(*located(path)))
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(said, pa.string())], names=["path", "said"])
 
     groups: dict[str, list[str]] = {}
@@ -122,15 +123,29 @@ def _footer(fs: pafs.FileSystem, path: str) -> str:
 
 
 def _column_names(header: str) -> list[str]:
+    """Names that differ in more than case: a name that repeats gets its place, as does an empty one."""
     names = next(csv.reader([header]), [])
-    return [n if n and names.count(n) == 1 else f"{n or '_c'}{i}" for i, n in enumerate(names)]
+    many = Counter(n.lower() for n in names)
+    taken = {n.lower() for n in names if n and many[n.lower()] == 1}
+    out = []
+    for i, n in enumerate(names):
+        name, k = n, i
+        if not n or many[n.lower()] > 1:
+            name = f"{n or '_c'}{k}"
+            while name.lower() in taken:
+                k += len(names)
+                name = f"{n or '_c'}{k}"
+            taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def read_csv_log(spark: SparkSession, paths: Sequence[str] | str) -> tuple[DataFrame, DataFrame]:
     """Typed wide frame with ``source_file`` and ``seq``, and the class of every column of every file.
 
     Each file is read by its own header, so columns may be in another order, or missing, from
-    file to file; short rows read as empty cells. A column is numeric in the files where its
+    file to file; short rows read as empty cells. Names are compared without case: of one file's columns
+    that differ in case only each gets its place in the name, those of several files are one. A column is numeric in the files where its
     cells are: elsewhere it is NULL, and its class says ``non_numeric``. It is BIGINT where no file
     needs DOUBLE.
     """
@@ -153,12 +168,12 @@ def read_csv_log(spark: SparkSession, paths: Sequence[str] | str) -> tuple[DataF
     if not raws:
         raise ValueError("no file has a header")
     classes_df = reduce(DataFrame.unionByName, classes)
-    widest = classes_df.filter("kind <> 'non_numeric'").groupBy("name").agg(F.min("kind").alias("kind"))  # float before integer
+    widest = classes_df.filter("kind <> 'non_numeric'").groupBy(F.lower("name").alias("name")).agg(F.min("kind").alias("kind"))  # float before integer
     kinds = {r["name"]: r["kind"] for r in widest.collect()}  # one row per column name
     bad = classes_df.filter("kind = 'non_numeric'").groupBy("source_file").agg(F.collect_set("name").alias("_bad")).withColumnRenamed("source_file", "_file")
     out = []
     for names, raw in raws:
-        here = {n: kinds[n] for n in names if n in kinds}
+        here = {n: kinds[n.lower()] for n in names if n.lower() in kinds}
         rows = type_columns(raw.join(bad, F.col("source_file") == F.col("_file"), "left"), here, ["source_file", "seq", "_bad"])
         fine = lambda n: ~F.array_contains(F.coalesce("_bad", F.array().cast("array<string>")), n)
         out.append(rows.select("source_file", "seq", *[F.when(fine(n), F.col(f"`{n}`")).alias(n) for n in here]))
