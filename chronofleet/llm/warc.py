@@ -1,18 +1,21 @@
 """WARC archives as a table of chunk records.
 
-A payload travels as rows (record_id, chunk_no, bytes): writer and reader hold one chunk at a
-time and carry the digest from chunk to chunk, so no step builds a whole record. Archives are
-WARC/1.1 files written and read by Spark's own text source, hence on any store. The HTTP
-message of a response uses chunked transfer encoding: each chunk row is one line group ended
-by CRLF, and a reader needs no look-ahead. Each file is compressed, so that one task reads it
-from its start; a file holds what one writing task held.
+A payload travels as rows (record_id, chunk_no, bytes). The writer has a page whole, as it is one
+row of its input, and makes a chunk row of it at a time; Spark's text source writes these as
+WARC/1.1 files, hence to any store. The HTTP message of a response uses chunked transfer encoding.
+The reader takes bytes, framed by Content-Length, with bounded reads: it holds one chunk of a
+payload and carries the digest from chunk to chunk, whatever the length of the record. It takes
+archives of other writers as well.
 
 A record whose payload equals that of an earlier identifier is a ``revisit`` without payload.
 """
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
+import io
 from functools import partial
 
 import pyarrow as pa
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofleet.llm.common import scratch, table
+from chronofleet.sources.files import list_files, located, task_count
 
 #: Payloads below this many bytes are always stored.
 LEAST_REVISIT_BYTES = 100
@@ -27,6 +31,9 @@ CHUNK_CHARS = 1 << 14
 _EOL = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _OUT_ROWS = 256
+#: Bytes of a payload that the reader holds and hands on at a time, and of a header line.
+CHUNK_BYTES = LINE_BYTES = 1 << 16
+_OUT_BYTES = 4 << 20
 
 
 def roles(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
@@ -101,112 +108,166 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     lines.write.option("lineSep", _EOL).option("compression", "gzip").text(path)
 
 
-class _Reader:
-    """State of one file between lines; emits chunk rows as soon as a chunk is whole."""
-
-    def __init__(self):
-        self.head, self.state, self.rows = {}, "version", []
-        self.part, self.missing = [], 0
-
-    def line(self, text: str) -> None:
-        getattr(self, "_" + self.state)(text)
-
-    def _version(self, text):
-        if text.startswith("WARC/"):
-            self.head, self.state = {}, "header"
-        elif text:
+class _Block:
+    """The block of a record: bounded reads up to its Content-Length, an error where the file ends before."""
+
+    def __init__(self, stream, length: int, name: str):
+        self.stream, self.left, self.name = stream, length, name
+
+    def _taken(self, data: bytes) -> bytes:
+        if not data and self.left:
+            raise ValueError(f"the archive ends inside the record {self.name}")
+        self.left -= len(data)
+        return data
+
+    def read(self, most: int) -> bytes:
+        return self._taken(self.stream.read(min(most, self.left))) if self.left else b""
+
+    def line(self) -> bytes:
+        return self._taken(self.stream.readline(min(LINE_BYTES, self.left))) if self.left else b""
+
+    def pieces(self, length: int | None = None):
+        """The next ``length`` bytes, or all that is left, at most CHUNK_BYTES at a time."""
+        left = self.left if length is None else length
+        while left:
+            data = self.read(min(CHUNK_BYTES, left))
+            if not data:
+                raise ValueError(f"the block of {self.name} is shorter than its parts")
+            left -= len(data)
+            yield data
+
+
+def _fields(line) -> dict[str, str]:
+    """Header fields up to an empty line; a folded line belongs to the field before."""
+    out, last = {}, None
+    while (text := line()) not in (b"\r\n", b"\n", b""):
+        if text[:1] in b" \t" and last:
+            out[last] += " " + text.decode("utf-8", "replace").strip()
+            continue
+        k, _, v = text.decode("utf-8", "replace").partition(":")
+        last = k.strip().lower()
+        out[last] = v.strip()
+    return out
+
+
+def _records(stream):
+    """(fields, block) of every record of an archive."""
+    while text := stream.readline(LINE_BYTES):
+        if not text.strip():
+            continue
+        if not text.startswith(b"WARC/"):
             raise ValueError(f"no WARC record begins with {text[:40]!r}")
-
-    def _header(self, text):
-        if text:
-            k, _, v = text.partition(":")
-            self.head[k.lower()] = v.strip()
-        else:
-            self.state, self.http = "message", {}
-            self.chunk, self.digest, self.bytes = 0, hashlib.sha256(), 0
-
-    def _message(self, text):
-        if text:
-            k, _, v = text.partition(":")
-            self.http[k.lower()] = v.strip()
-        elif self.head["warc-type"] == "revisit":
-            self._emit("", int(self.http["content-length"]), self.head["warc-payload-digest"].split(":")[1], True)
-            self.state = "version"
-        else:
-            self.state = "size"
-
-    def _size(self, text):
-        self.missing = int(text, 16)
-        self.part = []
-        if self.missing:
-            self.state = "data"
-        else:
-            digest = self.digest.hexdigest()
-            if digest != self.head["warc-payload-digest"].split(":")[1]:
-                raise ValueError(f"payload of {self.head['warc-record-id']} does not have its digest")
-            self._emit("", self.bytes, digest, True)
-            self.state = "version"
-
-    def _data(self, text):
-        raw = text.encode()
-        if self.part:
-            self.missing -= 2  # the line break that ended the line before
-        self.part.append(text)
-        self.missing -= len(raw)
-        if self.missing <= 0:
-            chunk = _EOL.join(self.part)
-            body = chunk.encode()
-            self.digest.update(body)
-            self.bytes += len(body)
-            self._emit(chunk, self.bytes, self.digest.hexdigest(), False)
-            self.state = "size"
-
-    def _emit(self, chunk, size, digest, last):
-        ident = lambda x: int(x[10:-1]) if x and x != "<urn:page:>" else None
-        h = self.head
-        self.rows.append((ident(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-type"], ident(h.get("warc-refers-to")), self.chunk, chunk, size, digest, last))
-        self.chunk += 1
+        head = _fields(lambda: stream.readline(LINE_BYTES))
+        name = head.get("warc-record-id", "")
+        if not head.get("content-length", "").isdigit():
+            raise ValueError(f"the record {name} has no length: the archive is cut or damaged")
+        block = _Block(stream, int(head["content-length"]), name)
+        yield head, block
+        for _ in block.pieces():
+            pass
+
+
+def _dechunked(block: _Block, raw):
+    """The payload of a message in chunked transfer encoding; ``raw`` sees every byte of it as sent."""
+    while True:
+        line = block.line()
+        raw(line)
+        size = int(line.split(b";")[0], 16)
+        if size == 0:
+            break
+        for data in block.pieces(size):
+            raw(data)
+            yield data
+        raw(block.line())
+    while (line := block.line()) not in (b"\r\n", b"\n", b""):
+        raw(line)
+
+
+def _known(digest: str, *hashes) -> bool:
+    """Whether a digest field names one of the hashes, in hex or base 32; other algorithms can't be checked."""
+    kind, _, value = digest.partition(":")
+    same = [h for h in hashes if h.name == kind.replace("-", "").lower()]
+    return not same or any(value.lower() == h.hexdigest() or value.upper() == base64.b32encode(h.digest()).decode() for h in same)
+
+
+def _payload(head: dict, block: _Block):
+    """(chunk, running size, running digest, last) of a record's payload; the last one has no bytes."""
+    kind, http = head.get("warc-type", ""), {}
+    named = head.get("warc-payload-digest", "")
+    if head.get("content-type", "").startswith("application/http"):
+        block.line()
+        http = _fields(block.line)
+    if kind == "revisit":  # the payload is that of another record
+        size = http.get("content-length", "")
+        yield b"", int(size) if size.isdigit() else None, named.partition(":")[2].lower(), True
+        return
+    sums, size = [hashlib.sha256(), hashlib.sha1()], 0
+    sent = [hashlib.sha256(), hashlib.sha1()]  # of the message as it was sent, which some writers digest
+    if http.get("transfer-encoding", "").lower() == "chunked":
+        data = _dechunked(block, lambda b: [h.update(b) for h in sent])
+    else:
+        data = block.pieces()
+    for chunk in data:
+        for h in sums:
+            h.update(chunk)
+        size += len(chunk)
+        yield chunk, size, sums[0].hexdigest(), False
+    if not _known(named, *sums) and not (http.get("transfer-encoding") and _known(named, *sent)):
+        raise ValueError(f"payload of {block.name} does not have its digest")
+    yield b"", size, sums[0].hexdigest(), True
 
 
 #: running_bytes and running_digest cover the payload up to and with this chunk; the row with
 #: last_chunk holds no bytes but those of the whole.
-CHUNKS = "record_id long, url string, record_type string, refers_to long, chunk_no long, chunk string, running_bytes long, running_digest string, last_chunk boolean"
+CHUNKS = "record_id string, url string, record_type string, refers_to string, content_type string, chunk_no long, chunk binary, running_bytes long, running_digest string, last_chunk boolean"
+_CHUNKS = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}[c.split()[1]]) for c in CHUNKS.split(", ")])
 
 
-def _read_rows(batches):
-    names = [c.split()[0] for c in CHUNKS.split(", ")]
-    kinds = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in CHUNKS.split(", ")]
-    reader, file = _Reader(), None
+def _read_files(batches):
+    rows, held = [], 0
 
     def out():
-        cols = list(zip(*reader.rows))
-        reader.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        nonlocal rows, held
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CHUNKS)], schema=_CHUNKS)
+        rows, held = [], 0
+        return batch
 
     for b in batches:
-        for text, name in zip(b.column("value"), b.column("file")):
-            if (name := name.as_py()) != file:
-                file = name
-                keep, reader = reader.rows, _Reader()
-                reader.rows = keep
-            reader.line(text.as_py())
-            if len(reader.rows) >= _OUT_ROWS:
-                yield out()
-    if reader.rows:
+        for path in b.column("path").to_pylist():
+            fs, inner = located(path)
+            with fs.open_input_stream(inner, compression=None) as raw:
+                file = gzip.GzipFile(fileobj=raw) if path.lower().endswith(".gz") else raw
+                try:
+                    for head, block in _records(io.BufferedReader(file, CHUNK_BYTES)):
+                        own = [head.get(c) for c in ("warc-record-id", "warc-target-uri", "warc-type", "warc-refers-to", "content-type")]
+                        for no, (chunk, size, digest, last) in enumerate(_payload(head, block)):
+                            rows.append((*own, no, chunk, size, digest, last))
+                            held += len(chunk)
+                            if len(rows) >= _OUT_ROWS or held >= _OUT_BYTES:
+                                yield out()
+                except EOFError as e:
+                    raise ValueError(f"the archive {path} is cut") from e
+    if rows:
         yield out()
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table of the archives below ``path``; checks every payload's digest."""
-    lines = spark.read.option("lineSep", _EOL).text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    return lines.mapInArrow(_read_rows, CHUNKS)
+    """The chunk table of the archives below ``path``, of this writer or any other.
+
+    Records of all types come, plain or gzipped (.gz, one member or many). The payload of an HTTP
+    message is what follows its header, with chunked transfer encoding undone; of other records it is
+    the block. SHA-256 and SHA-1 payload digests are checked. An archive that ends inside a record,
+    or whose payload does not have its digest, is an error.
+    """
+    files = list_files(spark, path).filter(r"lower(name) RLIKE '[.](warc|warc[.]gz|gz|txt)$'")
+    return files.select("path").repartition(task_count(spark), "path").mapInArrow(_read_files, CHUNKS)
 
 
 def record_table(chunks: DataFrame) -> DataFrame:
-    """One row per record from the last chunk row of each."""
-    return chunks.filter("last_chunk").select(
-        F.col("record_id").alias("page_id"), F.col("running_bytes").alias("payload_bytes"), F.col("running_digest").alias("payload_digest"), "record_type", "refers_to"
-    )
+    """One row per response or revisit of a page from the last chunk row of each."""
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    rows = chunks.filter("last_chunk AND record_type IN ('response', 'revisit')")
+    return rows.select(page("record_id").alias("page_id"), F.col("running_bytes").alias("payload_bytes"), F.col("running_digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
 
 
 def query(spark, sf_dir):

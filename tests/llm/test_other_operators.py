@@ -117,6 +117,7 @@ def test_audit_sees_lost_small_groups(monkeypatch):
 def test_warc_round_trip(spark):
     rng = random.Random(1)
     rows = [(i, None if i % 7 == 0 else f"http://x/{i} ü\n", "".join(rng.choice("\r\n aé😀") for _ in range(rng.choice([0, 5, 99, 100, 5000])))) for i in range(40)]
+    rows += [(200, "long", "".join(rng.choice("abc é") for _ in range(300_000)))]  # many times what a read takes
     rows += [(100, "u", rows[4][2]), (101, None, None), (1, "a", "x" * 200), (1, "a", "x" * 200), (2, "b", "x" * 200), (None, "c", "x" * 200), (50, "t", "WARC/1.1\r\n\r\n" * 90), (51, "h", "é" * 49), (52, "h", "é" * 49), (53, "h", "é" * 50), (54, "h", "é" * 50)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
     path = common.scratch(spark)
@@ -124,12 +125,13 @@ def test_warc_round_trip(spark):
     chunks = warc.read_warc(spark, path).collect()
     got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest) for r in warc.record_table(spark.createDataFrame(chunks, warc.CHUNKS)).collect())
     assert got == sorted((str(i), len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in rows)
+    ident = lambda x: x and (int(x[10:-1]) if x[10:-1] else None)
     text = {}
-    for c in sorted((c for c in chunks if c.record_type == "response" and c.record_id not in (1, 2, None)), key=lambda c: c.chunk_no):
-        text[c.record_id] = text.get(c.record_id, "") + c.chunk
-        assert len(c.chunk) <= 700
-    assert all(text[i] == (h or "") for i, _, h in rows if i in text)
-    kinds = {(c.record_id, c.record_type, c.refers_to) for c in chunks if c.last_chunk}
+    for c in sorted((c for c in chunks if c.record_type == "response" and ident(c.record_id) not in (1, 2, None)), key=lambda c: c.chunk_no):
+        text[ident(c.record_id)] = text.get(ident(c.record_id), b"") + c.chunk
+        assert len(c.chunk) <= 700 * 4
+    assert all(text[i] == (h or "").encode() for i, _, h in rows if i in text)
+    kinds = {(ident(c.record_id), c.record_type, ident(c.refers_to)) for c in chunks if c.last_chunk}
     assert {(2, "revisit", 1), (None, "revisit", 1), (54, "revisit", 53), (52, "response", None)} <= kinds
     empty = common.scratch(spark)
     warc.write_warc(df.limit(0), empty)
@@ -153,9 +155,65 @@ def test_archives_are_plain_warc(spark):
     assert records == 2
 
 
+def _foreign(payload: bytes) -> dict[str, bytes]:
+    """Records as other writers make them, by name."""
+    import base64
+
+    def record(kind, block, *fields):
+        head = [b"WARC/1.0", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:uuid:" + kind.encode() + b">", b"Content-Length: %d" % len(block), *[f.encode() for f in fields]]
+        return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = "Content-Type: application/http; msgtype="
+    sha1 = "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    chunked = b"".join(b"%X;x=1\r\n" % len(payload[i : i + 999]) + payload[i : i + 999] + b"\r\n" for i in range(0, len(payload), 999)) + b"0\r\nTrailer: 1\r\n\r\n"
+    return {
+        "warcinfo": record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        "request": record("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", http + "request"),
+        "response": record("response", b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload, http + "response", sha1, "WARC-Target-URI: http://x/\r\n  folded"),
+        "chunked": record("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked, http + "response", "WARC-Payload-Digest: sha256:" + hashlib.sha256(payload).hexdigest()),
+        "metadata": record("metadata", b"a: b\r\n\r\nnot: a header", "Content-Type: application/warc-fields"),
+        "resource": record("resource", payload, "Content-Type: application/octet-stream", sha1),
+        "revisit": record("revisit", b"HTTP/1.1 200 OK\r\n\r\n", http + "response", sha1, "WARC-Refers-To: <urn:uuid:response>"),
+    }
+
+
+@pytest.mark.parametrize("packed", ["", "members", "one"])
+def test_archives_of_others_are_read(spark, tmp_path, packed):
+    import gzip
+
+    payload = bytes(range(256)) * 700 + b"\r\nWARC/1.0\r\n"
+    records = _foreign(payload)
+    if packed == "members":
+        data = b"".join(map(gzip.compress, records.values()))
+    else:
+        data = b"".join(records.values())
+        data = gzip.compress(data) if packed else data
+    file = tmp_path / ("a.warc.gz" if packed else "a.warc")
+    file.write_bytes(data)
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    whole = [c for c in rows if c.last_chunk]
+    assert [c.record_type for c in whole] == ["warcinfo", "request", "response", "response", "metadata", "resource", "revisit"]
+    digest = hashlib.sha256(payload).hexdigest()
+    assert [c.running_digest == digest and c.running_bytes == len(payload) for c in whole] == [False, False, True, True, False, True, False]
+    assert max(len(c.chunk) for c in rows) <= warc.CHUNK_BYTES and [c.url for c in whole][2] == "http://x/ folded"
+    body, part = [], b""
+    for c in rows:
+        part = part + c.chunk
+        if c.last_chunk:
+            body, part = [*body, part], b""
+    assert body == [b"software: x\r\n", b"", payload, payload, b"a: b\r\n\r\nnot: a header", payload, b""]
+    file.write_bytes(data[:-300])
+    with pytest.raises(Exception, match="cut|ends inside"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+    if not packed:
+        file.write_bytes(data.replace(payload, payload[:-1] + b"x", 1))
+        with pytest.raises(Exception, match="does not have its digest"):
+            warc.read_warc(spark, str(tmp_path)).collect()
+
+
 def test_queries_against_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, DATA)
