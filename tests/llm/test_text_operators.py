@@ -460,6 +460,35 @@ def test_surrogates_draw_again_on_collisions(spark, monkeypatch):
     assert made["made"].is_unique and not set(made["made"]) & set(made["canon"]) and len(made) == 20
 
 
+def test_surrogates_follow_a_person_through_a_text(documents):
+    said = [
+        "Mr. John Smith came. Mr. Smith said John Smith's mail is here. JOHN SMITH left, Smith too, SMITH as well. Blacksmith and smith stay.",
+        "Mr. Smith alone", "Ms. Anna Smith and Mr. John Smith: Ms. Smith, Mr. Smith", "mr.\tSmith", "Dr. Weber and Dr. Eva Weber", "John Smith without a title",
+    ]
+    got = {r.doc_id: r.text for r in surrogates.anonymized(documents(list(enumerate(said))), "key").collect()}
+    given, family = re.match(r"Mr\. (\S+) (\S+) came", got[0]).groups()
+    assert got[0] == f"Mr. {given} {family} came. Mr. {family} said {given} {family}'s mail is here. {given.upper()} {family.upper()} left, {family} too, {family.upper()} as well. Blacksmith and smith stay."
+    assert got[1] != f"Mr. {family} alone" and "Smith" not in got[1]  # nobody's short name here
+    pair = re.match(r"Ms\. (\S+) (\S+) and Mr\. (\S+) (\S+): Ms\. (\S+), Mr\. (\S+)$", got[2]).groups()
+    assert pair[1] == pair[4] and pair[3] == pair[5] and (pair[2], pair[3]) == (given, family) and pair[1] != pair[3]
+    assert got[3].startswith("mr.\t") and "Smith" not in got[3]
+    short, full = re.match(r"Dr\. (\S+) and Dr\. \S+ (\S+)$", got[4]).groups()
+    assert short == full and "Weber" not in got[4] and got[5] == said[5]
+
+
+def test_phones_keep_their_country(documents):
+    said = ["+33 6 12 34 56 78", "+1 (017) 555-7713", "+358 40 123 4567", "+49 30 12345678", "+7 495 123-45-67", "017 555 7713"]
+    got = {r.doc_id: r.text for r in surrogates.anonymized(documents(list(enumerate(said))), "key").collect()}
+    for i, (text, code) in enumerate(zip(said, ("+33 ", "+1 (", "+358 ", "+49 ", "+7 ", ""))):
+        assert got[i].startswith(code) and got[i] != text and re.sub(r"\d", "0", got[i]) == re.sub(r"\d", "0", text)
+
+
+def test_long_secrets_go_whole(documents):
+    said = ["sk-" + "a1b2" * 30, "f0" * 200]
+    got = {r.doc_id: r.text for r in surrogates.anonymized(documents(list(enumerate(said))), "key").collect()}
+    assert all(got[i] != said[i] and len(got[i]) == len(said[i]) and said[i][-12:] not in got[i] for i in (0, 1))
+
+
 def test_surrogates_of_wider_patterns(documents):
     said = ["GB29 NWBK 6016 1331 9268 19 was paid", "to NL91ABNA0417164300", "IT60X0542811101000000123456", "AT61 1904 3002 3457 3201 from", "555-123-4567", "tel:555-123-4567", "+33 6 12 34 56 78", "+49 30 12345678"]
     said += ["Mr. John Paul Jones left", "Mr. McDonald", "Ms. Anne-Marie Smith", "Frau Dr. Weber", "Mr. O'Brien's car", "Herr Weber Frau Braun"]
