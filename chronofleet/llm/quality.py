@@ -24,9 +24,8 @@ ORDER = 5
 #: Trusted documents of a language that are at most this perplex, in parts of all.
 QUANTILE = 0.995
 #: One trusted document in so many is not counted; the quantile is taken over these, as a document
-#: the model has counted is less perplex than any other. SLACK_BITS is added to the quantile.
+#: the model has counted is less perplex than any other.
 HELD_OUT = 5
-SLACK_BITS = 0.1
 #: A document counts as if this many further bytes were as likely as its language's average, so
 #: that a few words don't decide.
 PRIOR_BYTES = 60
@@ -232,7 +231,7 @@ def thresholds(rows: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     bins = rows.groupBy("lang", F.ceil(F.col("score") * BINS).alias("bin")).agg(F.count("*").alias("n"))
     order = Window.partitionBy("lang").orderBy("bin")
     part = bins.withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy("lang"))})
-    return part.filter(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg((F.min("bin") / BINS + SLACK_BITS).alias("limit"))
+    return part.filter(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg((F.min("bin") / BINS).alias("limit"))
 
 
 def classified(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -240,7 +239,9 @@ def classified(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE)
 
     ``trusted`` lists the ids of trusted documents. A null language is one of its own; a language
     without trusted text uses the quantile of all. Null and empty texts and rows without an id have
-    no perplexity and are kept; without any trusted text nothing is known and all are kept.
+    no perplexity and are kept; without any trusted text nothing is known and all are kept. Rows that
+    repeat an id are scored each, texts of any length whole; other columns are ignored, and an
+    empty table gives an empty one.
     """
     each = saved(scores(docs, trusted))
     mean = each.filter("held AND n_bytes > 0").groupBy("lang").agg((F.sum("total_bits") / F.sum("n_bytes")).alias("mean"))
