@@ -26,7 +26,8 @@ SHARE = 1.5
 #: No document and no source exceeds this many times its size.
 MOST = 2.0
 TOLERANCE = 1e-9
-NEWTON_STEPS = 40
+#: Newton steps, where they leave the bracket halvings of it; a source that needs more is an error.
+NEWTON_STEPS = 200
 #: Documents of one source and size that one task ranks.
 RANK_ROWS = 1 << 17
 
@@ -101,6 +102,9 @@ def tilts(histogram: DataFrame, goal: DataFrame, most: float = MOST) -> DataFram
             }
         )
         state = saved(nxt.select("source", "target", "scale", "tilt", "low", "high", "done"))
+    else:
+        if not state.filter(~F.col("done")).isEmpty():
+            raise ArithmeticError(f"tilts did not converge in {NEWTON_STEPS} steps")
     return state.select("source", "target", "tilt", "scale")
 
 
