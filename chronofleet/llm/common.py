@@ -28,17 +28,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch paths handed out and not yet dropped, and the folder that stands in for one that isn't set.
+_handed_out: list[str] = []
+_stand_in: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests on one machine) a temporary folder takes its place.
+    Where that setting is absent a temporary folder takes its place, which is possible on one machine
+    only: on a cluster its absence is an error.
     """
     reachable(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = tempfile.mkdtemp(prefix="llm-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _stand_in:
+            _stand_in.append(tempfile.mkdtemp(prefix="llm-scratch-"))
+        base = _stand_in[0]
+    _handed_out.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _handed_out[-1]
+
+
+def scratch_mark() -> int:
+    """How many scratch paths have been handed out; those after it belong to what runs next."""
+    return len(_handed_out)
+
+
+def drop_scratch(keep: DataFrame, since: int) -> None:
+    """Deletes the scratch tables handed out after the mark ``since`` but for those that ``keep``, a saved frame, reads."""
+    spark, files = keep.sparkSession, keep.inputFiles()
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in _handed_out[since:]:
+        if not any(path.rsplit("/", 1)[-1] in f for f in files):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            _handed_out.remove(path)
 
 
 def saved(df: DataFrame) -> DataFrame:

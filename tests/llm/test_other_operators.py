@@ -252,6 +252,16 @@ def test_pipeline_stages(spark):
             assert len(after) == len(before) and all(r.decoded_sha256 == text[r.doc_id] for r in after)
 
 
+def test_scratch_goes_and_results_stay(spark):
+    other = common.saved(spark.range(5))
+    mark = common.scratch_mark()
+    gone, kept = common.saved(spark.range(7)), common.saved(spark.range(9))
+    common.drop_scratch(keep=kept, since=mark)
+    assert (other.count(), kept.count()) == (5, 9)
+    with pytest.raises(Exception, match="(?i)not exist|no such file"):
+        gone.collect()
+
+
 def test_pipeline_takes_odd_rows(spark, documents, odd_rows):
     docs = documents(odd_rows)
     for name, stage in corpus_pipeline.STAGES:
