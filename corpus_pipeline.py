@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofleet.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from chronofleet.llm.common import saved, table
+from chronofleet.llm.common import drop_scratch, saved, scratch_mark, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The tokens of the mix; working tables of a stage are deleted when its result is written."""
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for _, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir))
+        drop_scratch(keep=docs, since=mark)
     return docs
