@@ -37,8 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronofleet-")
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary one where it is unset, on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="chronofleet-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
