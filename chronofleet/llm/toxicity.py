@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofleet.llm.common import Rolling, lowered, mixed, pieces, saved, strings, table, words
+from chronofleet.llm.common import Rolling, lowered, mixed, pieces, saved, saved_by, strings, table, words
 
 BITS = 20
 #: Bytes of the beginnings of words, and the counts told apart.
@@ -169,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     # A coordinate far below its penalty on the bias alone stays at 0; the rest is at most 1 << BITS rows.
     screen = screen.filter(F.abs("g") > SCREEN * (DEVIATIONS * F.sqrt(F.col("c") * rate * (1 - rate)) + L1)).toPandas().sort_values("at")
     at, count = screen["at"].to_numpy(np.int64), np.append(screen["c"].to_numpy(), 0.0)
-    lists = saved(rows.groupBy("shard").applyInPandas(_reduced(at), "x array<int>, toxic long, shard int"))
+    # In buckets by shard, so that a round shuffles gradients only.
+    lists = saved_by(rows.groupBy("shard").applyInPandas(_reduced(at), "x array<int>, toxic long, shard int"), "shard")
     m = len(at) + 1
     z, n, penalty, w = np.zeros(m), np.zeros(m), np.zeros(m), np.zeros(m)
     w[-1] = np.log(rate / (1 - rate))
