@@ -136,24 +136,30 @@ class OrderedScan:
         # Bounded: every returned cell holds more than ``target`` of ``total`` rows.
         return (
             frame.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("n"), F.min(self.ts).alias("lo"), F.max(self.ts).alias("hi"))
-            .filter(F.col("n") > self.target)
+            .agg(F.count(F.lit(1)).alias("_n"), F.min(self.ts).alias("_lo"), F.max(self.ts).alias("_hi"))
+            .filter(F.col("_n") > self.target)
             .collect()
         )
 
-    def _counted(self, key_frame: DataFrame) -> list:
-        """Hot slices of all widths (whole series only, where the order is no time); sets ``largest``. One job."""
-        if self._bits is None:
-            sizes = key_frame.groupBy(*self.by).agg(F.count(F.lit(1)).alias("n"), F.min(self.ts).alias("lo"), F.max(self.ts).alias("hi"))
-            sizes = sizes.select(*self.by, F.lit(None).cast("bigint").alias("slice"), "n", "lo", "hi")
-        elif self._histogram is not None:
-            sizes = merged(self._histogram, self.by)
+    def _counted(self, key_frame: DataFrame) -> list[tuple]:
+        """(key, level, at, rows, first, last) of hot slices of all widths; sets ``largest``. One job.
+
+        Whole series only, where the order is no time.
+        """
+        # Keys may have any name, those of a histogram's columns too.
+        keys = [f"_k{i}" for i in range(len(self.by))]
+        renamed = [F.col(c).alias(k) for c, k in zip(self.by, keys)]
+        if self._histogram is not None:
+            sizes = merged(self._histogram.select(*renamed, "slice", "n", "lo", "hi"), keys)
+        elif self._bits is None:
+            sizes = key_frame.select(*renamed, F.col(self.ts).alias("_ts")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_ts").alias("lo"), F.max("_ts").alias("hi"))
+            sizes = sizes.select(*keys, F.lit(None).cast("bigint").alias("slice"), "n", "lo", "hi")
         else:
-            sizes = time_histogram(key_frame, self.by, self.ts, self._bits)
+            sizes = time_histogram(key_frame.select(*renamed, F.col(self.ts).alias("_ts")), keys, "_ts", self._bits)
         while True:
-            rows, self.largest = hot_slices(sizes, self.by, self.target, self._bits, 8 * MAX_HOT_CELLS + 1)
+            rows, self.largest = hot_slices(sizes, keys, self.target, self._bits, 8 * MAX_HOT_CELLS + 1)
             if len(rows) <= 8 * MAX_HOT_CELLS:
-                return rows
+                return [(tuple(r[k] for k in keys), r["level"], r["at"], r["n"], r["lo"], r["hi"]) for r in rows]
             self.target *= 2
 
     def size(self) -> int:
@@ -178,14 +184,14 @@ class OrderedScan:
         by_types = [key_frame.schema[c] for c in self.by]
         by_types = [T.StructField(f.name, f.dataType) for f in by_types]
         cut_schema = T.StructType([*by_types, T.StructField("_at", T.LongType()), T.StructField("_bits", T.IntegerType())])
-        self._null_keys = any(r[c] is None for r in counted for c in self.by)
-        self._key_bytes = max(sum(24 + len(str(r[c])) for c in self.by) for r in counted)
+        self._null_keys = any(v is None for key, *_ in counted for v in key)
+        self._key_bytes = max(sum(24 + len(str(v)) for v in key) for key, *_ in counted)
         by_level = defaultdict(list)
-        for r in counted:
-            by_level[(*[r[c] for c in self.by], r["level"])].append((r["at"], r["n"], r["lo"], r["hi"]))
+        for key, level, at, *rest in counted:
+            by_level[key, level].append((at, *rest))
         cuts, ties, unknown = [], set(), False
         # Cells to cut: (key, start or None for a whole series, bits, rows, first and last time).
-        todo = [(tuple(r[c] for c in self.by), None, WHOLE, r["n"], r["lo"], r["hi"]) for r in counted if r["level"] == WHOLE]
+        todo = [(key, None, WHOLE, *rest) for key, level, _, *rest in counted if level == WHOLE]
         while todo:
             rows, children = [], []
             for key, at, bits, n, lo, hi in todo:
@@ -200,7 +206,7 @@ class OrderedScan:
                 known = self._bits is not None and own >= self._bits
                 if known:
                     own = min(own - (own - self._bits) % 2, 62)
-                    for c, *rest in by_level[(*key, own)]:
+                    for c, *rest in by_level[key, own]:
                         if c is not None and (at is None or at <= c << own < at + (1 << bits)):
                             children.append((key, c << own, own, *rest))
                 unknown |= not known
@@ -217,11 +223,11 @@ class OrderedScan:
                 key = tuple(r[c] for c in self.by)
                 if (*key, r["_cell"]) in ties:
                     continue
-                if r["lo"] == r["hi"]:
+                if r["_lo"] == r["_hi"]:
                     ties.add((*key, r["_cell"]))
                     continue
-                rows.append((*key, r["_cell"], self._cut(r["n"], r["lo"], r["hi"], len(hot))))
-                self._cells += ((r["hi"] - r["lo"]) >> rows[-1][-1]) + 2
+                rows.append((*key, r["_cell"], self._cut(r["_n"], r["_lo"], r["_hi"], len(hot))))
+                self._cells += ((r["_hi"] - r["_lo"]) >> rows[-1][-1]) + 2
             if not rows:
                 break
             cuts.append(self._local(rows, cut_schema))

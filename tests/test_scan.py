@@ -85,6 +85,14 @@ def test_stored_histogram_cuts_like_a_count(spark, rows):
     assert rows(few, "s", "seq", "r") == rows(OrderedScan(some, ["s"]).rank("r").run(), "s", "seq", "r")
 
 
+def test_keys_of_any_name(spark, rows):
+    df = spark.createDataFrame([(s, T0 + i * 10**8, i, 1.0) for s in "ab" for i in range(100)], SCHEMA)
+    for name in ("n", "lo", "slice", "level", "at", "ts"):
+        named = df.withColumnRenamed("s", name)
+        make = lambda target: OrderedScan(named, [name], target_rows=target).rank("r").run()  # noqa: B023, E731
+        assert rows(make(9), name, "seq", "r") == rows(make(10**6), name, "seq", "r")
+
+
 def test_struct_sequence(spark, rows):
     data = [("a", T0, ("f1", i), float(i)) for i in range(50)] + [("a", T0, ("f0", i << 17), float(i)) for i in range(50)]
     df = spark.createDataFrame(data, "s string, ts_ns bigint, seq struct<file:string,row:bigint>, value double")
