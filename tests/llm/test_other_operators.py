@@ -223,7 +223,7 @@ def test_queries_against_sql(spark):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_pipeline_stages(spark):
