@@ -242,7 +242,8 @@ def anonymized(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "t
         every = F.aggregate("rules", part, lambda t, r: F.regexp_replace(t, r["pattern"], r["put"]))
         return F.when(F.col("rules").isNull(), part).otherwise(every)
 
-    out = out.withColumn("parts", F.transform(F.split("text", PATTERN, -1), followed))
+    # Only texts with an entity are taken apart.
+    out = out.withColumn("parts", F.when(F.col("spots").isNotNull(), F.transform(F.split("text", PATTERN, -1), followed)))
     joined = F.concat(F.array_join(F.transform("spots", lambda s, i: F.concat(F.element_at("parts", i + 1), s["put"])), ""), F.element_at("parts", -1))
     hits = F.filter(F.col("spots.kind"), lambda k: k.isNotNull())
     return out.select(
