@@ -85,5 +85,6 @@ def composition_times(durations: DataFrame, offsets: DataFrame | None, by: Seque
     if offsets is None:
         return decode.withColumnRenamed("_dts", "composition")
     shift = expand_runs(offsets, "offset", by, target_rows).select(*by, "decode_idx", "offset")
-    joined = decode.join(shift, [*by, "decode_idx"], "left")
+    # Sizes are guessed from the runs, whose samples are many times as many: never broadcast them.
+    joined = decode.join(shift.hint("merge"), [*by, "decode_idx"], "left")
     return joined.select(*by, "decode_idx", (F.col("_dts") + F.coalesce("offset", F.lit(0))).alias("composition"))

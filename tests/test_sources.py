@@ -368,3 +368,11 @@ def test_group_time_sums_pass_a_bigint(spark, rows, tmp_path):
     spark.createDataFrame([(1,)], "s_suppkey bigint").write.parquet(str(tmp_path / "supplier.parquet"))
     start = T0 * 1000
     assert rows(s29(spark, str(tmp_path)), "group_id", "n", "first_ns", "last_ns", "sum_rel") == [(1, 4, start, start + 7 * 10**18, 19 * 10**18)]
+
+
+def test_composition_times_broadcast_no_samples(spark):
+    i = F.col("id")  # a range has a known, small size
+    runs = spark.range(2).select(F.lit("v").alias("channel_id"), i.alias("run_idx"), (3 - i).alias("sample_count"), (2 + 3 * i).alias("delta"), (1 - i).alias("offset"))
+    out = video.composition_times(runs.drop("offset"), runs.drop("delta"), ["channel_id"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.decode_idx, r.composition) for r in out.collect()) == [(0, 1), (1, 3), (2, 5), (3, 6), (4, 11)]
