@@ -76,7 +76,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
                 x1, x2, a = x[s], x[np.append(s[1:], len(x)) - 1], a[s]
                 c1, c2 = _two(h, x1, x2 + PASSAGE)
                 shape = (a - x1).astype(np.uint64)
-                out.append((row[x1] + at, x1 + base, x2 + base, a + base, q[a], mixed(c1 + shape), mixed(c2 + shape)))
+                # Anchors are smallest hashes: mixed again, or they all fall in the first buckets.
+                out.append((row[x1] + at, x1 + base, x2 + base, a + base, mixed(q[a]), mixed(c1 + shape), mixed(c2 + shape)))
         at = to
     names = ("row", "x1", "x2", "a", "bucket", "c1", "c2")
     kinds = (np.int64,) * 4 + (np.uint64,) * 3

@@ -278,6 +278,13 @@ def test_suffix_dedup(documents, odd_rows):
     assert suffix_dedup.repeated_passages(documents(rows).limit(0), digest=True).count() == 0
 
 
+def test_suffix_dedup_spreads_its_buckets():
+    buf = np.random.default_rng(9).integers(97, 123, 200_000).astype(np.uint8)
+    keys = np.unique(suffix_dedup.anchors(buf, np.array([0, len(buf)]))["bucket"] >> np.uint64(64 - batches.KEY_BITS))
+    sizes = np.diff(batches.cuts(keys, 16))
+    assert len(keys) > 4_000 and sizes.max() < 1.3 * len(keys) / 16
+
+
 def test_suffix_dedup_on_table(spark):
     docs = _table(spark, "documents")
     assert sorted(str(tuple(r)) for r in suffix_dedup.query(spark, DATA).collect()) == _repeats(sorted((r.doc_id, r.text) for r in docs.collect()))
