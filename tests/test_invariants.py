@@ -102,3 +102,15 @@ def test_interval_join_equals_brute_force(spark, data, rows, closed):
     got = rows(interval_join(s, w, ["source_id"], closed=closed), "w", "seq")
     want = sorted((i, q) for i, src, a, b in windows for s2, _, t, q, _ in data if s2 == src and a <= t and (t <= b if closed else t < b))
     assert got == want
+
+
+def test_interval_join_keeps_the_pairs_of_a_sample_together(spark):
+    i = F.col("id")
+    s = spark.range(200).select(F.lit("a").alias("source_id"), (i * 5).alias("ts_ns"), i.alias("seq"))
+    w = spark.range(100).select(F.lit("a").alias("source_id"), (i * 10).alias("start_ns"), (i * 10 + 64).alias("end_ns"), i.alias("w"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = [r.seq for r in interval_join(s, w, ["source_id"]).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) > 1_000 and 1 + sum(a != b for a, b in zip(got, got[1:])) == len(set(got))
