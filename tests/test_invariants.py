@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from chronofleet.operators import catalog as ct
 from chronofleet.operators import frames as fr
 from chronofleet.operators import ranges as rg
 from chronofleet.operators import series as se
+from chronofleet.plans import interval_join as interval
 from chronofleet.plans.interval_join import interval_join
 
 NAN, INF = float("nan"), float("inf")
@@ -114,3 +116,48 @@ def test_interval_join_keeps_the_pairs_of_a_sample_together(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(got) > 1_000 and 1 + sum(a != b for a, b in zip(got, got[1:])) == len(set(got))
+
+
+@pytest.fixture
+def spread(monkeypatch):
+    """Limits so small that a few pairs are many."""
+    for name, value in (("FEW_WINDOWS", 0), ("TASK_PAIRS", 64), ("SIDE_BITS", 3)):
+        monkeypatch.setattr(interval, name, value, raising=False)
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_spread_interval_join_equals_brute_force(spark, data, rows, closed, spread):
+    test_interval_join_equals_brute_force(spark, data, rows, closed)
+
+
+def test_interval_join_spreads_the_pairs_of_a_slice(spark, spread):
+    """All samples at one time: no slice is narrow enough to part them, and their bytes are few."""
+    i = F.col("id")
+    s = spark.range(300).select(F.lit("a").alias("source_id"), F.lit(7).cast("bigint").alias("ts_ns"), i.alias("seq"))
+    w = spark.range(100).select(F.lit("a").alias("source_id"), (i % 7).alias("start_ns"), (i % 7 + 9).alias("end_ns"), i.alias("w"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = interval_join(s, w, ["source_id"])
+        assert out.columns == ["source_id", "ts_ns", "seq", "start_ns", "end_ns", "w"]
+        got = out.select("seq", "w", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len({(r.seq, r.w) for r in got}) == 300 * 100
+    per_task = Counter(r.p for r in got)
+    assert len(per_task) > 100 and max(per_task.values()) < 1500
+
+
+def test_slices_of_samples_only_are_parted_too(spark, spread):
+    i = F.col("id")
+    s = spark.range(2000).select(F.lit("a").alias("source_id"), F.when(i < 1900, 0).otherwise(i * 1000).alias("ts_ns"), i.alias("seq"))
+    w = spark.createDataFrame([("a", 1_950_000, 1_950_001), ("a", -5_000_000, -4_999_999)], "source_id string, start_ns bigint, end_ns bigint")
+    one = F.lit(0).alias("_bits")
+    keyed, _ = interval._spread(s.select("*", one, F.col("ts_ns").alias("_slice")), w.select("*", one, F.col("start_ns").alias("_slice")), ["source_id"])
+    assert keyed.count() == 2000 and keyed.groupBy("_cell").count().agg(F.max("count")).first()[0] < 150
+
+
+def test_spread_interval_join_of_null_keys_and_other_key_types(spark, spread):
+    s = spark.range(400).select((F.when(F.col("id") % 5 > 0, F.col("id") % 5)).cast("int").alias("k"), F.col("id").alias("ts_ns"))
+    w = spark.range(100).select((F.when(F.col("id") % 4 > 0, F.col("id") % 4)).alias("k"), F.col("id").alias("start_ns"), (F.col("id") + 50).alias("end_ns"), F.col("id").alias("w"))
+    got = sorted((r.k, r.ts_ns, r.w) for r in interval_join(s, w, ["k"]).collect())
+    assert got == sorted((t % 5, t, i) for t in range(400) for i in range(100) if t % 5 and t % 5 == i % 4 and i <= t < i + 50)
