@@ -146,7 +146,7 @@ def test_pacing_ranks_its_measures_in_one_pass(spark):
     assert plan.count("Window [") == 1 and "Expand" not in plan
 
 
-@pytest.mark.parametrize("name", ["r3_fetch_ranges"])
+@pytest.mark.parametrize("name", ["r3_fetch_ranges", "r11_slice_events"])
 def test_values_are_rounded_once_per_sample(spark, name):
     above, join, below = plan_of(entry_points.queries()[name](spark, DATA)).partition("Join")
     assert join and "round(" not in above and "round(" in below
